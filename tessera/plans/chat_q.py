@@ -1 +1,59 @@
-"""placeholder"""
+"""H-queries: chat log analytics over the conversations table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import chatlog as H
+from tessera.plans.registry import query
+from tessera.sources.tables import read_table
+
+MSGS_SQL = """SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'bot' ELSE role END AS type,
+  text AS content FROM conversations"""
+
+
+def _msgs(spark, sf):
+    return H.messages_from_conversations(read_table(spark, sf, "conversations"))
+
+
+@query("chat_counts", ids="H1 H2 H5", oracle=f"""
+WITH m AS ({MSGS_SQL})
+SELECT conv_id, count(*) AS n_messages,
+  count(*) FILTER (WHERE type = 'user') AS n_user, count(*) FILTER (WHERE type = 'bot') AS n_bot,
+  count(*) FILTER (WHERE type = 'system') AS n_system, count(*) FILTER (WHERE type = 'error') AS n_error,
+  count(*) FILTER (WHERE type = 'error') > 0 AS has_error, count(*) = 0 AS is_empty
+FROM m GROUP BY conv_id""")
+def chat_counts(spark, sf):
+    return H.counts_by_type(_msgs(spark, sf))
+
+
+@query("chat_last", ids="H3", oracle=f"""
+WITH m AS ({MSGS_SQL})
+SELECT conv_id, max(turn) AS last_turn, arg_max(type, turn) AS last_type, arg_max(content, turn) AS last_content
+FROM m GROUP BY conv_id""")
+def chat_last(spark, sf):
+    return H.last_message(_msgs(spark, sf))
+
+
+@query("chat_nth", ids="H4", oracle=f"""
+WITH m AS ({MSGS_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM m)
+SELECT c.conv_id, r.turn AS nth_turn, r.type AS nth_type, r.content AS nth_content
+FROM (SELECT DISTINCT conv_id FROM m) c LEFT JOIN r ON r.conv_id = c.conv_id AND r.rn = 3""")
+def chat_nth(spark, sf):
+    return H.nth_message(_msgs(spark, sf), 2)
+
+
+@query("chat_validate", ids="H6", oracle=f"""
+WITH m AS ({MSGS_SQL})
+SELECT conv_id, turn, type,
+  CASE type
+    WHEN 'user' THEN coalesce(regexp_replace(content, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g'), '') <> ''
+    WHEN 'bot' THEN coalesce(try(json_type(content) = 'OBJECT'
+                             AND list_contains(json_keys(content), 'success')), false)
+    WHEN 'error' THEN coalesce(try(json_type(content) = 'OBJECT'
+                               AND json_type(content, '$.error') = 'VARCHAR'), false)
+    ELSE true END AS is_valid
+FROM m""")
+def chat_validate(spark, sf):
+    return H.validate_messages(_msgs(spark, sf)).select("conv_id", "turn", "type", "is_valid")
