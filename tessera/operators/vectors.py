@@ -72,12 +72,18 @@ def hashed_embedding(df: DataFrame, text_col: str, key_cols: list[str], dim: int
                      out_col: str = "vector") -> DataFrame:
     """Default embedder: signed feature hashing of lower-cased word tokens, L2-normalised.
 
+    Words are split on every non-letter/digit (so ``c_custkey`` gives ``c``
+    and ``custkey``).
+
     Pure DataFrame work: explode tokens, aggregate (key, bucket) weights, fold
     the at most ``dim`` buckets of a document into a dense array. Documents
     without tokens get a zero vector (their similarity is null, see topk).
     """
-    tok = df.select(*key_cols, F.explode(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}_]+")).alias("t")) \
-        .where(F.col("t") != "")
+    words = F.explode(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}]+"))
+    # light normalisation: a trailing plural 's' is dropped from words longer than 3 letters
+    tok = (df.select(*key_cols, words.alias("w")).where(F.col("w") != "")
+           .select(*key_cols, F.when((F.length("w") > 3) & F.col("w").endswith("s"),
+                                     F.expr("substring(w, 1, length(w) - 1)")).otherwise(F.col("w")).alias("t")))
     h = F.xxhash64(F.col("t"))
     w = (tok.select(*key_cols, F.pmod(h, F.lit(dim)).cast("int").alias("b"),
                     F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))

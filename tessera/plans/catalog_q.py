@@ -98,7 +98,7 @@ def catalog_tables_base(spark, sf):
                        fk_text.alias("foreign_keys"), "row_count")
 
 
-def _profile_sql(tables) -> str:
+def _profile_sql(tables, sep: str = "|") -> str:
     parts = []
     for t in tables:
         for c, ty in TABLE_COLUMNS[t]:
@@ -109,7 +109,7 @@ def _profile_sql(tables) -> str:
     u = "\n  UNION ALL ".join(parts)
     return f"""WITH u AS ({u}),
 r AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY v) AS rn FROM u)
-SELECT tbl AS table_name, col AS column_name, string_agg(v, '|' ORDER BY v) AS distinct_values
+SELECT tbl AS table_name, col AS column_name, string_agg(v, '{sep}' ORDER BY v) AS distinct_values
 FROM r WHERE rn <= 10 GROUP BY tbl, col"""
 
 

@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None, ids: str = "") -> Callable[[Quer
     return deco
 
 
-PLAN_MODULES = ("nlq", "catalog_q", "text_q", "chat_q", "vector_q", "answer_q",
+PLAN_MODULES = ("nlq", "catalog_q", "text_q", "chat_q", "vector_q", "answer_q", "assistant_q",
                 "graph_q", "feedback_q", "match_q", "keywords_q")
 
 
