@@ -1,13 +1,258 @@
-"""G: the schema as a graph (nodes, edges, centrality, components, search)."""
+"""G: the schema as a graph (nodes, edges, centrality, components, search).
+
+Graphs are two DataFrames: ``nodes(node)`` and ``edges(id, src, dst, ...)``.
+Iterative algorithms keep their state as DataFrames, stop on a count that
+is computed on the executors, and cut lineage every few rounds with a
+reliable checkpoint in the cluster's shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
+NUMERIC_TYPE = "int|decimal|numeric|float|double"
+
 
-def column_badges() -> F.Column:
+def column_badges() -> Column:
     """PK, FK, Required (not nullable) badges as an array."""
     return F.array_compact(F.array(
         F.when(F.col("is_primary_key"), F.lit("PK")),
         F.when(F.col("is_foreign_key"), F.lit("FK")),
         F.when(~F.col("nullable"), F.lit("Required"))))
+
+
+# -------------------------------------------------------------- G1, G2 ----
+
+def schema_nodes(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """G1: one node per table with its columns (name, type, key flags) in position order."""
+    cols = (columns.groupBy("table")
+            .agg(F.array_sort(F.collect_list(F.struct(
+                "position", "name", "data_type", "nullable", "is_primary_key", "is_foreign_key"))).alias("c"))
+            .select(F.col("table").alias("node"),
+                    F.transform("c", lambda x: x.dropFields("position")).alias("columns")))
+    return tables.select(F.col("name").alias("node")).join(cols, "node", "left")
+
+
+def schema_edges(fk_records: DataFrame) -> DataFrame:
+    """One edge per FK, id ``edge-<src>-<dst>-<index>`` (index = FK position in its table)."""
+    per_table = (fk_records.groupBy("table")
+                 .agg(F.array_sort(F.collect_list(F.struct("constraint_name", "referred_table",
+                                                           "constrained_columns", "referred_columns"))).alias("l")))
+    e = per_table.select("table", F.posexplode("l").alias("i", "f"))
+    return e.select(F.concat_ws("-", F.lit("edge"), "table", "f.referred_table", F.col("i").cast("string")).alias("id"),
+                    F.col("table").alias("src"), F.col("f.referred_table").alias("dst"),
+                    F.col("f.constrained_columns").alias("from_columns"),
+                    F.col("f.referred_columns").alias("to_columns"))
+
+
+def relations_of(edges: DataFrame) -> DataFrame:
+    """Per node its relations, outgoing first then incoming, labelled N-1."""
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("outgoing").alias("direction"),
+                       F.lit(0).alias("dir_order"), "id", F.lit("N-1").alias("cardinality"))
+    inc = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("incoming").alias("direction"),
+                       F.lit(1).alias("dir_order"), "id", F.lit("N-1").alias("cardinality"))
+    return out.unionByName(inc)
+
+
+# ------------------------------------------------------------ G4, G5, G8 --
+
+def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degree (a loop counts 2) and connected-edge count (a loop counts 1)."""
+    ends = edges.select("id", F.explode(F.array("src", "dst")).alias("node"))
+    d = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
+                                 F.count_distinct("id").alias("connections"))
+    return (nodes.select("node").join(d, "node", "left")
+            .select("node", F.coalesce("degree", F.lit(0)).alias("degree"),
+                    F.coalesce("connections", F.lit(0)).alias("connections")))
+
+
+def intensity(deg: DataFrame) -> DataFrame:
+    """Connections / max connections; > 0.3 central, > 0.6 most central."""
+    mx = deg.select(F.max("connections")).scalar()  # uncorrelated scalar subquery
+    r = F.col("connections") / F.nullif(mx, F.lit(0))
+    return (deg.select("node", "connections", F.coalesce(r, F.lit(0.0)).alias("intensity"))
+            .withColumn("band", F.when(F.col("intensity") > 0.6, "most_central")
+                        .when(F.col("intensity") > 0.3, "central").otherwise("normal")))
+
+
+# ------------------------------------------------------------------ G7 ----
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Both directions, loops dropped, parallel edges merged: (u, v)."""
+    e = edges.where(F.col("src") != F.col("dst"))
+    return (e.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+            .unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Component label = smallest node name, by min-label propagation with pointer jumping.
+
+    Each round: hook (label <- min label over the neighbourhood), then
+    shortcut (label <- label of the label) twice, which halves path lengths,
+    so a path of V nodes needs O(log V) rounds. Stops when no label changes.
+    """
+    adj = cut_lineage(undirected(edges))
+    lab = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    for _ in range(max_rounds):
+        via = (adj.join(lab.withColumnRenamed("node", "v"), "v")
+               .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("nl")))
+        new = (lab.join(via, "node", "left")
+               .select("node", F.least("label", F.coalesce("nl", F.col("label"))).alias("label")))
+        for _ in range(2):  # pointer jumping: label <- label of the label
+            new = (new.alias("a").join(new.alias("b"), F.col("a.label") == F.col("b.node"), "left")
+                   .select(F.col("a.node"), F.least(F.col("a.label"),
+                                                    F.coalesce(F.col("b.label"), F.col("a.label"))).alias("label")))
+        new = cut_lineage(new)
+        changed = (new.join(lab.withColumnRenamed("label", "old"), "node")
+                   .where(F.col("label") != F.col("old")).count())
+        lab = new
+        if changed == 0:
+            return lab.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+
+
+def structure(components: DataFrame) -> DataFrame:
+    """Hierarchical (1 component, > 10 nodes), clustered (> 1 component) or small."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    s = sizes.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"),
+                  F.sum("size").alias("n_nodes"))
+    return s.withColumn("structure", F.when((F.col("n_components") == 1) & (F.col("n_nodes") > 10), "hierarchical")
+                        .when(F.col("n_components") > 1, "clustered").otherwise("small"))
+
+
+# ------------------------------------------------------------------ G6 ----
+
+def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """Exact betweenness (undirected, unweighted, each pair once) by Brandes over BFS levels.
+
+    State rows are (source, node, dist, sigma): one BFS level per round for
+    all sources at once, then dependencies flow back level by level:
+    delta(s, v) = sum over successors w of sigma(s,v) / sigma(s,w) * (1 + delta(s,w)).
+    """
+    adj = cut_lineage(undirected(edges))
+    frontier = nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"),
+                            F.lit(1.0).alias("sigma"))
+    levels = [cut_lineage(frontier)]
+    seen = levels[0].select("s", "v")
+    for depth in range(1, max_depth + 1):
+        nxt = (levels[-1].join(adj.withColumnRenamed("v", "w").withColumnRenamed("u", "v"), "v")
+               .groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
+               .join(seen, ["s", "v"], "left_anti")
+               .select("s", "v", F.lit(depth).alias("d"), "sigma"))
+        nxt = cut_lineage(nxt)
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        seen = cut_lineage(seen.unionByName(nxt.select("s", "v")))
+    # back-propagate dependencies from the deepest level
+    delta = levels[-1].select("s", "v", F.lit(0.0).alias("delta"))
+    acc = [delta]
+    for lv in range(len(levels) - 1, 0, -1):
+        w = levels[lv].join(delta, ["s", "v"], "left").select(
+            "s", F.col("v").alias("w"), F.col("sigma").alias("sw"), F.coalesce("delta", F.lit(0.0)).alias("dw"))
+        prev = levels[lv - 1].select("s", "v", F.col("sigma").alias("sv"))
+        contrib = (w.join(adj.withColumnRenamed("u", "w"), "w")
+                   .join(prev, ["s", "v"])
+                   .groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
+        delta = cut_lineage(contrib)
+        acc.append(delta)
+    total = acc[0]
+    for a in acc[1:]:
+        total = total.unionByName(a)
+    bc = (total.where(F.col("s") != F.col("v")).groupBy(F.col("v").alias("node"))
+          .agg((F.sum("delta") / 2).alias("betweenness")))
+    return nodes.select("node").join(bc, "node", "left").select(
+        "node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+# ----------------------------------------------------------- G10-G12 ------
+
+def _substrings(text: Column, max_len: int = 64) -> Column:
+    """All substrings of a bounded-length identifier (lower case)."""
+    t = F.lower(F.substring(text, 1, max_len))
+    n = F.length(t)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
+        F.sequence(i, F.greatest(n, F.lit(1))), lambda j: F.substring(t, i, j - i + 1))))
+
+
+def search(nodes: DataFrame, terms: DataFrame, max_len: int = 64) -> DataFrame:
+    """Case-insensitive substring match of terms against table name, column names and types.
+
+    Catalog identifiers are short, so each is exploded into its substrings
+    and matched to the terms by an equi-join (no pairwise comparison).
+    Identifiers longer than ``max_len`` are matched on their first ``max_len`` characters.
+    """
+    texts = (nodes.select("node", F.col("node").alias("t"))
+             .unionByName(nodes.select("node", F.explode("columns").alias("c"))
+                          .select("node", F.explode(F.array(F.col("c.name"), F.col("c.data_type"))).alias("t"))))
+    subs = texts.select("node", F.explode(F.array_distinct(_substrings(F.col("t"), max_len))).alias("sub")).distinct()
+    tm = terms.select("term", F.lower("term").alias("sub")).where(F.length("sub") > 0)
+    return tm.join(subs, "sub").select("term", "node").distinct()
+
+
+def induced_edges(matches: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per term, edges with both ends among the matched nodes."""
+    a = matches.select("term", F.col("node").alias("src"))
+    b = matches.select("term", F.col("node").alias("dst"))
+    return edges.join(a, "src").join(b, ["term", "dst"]).select("term", "id", "src", "dst")
+
+
+def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per node, itself and the endpoints of its edges."""
+    n = (edges.select(F.col("src").alias("node"), F.col("dst").alias("member"))
+         .unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("member")))
+         .unionByName(nodes.select("node", F.col("node").alias("member"))))
+    return n.distinct()
+
+
+# ----------------------------------------------------------- G13-G17 ------
+
+def is_numeric_type(t: Column) -> Column:
+    """Substring rule over type names (so bigint and interval pass, real does not)."""
+    return F.lower(t).rlike(NUMERIC_TYPE)
+
+
+def quick_stats(nodes: DataFrame) -> DataFrame:
+    """G13."""
+    c = F.col("columns")
+    return nodes.select("node", F.size(c).alias("n_columns"),
+                        F.size(F.filter(c, lambda x: x["is_primary_key"])).alias("n_pk"),
+                        F.size(F.filter(c, lambda x: x["is_foreign_key"])).alias("n_fk"))
+
+
+def significant_columns(nodes: DataFrame) -> DataFrame:
+    """Key columns, then the first two non-key columns."""
+    c = F.col("columns")
+    keys = F.filter(c, lambda x: x["is_primary_key"] | x["is_foreign_key"])
+    rest = F.slice(F.filter(c, lambda x: ~(x["is_primary_key"] | x["is_foreign_key"])), 1, 2)
+    return nodes.select("node", F.concat(keys, rest).alias("significant"))
+
+
+def sample_sql(nodes: DataFrame) -> DataFrame:
+    """SELECT significant columns WHERE (first PK or first significant) (> 0 | IS NOT NULL) LIMIT 5;"""
+    sig = significant_columns(nodes)
+    pk = F.filter(F.col("columns"), lambda x: x["is_primary_key"])
+    key = F.coalesce(F.try_element_at(pk, F.lit(1)), F.try_element_at(F.col("significant"), F.lit(1)))
+    cond = F.when(is_numeric_type(key["data_type"]), F.concat(key["name"], F.lit(" > 0"))) \
+        .otherwise(F.concat(key["name"], F.lit(" IS NOT NULL")))
+    return sig.join(nodes, "node").select(
+        "node", F.concat(F.lit("SELECT "), F.array_join(F.transform("significant", lambda x: x["name"]), ", "),
+                         F.lit(" FROM "), F.col("node"), F.lit(" WHERE "), cond, F.lit(" LIMIT 5;")).alias("sql"))
+
+
+def schema_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per table a JSON document of columns and its outgoing relationships."""
+    rel = (edges.groupBy(F.col("src").alias("node"))
+           .agg(F.array_sort(F.collect_list(F.struct(
+               F.col("id"), F.col("dst").alias("to_table"), F.col("from_columns"), F.col("to_columns")))).alias("r")))
+    cols = F.transform("columns", lambda x: F.struct(x["name"].alias("name"), x["data_type"].alias("type"),
+                                                     x["nullable"].alias("nullable"),
+                                                     x["is_primary_key"].alias("isPrimaryKey")))
+    return (nodes.join(rel, "node", "left")
+            .select("node", F.to_json(cols).alias("columns_json"),
+                    F.to_json(F.coalesce("r", F.array().cast(
+                        "array<struct<id:string,to_table:string,from_columns:array<string>,"
+                        "to_columns:array<string>>>"))).alias("relationships_json")))
