@@ -216,3 +216,35 @@ def column_key_flags(spark, sf):
     flags = C.key_flags(schema_df, cons)
     return flags.select(F.col("table").alias("table_name"), F.col("name").alias("column_name"),
                         F.array_join(column_badges(), ",").alias("badges"))
+
+
+@query("snapshot_roundtrip", ids="A7 A8 A9 B17 B18 G19", oracle=f"""
+WITH s AS ({SCHEMA_SQL}), c AS ({VERIFIED_SQL}), n AS ({COUNTS_SQL})
+SELECT s.tbl AS name, n.row_count, count(*) AS n_columns,
+  (SELECT count(DISTINCT constraint_name) FROM c WHERE c.tbl = s.tbl AND c.kind = 'fk') AS n_fk
+FROM s JOIN n ON n.tbl = s.tbl GROUP BY s.tbl, n.row_count""")
+def snapshot_roundtrip(spark, sf):
+    """Extract the catalog, save it as a snapshot, invalidate, re-extract, and read it back with a TTL."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources import snapshot as S
+
+    path = f"{checkpoint_dir(spark)}/snapshots/{uuid.uuid4().hex}"
+
+    def extract():
+        frames, schema_df, cons = catalog_parts(spark, sf)
+        tabs = C.list_tables(schema_df)
+        return {"tables": C.tables_base(schema_df, cons, C.row_counts(frames)),
+                "columns": C.key_flags(schema_df, cons),
+                "queries": spark.createDataFrame([], "question string, sql_query string, explanation string, "
+                                                     "positive_votes int"),
+                "relationships": C.relationships(cons, tabs)}
+
+    S.load_or_extract(spark, path, extract)          # miss -> extract and save
+    S.invalidate(spark, path)                        # next read misses
+    assert S.read_snapshot(spark, path) is None
+    snap = S.load_or_extract(spark, path, extract)   # re-extract after invalidation
+    t = snap["tables"]
+    return t.select("name", "row_count", F.size("columns").alias("n_columns"),
+                    F.size("foreign_keys").alias("n_fk"))
