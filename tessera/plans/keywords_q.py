@@ -1 +1,32 @@
-"""placeholder"""
+"""C5 queries: keyword extraction over the documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import keywords as K
+from tessera.plans.registry import query
+from tessera.sources.tables import read_table
+
+
+@query("keywords_topk", ids="C5 C9")
+def keywords_topk(spark, sf):
+    """Top-5 keywords (n-grams up to 2, dedup limit 0.2) of every document (rows-only check)."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    kw = K.extract_keywords(docs)
+    return kw.select("doc_id", "rank", "keyword", F.round("score", 9).alias("score"))
+
+
+@query("keyword_term_stats", ids="C5", oracle=r"""
+WITH a AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]+[\t\n\x0B\f\r ]+|[\r\n]+') AS arr FROM documents),
+s AS (SELECT doc_id, unnest(arr) AS stext, generate_subscripts(arr, 1) - 1 AS sent FROM a),
+w AS (SELECT doc_id, sent, unnest(regexp_split_to_array(stext, '[^\p{L}\p{N}]+')) AS word FROM s),
+t AS (SELECT doc_id, sent, lower(word) AS term FROM w WHERE word <> ''),
+ns AS (SELECT doc_id, max(sent) + 1 AS n_sent FROM t GROUP BY doc_id)
+SELECT t.doc_id, term, count(*) AS tf, count(DISTINCT sent) AS n_sent_term, min(sent) AS first_sent, ns.n_sent
+FROM t JOIN ns USING (doc_id) GROUP BY t.doc_id, term, ns.n_sent""")
+def keyword_term_stats(spark, sf):
+    """The per-(document, term) statistics stage of C5, checked value by value."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    st = K.term_stats(docs)
+    return st.select("doc_id", "term", "tf", "n_sent_term", "first_sent", "n_sent")
