@@ -94,3 +94,19 @@ def enrich_columns(columns: DataFrame, fn: CompletionFn, keywords_fn=simple_keyw
                     F.when(has_desc, F.col("_desc")).otherwise(F.lit(NO_DESCRIPTION)).alias("description"),
                     keywords_or_empty(has_desc & (F.size(kw) > 0), kw).alias("keywords"),
                     F.lit("column").alias("type"))
+
+
+KEYWORD_PROMPT = ("Extract up to 5 keywords from the text below. Answer with JSON only: "
+                  "{\"keywords\": [\"...\"]}.\n\n")
+
+
+def model_keywords(df: DataFrame, text_col: str, fn: CompletionFn) -> DataFrame:
+    """Keywords from a model's JSON answer; every keyword scores 1.0; failures give []."""
+    from tessera.operators.answer import strip_fence
+
+    d = df.withColumn("_kp", F.concat(F.lit(KEYWORD_PROMPT), F.col(text_col)))
+    d = complete(d, "_kp", "_ka", fn)
+    parsed = F.from_json(strip_fence(F.col("_ka")), "keywords array<string>")
+    kws = F.coalesce(parsed["keywords"], F.array().cast("array<string>"))
+    return d.drop("_kp", "_ka").withColumn(
+        "keywords", F.transform(kws, lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("score"))))

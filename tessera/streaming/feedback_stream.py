@@ -17,32 +17,7 @@ from pyspark.sql import functions as F
 from tessera.operators.feedback import (VOTES_SCHEMA, batch_votes, clean_clicks, feedback_from_events,
                                         merge_votes)
 from tessera.session import checkpoint_dir
-
-
-class VersionedState:
-    """Named DataFrames stored as ``root/v=<batch>/<name>`` plus a ``root/_current`` pointer."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def current(self) -> int:
-        try:
-            row = self.spark.read.text(f"{self.root}/_current").first()
-        except Exception:  # no pointer yet
-            return -1
-        return int(row[0]) if row else -1
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        v = self.current()
-        if v < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/v={v}/{name}")
-
-    def commit(self, batch_id: int, frames: dict[str, DataFrame]) -> None:
-        for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}/{name}")
-        self.spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{self.root}/_current")
+from tessera.sources.versioned import VersionedState
 
 
 def apply_feedback_batch(state: VersionedState, events: DataFrame, batch_id: int) -> None:
