@@ -29,7 +29,7 @@ fk1 AS (SELECT tbl, constraint_name, '- ' || string_agg(col, ', ' ORDER BY ordin
 fk AS (SELECT tbl, count(*) AS n_fk, string_agg(line, chr(10) ORDER BY constraint_name) AS lines FROM fk1 GROUP BY tbl),
 facts AS (SELECT cols.tbl AS name, n_cols, columns, coalesce(pks, '') AS pks, coalesce(n_fk, 0) AS n_fk,
                  coalesce(lines, 'No foreign keys') AS fk_lines, coalesce(n.row_count, 0) AS row_count,
-                 round(least(1.0, 0.2 * coalesce(n_fk, 0) + 0.1 * n_cols + CASE WHEN pks IS NULL THEN 0 ELSE 0.3 END), 2) AS score
+                 CAST(round(least(1.0, 0.2 * coalesce(n_fk, 0) + 0.1 * n_cols + CASE WHEN pks IS NULL THEN 0 ELSE 0.3 END), 2) AS DOUBLE) AS score
           FROM cols LEFT JOIN pk USING (tbl) LEFT JOIN fk USING (tbl) LEFT JOIN n USING (tbl))"""
 
 

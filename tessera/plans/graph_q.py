@@ -81,7 +81,7 @@ def graph_components(spark, sf):
 
 @query("graph_structure", ids="G9", oracle=f"""WITH RECURSIVE {EDGES_SQL}, {COMPONENTS_SQL},
 sz AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
-agg AS (SELECT count(*) AS n_components, max(size) AS largest, sum(size) AS n_nodes FROM sz)
+agg AS (SELECT count(*) AS n_components, max(size) AS largest, CAST(sum(size) AS BIGINT) AS n_nodes FROM sz)
 SELECT n_components, largest, n_nodes,
   CASE WHEN n_components = 1 AND n_nodes > 10 THEN 'hierarchical' WHEN n_components > 1 THEN 'clustered'
        ELSE 'small' END AS structure FROM agg""")
