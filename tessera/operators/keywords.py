@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 SENTENCE_SPLIT = "[.!?]+[\\t\\n\\x0B\\f\\r ]+|[\\r\\n]+"
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -32,29 +34,61 @@ STOPWORDS = (
 
 
 def _tokens(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, sent, pos, word, lw): sentence index, word index within the document, original and lower case."""
-    s = docs.select(doc_col, F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sent", "stext"))
+    """(doc, sent, wi, word, lw, left, right) with the documents hash-partitioned by doc once.
+
+    The texts are shuffled once by document for the neighbour window; the
+    token table is then written once as parquet in the shared checkpoint
+    folder because several branches (statistics, neighbours, candidates)
+    read it, each only the columns it needs.
+    """
+    # explicit partition count: AQE must not coalesce this shuffle by bytes, since the
+    # texts explode into hundreds of token rows each
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(doc_col, text_col).repartition(n, doc_col)
+    s = d.select(doc_col, F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sent", "stext"))
     w = s.select(doc_col, "sent", F.posexplode(F.split("stext", WORD_SPLIT)).alias("wi", "word")) \
         .where(F.col("word") != "")
-    return w.select(doc_col, "sent", "wi", "word", F.lower("word").alias("lw"))
+    tok = w.select(doc_col, "sent", "wi", "word", F.lower("word").alias("lw"))
+    win = Window.partitionBy(doc_col, "sent").orderBy("wi")
+    tok = tok.withColumn("left", F.lag("lw").over(win)).withColumn("right", F.lead("lw").over(win))
+    # tokens feed several branches (statistics, candidates): materialise them once, reliably,
+    # keeping the document partitioning, instead of re-splitting every text per branch
+    return materialize(tok, "tokens")
+
+
+def _stats_from_tokens(tok: DataFrame, doc_col: str) -> DataFrame:
+    """Per (doc, term) statistics with hash aggregates only (no object aggregates).
+
+    One window over (doc, term) ordered by position gives the occurrence
+    rank (exact median of the sentence index) and whether an occurrence is
+    the term's first in its sentence; distinct left/right neighbours are
+    counted from de-duplicated (doc, term, neighbour) rows. All steps keep
+    the document partitioning, so none of them shuffles.
+    """
+    is_acr = (F.length("word") > 1) & (F.col("word") == F.upper("word")) & F.col("word").rlike("\\p{L}")
+    is_up = F.substring("word", 1, 1).rlike("\\p{Lu}") & ~is_acr & (F.col("wi") > 0)
+    occ = Window.partitionBy(doc_col, "lw").orderBy("sent", "wi")
+    t = (tok.withColumn("_rn", F.row_number().over(occ))
+         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(doc_col, "lw")))
+         .withColumn("_new_sent", F.coalesce(F.lag("sent").over(occ) != F.col("sent"), F.lit(True))))
+    mid = (F.col("_rn") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rn") == F.ceil((F.col("_n") + 1) / 2))
+    per = (t.groupBy(doc_col, F.col("lw").alias("term"))
+           .agg(F.count(F.lit(1)).alias("tf"), F.count_if(is_up).alias("tf_upper"),
+                F.count_if(is_acr).alias("tf_acronym"), F.count_if("_new_sent").alias("n_sent_term"),
+                F.min("sent").alias("first_sent"), F.avg(F.when(mid, F.col("sent"))).alias("median_sent"),
+                F.count("left").alias("n_left"), F.count("right").alias("n_right")))
+    dl = (tok.where(F.col("left").isNotNull()).select(doc_col, F.col("lw").alias("term"), "left").distinct()
+          .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("d_left")))
+    dr = (tok.where(F.col("right").isNotNull()).select(doc_col, F.col("lw").alias("term"), "right").distinct()
+          .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("d_right")))
+    n_sent = tok.groupBy(doc_col).agg((F.max("sent") + 1).alias("n_sent"))
+    return (per.join(dl, [doc_col, "term"], "left").join(dr, [doc_col, "term"], "left").join(n_sent, doc_col)
+            .fillna(0, ["d_left", "d_right"]))
 
 
 def term_stats(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per (doc, term): tf, upper-case and acronym counts, sentence statistics, context diversity."""
-    tok = _tokens(docs, doc_col, text_col)
-    w = Window.partitionBy(doc_col, "sent").orderBy("wi")
-    tok = tok.withColumn("left", F.lag("lw").over(w)).withColumn("right", F.lead("lw").over(w))
-    is_acr = (F.length("word") > 1) & (F.col("word") == F.upper("word")) & F.col("word").rlike("\\p{L}")
-    is_up = F.substring("word", 1, 1).rlike("\\p{Lu}") & ~is_acr & (F.col("wi") > 0)
-    n_sent = tok.groupBy(doc_col).agg((F.max("sent") + 1).alias("n_sent"))
-    return (tok.groupBy(doc_col, F.col("lw").alias("term"))
-            .agg(F.count(F.lit(1)).alias("tf"), F.count_if(is_up).alias("tf_upper"),
-                 F.count_if(is_acr).alias("tf_acronym"),
-                 F.count_distinct("sent").alias("n_sent_term"), F.min("sent").alias("first_sent"),
-                 F.percentile("sent", 0.5).alias("median_sent"),
-                 F.count("left").alias("n_left"), F.count_distinct("left").alias("d_left"),
-                 F.count("right").alias("n_right"), F.count_distinct("right").alias("d_right"))
-            .join(n_sent, doc_col))
+    return _stats_from_tokens(_tokens(docs, doc_col, text_col), doc_col)
 
 
 def term_scores(stats: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -85,29 +119,21 @@ def extract_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "
                      max_ngram: int = 2, dedup_lim: float = 0.2) -> DataFrame:
     """(doc, rank, keyword, score): the best ``top`` candidates per document, lower score first."""
     tok = _tokens(docs, doc_col, text_col)
-    scores = term_scores(term_stats(docs, doc_col, text_col), doc_col)
-    w = Window.partitionBy(doc_col, "sent").orderBy("wi")
-    grams = tok.select(doc_col, "sent", "wi", F.col("lw").alias("t1"))
-    if max_ngram >= 2:
-        grams = grams.withColumn("t2", F.lead("t1").over(w))
-    sc = scores.select(doc_col, F.col("term").alias("t"), "s", "is_stop")
-    uni = grams.select(doc_col, F.col("t1").alias("kw"), F.array("t1").alias("terms"))
-    cands = uni
+    sc = term_scores(_stats_from_tokens(tok, doc_col), doc_col)
+    grams = tok.select(doc_col, F.col("lw").alias("t1"), F.lit(None).cast("string").alias("t2"))
     if max_ngram >= 2:
-        bi = grams.where(F.col("t2").isNotNull()).select(
-            doc_col, F.concat_ws(" ", "t1", "t2").alias("kw"), F.array("t1", "t2").alias("terms"))
-        cands = uni.unionByName(bi)
-    kw_tf = cands.groupBy(doc_col, "kw", "terms").agg(F.count(F.lit(1)).alias("kw_tf"))
-    parts = (kw_tf.select(doc_col, "kw", "kw_tf", "terms", F.posexplode("terms").alias("i", "t"))
-             .join(sc, [doc_col, "t"]))
-    per_kw = (parts.groupBy(doc_col, "kw", "kw_tf", F.size("terms").alias("n"))
-              .agg(F.sum(F.log(F.when(~F.col("is_stop"), F.col("s")))).alias("log_prod"),
-                   F.sum(F.when(~F.col("is_stop"), F.col("s")).otherwise(F.lit(0.0))).alias("sum_s"),
-                   F.max(F.when(F.col("i") == 0, F.col("is_stop"))).alias("first_stop"),
-                   F.max(F.when(F.col("i") == F.size("terms") - 1, F.col("is_stop"))).alias("last_stop"))
-              .where(~F.col("first_stop") & ~F.col("last_stop")))
-    cand = per_kw.select(doc_col, "kw",
-                         (F.exp("log_prod") / (F.col("kw_tf") * (1 + F.col("sum_s")))).alias("score"))
+        grams = grams.unionByName(tok.where(F.col("right").isNotNull())
+                                  .select(doc_col, F.col("lw").alias("t1"), F.col("right").alias("t2")))
+    kw_tf = grams.groupBy(doc_col, "t1", "t2").agg(F.count(F.lit(1)).alias("kw_tf"))
+    s1 = sc.select(doc_col, F.col("term").alias("t1"), F.col("s").alias("s1"), F.col("is_stop").alias("stop1"))
+    s2 = sc.select(doc_col, F.col("term").alias("t2"), F.col("s").alias("s2"), F.col("is_stop").alias("stop2"))
+    c = kw_tf.join(s1, [doc_col, "t1"]).join(s2, [doc_col, "t2"], "left")
+    # candidates may not start or end with a stop word; stop words inside contribute nothing
+    c = c.where(~F.col("stop1") & ~F.coalesce(F.col("stop2"), F.lit(False)))
+    prod = F.col("s1") * F.coalesce(F.col("s2"), F.lit(1.0))
+    total = F.col("s1") + F.coalesce(F.col("s2"), F.lit(0.0))
+    cand = c.select(doc_col, F.concat_ws(" ", "t1", "t2").alias("kw"),
+                    (prod / (F.col("kw_tf") * (1 + total))).alias("score"))
     # greedy de-duplication in rank order over all candidates of the document
     ranked = (cand.groupBy(doc_col)
               .agg(F.array_sort(F.collect_list(F.struct("score", "kw"))).alias("c")))
