@@ -224,15 +224,15 @@ def catalog_columns(schema_df: DataFrame, constraints: DataFrame, profile: DataF
 
 # ---------------------------------------------------------------- B19 ------
 
-def column_stats(frames: dict[str, DataFrame]) -> DataFrame:
-    """Exact per-column row, null and distinct counts (+ numeric range) for keyable columns.
+def column_stats(frames: dict[str, DataFrame], types: tuple = KEYABLE) -> DataFrame:
+    """Exact per-column row, null and distinct counts (+ numeric range) for columns of ``types``.
 
     One aggregate per table; Spark plans the several exact distinct counts
     with a single Expand + two-level aggregation.
     """
     out = []
     for t, df in frames.items():
-        cols = [f for f in df.schema.fields if isinstance(f.dataType, KEYABLE)]
+        cols = [f for f in df.schema.fields if isinstance(f.dataType, types)]
         if not cols:
             continue
         aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -275,13 +275,19 @@ def fk_candidates(spark: SparkSession, frames: dict[str, DataFrame], stats: Data
     # the stats frame has one row per keyable column: catalog-sized, safe to bring to the driver
     st = [r.asDict() for r in pk_candidates(stats).where("integral").collect()]
     pks = [r for r in st if r["is_candidate"]]
-    pairs = [(c["table"], c["column"], p["table"], p["column"])
+    pairs = [(c["table"], c["column"], p["table"], p["column"], p["n_distinct"] == p["hi"] - p["lo"] + 1)
              for c in st if c["n_distinct"] > 0
              for p in pks
              if (c["table"], c["column"]) != (p["table"], p["column"])
              and c["lo"] >= p["lo"] and c["hi"] <= p["hi"] and c["n_distinct"] <= p["n_distinct"]]
+    # a dense key (every integer between its min and max present) contains every column whose
+    # range lies inside it: those pairs are proven by the statistics alone, exactly
+    proven = [r[:4] for r in pairs if r[4]]
+    pairs = [r[:4] for r in pairs if not r[4]]
+    schema = "table string, column string, ref_table string, ref_column string"
+    proven_df = spark.createDataFrame(proven, schema)
     if not pairs:
-        return spark.createDataFrame([], "table string, column string, ref_table string, ref_column string")
+        return proven_df
     used_child = sorted({(r[0], r[1]) for r in pairs})
     used_parent = sorted({(r[2], r[3]) for r in pairs})
     child = _union([frames[t].where(F.col(c).isNotNull())
@@ -291,13 +297,12 @@ def fk_candidates(spark: SparkSession, frames: dict[str, DataFrame], stats: Data
     parent = _union([frames[t].select(F.lit(t).alias("ref_table"), F.lit(c).alias("ref_column"),
                                       F.col(c).cast("bigint").alias("v"))
                      for t, c in used_parent])
-    pair_df = spark.createDataFrame(pairs,
-                                    "table string, column string, ref_table string, ref_column string")
+    pair_df = spark.createDataFrame(pairs, schema)
     # expand child values to each candidate parent of that column (pairs is small: broadcast)
     probe = child.join(F.broadcast(pair_df), ["table", "column"])
     orphans = probe.join(parent, ["ref_table", "ref_column", "v"], "left_anti") \
         .select("table", "column", "ref_table", "ref_column").distinct()
-    return pair_df.join(orphans, ["table", "column", "ref_table", "ref_column"], "left_anti")
+    return proven_df.unionByName(pair_df.join(orphans, ["table", "column", "ref_table", "ref_column"], "left_anti"))
 
 
 # ---------------------------------------------------------------- B13/B14 --

@@ -178,7 +178,8 @@ def _fk_sql() -> str:
 @query("key_discovery_fk", ids="B19", oracle=_fk_sql())
 def key_discovery_fk(spark, sf):
     frames = load_tables(spark, sf)
-    fk = C.fk_candidates(spark, frames, C.column_stats(frames))
+    # FK candidates are integral columns referring to integral keys: no need to count distinct texts
+    fk = C.fk_candidates(spark, frames, C.column_stats(frames, C.INTEGRAL))
     return fk.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"),
                      "ref_table", "ref_column")
 

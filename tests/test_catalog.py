@@ -44,3 +44,15 @@ def test_distinct_profile_limit_and_order(spark):
     prof = {r["column"]: r["distinct_values"] for r in C.distinct_profile({"t": df}, n=10).collect()}
     assert prof["a"] == sorted({str(i % 13) for i in range(40)})[:10]
     assert prof["b"] == ["v0", "v1", "v2", "v3"]
+
+
+def test_fk_discovery_dense_and_sparse_keys(spark):
+    parent = spark.createDataFrame([(1,), (2,), (5,)], "pid int")           # sparse key: needs the anti-join
+    dense = spark.createDataFrame([(i,) for i in range(10)], "did int")     # dense key: proven by range
+    child = spark.createDataFrame([(1, 3, 9), (5, 1, 0), (None, 2, 4)], "a int, b int, c int")
+    frames = {"p": parent, "d": dense, "k": child}
+    got = {(r["table"], r["column"], r["ref_table"], r["ref_column"])
+           for r in C.fk_candidates(spark, frames, C.column_stats(frames, C.INTEGRAL)).collect()}
+    assert ("k", "a", "p", "pid") in got          # {1, 5} within {1, 2, 5}
+    assert ("k", "b", "p", "pid") not in got      # 3 is missing from {1, 2, 5}
+    assert {("k", "a", "d", "did"), ("k", "b", "d", "did"), ("k", "c", "d", "did"), ("p", "pid", "d", "did")} <= got
