@@ -67,23 +67,33 @@ def fk_violations(spark: SparkSession, frames: dict[str, DataFrame], constraints
            .collect())  # catalog metadata: one row per declared FK
     if not fks:
         return spark.createDataFrame([], "constraint_name string, orphans bigint")
-    child, parent = [], []
+    # single-column integral keys join as bigint; composite or other keys as delimited text
+    groups: dict[str, tuple[list, list]] = {"long": ([], []), "text": ([], [])}
     for r in fks:
         if r["table"] not in frames or r["ref_table"] not in frames:
             continue
         ccols = [x["column"] for x in r["c"]]
         pcols = [x["ref_column"] for x in r["c"]]
-        cdf = frames[r["table"]]
+        cdf, pdf = frames[r["table"]], frames[r["ref_table"]]
+        integral = (len(ccols) == 1 and isinstance(cdf.schema[ccols[0]].dataType, INTEGRAL)
+                    and isinstance(pdf.schema[pcols[0]].dataType, INTEGRAL))
+        kind = "long" if integral else "text"
+        ck = F.col(ccols[0]).cast("bigint") if integral else _key_string(cdf, ccols)
+        pk = F.col(pcols[0]).cast("bigint") if integral else _key_string(pdf, pcols)
         cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ccols])
-        child.append(cdf.where(cond).select(F.lit(r["constraint_name"]).alias("constraint_name"),
-                                            _key_string(cdf, ccols).alias("k")))
-        pdf = frames[r["ref_table"]]
-        parent.append(pdf.select(F.lit(r["constraint_name"]).alias("constraint_name"),
-                                 _key_string(pdf, pcols).alias("k")))
+        name = F.lit(r["constraint_name"]).alias("constraint_name")
+        groups[kind][0].append(cdf.where(cond).select(name, ck.alias("k")))
+        groups[kind][1].append(pdf.select(name, pk.alias("k")))
     names = spark.createDataFrame([(r["constraint_name"],) for r in fks], "constraint_name string")
-    orphans = (_union(child).distinct()
-               .join(_union(parent).distinct(), ["constraint_name", "k"], "left_anti")
-               .groupBy("constraint_name").agg(F.count(F.lit(1)).alias("orphans")))
+    found = []
+    for child, parent in groups.values():
+        if child:
+            found.append(_union(child).distinct()
+                         .join(_union(parent).distinct(), ["constraint_name", "k"], "left_anti")
+                         .groupBy("constraint_name").agg(F.count(F.lit(1)).alias("orphans")))
+    if not found:
+        return names.select("constraint_name", F.lit(0).cast("bigint").alias("orphans"))
+    orphans = _union(found)
     return (names.join(orphans, "constraint_name", "left")
             .select("constraint_name", F.coalesce("orphans", F.lit(0)).alias("orphans")))
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 NUMERIC_TYPE = "int|decimal|numeric|float|double"
+# rounds between reliable checkpoints; rounds in between are cached, so a lost
+# executor recomputes at most this many rounds from the last checkpoint
+CHECKPOINT_EVERY = 3
 
 
 def column_badges() -> Column:
@@ -99,13 +102,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     for _ in range(max_rounds):
         via = (adj.join(lab.withColumnRenamed("node", "v"), "v")
                .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("nl")))
-        new = (lab.join(via, "node", "left")
-               .select("node", F.least("label", F.coalesce("nl", F.col("label"))).alias("label")))
+        # materialise the hooked labels once: the jumps below read them several times
+        new = cut_lineage(lab.join(via, "node", "left")
+                          .select("node", F.least("label", F.coalesce("nl", F.col("label"))).alias("label")))
         for _ in range(2):  # pointer jumping: label <- label of the label
             new = (new.alias("a").join(new.alias("b"), F.col("a.label") == F.col("b.node"), "left")
                    .select(F.col("a.node"), F.least(F.col("a.label"),
                                                     F.coalesce(F.col("b.label"), F.col("a.label"))).alias("label")))
-        new = cut_lineage(new)
+            new = cut_lineage(new)
         changed = (new.join(lab.withColumnRenamed("label", "old"), "node")
                    .where(F.col("label") != F.col("old")).count())
         lab = new
@@ -142,11 +146,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> Da
                .groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
                .join(seen, ["s", "v"], "left_anti")
                .select("s", "v", F.lit(depth).alias("d"), "sigma"))
-        nxt = cut_lineage(nxt)
+        nxt = cut_lineage(nxt) if depth % CHECKPOINT_EVERY == 0 else nxt.persist()
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        seen = cut_lineage(seen.unionByName(nxt.select("s", "v")))
+        seen = seen.unionByName(nxt.select("s", "v"))
+        seen = cut_lineage(seen) if depth % CHECKPOINT_EVERY == 0 else seen.persist()
     # back-propagate dependencies from the deepest level
     delta = levels[-1].select("s", "v", F.lit(0.0).alias("delta"))
     acc = [delta]
@@ -157,7 +162,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> Da
         contrib = (w.join(adj.withColumnRenamed("u", "w"), "w")
                    .join(prev, ["s", "v"])
                    .groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
-        delta = cut_lineage(contrib)
+        delta = cut_lineage(contrib) if lv % CHECKPOINT_EVERY == 0 else contrib.persist()
         acc.append(delta)
     total = acc[0]
     for a in acc[1:]:
