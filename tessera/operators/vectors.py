@@ -191,11 +191,13 @@ def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "
     key_type = dict(docs.dtypes)[doc_key]
     qkey_type = dict(questions.dtypes)[q_key]
     cols = [q_key, q_vec] + ([q_group] if q_group else []) + ([q_self] if q_self else [])
-    qs = questions.select(*cols)
+    # the question side is read twice (sizing, then blocks): keep it cached for that span only
+    qs = questions.select(*cols).persist()
     stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("dim")).first()
     n, dim = int(stats["n"]), int(stats["dim"] or 0)
     out_schema = f"q {qkey_type}, id {key_type}, score double"
     if n == 0:
+        qs.unpersist()
         return spark.createDataFrame([], f"{q_key} {qkey_type}, {doc_key} {key_type}, "
                                          "similarity_score double, rank int")
     per_block = max(1, max_broadcast_bytes // max(1, dim * 8 + 64))
@@ -222,6 +224,7 @@ def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "
             return run
 
         parts.append(d.mapInPandas(make(), out_schema))
+    qs.unpersist()
     cand = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
