@@ -108,5 +108,6 @@ def model_keywords(df: DataFrame, text_col: str, fn: CompletionFn) -> DataFrame:
     d = complete(d, "_kp", "_ka", fn)
     parsed = F.from_json(strip_fence(F.col("_ka")), "keywords array<string>")
     kws = F.coalesce(parsed["keywords"], F.array().cast("array<string>"))
-    return d.drop("_kp", "_ka").withColumn(
-        "keywords", F.transform(kws, lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("score"))))
+    return d.withColumn(
+        "keywords", F.transform(kws, lambda k: F.struct(k.alias("keyword"), F.lit(1.0).alias("score")))) \
+        .drop("_kp", "_ka")

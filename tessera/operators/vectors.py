@@ -105,7 +105,10 @@ def embed_with(df: DataFrame, text_col: str, fn, dim: int, out_col: str = "vecto
     Runs inside ``mapInPandas``; Arrow batches (``maxRecordsPerBatch``) are the
     embedding batches, the model client is created once per partition by ``fn``.
     """
-    schema = df.schema.add(out_col, f"array<float>")
+    from pyspark.sql import types as T
+
+    # a new StructType: ``df.schema.add`` would mutate the frame's cached schema
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(it):
         for pdf in it:
