@@ -271,7 +271,7 @@ def dimension_check(index: DataFrame, dim: int, vec: str = "vector", by: str = "
     """A10: per type, document count and whether every vector has the index dimension."""
     return index.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.min(F.size(vec)).alias("min_dim"), F.max(F.size(vec)).alias("max_dim"),
+        F.min(F.size(vec)).cast("bigint").alias("min_dim"), F.max(F.size(vec)).cast("bigint").alias("max_dim"),
         F.bool_and(F.size(vec) == dim).alias("dim_ok"))
 
 

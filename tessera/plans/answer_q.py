@@ -133,7 +133,7 @@ def prompt_text(spark, sf):
     ctx = _context_df(spark, sf)
     p = A.build_prompt(TEMPLATE, {"context": F.col("context"), "query": _question_text(),
                                   "schema": F.lit(SCHEMA_NAME)})
-    return ctx.select("question_id", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+    return ctx.select("question_id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len"))
 
 
 @query("stage_metadata", ids="E22", oracle=CONTEXT_SQL.split("cols AS")[0].rstrip().rstrip(",") + """,

@@ -55,7 +55,7 @@ SELECT name, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM p""")
 def table_prompt(spark, sf):
     _, _, _, t = base_tables(spark, sf)
     p = N.table_prompt()
-    return t.select("name", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_len"))
+    return t.select("name", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_len"))
 
 
 def catalog_columns_full(spark, sf):

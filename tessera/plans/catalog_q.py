@@ -250,5 +250,5 @@ def snapshot_roundtrip(spark, sf):
     assert S.read_snapshot(spark, path) is None
     snap = S.load_or_extract(spark, path, extract)   # re-extract after invalidation
     t = snap["tables"]
-    return t.select("name", "row_count", F.size("columns").alias("n_columns"),
-                    F.size("foreign_keys").alias("n_fk"))
+    return t.select("name", "row_count", F.size("columns").cast("bigint").alias("n_columns"),
+                    F.size("foreign_keys").cast("bigint").alias("n_fk"))

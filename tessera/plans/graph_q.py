@@ -182,7 +182,8 @@ SELECT node, count(*) AS n_columns, count(*) FILTER (WHERE pk) AS n_pk, count(*)
 FROM f GROUP BY node""")
 def quick_stats(spark, sf):
     nodes, _ = schema_graph(spark, sf)
-    return G.quick_stats(nodes)
+    st = G.quick_stats(nodes)
+    return st.select("node", *[F.col(c).cast("bigint").alias(c) for c in ("n_columns", "n_pk", "n_fk")])
 
 
 @query("sample_sql", ids="G14 G15 G16", oracle=f"""WITH {EDGES_SQL}, {FLAGS_SQL},
@@ -206,10 +207,10 @@ def sample_sql(spark, sf):
 
 
 @query("schema_document", ids="G17 G19", oracle=f"""WITH {EDGES_SQL}, {FLAGS_SQL}
-SELECT node, to_json(list({{'name': name, 'type': data_type, 'nullable': nullable, 'isPrimaryKey': pk}}
-                          ORDER BY position)) AS columns_json,
-  coalesce((SELECT to_json(list({{'id': id, 'to_table': dst, 'from_columns': string_split(from_columns, ','),
-                                  'to_columns': string_split(to_columns, ',')}} ORDER BY id))
+SELECT node, CAST(to_json(list({{'name': name, 'type': data_type, 'nullable': nullable, 'isPrimaryKey': pk}}
+                          ORDER BY position)) AS VARCHAR) AS columns_json,
+  coalesce((SELECT CAST(to_json(list({{'id': id, 'to_table': dst, 'from_columns': string_split(from_columns, ','),
+                                  'to_columns': string_split(to_columns, ',')}} ORDER BY id)) AS VARCHAR)
             FROM edges WHERE edges.src = f.node), '[]') AS relationships_json
 FROM f GROUP BY node""")
 def schema_document(spark, sf):

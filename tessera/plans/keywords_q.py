@@ -29,4 +29,5 @@ def keyword_term_stats(spark, sf):
     """The per-(document, term) statistics stage of C5, checked value by value."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     st = K.term_stats(docs)
-    return st.select("doc_id", "term", "tf", "n_sent_term", "first_sent", "n_sent")
+    return st.select("doc_id", "term", "tf", "n_sent_term", F.col("first_sent").cast("bigint").alias("first_sent"),
+                     F.col("n_sent").cast("bigint").alias("n_sent"))

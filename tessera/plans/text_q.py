@@ -49,7 +49,7 @@ FROM documents""")
 def text_stats(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     stats = X.text_stats("text")
-    return docs.select("doc_id", *[v.alias(k) for k, v in stats.items()])
+    return docs.select("doc_id", *[v.cast("bigint").alias(k) for k, v in stats.items()])
 
 
 @query("text_tests", ids="I1 I2 I3 I4", oracle=f"""

@@ -100,7 +100,7 @@ SELECT question_id, id, round(sim, 6) AS similarity_score, rank FROM r WHERE ran
 def vec_topk(spark, sf):
     hits = V.topk_cosine(_self_questions(spark, sf), _docs(spark, sf), 3, q_self="self_id")
     return hits.select("question_id", "id", F.round("similarity_score", 6).alias("similarity_score"),
-                       "rank")
+                       F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("vec_topk_filtered", ids="D17 D18", oracle=f"""
@@ -112,7 +112,7 @@ def vec_topk_filtered(spark, sf):
     hits = V.topk_cosine(_self_questions(spark, sf), _docs(spark, sf), 2, q_self="self_id",
                          q_group="qlabel", doc_group="label")
     return hits.select("question_id", "id", F.round("similarity_score", 6).alias("similarity_score"),
-                       "rank")
+                       F.col("rank").cast("bigint").alias("rank"))
 
 
 def retrieve_tables_then_columns(spark, questions, tables, columns, k_tables=3, k_columns=5):
@@ -153,7 +153,8 @@ def vec_topk_per_group(spark, sf):
     cols = _docs(spark, sf).select("id", "vector",
                                    F.concat(F.lit("label_"), F.col("label").cast("string")).alias("table"))
     out = retrieve_tables_then_columns(spark, q, cent, cols)
-    return out.select("question_id", "table", "table_rank", "id", "rank",
+    return out.select("question_id", "table", F.col("table_rank").cast("bigint").alias("table_rank"), "id",
+                      F.col("rank").cast("bigint").alias("rank"),
                       F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -184,7 +185,7 @@ SELECT id, type, name, tbl AS table_name, len(vector) AS dim,
 def index_upsert(spark, sf):
     idx = upserted_index(spark, sf)
     return idx.select("id", "type", "name", F.col("table").alias("table_name"),
-                      F.size("vector").alias("dim"), _vsum(F.col("vector")).alias("vsum"))
+                      F.size("vector").cast("bigint").alias("dim"), _vsum(F.col("vector")).alias("vsum"))
 
 
 @query("index_delete", ids="D10 D16", oracle=f"""
@@ -200,7 +201,7 @@ def index_delete(spark, sf):
 
 @query("index_update_vectors", ids="D11", oracle=f"""
 WITH idx AS (SELECT {_uuid_sql("'column_label_' || label || '_vec_' || vec_id")} AS id,
-               to_json({{'vec_id': vec_id, 'label': label}}) AS payload, embedding FROM embeddings)
+               CAST(to_json({{'vec_id': vec_id, 'label': label}}) AS VARCHAR) AS payload, embedding FROM embeddings)
 SELECT id, payload, round(list_sum(list_transform(embedding, lambda x: CAST(CAST(-x AS FLOAT) AS DOUBLE))), 4) AS vsum
 FROM idx""")
 def index_update_vectors(spark, sf):
