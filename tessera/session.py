@@ -46,6 +46,34 @@ def get_spark(master: str | None = None, app: str = "tessera",
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in Python workers (as ``--py-files`` would).
+
+    Pandas UDFs and ``mapInPandas`` functions are pickled by reference to
+    their module, so executors need the package. It is zipped once per
+    application and added with ``addPyFile``; Spark distributes it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-pyfiles-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
@@ -54,6 +82,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is created and registered.
     """
     sc = spark.sparkContext
+    ship_package(spark)
     current = sc.getCheckpointDir()
     if current:
         return current
