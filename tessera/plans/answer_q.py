@@ -8,6 +8,7 @@ from tessera.functions.text import header_title
 from tessera.operators import answer as A
 from tessera.operators import vectors as V
 from tessera.plans.registry import query
+from tessera.session import spread
 from tessera.plans.vector_q import CENTROIDS_SQL, PAIRS_SQL, _docs, _self_questions, emb, \
     retrieve_tables_then_columns
 from tessera.sources.tables import read_table, register_views
@@ -171,7 +172,7 @@ def _jesc(c):
 
 def synthesized_answers(spark, sf):
     """Model answers in every shape the parser must handle, built from each conversation message."""
-    conv = read_table(spark, sf, "conversations")
+    conv = spread(read_table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     sql = F.concat(F.lit("SELECT count(*) FROM conversations WHERE conv_id = "), F.col("conv_id").cast("string"),
                    F.lit(";"))
     expl = F.concat(F.lit("Counts the messages of conversation "), F.col("conv_id").cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.plans.registry import query
+from tessera.session import spread
 from tessera.sources.tables import read_table
 
 # regex classes as DuckDB (RE2) literals, same meaning as tessera.functions.text
@@ -47,7 +48,7 @@ SELECT doc_id, length(text) AS characters,
   length(regexp_replace(text, '{WS}', '', 'g')) AS characters_no_ws
 FROM documents""")
 def text_stats(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     stats = X.text_stats("text")
     return docs.select("doc_id", *[v.cast("bigint").alias(k) for k, v in stats.items()])
 
@@ -60,7 +61,7 @@ SELECT doc_id,
   regexp_matches(text, '(?i)(^|{NW})(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN)({NW}|$)') AS looks_like_sql
 FROM documents""")
 def text_tests(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", X.is_blank("text").alias("is_blank"),
                        X.over_max_length("text", 10000).alias("over_max"),
                        X.has_control_chars("text").alias("has_control"),
@@ -76,7 +77,7 @@ SELECT conv_id, turn,
      lambda w: upper(w[1]) || lower(w[2:])), ' ') AS header
 FROM conversations""")
 def text_normalise(spark, sf):
-    conv = read_table(spark, sf, "conversations")
+    conv = spread(read_table(spark, sf, "conversations"))
     return conv.select("conv_id", "turn",
                        F.md5(X.normalize_spaces("text")).alias("normalized_md5"),
                        F.md5(X.capitalize_sentences("text")).alias("capitalized_md5"),
@@ -120,6 +121,6 @@ canon AS (SELECT {_duck_layout(_duck_format_sql('sql_text'))} AS layout FROM log
 SELECT layout, count(*) AS n_statements FROM canon GROUP BY layout""")
 def sql_layout(spark, sf):
     """Canonicalise the query log (spacing + layout) and count statements per canonical text."""
-    log = query_log(spark, sf)
+    log = spread(query_log(spark, sf))
     canon = log.select(X.sql_layout(X.format_as_sql("sql_text")).alias("layout"))
     return canon.groupBy("layout").agg(F.count(F.lit(1)).alias("n_statements"))

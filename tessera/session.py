@@ -116,3 +116,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Redistribute before CPU-heavy per-row work only when the input has too few splits.
+
+    A large input already has at least as many splits as the cluster has
+    cores, so nothing moves; a small single-file table (one row group, one
+    task) is spread over all cores. Planning-only check, no job.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)
