@@ -56,3 +56,16 @@ def test_fk_discovery_dense_and_sparse_keys(spark):
     assert ("k", "a", "p", "pid") in got          # {1, 5} within {1, 2, 5}
     assert ("k", "b", "p", "pid") not in got      # 3 is missing from {1, 2, 5}
     assert {("k", "a", "d", "did"), ("k", "b", "d", "did"), ("k", "c", "d", "did"), ("p", "pid", "d", "did")} <= got
+
+
+def test_fixed_size_sample_and_profile(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    a = C.fixed_size_sample(df, 100, ["o_orderkey"])
+    b = C.fixed_size_sample(df.repartition(5), 100, ["o_orderkey"])
+    ka = sorted(r["o_orderkey"] for r in a.collect())
+    assert len(ka) == 100 and ka == sorted(r["o_orderkey"] for r in b.collect())   # exact size, repeatable
+    rows = a.collect()
+    prof = {r["column"]: r["distinct_values"] for r in C.distinct_profile({"o": a}).collect()}
+    for col in ("o_orderstatus", "o_orderpriority", "o_custkey"):
+        want = sorted({str(r[col]) for r in rows if r[col] is not None})[:10]
+        assert prof[col] == want
