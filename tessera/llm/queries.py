@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held_out
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,36 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows, c = identify(docs, train(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(c["lang"]).alias("lang_pred"), F.col(c["score"]).alias("score"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; ``toxic`` marks those more likely toxic than not."""
+    from tessera.llm.toxicity import score_toxicity, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows, c = score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", F.col(c["severity"]).alias("severity"), F.col(c["p_toxic"]).alias("p_toxic"),
+                       (F.col(c["p_toxic"]) >= 0.5).cast("int").alias("toxic"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import score_quality, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows, c = score_quality(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(c["score"]).alias("score"),
+                       (F.col(c["score"]) >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
