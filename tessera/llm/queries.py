@@ -32,6 +32,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(c["lang"]).alias("lang_pred"), F.col(c["score"]).alias("score"))
 
 
+@query("op2_bitsliced_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.c, d.c) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.c) = len(d.c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op2_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bitsliced import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document; ``toxic`` marks those more likely toxic than not."""
