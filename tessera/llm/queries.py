@@ -69,6 +69,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col(c["score"]) >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op8_fingerprint")
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprint import as_text, fingerprints, likeness
+
+    rows = fingerprints(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+                       likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                       likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 @query("op9_source_mix")
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
