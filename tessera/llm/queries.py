@@ -69,6 +69,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col(c["score"]) >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op7_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS INTEGER), 100) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM p WHERE n >= 50)),
+m AS (SELECT win, min(doc_id) AS first_id FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM w JOIN m USING (win) WHERE doc_id > first_id),
+e AS (SELECT doc_id, i, coalesce(i > 50 + max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS opens FROM r),
+g AS (SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+c AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+        string_agg(substr(h, CAST(2 * since + 1 AS INTEGER), CAST(2 * (a - since) AS INTEGER)), '' ORDER BY a) AS kept
+      FROM k JOIN p USING (doc_id) GROUP BY k.doc_id)
+SELECT p.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE c.kept || substr(h, CAST(2 * tail + 1 AS INTEGER)) END)) AS kept_sha256
+FROM p LEFT JOIN c ON p.doc_id = c.doc_id""")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffixdedup import without_repeats
+
+    rows, c = without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return rows.select("doc_id", size.alias("n_bytes"), (size - F.octet_length(c["kept"])).alias("n_removed"),
+                       F.greatest(F.coalesce(F.size(c["starts"]), F.lit(0)), F.lit(0)).cast("bigint").alias("n_spans"),
+                       F.sha2(c["kept"], 256).alias("kept_sha256"))
+
+
 @query("op8_fingerprint")
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import as_text, fingerprints, likeness
