@@ -59,6 +59,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col(c["p_toxic"]) >= 0.5).cast("int").alias("toxic"))
 
 
+@query("op4_ngram_jaccard", r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 90 * (u.n + v.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS z FROM documents UNION SELECT l.y, r.z FROM r JOIN l ON l.x = r.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(z) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n""")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.setjoin import near_classes
+
+    rows = near_classes(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import score_quality, train
