@@ -76,6 +76,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed and mean conditional log-probability of every document's tokens."""
+    from tessera.llm.pseudolm import score, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows, c = score(docs, train(docs))
+    return rows.select("doc_id", F.col(c["n_tokens"]).alias("n_tokens"), F.col(c["log_prob"]).alias("log_prob"), F.col(c["mean"]).alias("mean_log_prob"))
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import score_quality, train
