@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, prepare, stored, text_buffer
+from tessera.llm.common import WORD, mix64, prepare, stored, temp, text_buffer
 from tessera.llm.shingles import shingle_sets
 from tessera.llm.suffixdedup import _runs, _split, _unsigned_mod
 
@@ -385,7 +385,8 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, id (hash of id and text), n (set size), component (smallest doc_id of the class) of every row."""
+    """doc_id, id (hash of id and text), n (set size), component (smallest doc_id of the class) and keeper (the id of
+    the row that has it) of every row."""
     spark = docs.sparkSession
     prepare(spark)
     sets = stored(sets_of(docs, k, id_col, text_col), "sets")
@@ -423,6 +424,23 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
         links = links.union(grid.groupBy("leader", "i", "j").applyInArrow(lambda t: _meet_chunks(t, num, den), "a bigint, b bigint"))
     labels = components(links).withColumnRenamed("node", "key")
     named = sets.join(labels, "key", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("label", "key")).otherwise(F.col("id")))
-    smallest = named.groupBy("class", F.col("n") > 0).agg(F.min("doc_id").alias("component")).withColumnsRenamed({"(n > 0)": "some"})
-    joined = named.withColumn("some", F.col("n") > 0).join(smallest, ["class", "some"])
-    return joined.select("doc_id", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
+    smallest = named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component"), F.min_by("id", order).alias("keeper"))
+    joined = named.join(smallest, "class", "left")
+    return joined.select("doc_id", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
+                         F.when(F.col("n") > 0, F.col("keeper")).otherwise(F.col("id")).alias("keeper"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without those that link, directly or not, to a row of smaller id; of repeated rows one stays.
+
+    Documents without words link with nothing and all stay.
+    """
+    classes = stored(near_classes(docs, k, num, den, id_col, text_col), "classes")
+    own = temp("id")
+    kept = classes.filter(F.col("id") == F.col("keeper")).select(F.col("id").alias(own)).distinct()
+    rows = docs.withColumn(own, _id(id_col, text_col)).join(kept, own, "left_semi")
+    if classes.filter("n > 0").groupBy("id").count().filter("count > 1").limit(1).count():
+        empty = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)) == 0
+        rows = rows.filter(~empty).dropDuplicates([own]).unionByName(rows.filter(empty))
+    return rows.drop(own)
