@@ -96,10 +96,14 @@ COUNTED_ROWS = "bucket bigint, shared boolean, elements binary, keys binary, cou
 def _element_rows(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per batch and bucket the elements of the sets; what many sets of the batch share is sent once and marked."""
     for batch in batches:
-        elements, keys = [], []
+        elements, keys, seen = [], [], np.zeros(0, np.uint64)
         for _, _, starts, e, key in _text_sets(batch.column(0), k):
-            elements.append(e)
-            keys.append(np.repeat(key, np.diff(starts)))
+            new = np.zeros(len(key), bool)  # copies of one set are one set
+            new[np.unique(key, return_index=True)[1]] = True
+            new &= ~np.isin(key, seen)
+            seen = np.concatenate([seen, key[new]])
+            elements.append(e[np.repeat(new, np.diff(starts))])
+            keys.append(np.repeat(key[new], np.diff(starts)[new]))
         out: dict[str, list] = {c: [] for c in _COUNTED.names}
         if elements:
             e, key = np.concatenate(elements), np.concatenate(keys)
@@ -262,8 +266,9 @@ class _Members:
     def lists(self, elements: np.ndarray) -> list[np.ndarray]:
         """Members that hold each of the elements."""
         at = np.searchsorted(self.tokens, elements)
-        at = at[(at < len(self.tokens))]
-        hit = at[np.isin(self.tokens[at], elements)] if len(at) else at
+        inside = at < len(self.tokens)
+        at, elements = at[inside], elements[inside]
+        hit = at[self.tokens[at] == elements]
         return [self.holders[self.begin[i]:self.begin[i + 1]] for i in hit]
 
     def answers(self, element_diff: np.ndarray, size: int) -> np.ndarray:
