@@ -78,8 +78,8 @@ def with_next(rows: DataFrame, key: str, *cols: str, range_docs: int = RANGE_DOC
     edges = sorted(set(marks))
     bounds = F.array(*[F.lit(x).cast("bigint") for x in edges])
     slot = F.greatest(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(1))
-    low, high = F.get(bounds, F.col("__q") - 1), F.coalesce(F.get(bounds, F.col("__q")), F.lit(edges[-1]).cast("bigint") + 1)
-    inner = F.floor((F.col(key) - low).cast("double") * sub / F.greatest((high - low).cast("double"), F.lit(1.0)))
+    low, high = F.get(bounds, F.col("__q") - 1).cast("double"), F.coalesce(F.get(bounds, F.col("__q")).cast("double"), F.lit(float(edges[-1]) + 1))
+    inner = F.floor((F.col(key).cast("double") - low) * sub / F.greatest(high - low, F.lit(1.0)))
     dealt = rows.withColumn("__q", slot).withColumn("__range", F.col("__q").cast("bigint") * sub + F.greatest(F.least(inner, F.lit(sub - 1)), F.lit(0))).drop("__q")
     firsts = stored(dealt.groupBy("__range").agg(F.min(key).alias("__first")), "firsts")
     one = Window.orderBy("__range")  # one row per range, at most MAX_RANGES of them
