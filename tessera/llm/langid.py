@@ -38,25 +38,26 @@ def profiles(texts: list[str]) -> np.ndarray:
     """One unit-length row of ``DIM`` features for each text, read whole, piece by piece."""
     pieces: list[tuple[int, bytes]] = []
     for i, t in enumerate(texts):
-        raw = t.lower().encode("utf-8", "replace")
-        pieces += [(i, raw[max(0, a - 2):a + CHUNK]) for a in range(0, max(len(raw), 1), CHUNK)]
+        raw = t.lower().encode("utf-8", "replace") + b"  "
+        pieces += [(i, raw[a:a + CHUNK + 2]) for a in range(0, max(len(raw) - 2, 1), CHUNK)]
     out = np.zeros((len(texts), DIM), np.float32)
     at = 0
     while at < len(pieces):
         stop, size = at, 0
         while stop < len(pieces) and (size < CHUNK or stop == at):
-            size += len(pieces[stop][1]) + 2
+            size += len(pieces[stop][1])
             stop += 1
         part = pieces[at:stop]
-        raw = _BLANK[np.frombuffer(b"  ".join(p for _, p in part) + b"  ", np.uint8)]
-        first = part[0][0]
-        row = np.repeat(np.array([i for i, _ in part]) - first, [len(p) + 2 for _, p in part])
-        a, b, c = raw[:-2].astype(np.uint32), raw[1:-1].astype(np.uint32), raw[2:].astype(np.uint32)
-        n = part[-1][0] - first + 1
-        base = row[:-2].astype(np.int64) * DIM
+        raw = _BLANK[np.frombuffer(b"".join(p for _, p in part), np.uint8)]
+        first, n = part[0][0], part[-1][0] - part[0][0] + 1
+        length = np.array([len(p) for _, p in part])
+        own = np.ones(len(raw), bool)  # a gram belongs to the piece where it starts: a piece's last two bytes start none
+        own[np.cumsum(length) - 1] = own[np.cumsum(length) - 2] = False
+        own = own[:-2]
+        base = (np.repeat(np.array([i for i, _ in part]) - first, length)[:-2] * DIM)[own]
+        a, b, c = (x.astype(np.uint32)[own] for x in (raw[:-2], raw[1:-1], raw[2:]))
         for code in ((a << 8 | b) * np.uint32(2654435761), (a << 16 | b << 8 | c) * np.uint32(2246822519)):
-            found = np.bincount(base + (code >> np.uint32(20)), minlength=n * DIM).reshape(n, DIM)
-            out[first:first + n] += found
+            out[first:first + n] += np.bincount(base + (code >> np.uint32(20)), minlength=n * DIM).reshape(n, DIM)
         at = stop
     out = np.sqrt(out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
