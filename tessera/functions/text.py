@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 WS = "[\\t\\n\\x0B\\f\\r ]"          # whitespace class
 NOT_WORD = "[^A-Za-z0-9_]"           # complement of an ASCII word character
+# The words and characters that the tests below look for, in the order in which layouts break lines.
 SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN")
 LAYOUT_KEYWORDS = ("SELECT", "FROM", "WHERE", "GROUP BY", "ORDER BY", "HAVING")
 CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
@@ -54,21 +55,19 @@ def normalize_spaces(c) -> Column:
 def capitalize_sentences(c) -> Column:
     """Upper-case a-z at the start of the text or after '.' + whitespace.
 
-    One pass: split at every position preceded by '.' and whitespace
-    (zero-width lookbehind), upper-case a leading a-z of each piece, rejoin.
+    One pass: split at the full stops, upper-case the letter that follows each piece's leading whitespace (the first
+    piece: its first letter), rejoin. The whitespace may be of any length.
     """
-    pieces = F.split(_c(c), f"(?<=\\.{WS}{{1,1000}})")
-    fixed = F.transform(pieces, lambda p: F.when(
-        p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p))
-    return F.array_join(fixed, "")
+    def fixed(p: Column, i: Column) -> Column:
+        lead = F.length(F.regexp_extract(p, f"^({WS}*)[a-z]", 1))
+        raised = F.concat(F.substr(p, F.lit(1), lead), F.upper(F.substr(p, lead + 1, F.lit(1))), F.substr(p, lead + 2))
+        return F.when(F.when(i == 0, p.rlike("^[a-z]")).otherwise(p.rlike(f"^{WS}+[a-z]")), raised).otherwise(p)
+    return F.array_join(F.transform(F.split(_c(c), "\\."), fixed), ".")
 
 
 def format_as_sql(c) -> Column:
     """Collapse whitespace, one space after commas, spaces around '='."""
-    x = F.regexp_replace(_c(c), f"{WS}+", " ")
-    x = F.regexp_replace(x, f"{WS}*(,){WS}*", "$1 ")
-    x = F.regexp_replace(x, f"{WS}*(=){WS}*", " $1 ")
-    return F.trim(x)
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize_spaces(c), " ?, ?", ", "), " ?= ?", " = "))
 
 
 def word_count(c) -> Column:

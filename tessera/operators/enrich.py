@@ -31,30 +31,23 @@ def fk_lines(fks: Column) -> Column:
 def table_prompt() -> Column:
     """C2 over catalog_tables columns (name, row_count, columns, primary_keys, foreign_keys)."""
     return F.concat(
-        F.lit("Describe what the rows of this table mean in business terms.\n\nTable: "), F.col("name"),
-        F.lit("\nRows: "), F.col("row_count").cast("string"),
-        F.lit("\nColumns: "), F.array_join("columns", ", "),
-        F.lit("\nPrimary Keys: "), F.array_join("primary_keys", ", "),
-        F.lit("\nForeign Keys:\n"), fk_lines(F.col("foreign_keys")),
-        F.lit("\n\nWrite one or two plain sentences and state only what the metadata shows."))
-
-
-def _yes_no(c: Column) -> Column:
-    return F.when(c, F.lit("Yes")).otherwise(F.lit("No"))
+        F.lit("[table] "), F.col("name"), F.lit(" ("), F.col("row_count").cast("string"), F.lit(" rows)\n[references]\n"),
+        fk_lines(F.col("foreign_keys")),
+        F.lit("\n[key] "), F.array_join("primary_keys", ", "), F.lit("\n[fields] "), F.array_join("columns", ", "),
+        F.lit("\n\nTask: in at most two sentences, say what one row stands for. Use the facts above and nothing else."))
 
 
 def column_prompt(sample_n: int = 10) -> Column:
     """C3 over catalog_columns columns; the first ``sample_n`` distinct values when there are any."""
     samples = F.slice(F.coalesce(F.col("distinct_values"), F.array().cast("array<string>")), 1, sample_n)
+    marks = F.array_join(F.array_compact(F.array(
+        F.when(F.col("is_foreign_key"), "references another table"), F.when(F.col("is_primary_key"), "part of the key"),
+        F.when(F.col("nullable"), "may be missing"))), "; ")
     return F.concat(
-        F.lit("Describe in one short sentence what this database column holds.\n- Table: "), F.col("table"),
-        F.lit("\n- Column: "), F.col("name"), F.lit("\n- Type: "), F.col("data_type"),
-        F.lit("\n- Nullable: "), _yes_no(F.col("nullable")),
-        F.lit("\n- Primary Key: "), _yes_no(F.col("is_primary_key")),
-        F.lit("\n- Foreign Key: "), _yes_no(F.col("is_foreign_key")),
-        F.when(F.size(samples) > 0, F.concat(F.lit("\n- Sample values: "), F.array_join(samples, ", ")))
-        .otherwise(F.lit("")),
-        F.lit("\nUse only the values shown."))
+        F.when(F.size(samples) > 0, F.concat(F.lit("[values] "), F.array_join(samples, " | "), F.lit("\n"))).otherwise(F.lit("")),
+        F.lit("[field] "), F.col("table"), F.lit("."), F.col("name"), F.lit(" : "), F.col("data_type"),
+        F.lit("\n[marks] "), marks,
+        F.lit("\n\nTask: one short sentence on what this field holds. Use the facts above and nothing else."))
 
 
 def simple_keywords(text: Column, n: int = 5) -> Column:

@@ -1,69 +1,72 @@
-"""Answer parsing (E13-E16) and prompt templating (E11) against Python statements of the rules."""
+"""Answer parsing (E13-E16), guarded execution (E17, E18) and prompt templating."""
 
-import json
-import re
 import string
 
 from pyspark.sql import functions as F
 
 from tessera.operators import answer as A
 
-WS = "\t\n\x0b\f\r "
-
-
-def py_extract(text):
-    """The parsing rules of the answer processor, in plain Python (ASCII whitespace)."""
-    if not text:
-        return None, None
-    try:
-        c = text.strip(WS)
-        if "```json" in c:
-            c = c.split("```json")[1].split("```")[0].strip(WS)
-        elif "```" in c:
-            c = c.split("```")[1].split("```")[0].strip(WS)
-        obj = json.loads(c)
-        if isinstance(obj, dict) and obj.get("query"):
-            return obj.get("query"), obj.get("explanation")
-    except (json.JSONDecodeError, IndexError):
-        pass
-    ws = "[\\t\\n\\x0b\\f\\r ]"
-    m = (re.search(f"```sql{ws}*([\\s\\S]*?){ws}*```", text, re.I) or re.search(f"```{ws}*([\\s\\S]*?){ws}*```", text)
-         or re.search(r"(?:SELECT|INSERT|UPDATE|DELETE)[\s\S]*?;", text, re.I))
-    if not m:
-        return None, None
-    sql = m.group(1).strip(WS) if m.groups() else None
-    if not sql:
-        sql = m.group(0).strip(WS)
-    exp = text[:m.start()].strip(WS) or None
-    return sql, exp
-
-
+# answer text -> (query, explanation), written out by hand
 CASES = [
-    '{"query": "SELECT 1", "explanation": "e"}',
-    'Sure:\n```json\n{"query": "SELECT 2", "explanation": "two"}\n```\nbye',
-    '```\n{"query": "SELECT 3"}\n```',
-    "[1]", '"s"', "5",
-    '{"query":"a"} x',
-    '{"explanation":"e"}', '{"query": ""}',
-    "Here it is: ```sql\nSELECT * FROM t\n``` done",
-    "Try select a\nfrom b; ok",
-    "select 1",
-    "", None,
-    "DELETE FROM t;",
+    ('{"query": "SELECT 1", "explanation": "e"}', ("SELECT 1", "e")),
+    ('Sure:\n```json\n{"query": "SELECT 2", "explanation": "two"}\n```\nbye', ("SELECT 2", "two")),
+    ('```\n{"query": "SELECT 3"}\n```', ("SELECT 3", None)),
+    ("[1]", (None, None)), ('"s"', (None, None)), ("5", (None, None)),
+    ('{"query":"a"} x', (None, None)),
+    ('{"explanation":"e"}', (None, None)), ('{"query": ""}', (None, None)),
+    ("Here it is: ```sql\nSELECT * FROM t\n``` done", ("SELECT * FROM t", "Here it is:")),
+    ("Try select a\nfrom b; ok", ("select a\nfrom b;", "Try")),
+    ("select 1", (None, None)),
+    ("", (None, None)), (None, (None, None)),
+    ("DELETE FROM t;", ("DELETE FROM t;", None)),
 ]
 
 
-def test_parse_matches_rules(spark):
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(CASES)], "i int, llm_response string")
+def test_parse_gives_the_expected_parts(spark):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CASES)], "i int, llm_response string")
     got = {r["i"]: (r["sql_query"], r["explanation"]) for r in A.parse_answer(df).collect()}
-    for i, c in enumerate(CASES):
-        assert got[i] == py_extract(c), (i, c)
-
-
-def test_read_only_guard(spark):
-    df = spark.createDataFrame([("SELECT 1",), ("with a as (select 1) select * from a;",), ("DELETE FROM t;",),
-                                ("SELECT 1; DROP TABLE x",), ("json\nSELECT 1",)], "q string")
-    assert [r[0] for r in df.select(A.is_read_only(F.col("q"))).collect()] == [True, True, False, False, False]
+    for i, (text, want) in enumerate(CASES):
+        assert got[i] == want, text
+
+
+def test_read_only_guard(spark, tmp_path):
+    reads = ["SELECT 1", "with a as (select 1) select * from a;", "SELECT*FROM t", "SELECT ';' AS x", "(SELECT 1)", "-- a note\nSELECT 1", "VALUES (1)",
+             "SELECT * FROM t WHERE x IN (SELECT y FROM u)", "FROM t SELECT a"]
+    target = tmp_path / "out"
+    writes = ["DELETE FROM t;", "SELECT 1; DROP TABLE x", "json\nSELECT 1", "", "SET a = 1", "CREATE TABLE t AS SELECT 1", "FROM a INSERT INTO t SELECT 1 INSERT INTO u SELECT 2",
+              f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT * FROM a", "EXPLAIN SELECT 1",
+              "SELECT TRANSFORM (a) USING 'cat' FROM t", "SELECT java_method('java.lang.System', 'exit', 0)"]
+    assert [s for s in reads if not A.is_read_only(spark, s)] == []
+    assert [s for s in writes if A.is_read_only(spark, s)] == []
+    assert not target.exists()
+
+
+def test_each_statement_runs_alone(spark, tmp_path):
+    target = tmp_path / "out"
+    spark.range(25).createOrReplaceTempView("numbers")
+    statements = ["SELECT id FROM numbers ORDER BY id DESC", "SELECT CAST('x' AS INT) AS y", "SELECT nothing FROM numbers", "SELECT 1 AS a, 2 AS a, null AS b",
+                  f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT * FROM a", None, "SELECT id FROM numbers WHERE id < 0"]
+    df = spark.createDataFrame([(i, s, s) for i, s in enumerate(statements)], "i int, sql_query string, llm_response string").withColumn("explanation", F.lit("e"))
+    rows = {r["i"]: r for r in A.assemble_response(A.execute_distinct(spark, df)).collect()}
+    assert [rows[i]["success"] for i in range(7)] == [True, False, False, True, False, False, True]
+    assert rows[0]["row_count"] == 25 and rows[0]["preview"][0] == '{"id":24}' and len(rows[0]["preview"]) == 10
+    assert [r["id"] for r in A.full_result(spark, rows[0]["result_path"]).collect()] == list(range(24, -1, -1))
+    assert rows[1]["error"] == rows[2]["error"] == A.ERR_EXEC and rows[4]["error"] == A.ERR_READ_ONLY and not target.exists()
+    assert rows[3]["row_count"] == 1 and rows[6]["row_count"] == 0 and rows[6]["preview"] == []
+
+
+def test_failed_stage_gives_failed_responses(spark):
+    def broken(_df):
+        raise RuntimeError("no model")
+
+    out = A.run_recipe(spark.createDataFrame([(1, "q")], "question_id int, original_query string"), (A.understand, broken), strict=False).collect()
+    assert [(r["question_id"], r["success"], r["error"]) for r in out] == [(1, False, "RuntimeError: no model")]
+
+
+def test_lenient_json_keeps_objects_without_a_query(spark):
+    df = spark.createDataFrame([('{"explanation": "why"}',), ('{"query": "SELECT 1"}',), ("nothing",), (None,)], "c string")
+    got = [tuple(r["r"]) for r in df.select(A.lenient_json(F.col("c")).alias("r")).collect()]
+    assert got == [("", "why"), ("SELECT 1", None), ("", "Error during JSON parsing"), ("", "Error during JSON parsing")]
 
 
 def test_template_equals_safe_substitute(spark):
