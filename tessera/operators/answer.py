@@ -10,6 +10,7 @@ execution submits one Spark job per *distinct* generated statement.
 from __future__ import annotations
 
 import hashlib
+import re
 import string
 import time
 from collections.abc import Callable
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import WS, iso_timestamp, strip_ws
+from tessera.session import materialize
 
 # Context section headings, fallbacks and response messages.
 NO_CONTEXT = "No relevant schema information found."
@@ -153,7 +155,7 @@ CompletionFn = Callable[[list[str]], list[str | None]]
 
 def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
              attempts: int = 2, wait_s: tuple[float, float] = (4.0, 10.0)) -> DataFrame:
-    """Batch completion: de-duplicate prompts, call ``fn`` per Arrow batch, null on failure.
+    """Batch completion: de-duplicate prompts, call ``fn`` per Arrow batch, null for a prompt that fails on its own.
 
     The client lives inside ``fn`` (opened once per Python worker); retries
     with exponential wait happen inside the task so one flaky call does not
@@ -162,19 +164,24 @@ def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
     """
     prompts = df.select(F.col(prompt_col).alias("_prompt")).where(F.col("_prompt").isNotNull()).distinct()
 
+    def ask(texts):
+        for i in range(attempts):
+            try:
+                res = list(fn(texts))
+                if len(res) == len(texts):
+                    return res
+            except Exception:  # noqa: BLE001 - provider errors are data here
+                pass
+            if i + 1 < attempts:
+                time.sleep(min(wait_s[1], wait_s[0] * (2 ** i)))
+        return None
+
     def run(it):
         for pdf in it:
             texts = pdf["_prompt"].tolist()
-            res = None
-            for i in range(attempts):
-                try:
-                    res = list(fn(texts))
-                    break
-                except Exception:  # noqa: BLE001 - provider errors are data here
-                    if i + 1 < attempts:
-                        time.sleep(min(wait_s[1], wait_s[0] * (2 ** i)))
-            if res is None:
-                res = [None] * len(texts)
+            res = ask(texts)
+            if res is None:  # find the prompts that fail: the others keep their answers
+                res = [None] if len(texts) == 1 else [(ask([t]) or [None])[0] for t in texts]
             yield pd.DataFrame({"_prompt": texts, "_answer": res})
 
     answers = prompts.mapInPandas(run, "_prompt string, _answer string")
@@ -184,6 +191,7 @@ def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
 
 # ------------------------------------------------------------ E13-E16 ----
 
+# What counts as SQL in a model's answer (the first of these that is found).
 FENCE_SQL = f"(?i)```sql{WS}*([\\s\\S]*?){WS}*```"
 FENCE_ANY = f"```{WS}*([\\s\\S]*?){WS}*```"
 BARE_SQL = "(?i)(?:SELECT|INSERT|UPDATE|DELETE)[\\s\\S]*?;"
@@ -198,8 +206,8 @@ def strip_fence(c: Column) -> Column:
             .otherwise(t))
 
 
-def parse_json_answer(c: Column) -> tuple[Column, Column, Column]:
-    """Strict JSON object gate -> (ok, query, explanation).
+def _json_object(c: Column) -> tuple[Column, Column, Column]:
+    """(whether the text is one JSON object, query, explanation).
 
     The text is wrapped in ``[...]``: it is one JSON object exactly when the
     wrapper parses, its element 0 is an OBJECT and there is no element 1.
@@ -210,8 +218,13 @@ def parse_json_answer(c: Column) -> tuple[Column, Column, Column]:
     single = F.try_variant_get(w, "$[1]", "variant").isNull()
     q = F.try_variant_get(w, "$[0].query", "string")
     e = F.try_variant_get(w, "$[0].explanation", "string")
-    ok = is_obj & single & F.coalesce(q != "", F.lit(False))
-    return ok, q, e
+    return is_obj & single, q, e
+
+
+def parse_json_answer(c: Column) -> tuple[Column, Column, Column]:
+    """Strict JSON object gate -> (ok, query, explanation)."""
+    is_object, q, e = _json_object(c)
+    return is_object & F.coalesce(q != "", F.lit(False)), q, e
 
 
 def _regex_sql(c: Column) -> tuple[Column, Column]:
@@ -244,59 +257,87 @@ def parse_answer(df: DataFrame, answer_col: str = "llm_response") -> DataFrame:
 
 
 def lenient_json(c: Column) -> Column:
-    """Fence strip + parse; on error an object with an empty query and an error explanation."""
-    ok, q, e = parse_json_answer(c)
-    return F.when(ok, F.struct(q.alias("query"), e.alias("explanation"))).otherwise(
+    """Fence strip + parse; any JSON object is returned, with an empty query where it has none; text that is no
+    object gives an empty query and an error explanation."""
+    is_object, q, e = _json_object(c)
+    return F.when(is_object, F.struct(F.coalesce(q, F.lit("")).alias("query"), e.alias("explanation"))).otherwise(
         F.struct(F.lit("").alias("query"), F.lit("Error during JSON parsing").alias("explanation")))
 
 
 # ------------------------------------------------------------ E17-E21 ----
 
-READ_ONLY = f"(?is)^{WS}*(SELECT|WITH){WS}[^;]*;?{WS}*$"
-
-
-def is_read_only(c: Column) -> Column:
-    """8.13 guard: one SELECT / WITH statement, no second statement."""
-    return F.coalesce(c.rlike(READ_ONLY), F.lit(False))
+# plan nodes that write or run something when a statement is executed, and functions that call arbitrary code
+WRITING_NODES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+WRITING_NAMES = ("InsertInto", "ScriptTransformation")
+CALLING = re.compile(r"\b(try_reflect|reflect|java_method)\s*\(", re.I)
 
 
-def _stmt_id(sql: str) -> str:
-    return hashlib.sha1(sql.encode()).hexdigest()
+def is_read_only(spark: SparkSession, sql: str) -> bool:
+    """8.13 guard: the statement is parsed, not run; no node of its plan may be a command, an insert or a script.
 
-
-def execute_distinct(spark: SparkSession, df: DataFrame, sql_col: str = "sql_query",
-                     preview_rows: int = 10) -> DataFrame:
-    """Run each distinct read-only statement once; preview = first n rows as JSON.
-
-    The driver only sees the distinct statement texts (bounded by the batch
-    of questions); every statement is a distributed Spark job whose full
-    result stays a DataFrame. Previews of all statements are one unioned job.
+    ``spark.sql`` runs commands at once, so nothing that fails here may reach it. Text that does not parse is not read-only.
     """
-    stmts = [r[0] for r in df.where(is_read_only(F.col(sql_col))).select(sql_col).distinct().collect()]
-    ok_frames, failed = [], []
-    for s in stmts:
-        try:
-            res = spark.sql(s.rstrip().rstrip(";"))
-        except Exception:  # AnalysisException / ParseException: recorded, row continues
-            failed.append(s)
+    if CALLING.search(sql):
+        return False
+    jvm = spark._jvm
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except Exception:  # noqa: BLE001 - not a statement
+        return False
+    kinds = [jvm.java.lang.Class.forName(k, False, jvm.java.lang.Thread.currentThread().getContextClassLoader()) for k in WRITING_NODES]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if any(k.isInstance(node) for k in kinds) or name.startswith(WRITING_NAMES):
+            return False
+        for below in (node.children(), node.innerChildren()):
+            todo += [below.apply(i) for i in range(below.size())]
+        found = node.subqueries()
+        todo += [found.apply(i) for i in range(found.size())]
+    return True
+
+
+def _rows_of(spark: SparkSession, sql: str, name: str) -> DataFrame:
+    """Run one statement and keep its full result, with row positions, as a table in the shared folder."""
+    res = spark.sql(sql)
+    seen: dict[str, int] = {}
+    names = []
+    for c in res.columns:  # a result may name two columns alike
+        seen[c] = seen.get(c, 0) + 1
+        names.append(c if seen[c] == 1 else f"{c}_{seen[c]}")
+    res = res.toDF(*names)
+    res = res.select(*[F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in res.schema.fields],
+                     F.monotonically_increasing_id().alias("_position"))
+    return materialize(res, name)
+
+
+def full_result(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of an executed statement, in its order."""
+    return spark.read.parquet(path).orderBy("_position").drop("_position")
+
+
+def execute_distinct(spark: SparkSession, df: DataFrame, sql_col: str = "sql_query", preview_rows: int = 10) -> DataFrame:
+    """Run each distinct read-only statement once, as a job of its own, so that one that fails leaves the others alone.
+
+    Adds ``refused`` (not read-only), ``executed``, ``row_count`` and ``result_path`` of the full result (see ``full_result``)
+    and ``preview``, its first rows as JSON. The driver sees the statements one by one (SQL text is parsed there) and
+    a few preview rows each; results stay in the shared folder.
+    """
+    schema = "_stmt string, refused boolean, executed boolean, row_count bigint, result_path string, preview array<string>"
+    done = []
+    for row in df.select(sql_col).where(F.col(sql_col).isNotNull() & (F.col(sql_col) != "")).distinct().toLocalIterator():
+        sql = row[0]
+        if not is_read_only(spark, sql):
+            done.append((sql, True, False, None, None, None))
             continue
-        prev = (res.limit(preview_rows).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns]))
-                                               .alias("j"))
-                .withColumn("i", F.monotonically_increasing_id()))
-        ok_frames.append(prev.select(F.lit(s).alias("_stmt"), "i", "j"))
-    schema = "_stmt string, executed boolean, preview array<string>"
-    outs = []
-    if ok_frames:
-        u = reduce(lambda a, b: a.unionByName(b), ok_frames)
-        agg = (u.groupBy("_stmt").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p"))
-               .select("_stmt", F.lit(True).alias("executed"), F.transform("p", lambda x: x["j"]).alias("preview")))
-        ran = spark.createDataFrame([(s,) for s in stmts if s not in failed], "_stmt string")
-        outs.append(ran.join(agg, "_stmt", "left").select(
-            "_stmt", F.lit(True).alias("executed"),
-            F.coalesce("preview", F.array().cast("array<string>")).alias("preview")))
-    if failed:
-        outs.append(spark.createDataFrame([(s, False, None) for s in failed], schema))
-    status = reduce(lambda a, b: a.unionByName(b), outs) if outs else spark.createDataFrame([], schema)
+        try:
+            res = _rows_of(spark, sql, f"result-{hashlib.sha1(sql.encode()).hexdigest()[:12]}")
+            columns = [F.col(f"`{c}`") for c in res.columns if c != "_position"]
+            first = [r[0] for r in res.orderBy("_position").limit(preview_rows).select(F.to_json(F.struct(*columns))).collect()]
+            done.append((sql, False, True, res.count(), res.inputFiles()[0].rpartition("/")[0], first))
+        except Exception:  # noqa: BLE001 - analysis and run-time errors are this statement's alone
+            done.append((sql, False, False, None, None, None))
+    status = spark.createDataFrame(done, schema)
     return df.join(status, df[sql_col] == status["_stmt"], "left").drop("_stmt")
 
 
@@ -305,7 +346,7 @@ def assemble_response(df: DataFrame, execute: bool = True) -> DataFrame:
     resp = F.col("llm_response")
     no_resp = resp.isNull() | (resp == "")
     no_sql = F.col("sql_query").isNull() | (F.col("sql_query") == "")
-    guarded = ~is_read_only(F.col("sql_query"))
+    guarded = F.coalesce(F.col("refused"), F.lit(False)) if execute else F.lit(False)
     executed = F.coalesce(F.col("executed"), F.lit(False)) if execute else F.lit(True)
     error = (F.when(no_resp, F.lit(ERR_NO_RESPONSE)).when(no_sql, F.lit(ERR_NO_SQL))
              .when(F.lit(not execute), F.lit(None))
@@ -358,6 +399,14 @@ def stage_metadata(**entries: Column) -> Column:
     return F.create_map(*kv)
 
 
-def run_recipe(questions: DataFrame, stages: tuple[Callable[[DataFrame], DataFrame], ...]) -> DataFrame:
-    """Stages applied in order (``DataFrame.transform`` chain)."""
-    return reduce(lambda d, s: d.transform(s), stages, questions)
+def run_recipe(questions: DataFrame, stages: tuple[Callable[[DataFrame], DataFrame], ...], strict: bool = True) -> DataFrame:
+    """Stages applied in order (``DataFrame.transform`` chain).
+
+    Not ``strict``: a stage that raises gives failed responses for all questions (success false, the stage's error).
+    """
+    try:
+        return reduce(lambda d, s: d.transform(s), stages, questions)
+    except Exception as exc:
+        if strict:
+            raise
+        return questions.select("*", F.lit(False).alias("success"), F.lit(f"{type(exc).__name__}: {str(exc).splitlines()[0]}").alias("error"))

@@ -246,11 +246,13 @@ def centroids(docs: DataFrame, group: str, vec: str = "vector") -> DataFrame:
 # ------------------------------------------------------------ D7-D16 ------
 
 def upsert(index: DataFrame, batch: DataFrame, key: str = "id", order_col: str | None = None) -> DataFrame:
-    """Insert or replace by id. Duplicate ids inside a batch: the last by ``order_col`` wins."""
-    if order_col:
-        w = Window.partitionBy(key).orderBy(F.desc(order_col))
-        batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", order_col)
-    batch = batch.select(*index.columns)
+    """Insert or replace by id, one row per id.
+
+    Of equal ids in a batch the last by ``order_col`` wins, without one (and among ties) the largest row.
+    """
+    row = F.struct(*index.columns)
+    best = F.max_by(row, F.struct(F.col(order_col), row)) if order_col else F.max(row)
+    batch = batch.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*").select(*index.columns)
     return index.join(batch.select(key), key, "left_anti").unionByName(batch)
 
 

@@ -259,8 +259,8 @@ def parse_answer(spark, sf):
 
 
 @query("parse_fallback", ids="E24", oracle=PARSE_SQL + """
-SELECT conv_id, turn, shape, CASE WHEN ok THEN jquery ELSE '' END AS query,
-  CASE WHEN ok THEN jexpl ELSE 'Error during JSON parsing' END AS explanation
+SELECT conv_id, turn, shape, CASE WHEN is_obj THEN coalesce(jquery, '') ELSE '' END AS query,
+  CASE WHEN is_obj THEN jexpl ELSE 'Error during JSON parsing' END AS explanation
 FROM parsed""")
 def parse_fallback(spark, sf):
     a = synthesized_answers(spark, sf)
@@ -273,7 +273,7 @@ def parse_fallback(spark, sf):
 def _type_statements(spark, sf):
     ev = read_table(spark, sf, "events").select("event_type").distinct()
     sql = F.concat(F.lit("SELECT user_id, count(*) AS n FROM events WHERE event_type = '"), F.col("event_type"),
-                   F.lit("' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"))
+                   F.lit("' GROUP BY user_id ORDER BY n DESC, user_id"))
     return ev.select("event_type", sql.alias("sql_query"))
 
 
@@ -281,15 +281,16 @@ PREVIEW_SQL = """
 r AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS i FROM r),
 pv AS (SELECT event_type, string_agg('{"user_id":' || user_id || ',"n":' || n || '}', chr(10) ORDER BY i) AS preview
-       FROM rk WHERE i <= 10 GROUP BY event_type)"""
+       FROM rk WHERE i <= 10 GROUP BY event_type),
+rc AS (SELECT event_type, count(*) AS row_count FROM r GROUP BY event_type)"""
 
 
-@query("execute_preview", ids="A6 E17 E18 E25", oracle="WITH" + PREVIEW_SQL + """
-SELECT event_type, true AS executed, preview FROM pv""")
+@query("execute_preview", ids="A6 E17 E18", oracle="WITH" + PREVIEW_SQL + """
+SELECT event_type, true AS executed, row_count, preview FROM pv JOIN rc USING (event_type)""")
 def execute_preview(spark, sf):
     register_views(spark, sf, ["events"])
     ex = A.execute_distinct(spark, _type_statements(spark, sf))
-    return ex.select("event_type", "executed", F.array_join("preview", "\n").alias("preview"))
+    return ex.select("event_type", "executed", "row_count", F.array_join("preview", "\n").alias("preview"))
 
 
 @query("sanitize_rows", ids="E20 I12", oracle="""
@@ -319,6 +320,11 @@ def _response_answers(spark, sf):
         F.struct(F.lit("bad_column").alias("shape"),
                  F.concat(F.lit("```sql\nSELECT no_such_column FROM events WHERE event_type = '"), t,
                           F.lit("'\n```")).alias("a")),
+        F.struct(F.lit("runtime_error").alias("shape"),
+                 F.concat(F.lit("```sql\nSELECT CAST(event_type AS INT) AS x FROM events WHERE event_type = '"), t, F.lit("'\n```")).alias("a")),
+        F.struct(F.lit("cte_insert").alias("shape"),
+                 F.concat(F.lit("```sql\nWITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '/no/such/place' USING parquet SELECT x, '"), t,
+                          F.lit("' FROM a\n```")).alias("a")),
         F.struct(F.lit("empty").alias("shape"), F.lit(None).cast("string").alias("a")),
     )
     return st.select("event_type", F.explode(shapes).alias("s")).select(
@@ -327,15 +333,20 @@ def _response_answers(spark, sf):
 
 @query("response_assembly", ids="E19 E21 H7", oracle="WITH" + PREVIEW_SQL + """,
 t AS (SELECT DISTINCT event_type FROM events),
-s(shape) AS (VALUES ('json'), ('sql_fence'), ('dml'), ('prose'), ('bad_column'), ('empty'))
+s(shape) AS (VALUES ('json'), ('sql_fence'), ('dml'), ('prose'), ('bad_column'), ('runtime_error'), ('cte_insert'), ('empty'))
 SELECT t.event_type, s.shape,
   s.shape IN ('json', 'sql_fence') AS success,
   CASE s.shape WHEN 'empty' THEN 'No response received from the language model'
                WHEN 'prose' THEN 'Could not extract a valid SQL query from the response'
                WHEN 'dml' THEN 'Refused: only a single read-only SELECT or WITH statement is executed'
+               WHEN 'cte_insert' THEN 'Refused: only a single read-only SELECT or WITH statement is executed'
+               WHEN 'runtime_error' THEN 'Failed to execute the SQL query'
                WHEN 'bad_column' THEN 'Failed to execute the SQL query' END AS error,
   CASE WHEN s.shape IN ('json', 'sql_fence') THEN 'SELECT user_id, count(*) AS n FROM events WHERE event_type = '''
-         || t.event_type || ''' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10'
+         || t.event_type || ''' GROUP BY user_id ORDER BY n DESC, user_id'
+       WHEN s.shape = 'runtime_error' THEN 'SELECT CAST(event_type AS INT) AS x FROM events WHERE event_type = ''' || t.event_type || ''''
+       WHEN s.shape = 'cte_insert' THEN 'WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY ''/no/such/place'' USING parquet SELECT x, '''
+         || t.event_type || ''' FROM a'
        WHEN s.shape = 'dml' THEN 'DELETE FROM events WHERE event_type = ''' || t.event_type || ''';'
        WHEN s.shape = 'bad_column' THEN 'SELECT no_such_column FROM events WHERE event_type = ''' || t.event_type || ''''
   END AS query,
@@ -343,10 +354,11 @@ SELECT t.event_type, s.shape,
                WHEN 'prose' THEN 'I cannot answer questions about ' || t.event_type
                WHEN 'empty' THEN NULL ELSE 'No explanation provided' END AS explanation,
   CASE WHEN s.shape IN ('json', 'sql_fence') THEN pv.preview END AS preview,
+  CASE WHEN s.shape IN ('json', 'sql_fence') THEN rc.row_count END AS row_count,
   s.shape NOT IN ('json', 'sql_fence') AS has_error,
   s.shape NOT IN ('prose', 'empty') AS has_query,
   s.shape IN ('json', 'sql_fence') AS has_results
-FROM t CROSS JOIN s LEFT JOIN pv ON pv.event_type = t.event_type""")
+FROM t CROSS JOIN s LEFT JOIN pv ON pv.event_type = t.event_type LEFT JOIN rc ON rc.event_type = t.event_type""")
 def response_assembly(spark, sf):
     from tessera.operators.chatlog import answer_flags
     register_views(spark, sf, ["events"])
@@ -355,11 +367,11 @@ def response_assembly(spark, sf):
     resp = A.assemble_response(ex)
     out = resp.select("event_type", "shape", "success", "error", "query",
                       F.col("response_explanation").alias("explanation"),
-                      F.col("response_preview").alias("preview"),
+                      F.col("response_preview").alias("preview"), "row_count",
                       F.lit(False).alias("from_vector_store"))
     flagged = answer_flags(out)
     return flagged.select("event_type", "shape", "success", "error", "query", "explanation",
-                          F.array_join("preview", "\n").alias("preview"), "has_error", "has_query", "has_results")
+                          F.array_join("preview", "\n").alias("preview"), "row_count", "has_error", "has_query", "has_results")
 
 
 @query("table_preview", ids="E27 I9", oracle="""

@@ -47,10 +47,9 @@ def importance_score(spark, sf):
 
 
 @query("table_prompt", ids="C2", oracle=TABLE_FACTS_SQL + """,
-p AS (SELECT name, 'Describe what the rows of this table mean in business terms.' || chr(10) || chr(10)
-        || 'Table: ' || name || chr(10) || 'Rows: ' || row_count || chr(10) || 'Columns: ' || columns || chr(10)
-        || 'Primary Keys: ' || pks || chr(10) || 'Foreign Keys:' || chr(10) || fk_lines || chr(10) || chr(10)
-        || 'Write one or two plain sentences and state only what the metadata shows.' AS prompt FROM facts)
+p AS (SELECT name, '[table] ' || name || ' (' || row_count || ' rows)' || chr(10) || '[references]' || chr(10) || fk_lines || chr(10)
+        || '[key] ' || pks || chr(10) || '[fields] ' || columns || chr(10) || chr(10)
+        || 'Task: in at most two sentences, say what one row stands for. Use the facts above and nothing else.' AS prompt FROM facts)
 SELECT name, md5(prompt) AS prompt_md5, length(prompt) AS prompt_len FROM p""")
 def table_prompt(spark, sf):
     _, _, _, t = base_tables(spark, sf)
@@ -64,19 +63,16 @@ def catalog_columns_full(spark, sf):
 
 
 @query("column_prompt", ids="C3 B3 B10", oracle=f"""
-WITH s AS ({SCHEMA_SQL}), c AS ({VERIFIED_SQL}), prof AS ({_profile_sql(TABLES, ', ')}),
+WITH s AS ({SCHEMA_SQL}), c AS ({VERIFIED_SQL}), prof AS ({_profile_sql(TABLES, ' | ')}),
 f AS (SELECT s.tbl, s.name, s.data_type, s.nullable,
   EXISTS (SELECT 1 FROM c WHERE c.tbl = s.tbl AND c.col = s.name AND c.kind = 'pk') AS pk,
   EXISTS (SELECT 1 FROM c WHERE c.tbl = s.tbl AND c.col = s.name AND c.kind = 'fk') AS fk,
   prof.distinct_values AS dv
   FROM s LEFT JOIN prof ON prof.table_name = s.tbl AND prof.column_name = s.name),
-p AS (SELECT tbl, name, 'Describe in one short sentence what this database column holds.' || chr(10)
-  || '- Table: ' || tbl || chr(10) || '- Column: ' || name || chr(10) || '- Type: ' || data_type || chr(10)
-  || '- Nullable: ' || CASE WHEN nullable THEN 'Yes' ELSE 'No' END || chr(10)
-  || '- Primary Key: ' || CASE WHEN pk THEN 'Yes' ELSE 'No' END || chr(10)
-  || '- Foreign Key: ' || CASE WHEN fk THEN 'Yes' ELSE 'No' END
-  || CASE WHEN dv IS NOT NULL THEN chr(10) || '- Sample values: ' || dv ELSE '' END
-  || chr(10) || 'Use only the values shown.' AS prompt FROM f)
+p AS (SELECT tbl, name, CASE WHEN dv IS NOT NULL THEN '[values] ' || dv || chr(10) ELSE '' END
+  || '[field] ' || tbl || '.' || name || ' : ' || data_type || chr(10) || '[marks] '
+  || concat_ws('; ', CASE WHEN fk THEN 'references another table' END, CASE WHEN pk THEN 'part of the key' END, CASE WHEN nullable THEN 'may be missing' END)
+  || chr(10) || chr(10) || 'Task: one short sentence on what this field holds. Use the facts above and nothing else.' AS prompt FROM f)
 SELECT tbl AS table_name, name AS column_name, md5(prompt) AS prompt_md5 FROM p""")
 def column_prompt(spark, sf):
     cols = catalog_columns_full(spark, sf)

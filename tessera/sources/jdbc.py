@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.sources.tables import register_views
 
 # JDBC URL shapes and driver classes of the supported databases.
+# Fixed value: the session mode of a MySQL source.
+MYSQL_SQL_MODE = "STRICT_TRANS_TABLES"
+
 DRIVERS = {
     "postgres": "org.postgresql.Driver",
     "mysql": "com.mysql.cj.jdbc.Driver",
@@ -81,9 +84,8 @@ def jdbc_options(cfg: SourceConfig, table: str, partition_column: str | None = N
         "pushDownLimit": "true",
     }
     if cfg.kind == "mysql":
-        # strict mode and UTC session zone, as the source's session settings
-        opts["sessionInitStatement"] = (
-            "SET SESSION sql_mode = 'STRICT_ALL_TABLES'; SET time_zone = '+00:00'")
+        # one statement with two assignments: the driver runs a single statement here
+        opts["sessionInitStatement"] = f"SET SESSION sql_mode = '{MYSQL_SQL_MODE}', time_zone = '+00:00'"
     if partition_column is not None and lower is not None and upper is not None:
         opts.update(partitionColumn=partition_column, lowerBound=str(lower),
                     upperBound=str(upper), numPartitions=str(num_partitions))

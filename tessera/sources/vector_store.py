@@ -1,8 +1,8 @@
 """The vector index as a versioned parquet table.
 
 Rows: id, type, vector array<float>, name, table, question, payload. Every
-write checks the dimension of all vectors with one aggregate before the
-version pointer moves.
+write checks the dimension of the arriving vectors before it starts. Files
+are partitioned by ``type``.
 """
 
 from __future__ import annotations
@@ -23,24 +23,25 @@ class VectorStore:
         self.state = VersionedState(spark, root)
 
     def read(self) -> DataFrame:
-        return self.state.read("index", INDEX_SCHEMA)
+        return self.state.read("index", INDEX_SCHEMA).select(*VECTOR_INDEX.names)
 
     def is_empty(self) -> bool:
-        """True when there is no document (or no readable index)."""
-        try:
-            return self.read().isEmpty()
-        except Exception:
-            return True
-
-    def _commit(self, df: DataFrame, version: int | None = None) -> None:
-        bad = df.where(F.size("vector") != self.dim).limit(1).count()
-        if bad:
+        """True when there is no document (an index that cannot be read raises)."""
+        return self.read().isEmpty()
+
+    def _check(self, vectors: DataFrame) -> None:
+        bad = F.col("vector").isNull() | (F.size("vector") != self.dim)
+        if vectors.where(bad).limit(1).count():
             raise ValueError(f"vector dimension differs from {self.dim}")
-        self.state.commit(self.state.next_version() if version is None else version, {"index": df})
 
-    def upsert(self, batch: DataFrame, version: int | None = None) -> None:
+    def _commit(self, df: DataFrame, stream: str | None = None, batch_id: int | None = None) -> None:
+        self.state.commit({"index": df}, stream, batch_id, partition_by=("type",))
+
+    def upsert(self, batch: DataFrame, stream: str | None = None, batch_id: int | None = None) -> None:
         """D7-D9 (batch form)."""
-        self._commit(V.upsert(self.read(), batch.select(*self.read().columns)), version)
+        batch = batch.select(*[F.col(f.name).cast(f.dataType) for f in VECTOR_INDEX.fields])
+        self._check(batch)
+        self._commit(V.upsert(self.read(), batch), stream, batch_id)
 
     def delete(self, ids: DataFrame) -> None:
         """D10."""
@@ -48,6 +49,7 @@ class VectorStore:
 
     def update_vectors(self, new: DataFrame) -> None:
         """D11."""
+        self._check(new)
         self._commit(V.update_vectors(self.read(), new))
 
     def exists(self, probes: DataFrame, on: list[str]) -> DataFrame:
@@ -68,10 +70,9 @@ def refresh(store: VectorStore, docs: DataFrame) -> None:
     store.upsert(docs)
 
 
-def apply_index_batch(store: VectorStore):
-    """K2: ``foreachBatch`` body that upserts arriving documents, once per batch id."""
+def apply_index_batch(store: VectorStore, stream: str = "index"):
+    """K2: ``foreachBatch`` body that upserts arriving documents, once per batch of the stream."""
     def run(_state, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= store.state.current():
-            return
-        store.upsert(batch, version=batch_id)
+        if batch_id > store.state.applied(stream):
+            store.upsert(batch, stream, batch_id)
     return run

@@ -1,10 +1,10 @@
 """K1-K3: Structured Streaming jobs that fold events into stored state with ``foreachBatch``.
 
 ``foreachBatch`` is at-least-once: a batch can be replayed after a failure.
-Each batch writes a new version directory of the state and then switches a
-pointer that also records the batch id; a replayed batch id that is not
-newer than the pointer is skipped, so the state is applied exactly once and
-the folder being read is never overwritten.
+Each batch writes a new version of the state and then a marker that also
+records the batch id; a replayed batch that a marker already names is
+skipped, so the state is applied exactly once and the folder being read is
+never overwritten.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from tessera.sources.versioned import VersionedState
 
 def apply_feedback_batch(state: VersionedState, events: DataFrame, batch_id: int) -> None:
     """One micro-batch: validate, keep first click per new answer, fold votes."""
-    if batch_id <= state.current():
+    if batch_id <= state.applied("feedback"):
         return  # replayed batch: already applied
     clicks = clean_clicks(feedback_from_events(events))
     seen = state.read("answers", "answer_id string")
     new = clicks.join(seen, "answer_id", "left_anti")
     votes = merge_votes(state.read("votes", VOTES_SCHEMA), batch_votes(new))
     answers = seen.unionByName(new.select("answer_id"))
-    state.commit(batch_id, {"votes": votes, "answers": answers})
+    state.commit({"votes": votes, "answers": answers}, "feedback", batch_id)
 
 
 def run_feedback_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
@@ -60,12 +60,21 @@ def run_upsert_stream(spark: SparkSession, source_dir: str, file_glob: str, appl
     return f"{base}/state"
 
 
-def stream_questions(spark: SparkSession, questions: DataFrame, answer_fn) -> DataFrame:
-    """K3: each micro-batch of questions runs the answer recipe (``answer_fn(batch) -> responses``)."""
-    out: list[DataFrame] = []
+def stream_questions(spark: SparkSession, questions: DataFrame, answer_fn, root: str | None = None) -> DataFrame:
+    """K3: each micro-batch of questions runs the answer recipe (``answer_fn(batch) -> responses``).
+
+    Every batch's responses are written to a folder of their own (a replayed batch overwrites its own folder); all
+    of them are returned.
+    """
+    base = root or f"{checkpoint_dir(spark)}/questions-{uuid.uuid4().hex}"
 
     def run(df, bid):
-        out.append(answer_fn(df))
+        answer_fn(df).write.mode("overwrite").parquet(f"{base}/responses/batch={bid}")
 
-    (questions.writeStream.foreachBatch(run).trigger(availableNow=True).start().awaitTermination())
-    return out[-1] if out else spark.createDataFrame([], "question_id bigint")
+    (questions.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    empty = spark.createDataFrame([], questions.schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/responses")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return answer_fn(empty)
+    return spark.read.parquet(f"{base}/responses").drop("batch")
