@@ -66,8 +66,7 @@ def validate_messages(msgs: DataFrame) -> DataFrame:
     valid = (F.when(F.col("type") == "user", ~is_blank(c))
              .when(F.col("type") == "bot", _json_has_key(c, "success"))
              .when(F.col("type") == "error",
-                   F.coalesce(F.get_json_object(c, "$.error").isNotNull() & _json_has_key(c, "error"),
-                              F.lit(False)))
+                   F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), "$.error", "variant")) == "STRING", F.lit(False)))
              .otherwise(F.lit(True)))
     return msgs.withColumn("is_valid", valid)
 

@@ -8,14 +8,16 @@ reliable checkpoint in the cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
+# Fixed value: type names that count as numeric when they hold one of these.
 NUMERIC_TYPE = "int|decimal|numeric|float|double"
-# rounds between reliable checkpoints; rounds in between are cached, so a lost
-# executor recomputes at most this many rounds from the last checkpoint
+# levels after which the union of all levels seen so far is written out again
 CHECKPOINT_EVERY = 3
 
 
@@ -90,7 +92,7 @@ def undirected(edges: DataFrame) -> DataFrame:
             .unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label = smallest node name, by min-label propagation with pointer jumping.
 
     Each round: hook (label <- min label over the neighbourhood), then
@@ -99,7 +101,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     """
     adj = cut_lineage(undirected(edges))
     lab = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         via = (adj.join(lab.withColumnRenamed("node", "v"), "v")
                .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("nl")))
         # materialise the hooked labels once: the jumps below read them several times
@@ -115,7 +117,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         lab = new
         if changed == 0:
             return lab.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
 def structure(components: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def structure(components: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ G6 ----
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Exact betweenness (undirected, unweighted, each pair once) by Brandes over BFS levels.
 
     State rows are (source, node, dist, sigma): one BFS level per round for
@@ -141,17 +142,17 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> Da
                             F.lit(1.0).alias("sigma"))
     levels = [cut_lineage(frontier)]
     seen = levels[0].select("s", "v")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):  # until no source reaches a new node
         nxt = (levels[-1].join(adj.withColumnRenamed("v", "w").withColumnRenamed("u", "v"), "v")
                .groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
                .join(seen, ["s", "v"], "left_anti")
                .select("s", "v", F.lit(depth).alias("d"), "sigma"))
-        nxt = cut_lineage(nxt) if depth % CHECKPOINT_EVERY == 0 else nxt.persist()
+        nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
         levels.append(nxt)
         seen = seen.unionByName(nxt.select("s", "v"))
-        seen = cut_lineage(seen) if depth % CHECKPOINT_EVERY == 0 else seen.persist()
+        seen = cut_lineage(seen) if depth % CHECKPOINT_EVERY == 0 else seen
     # back-propagate dependencies from the deepest level
     delta = levels[-1].select("s", "v", F.lit(0.0).alias("delta"))
     acc = [delta]
@@ -162,7 +163,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> Da
         contrib = (w.join(adj.withColumnRenamed("u", "w"), "w")
                    .join(prev, ["s", "v"])
                    .groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
-        delta = cut_lineage(contrib) if lv % CHECKPOINT_EVERY == 0 else contrib.persist()
+        delta = cut_lineage(contrib)
         acc.append(delta)
     total = acc[0]
     for a in acc[1:]:
@@ -175,25 +176,28 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> Da
 
 # ----------------------------------------------------------- G10-G12 ------
 
-def _substrings(text: Column, max_len: int = 64) -> Column:
-    """All substrings of a bounded-length identifier (lower case)."""
-    t = F.lower(F.substring(text, 1, max_len))
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """All substrings of the given lengths (lower case)."""
+    t = F.lower(text)
     n = F.length(t)
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-        F.sequence(i, F.greatest(n, F.lit(1))), lambda j: F.substring(t, i, j - i + 1))))
+    each = F.transform(F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= n), lambda k: F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(t, i, k)))
+    return F.flatten(each)
 
 
-def search(nodes: DataFrame, terms: DataFrame, max_len: int = 64) -> DataFrame:
+def search(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """Case-insensitive substring match of terms against table name, column names and types.
 
-    Catalog identifiers are short, so each is exploded into its substrings
-    and matched to the terms by an equi-join (no pairwise comparison).
-    Identifiers longer than ``max_len`` are matched on their first ``max_len`` characters.
+    Identifiers of any length are exploded into their substrings of the lengths that the terms have (their
+    distinct lengths are all that the driver sees) and matched to the terms by an equi-join.
     """
+    lengths = sorted(r[0] for r in terms.select(F.length(F.lower("term")).alias("n")).where("n > 0").distinct().collect())
+    if not lengths:
+        return terms.select("term").join(nodes.select("node"), F.lit(False))
     texts = (nodes.select("node", F.col("node").alias("t"))
              .unionByName(nodes.select("node", F.explode("columns").alias("c"))
                           .select("node", F.explode(F.array(F.col("c.name"), F.col("c.data_type"))).alias("t"))))
-    subs = texts.select("node", F.explode(F.array_distinct(_substrings(F.col("t"), max_len))).alias("sub")).distinct()
+    subs = texts.select("node", F.explode(F.array_distinct(_substrings(F.col("t"), lengths))).alias("sub")).distinct()
     tm = terms.select("term", F.lower("term").alias("sub")).where(F.length("sub") > 0)
     return tm.join(subs, "sub").select("term", "node").distinct()
 

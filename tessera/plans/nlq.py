@@ -88,7 +88,7 @@ WHERE NOT EXISTS (
 def nlq_customers_no_recent_orders(spark, sf):
     """"Customers with no orders in the last quarter" (relative to the latest order)."""
     orders = read_table(spark, sf, "orders")
-    cutoff = orders.select(F.add_months(F.max("o_orderdate"), -3)).scalar()
+    cutoff = orders.select(F.max("o_orderdate") - F.expr("INTERVAL 3 MONTH")).scalar()
     recent = orders.where(F.col("o_orderdate") > cutoff).select("o_custkey")
     cust = read_table(spark, sf, "customer").select("c_custkey", "c_name")
     return cust.join(recent, cust.c_custkey == recent.o_custkey, "left_anti")

@@ -25,6 +25,9 @@ DEFAULT_CONF = {
 }
 
 
+SPREAD = "spark.tessera.spread"
+
+
 def get_spark(master: str | None = None, app: str = "tessera",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -35,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "tessera",
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor; a 1 GB default heap thrashes
         conf["spark.driver.memory"] = "16g"
+        conf[SPREAD] = str(os.cpu_count() or 1)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -78,8 +82,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a private scratch folder
-    is created and registered.
+    used as is. Only when it is unset and the master is local (tests) a
+    private scratch folder is created and registered; on a cluster that
+    would be a different folder on every machine, so it raises.
     """
     sc = spark.sparkContext
     ship_package(spark)
@@ -89,6 +94,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -118,14 +126,11 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Redistribute before CPU-heavy per-row work only when the input has too few splits.
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute before CPU-heavy per-row work when the session asks for it.
 
-    A large input already has at least as many splits as the cluster has
-    cores, so nothing moves; a small single-file table (one row group, one
-    task) is spread over all cores. Planning-only check, no job.
+    ``spark.tessera.spread`` is the number of partitions (unset: nothing moves). It suits inputs whose files hold a single
+    row group, which Spark cannot split; it is a setting and does not look at the input.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *cols) if cols else df.repartition(target)
+    n = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(n) if n > 0 else df
