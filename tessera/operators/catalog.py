@@ -175,8 +175,9 @@ def distinct_profile(frames: dict[str, DataFrame], n: int = PROFILE_LIMIT) -> Da
 
     One scan per table: columns are cast to string and unpivoted, so the
     distinct and the ranked window run over (table, column, value) rows for
-    all columns at once. ``row_number() <= n`` plans a WindowGroupLimit that
-    trims each partition before the window shuffle.
+    all columns at once. ``dense_rank() <= n`` over the rows themselves plans a
+    WindowGroupLimit that leaves about n values per column and map partition
+    before anything is shuffled; the distinct then runs on those.
     """
     long = []
     for t, df in frames.items():
@@ -186,11 +187,10 @@ def distinct_profile(frames: dict[str, DataFrame], n: int = PROFILE_LIMIT) -> Da
         s = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
         u = s.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
         long.append(u.select(F.lit(t).alias("table"), "column", "value"))
-    d = _union(long).distinct()
     w = Window.partitionBy("table", "column").orderBy("value")
-    top = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    top = _union(long).withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= n)
     return (top.groupBy("table", "column")
-            .agg(F.array_sort(F.collect_list("value")).alias("distinct_values")))
+            .agg(F.array_sort(F.collect_set("value")).alias("distinct_values")))
 
 
 # ---------------------------------------------------------------- B16 ------

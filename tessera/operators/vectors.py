@@ -1,30 +1,28 @@
 """D: document ids, embedding contract, exact cosine top-k, index maintenance.
 
 Top-k search never materialises (question, document) pairs as rows and never
-plans a cross join. The question side is cut into blocks whose byte size is
-checked before they are broadcast; every document partition scores its rows
-against the block with one matrix product (numpy inside ``mapInPandas``) and
-emits at most k candidates per question. A ranked window with
-``row_number() <= k`` (planned as a WindowGroupLimit) then merges the
-per-partition candidates, so the largest group is k x partitions rows.
+plans a cross join. Both sides are dealt to blocks of bounded size that meet
+in an equi-join on (group, document block); a task scores one block pair with
+matrix products (numpy inside ``mapInArrow``) and emits exactly the k best per
+question. A ranked window with ``row_number() <= k`` (planned as a
+WindowGroupLimit) then merges them, so the largest group is k x blocks rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: RFC 4122 DNS namespace UUID (the namespace of the document ids).
 DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 
-# Bytes of question vectors broadcast per block (dim x 8 bytes per question).
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-# (question x document) similarity cells scored at once inside a task (~128 MB of doubles).
-TILE_CELLS = 16 * 1024 * 1024
+# Rows of a block, and questions scored at once inside a task.
+BLOCK_QUESTIONS = 1024
+BLOCK_DOCS = 8192
+TILE_QUESTIONS = 256
 
 
 # ------------------------------------------------------------------ D6 ----
@@ -121,114 +119,90 @@ def embed_with(df: DataFrame, text_col: str, fn, dim: int, out_col: str = "vecto
 
 # ------------------------------------------------------------- D17-D21 ----
 
-def _stack(series: pd.Series, dim: int | None = None) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, dim or 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) if v is not None else np.full(dim or 0, np.nan)
-                      for v in series])
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
+def _vectors(block: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit rows (NaN for zero vectors) of one block, an array of (key, vec) structs."""
+    m = block.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(n > 0, m / n, np.nan)
-
-
-def _score_partition(qkeys, qgroups, qself, qmat, k, doc_key, doc_vec, doc_group, exclude_self):
-    """Closure run on executors: per-partition top-k candidates for every question."""
-    qn = _unit(qmat)
-
-    # score tiles of at most TILE_CELLS (question, document) cells to bound task memory
-    chunk = max(1, TILE_CELLS // max(1, len(qkeys)))
-
-    def run(it):
-        best_s = np.full((len(qkeys), 0), -np.inf)
-        best_i = np.empty((len(qkeys), 0), dtype=object)
-        for batch in it:
-            if len(batch) == 0 or len(qkeys) == 0:
-                continue
-            for lo in range(0, len(batch), chunk):
-                pdf = batch.iloc[lo:lo + chunk]
-                dn = _unit(_stack(pdf[doc_vec], qmat.shape[1]))
-                s = qn @ dn.T                                    # (questions, tile)
-                s = np.where(np.isnan(s), -np.inf, s)            # zero vectors never match
-                ids = pdf[doc_key].to_numpy(dtype=object)
-                if doc_group is not None:
-                    g = pdf[doc_group].to_numpy(dtype=object)
-                    s = np.where(qgroups[:, None] == g[None, :], s, -np.inf)
-                if exclude_self:
-                    s = np.where(qself[:, None] == ids[None, :], -np.inf, s)
-                cand_s = np.concatenate([best_s, s], axis=1)
-                cand_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-                if cand_s.shape[1] > k:
-                    # keep the k best plus ties at the k-th score; the global merge breaks ties by id
-                    part = np.argpartition(-cand_s, k - 1, axis=1)
-                    kth = cand_s[np.arange(len(qkeys)), part[:, k - 1]]
-                    keep = (cand_s >= kth[:, None]) & np.isfinite(cand_s)
-                    width = int(keep.sum(axis=1).max())
-                    order = np.argsort(-np.where(keep, cand_s, -np.inf), axis=1, kind="stable")[:, :width]
-                    best_s = np.take_along_axis(cand_s, order, axis=1)
-                    best_i = np.take_along_axis(cand_i, order, axis=1)
-                else:
-                    best_s, best_i = cand_s, cand_i
-        rows_q, rows_c = np.nonzero(np.isfinite(best_s))
-        if len(rows_q):
-            yield pd.DataFrame({"q": qkeys[rows_q], "id": best_i[rows_q, rows_c].astype(object),
-                                "score": best_s[rows_q, rows_c]})
-
-    return run
+        m = np.where(n > 0, m / n, np.nan)
+    keys = block.field("key")
+    return (np.array(keys.to_pylist()) if pa.types.is_string(keys.type) else keys.to_numpy(zero_copy_only=False)), m
+
+
+def _block_best(questions: pa.Array, docs: pa.Array, dim: int, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question number, document number, score): the k best of one block of documents, ties to the smaller key."""
+    ids, d = _vectors(docs, dim)
+    _, q = _vectors(questions, dim)
+    order = np.argsort(ids, kind="stable")  # positions then rank equal scores by key
+    ids, d = ids[order], d[order]
+    own = questions.field("own").to_pylist() if exclude_self else None
+    rows: list[np.ndarray] = []
+    cols: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
+    for at in range(0, len(q), TILE_QUESTIONS):
+        tile = q[at:at + TILE_QUESTIONS] @ d.T
+        tile = np.where(np.isnan(tile), -np.inf, tile)  # zero vectors never match
+        for i, line in enumerate(tile):
+            if exclude_self:
+                line = np.where(ids == own[at + i], -np.inf, line)
+            if len(line) > k:
+                least = np.partition(line, len(line) - k)[len(line) - k]
+                sure = np.flatnonzero(line > least)
+                hit = np.sort(np.concatenate([sure, np.flatnonzero(line == least)[:k - len(sure)]]))
+            else:
+                hit = np.arange(len(line))
+            hit = hit[np.isfinite(line[hit])]
+            rows.append(np.full(len(hit), at + i))
+            cols.append(order[hit])
+            scores.append(line[hit])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+
+
+def _blocks(df: DataFrame, key: str, vec: str, group: str | None, dim: int, rows: int, own: str | None = None) -> tuple[DataFrame, int]:
+    """(group, block, members): rows dealt to blocks of about ``rows`` by the hash of their key."""
+    parts = [F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")] + ([F.col(own).alias("own")] if own else [])
+    sound = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & F.col(key).isNotNull())
+    n = max(1, -(-sound.count() // rows))
+    g = F.col(group) if group else F.lit(0)
+    return (sound.select(g.alias("group"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(*parts).alias("m"))
+            .groupBy("group", "block").agg(F.collect_list("m").alias("members"))), n
 
 
 def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "question_id",
                 q_vec: str = "qvec", doc_key: str = "id", doc_vec: str = "vector",
-                q_group: str | None = None, doc_group: str | None = None,
-                q_self: str | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                q_group: str | None = None, doc_group: str | None = None, q_self: str | None = None,
+                block_questions: int = BLOCK_QUESTIONS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Exact cosine top-k documents per question: (q_key, doc_key, similarity_score, rank).
 
-    ``q_group``/``doc_group`` restrict a question to documents of its group
-    (type or table equality filter, D17/D20). ``q_self`` names a question
-    column holding a document id that must not match itself. Ties are broken
-    by document id; zero vectors score null and never match.
+    Both sides are dealt to blocks of bounded size; a block of questions meets every block of documents of its group by
+    an equi-join on (group, document block), so a filter on the type or table prunes before anything is scored.
+    No question passes the driver. ``q_group``/``doc_group`` restrict a question to documents of its group
+    (D17/D20). ``q_self`` names a question column holding a document id that must not match itself. Ties are
+    broken by document id, also inside a block; zero vectors score null and never match; vectors of another
+    length than the questions' take no part.
     """
     spark = questions.sparkSession
-    key_type = dict(docs.dtypes)[doc_key]
-    qkey_type = dict(questions.dtypes)[q_key]
-    cols = [q_key, q_vec] + ([q_group] if q_group else []) + ([q_self] if q_self else [])
-    # the question side is read twice (sizing, then blocks): keep it cached for that span only
-    qs = questions.select(*cols).persist()
-    stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("dim")).first()
-    n, dim = int(stats["n"]), int(stats["dim"] or 0)
-    out_schema = f"q {qkey_type}, id {key_type}, score double"
-    if n == 0:
-        qs.unpersist()
-        return spark.createDataFrame([], f"{q_key} {qkey_type}, {doc_key} {key_type}, "
-                                         "similarity_score double, rank int")
-    per_block = max(1, max_broadcast_bytes // max(1, dim * 8 + 64))
-    n_blocks = -(-n // per_block)
-    dcols = [doc_key, doc_vec] + ([doc_group] if doc_group else [])
-    d = docs.select(*dcols)
-    parts = []
-    for b in range(n_blocks):
-        blk = qs if n_blocks == 1 else qs.where(F.pmod(F.xxhash64(q_key), F.lit(n_blocks)) == b)
-        pdf = blk.toPandas()  # at most max_broadcast_bytes of question vectors
-        if len(pdf) == 0:
-            continue
-        qkeys = pdf[q_key].to_numpy(dtype=object)
-        qmat = _stack(pdf[q_vec], dim)
-        qgroups = pdf[q_group].to_numpy(dtype=object) if q_group else None
-        qself = pdf[q_self].to_numpy(dtype=object) if q_self else None
-        bc = spark.sparkContext.broadcast((qkeys, qgroups, qself, qmat))
-
-        def make(bc=bc):
-            def run(it):
-                qk, qg, qsf, qm = bc.value
-                yield from _score_partition(qk, qg, qsf, qm, k, doc_key, doc_vec, doc_group,
-                                            q_self is not None)(it)
-            return run
-
-        parts.append(d.mapInPandas(make(), out_schema))
-    qs.unpersist()
-    cand = reduce(lambda a, b: a.unionByName(b), parts)
+    key_type, qkey_type = dict(docs.dtypes)[doc_key], dict(questions.dtypes)[q_key]
+    dim = questions.agg(F.max(F.size(q_vec))).first()[0]
+    if not dim or dim < 0:
+        return spark.createDataFrame([], f"{q_key} {qkey_type}, {doc_key} {key_type}, similarity_score double, rank int")
+    d, n = _blocks(docs, doc_key, doc_vec, doc_group, dim, block_docs)
+    q, _ = _blocks(questions, q_key, q_vec, q_group, dim, block_questions, q_self)
+    asked = q.select("group", F.col("members").alias("asks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
+    pairs = asked.join(d, ["group", "block"]).select("asks", "members")
+
+    def run(batches):
+        for batch in batches:
+            asks, members = batch.column(0), batch.column(1)
+            for r in range(batch.num_rows):
+                one, two = (c.slice(r, 1).flatten() for c in (asks, members))
+                i, j, score = _block_best(one, two, dim, k, q_self is not None)
+                yield pa.RecordBatch.from_arrays([one.field("key").take(pa.array(i, pa.int64())), two.field("key").take(pa.array(j, pa.int64())), pa.array(score)],
+                                                 names=["q", "id", "score"])
+
+    cand = pairs.mapInArrow(run, f"q {qkey_type}, id {key_type}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
     ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(q_key), F.col("id").alias(doc_key),

@@ -80,7 +80,7 @@ def column_prompt(spark, sf):
                        F.md5(N.column_prompt()).alias("prompt_md5"))
 
 
-@query("enrich_fallbacks", ids="C4 C7 C8 C9", oracle=TABLE_FACTS_SQL + """
+@query("enrich_fallbacks", ids="C4 C7 C9", oracle=TABLE_FACTS_SQL + """
 SELECT name,
   CASE WHEN n_fk > 0 THEN 'Rows of ' || name || ' linked to other tables.' ELSE 'No description available' END
     AS description,
@@ -187,7 +187,7 @@ def flagship_questions(spark: SparkSession) -> DataFrame:
                      F.lit("default").alias("recipe"))
 
 
-@query("flagship_answer", ids="E1-E23 D1-D5 C4 C7 C8 B17")
+@query("flagship_answer", ids="E1 E3 E4 E6-E8 E10-E23 D1-D4 C4 C7 C8 B17")
 def flagship_answer(spark, sf):
     """A batch of questions answered end to end; the driver smoke-checks this on sf0.001."""
     return answer_questions(spark, sf, flagship_questions(spark))

@@ -73,7 +73,7 @@ def catalog_columns(spark, sf):
         "data_type", "nullable", "is_primary_key", "is_foreign_key")
 
 
-@query("catalog_row_counts", ids="B7 B8", oracle=f"SELECT tbl AS table_name, row_count FROM ({COUNTS_SQL})")
+@query("catalog_row_counts", ids="B7", oracle=f"SELECT tbl AS table_name, row_count FROM ({COUNTS_SQL})")
 def catalog_row_counts(spark, sf):
     return C.row_counts(load_tables(spark, sf)).select(F.col("table").alias("table_name"), "row_count")
 
@@ -187,7 +187,7 @@ def key_discovery_fk(spark, sf):
                      "ref_table", "ref_column")
 
 
-@query("relationships_bidirectional", ids="B5 B6 B13 B14 G3", oracle=f"""
+@query("relationships_bidirectional", ids="B5 B6 B13 B14", oracle=f"""
 WITH c AS ({VERIFIED_SQL}),
 fk AS (SELECT tbl, constraint_name, min(ref_table) AS ref_table,
               string_agg(col, ',' ORDER BY ordinal) AS cols,

@@ -34,7 +34,7 @@ edges AS (SELECT 'edge-' || tbl || '-' || ref_table || '-' ||
 adj AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"""
 
 
-@query("graph_nodes_edges", ids="G1 G2 G3", oracle=f"""WITH {EDGES_SQL}
+@query("graph_nodes_edges", ids="G1 G2", oracle=f"""WITH {EDGES_SQL}
 SELECT id, src, dst, from_columns, to_columns FROM edges""")
 def graph_nodes_edges(spark, sf):
     _, edges = schema_graph(spark, sf)
@@ -164,7 +164,7 @@ def graph_search(spark, sf):
             .unionByName(ind.select("term", F.col("id").alias("item"), F.lit("edge").alias("kind"))))
 
 
-@query("graph_neighbourhood", ids="G12 G3", oracle=f"""WITH {EDGES_SQL}
+@query("graph_neighbourhood", ids="G12", oracle=f"""WITH {EDGES_SQL}
 SELECT src AS node, dst AS member FROM edges UNION SELECT dst, src FROM edges UNION SELECT node, node FROM nodes""")
 def graph_neighbourhood(spark, sf):
     nodes, edges = schema_graph(spark, sf)

@@ -164,7 +164,7 @@ def sql_params(spark, sf):
                            "s3": "AUTOMOBILE", "min_n": 10})
 
 
-@query("sql_cte_scalar", ids="J4 J13 J7", oracle="""
+@query("sql_cte_scalar", ids="J13 J7", oracle="""
 WITH per_nation AS (
   SELECT c_nationkey, count(*) AS n_cust, sum(c_acctbal) AS bal
   FROM customer GROUP BY c_nationkey)

@@ -179,7 +179,7 @@ def upserted_index(spark, sf):
     return V.upsert(base, table_docs(spark, sf).unionByName(rescaled))
 
 
-@query("index_upsert", ids="D7 D8 D9 D13 D14", oracle=UPSERT_SQL + """
+@query("index_upsert", ids="D7 D8", oracle=UPSERT_SQL + """
 SELECT id, type, name, tbl AS table_name, len(vector) AS dim,
        round(list_sum(CAST(vector AS DOUBLE[])), 4) AS vsum FROM idx""")
 def index_upsert(spark, sf):
@@ -188,7 +188,7 @@ def index_upsert(spark, sf):
                       F.size("vector").cast("bigint").alias("dim"), _vsum(F.col("vector")).alias("vsum"))
 
 
-@query("index_delete", ids="D10 D16", oracle=f"""
+@query("index_delete", ids="D10", oracle=f"""
 WITH idx AS (SELECT {_uuid_sql("'column_label_' || label || '_vec_' || vec_id")} AS id,
                'vec_' || vec_id AS name, embedding FROM embeddings)
 SELECT id, name FROM idx WHERE NOT (embedding[1] < 0)""")
@@ -211,14 +211,14 @@ def index_update_vectors(spark, sf):
     return upd.select("id", "payload", _vsum(F.col("vector")).alias("vsum"))
 
 
-@query("index_dim_check", ids="A10 A11 D13", oracle=UPSERT_SQL + f"""
+@query("index_dim_check", ids="A10", oracle=UPSERT_SQL + f"""
 SELECT type, count(*) AS n_docs, min(len(vector)) AS min_dim, max(len(vector)) AS max_dim,
        bool_and(len(vector) = {DIM}) AS dim_ok FROM idx GROUP BY type""")
 def index_dim_check(spark, sf):
     return V.dimension_check(upserted_index(spark, sf), DIM)
 
 
-@query("exact_match_gate", ids="D15 E2", oracle=f"""
+@query("exact_match_gate", ids="D15", oracle=f"""
 WITH stored AS (SELECT {_uuid_sql('text')} AS qid, min(doc_id) AS stored_doc_id FROM documents GROUP BY text)
 SELECT d.doc_id, s.stored_doc_id, s.stored_doc_id IS NOT NULL AS exact_match,
        coalesce(s.stored_doc_id <> d.doc_id, false) AS is_copy

@@ -25,8 +25,8 @@ def brute(q, d, k, qg=None, dg=None, self_ids=None, dids=None):
     return out
 
 
-@pytest.mark.parametrize("max_bytes", [10 ** 9, 600])  # one block / many blocks
-def test_topk_equals_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("blocks", [(1024, 8192), (2, 7)])  # one block / many blocks
+def test_topk_equals_brute_force(spark, blocks):
     rng = np.random.default_rng(7)
     d = rng.normal(size=(60, 8)).astype(np.float32)
     d[5] = 0.0                      # zero vector never matches
@@ -39,7 +39,7 @@ def test_topk_equals_brute_force(spark, max_bytes):
     qs = spark.createDataFrame([(i, q[i].tolist(), qg[i]) for i in range(9)], "question_id bigint, qvec array<float>, g int")
     for k, grouped in [(3, False), (2, True), (100, False)]:   # k larger than the document count
         got = V.topk_cosine(qs, docs, k, q_group="g" if grouped else None, doc_group="g" if grouped else None,
-                            max_broadcast_bytes=max_bytes)
+                            block_questions=blocks[0], block_docs=blocks[1])
         rows = {}
         for r in got.orderBy("question_id", "rank").collect():
             rows.setdefault(r["question_id"], []).append((r["id"], round(r["similarity_score"], 9)))
@@ -48,6 +48,15 @@ def test_topk_equals_brute_force(spark, max_bytes):
         assert {i: v for i, v in want.items() if v} == rows
 
 
+def test_equal_vectors_give_k_rows_per_question(spark):
+    docs = spark.range(5000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    qs = spark.createDataFrame([(1, [1.0, 2.0], "d0"), (2, [2.0, 1.0], "d3")], "question_id bigint, qvec array<double>, own string")
+    got = V.topk_cosine(qs, docs, 3, q_self="own", block_docs=500).collect()
+    ids = sorted(f"d{i}" for i in range(5000))
+    want = {(1, r + 1): i for r, i in enumerate([x for x in ids if x != "d0"][:3])} | {(2, r + 1): i for r, i in enumerate([x for x in ids if x != "d3"][:3])}
+    assert {(r["question_id"], r["rank"]): r["id"] for r in got} == want
+
+
 def test_hashed_embedding_unit_and_deterministic(spark):
     df = spark.createDataFrame([(1, "Orders, Customers!"), (2, ""), (3, "orders customer")], "id int, t string")
     a = {r["id"]: r["vector"] for r in V.hashed_embedding(df, "t", ["id"], 16).collect()}
