@@ -130,7 +130,14 @@ def answer_questions(spark: SparkSession, sf: str, questions: DataFrame, complet
     register_views(spark, sf)
     index, tdocs, cdocs = build_index(spark, sf)
     q = A.understand(questions)
-    qv = V.hashed_embedding(q, "processed_query", ["question_id"], DIM, "qvec")
+    # A stored question needs no retrieval and no model; its stored SQL goes straight to execution
+    fields = "question string, sql_query string, explanation string"
+    stored = stored_queries if stored_queries is not None else spark.createDataFrame([], fields)
+    stored = stored.select(V.query_doc_id("question").alias("id"), "question", "sql_query", "explanation")
+    gate = V.exact_match(q.select("question_id", F.col("original_query").alias("question")), stored.select("question", "sql_query", "explanation"))
+    gate = cut_lineage(gate.select("question_id", "exact_match", F.col("m").alias("hit")))
+    missed = q.join(gate.where("exact_match"), "question_id", "left_anti")
+    qv = V.hashed_embedding(missed, "processed_query", ["question_id"], DIM, "qvec")
     tables_idx = index.where("type = 'table'")
     cols_idx = index.where("type = 'column'")
     th = V.topk_cosine(qv, tables_idx, k_tables, doc_key="table")
@@ -151,22 +158,19 @@ def answer_questions(spark: SparkSession, sf: str, questions: DataFrame, complet
     c_arr = (ch.join(cinfo, "id").groupBy("question_id")
              .agg(F.array_sort(F.collect_list(F.struct("table_rank", "rank", "c"))).alias("l"))
              .select("question_id", F.transform("l", lambda x: x["c"]).alias("columns")))
-    ctx = q.join(t_arr, "question_id", "left").join(c_arr, "question_id", "left")
+    ctx = q.join(gate, "question_id").join(t_arr, "question_id", "left").join(c_arr, "question_id", "left")
     if stored_queries is not None and k_queries > 0:
-        sq = stored_queries.select(V.query_doc_id("question").alias("id"), "question", "sql_query", "explanation")
+        sq = stored
         sv = V.hashed_embedding(sq, "question", ["id"], DIM)
         qh = V.topk_cosine(qv, sv, k_queries, doc_key="id")
         q_arr = (qh.join(sq, "id").groupBy("question_id")
                  .agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("question", "sql_query",
                                                                              "explanation").alias("q")))).alias("l"))
                  .select("question_id", F.transform("l", lambda x: x["q"]).alias("queries")))
-        gate = V.exact_match(q.select("question_id", F.col("original_query").alias("question")),
-                             sq.select("question", "sql_query")).select("question_id", "exact_match")
-        ctx = ctx.join(q_arr, "question_id", "left").join(gate, "question_id", "left")
+        ctx = ctx.join(q_arr, "question_id", "left")
     else:
-        ctx = ctx.withColumn("queries", F.lit(None).cast("array<struct<question:string,sql_query:string,"
-                                                         "explanation:string>>")) \
-            .withColumn("exact_match", F.lit(False))
+        ctx = ctx.withColumn("queries", F.lit(None).cast("array<struct<question:string,sql_query:string,explanation:string>>"))
+    ctx = ctx.withColumn("queries", F.when(F.col("exact_match"), F.array(F.struct("hit.question", "hit.sql_query", "hit.explanation"))).otherwise(F.col("queries")))
     ctx = ctx.withColumn("context", A.assemble_context(F.col("tables"), F.col("columns"), F.col("queries")))
     ctx = ctx.withColumn("final_prompt", A.build_prompt(A.DEFAULT_TEMPLATE, {
         "context": F.col("context"), "query": F.col("original_query"), "schema": F.lit("main")}))
@@ -175,7 +179,10 @@ def answer_questions(spark: SparkSession, sf: str, questions: DataFrame, complet
         tables_found=F.coalesce(F.size("tables"), F.lit(0)), columns_found=F.coalesce(F.size("columns"), F.lit(0)),
         queries_found=F.coalesce(F.size("queries"), F.lit(0)), exact_match_found=F.col("exact_match")))
     # model answers are computed once: execution reads them twice (distinct statements, join back)
-    answered = cut_lineage(A.complete(ctx, "final_prompt", "llm_response", complete_fn))
+    ctx = ctx.withColumn("final_prompt", F.when(~F.col("exact_match"), F.col("final_prompt")))  # only misses are asked
+    answered = A.complete(ctx, "final_prompt", "llm_response", complete_fn)
+    known = F.to_json(F.struct(F.col("hit.sql_query").alias("query"), F.col("hit.explanation").alias("explanation")))
+    answered = cut_lineage(answered.withColumn("llm_response", F.when(F.col("exact_match"), known).otherwise(F.col("llm_response"))))
     parsed = A.parse_answer(answered)
     executed = A.execute_distinct(spark, parsed)
     return A.project_response(A.assemble_response(executed))
@@ -193,6 +200,26 @@ def flagship_answer(spark, sf):
     return answer_questions(spark, sf, flagship_questions(spark))
 
 
+@query("exact_match_answers", ids="E2 D15", oracle="""
+SELECT 'How many ' || event_type || ' events are there?' AS original_question, event_type < 'm' AS from_vector_store, true AS success,
+  CASE WHEN event_type < 'm' THEN 'SELECT count(*) AS stored FROM events WHERE event_type = ''' || event_type || ''''
+       ELSE 'SELECT count(*) AS n FROM events WHERE event_type = ''' || event_type || '''' END AS query,
+  CASE WHEN event_type < 'm' THEN 'kept from an earlier answer' ELSE 'not stored' END AS explanation,
+  CASE WHEN event_type < 'm' THEN '{"stored":' ELSE '{"n":' END || count(*) || '}' AS preview
+FROM events GROUP BY event_type""")
+def exact_match_answers(spark, sf):
+    """Questions about every event type; those about types before 'm' are stored with their SQL, the others are misses."""
+    types = read_table(spark, sf, "events").select("event_type").distinct()
+    text = F.concat(F.lit("How many "), F.col("event_type"), F.lit(" events are there?"))
+    questions = types.select(F.xxhash64(text).alias("question_id"), text.alias("original_query"), F.lit("default").alias("recipe"))
+    stored = types.where("event_type < 'm'").select(
+        text.alias("question"), F.concat(F.lit("SELECT count(*) AS stored FROM events WHERE event_type = '"), F.col("event_type"), F.lit("'")).alias("sql_query"),
+        F.lit("kept from an earlier answer").alias("explanation"))
+    out = answer_questions(spark, sf, questions, stored_queries=stored, k_queries=0)  # misses are asked without similar questions
+    return out.select("original_question", "from_vector_store", "success", "query",
+                      F.when(F.col("from_vector_store"), F.col("explanation")).otherwise("not stored").alias("explanation"), F.array_join("preview", "\n").alias("preview"))
+
+
 def _recipe_questions(spark, sf) -> DataFrame:
     ev = read_table(spark, sf, "events").select("event_type").distinct().select(
         F.concat(F.lit("How many "), F.col("event_type"), F.lit(" events are there?")).alias("original_query"))

@@ -185,3 +185,51 @@ def sql_cte_scalar(spark, sf):
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select("n_name", "r_name", "n_cust", F.round("bal", 4).alias("bal")))
+
+
+@query("sql_outer_joins", ids="J5 J2", oracle="""
+SELECT n_name, s_name, CAST(coalesce(s_suppkey, -1) AS BIGINT) AS s_suppkey, side FROM (
+  SELECT n_name, s_name, s_suppkey, 'left' AS side FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000
+  UNION ALL
+  SELECT n_name, s_name, s_suppkey, 'right' FROM nation RIGHT JOIN supplier ON s_nationkey = n_nationkey AND n_regionkey = 1) u
+WHERE s_name IS NULL OR n_name IS NULL OR side = 'left'""")
+def sql_outer_joins(spark, sf):
+    """Left and right joins with a condition on the optional side, and IS NULL tests on their result."""
+    nation = read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sup = read_table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    same = F.col("s_nationkey") == F.col("n_nationkey")
+    left = nation.join(sup, same & (F.col("s_acctbal") > 5000), "left").withColumn("side", F.lit("left"))
+    right = nation.join(sup, same & (F.col("n_regionkey") == 1), "right").withColumn("side", F.lit("right"))
+    cols = ["n_name", "s_name", "s_suppkey", "side"]
+    both = left.select(cols).unionByName(right.select(cols))
+    return (both.where(F.col("s_name").isNull() | F.col("n_name").isNull() | (F.col("side") == "left"))
+            .withColumn("s_suppkey", F.coalesce("s_suppkey", F.lit(-1)).cast("bigint")))
+
+
+@query("sql_not_in_aggregates", ids="J2 J7 J8", oracle="""
+SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS least, min(o_orderdate) AS earliest
+FROM orders
+WHERE o_orderstatus NOT IN ('P', 'X') AND o_custkey IS NOT NULL AND NOT (o_totalprice IS NULL)
+GROUP BY o_orderpriority""")
+def sql_not_in_aggregates(spark, sf):
+    """NOT IN, IS (NOT) NULL, MIN and COUNT(DISTINCT)."""
+    o = read_table(spark, sf, "orders").where(~F.col("o_orderstatus").isin("P", "X") & F.col("o_custkey").isNotNull() & ~F.col("o_totalprice").isNull())
+    return o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"),
+                                            F.min("o_totalprice").alias("least"), F.min("o_orderdate").alias("earliest"))
+
+
+@query("sql_array_membership", ids="J3 J4", oracle="""
+WITH seen AS (SELECT user_id, list(DISTINCT event_type) AS types FROM events GROUP BY user_id),
+kinds AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT s.user_id, k.event_type, k.n FROM seen s JOIN kinds k ON list_contains(s.types, k.event_type)
+WHERE list_contains(s.types, 'click') AND NOT list_contains(s.types, 'no_such_type')""")
+def sql_array_membership(spark, sf):
+    """Membership in an array column as a filter and as a join condition.
+
+    The join explodes the (short, distinct) array and equi-joins its elements, instead of testing every pair.
+    """
+    ev = read_table(spark, sf, "events")
+    seen = ev.groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
+    seen = seen.where(F.array_contains("types", "click") & ~F.array_contains("types", "no_such_type"))
+    kinds = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select("user_id", F.explode("types").alias("event_type")).join(kinds, "event_type").select("user_id", "event_type", "n")
