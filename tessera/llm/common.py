@@ -71,6 +71,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back(*_) -> None:
+    """Return freed memory to the system: Python workers live on and later stages need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
+def giving_back(rows):
+    """Pass rows on and give memory back when they end."""
+    yield from rows
+    give_back()
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string or binary array, without copying (nulls are empty)."""
     import pyarrow as pa

@@ -28,19 +28,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, prepare, row_blocks, stored, temp, text_buffer
+from tessera.llm.common import give_back, giving_back, mix64, prepare, row_blocks, stored, temp, text_buffer
 
 LENGTH = 50
 GRAM = 16
 #: places of one anchor above which its windows are dealt one by one
 HOT = 20_000
+#: records of a group that are compared two by two
+FEW = 12
 #: anchors, records and text bytes of one group of work
-ANCHORS, RECORDS, TEXT_BYTES = 3_000_000, 150_000, 8_000_000
+ANCHORS, RECORDS, TEXT_BYTES = 1_500_000, 100_000, 8_000_000
+#: documents whose anchors are dealt out together
+BATCH_ROWS = 2500
 _SPAN = 1 << 21
+_TABLE = _SPAN + 4096
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
+def _last(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -53,7 +63,7 @@ _TABLES: dict[str, np.ndarray] = {}
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     if not _TABLES:
-        n = _SPAN + 4096
+        n = _TABLE
         _TABLES.update(up=_powers(_BASE, n), down=_powers(pow(_BASE, -1, 1 << 64), n))
     return _TABLES["up"], _TABLES["down"]
 
@@ -143,7 +153,7 @@ ANCHOR_ROWS = "bucket bigint, keys binary, ids binary, counts binary, places bin
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per batch and bucket: 5-byte remainders of the anchors' hashes, the documents that hold them, and their places."""
-    for batch in batches:
+    for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
         ids = batch.column(0).to_numpy().view(np.uint64)
         row, place, _, _, gram = anchors(*text_buffer(batch.column(1)), length)
         key = _key(gram)
@@ -201,6 +211,18 @@ def _context_hash(around: np.ndarray, low: np.ndarray, high: np.ndarray, key: np
     return mix64(total ^ key) + mix64((low * 65536 + high).astype(np.uint64))
 
 
+def _first_of_equal(around: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, rank: np.ndarray, code: np.ndarray | None = None) -> np.ndarray:
+    """For each record the one of the smallest document with the same key and surroundings (itself, if none is equal byte by byte)."""
+    code = _context_hash(around, low, high, key) if code is None else code
+    order = np.lexsort((rank, code))
+    starts = _runs(code[order])
+    lead = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    same = (around[order] == around[lead]).all(1) & (low[order] == low[lead]) & (high[order] == high[lead]) & (key[order] == key[lead])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(same, lead, order)
+    return out
+
+
 def _around(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """Bytes of the windows ``low`` to ``high`` (relative to the anchor), one row each, zero elsewhere; the anchor is at column length - GRAM."""
     left = length - GRAM
@@ -252,12 +274,7 @@ def _record_rows(texts: pa.Table, shared: pa.Table, length: int, buckets: int) -
         h = _context_hash(c, lo, hi, np.where(one, np.uint64(1), k))
         k[one] = mix64(h[one])
         # equal surroundings: only the smallest document's need to be compared with the others'
-        order = np.lexsort((rank[r], h))
-        starts = _runs(h[order])
-        lead = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-        same = (c[order] == c[lead]).all(1) & (lo[order] == lo[lead]) & (hi[order] == hi[lead]) & (k[order] == k[lead])
-        gone = np.zeros(len(order), bool)
-        gone[order] = same & (rank[r[order]] > rank[r[lead]])
+        gone = rank[r] > rank[r[_first_of_equal(c, lo, hi, k, rank[r], h)]]
         sent = np.flatnonzero(~gone)
         for whole, members in ((False, sent), (True, np.flatnonzero(gone))):
             to = (k[members] >> np.uint64(40)) % np.uint64(buckets) if not whole else np.full(len(members), int(own[0] % np.uint64(buckets)), np.uint64)
@@ -268,7 +285,7 @@ def _record_rows(texts: pa.Table, shared: pa.Table, length: int, buckets: int) -
                 inside = (col[None, :] >= lo[at][:, None]) & (col[None, :] < hi[at][:, None] + length)
                 out.append({"bucket": bucket, "whole": whole, "keys": b"" if whole else k[at].tobytes(), "low": lo[at].astype(np.int16).tobytes(),
                             "high": hi[at].astype(np.int16).tobytes(), "of": of_doc.astype(np.uint32).tobytes(), "place": p[at].astype(np.uint32).tobytes(),
-                            "ids": own[docs].tobytes(), "ranks": rank[docs].tobytes(), "bytes": b"" if whole else c[at][inside].tobytes()})
+                            "ids": own[docs].tobytes(), "ranks": rank[docs].tobytes(), "bytes": b"" if whole else pa.compress(c[at][inside].tobytes(), "zstd", asbytes=True)})
     return pa.Table.from_pylist(out, schema=_RECORD_SCHEMA) if out else empty
 
 
@@ -293,6 +310,17 @@ class _Suffixes:
             lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
         return lo
 
+    def common_left(self, x: np.ndarray, y: np.ndarray, col: int, most: np.ndarray) -> np.ndarray:
+        """Longest common extension of records x and y to the left of a column, at most ``most`` each."""
+        a, b = x * self.width + col, y * self.width + col
+        base = self.sums[a] - self.sums[b]
+        lo, hi = np.zeros(len(x), np.int64), most.astype(np.int64)
+        for _ in range(int(col).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = self.sums[a - mid] - self.sums[b - mid] == base
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, np.maximum(mid - 1, lo))
+        return lo
+
     def before(self, x: np.ndarray, y: np.ndarray, col: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether suffix x comes before suffix y; equal suffixes do where ``ties``."""
         far = self.common(x, y, col)
@@ -344,7 +372,54 @@ def merge_sort(suffixes: _Suffixes, record: np.ndarray, col: np.ndarray, start:
 
 
 def repeated_windows(around: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """For each record and window column, whether a smaller document of its group has the same window."""
+    """For each record and window column, whether a smaller document of its group has the same window.
+
+    Records of a group are neighbours. Windows are sorted as suffixes, except in groups of a few records: there the common
+    extensions of two records' anchors, to the right and to the left, tell all windows that they share.
+    """
+    size = np.bincount(group)[group]
+    few = size <= FEW
+    gone = np.zeros((len(around), length - GRAM + 1), bool)
+    for at, how in ((np.flatnonzero(few & (size > 1)), _by_extension), (np.flatnonzero(~few), _by_suffix_sort)):
+        if len(at):
+            gone[at] = how(around[at], group[at], low[at], high[at], rank[at], length)
+    return gone
+
+
+def _by_extension(around: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Windows that each record shares with a smaller document's record, at most FEW - 1 comparisons for a record."""
+    left = length - GRAM
+    suffixes = _Suffixes(around, length)
+    edges = np.zeros((len(around), left + 2), np.int64)
+    for step in range(1, FEW):
+        x = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
+        y = x + step
+        some = rank[x] != rank[y]
+        x, y = x[some], y[some]
+        x, y = np.where(rank[x] > rank[y], x, y), np.where(rank[x] > rank[y], y, x)  # x may lose windows to y
+        first, last = np.maximum(low[x], low[y]) + left, np.minimum(high[x], high[y]) + left
+        some = first <= last
+        x, y, first, last = x[some], y[some], first[some], last[some]
+        if not len(x):
+            continue
+        right = suffixes.common(x, y, np.full(len(x), left))
+        begin = np.maximum(first, left - suffixes.common_left(x, y, left, left - first))
+        end = np.minimum(last, left + right - length)  # column of the last shared window
+        some = begin <= end
+        x, y, begin, end = x[some], y[some], begin[some], end[some]
+        col = np.arange(around.shape[1])
+        inside = (col[None, :] >= begin[:, None]) & (col[None, :] < end[:, None] + length)
+        true = ((around[x] == around[y]) | ~inside).all(1)  # equal hashes, equal bytes
+        np.add.at(edges, (x[true], begin[true]), 1)
+        np.add.at(edges, (x[true], end[true] + 1), -1)
+        if not true.all():  # a hash collision: those records are sorted, with every comparison checked
+            odd = np.isin(group, group[x[~true]])
+            edges[odd] = 0
+            edges[odd, :-1] = np.diff(_by_suffix_sort(around[odd], group[odd], low[odd], high[odd], rank[odd], length).astype(np.int64), prepend=0, axis=1)
+    return np.cumsum(edges, axis=1)[:, :-1] > 0
+
+
+def _by_suffix_sort(around: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     left = length - GRAM
     gone = np.zeros((len(around), left + 1), bool)
     n = high - low + 1
@@ -386,12 +461,13 @@ def _span_rows(table: pa.Table, length: int, parts: int) -> pa.Table:
         of = np.frombuffer(r["of"], np.uint32)
         low, high = (np.frombuffer(r[c], np.int16).astype(np.int64) for c in ("low", "high"))
         place, doc = np.frombuffer(r["place"], np.uint32).astype(np.int64), np.frombuffer(r["ids"], np.uint64)[of]
+        raw = b"" if r["whole"] else pa.decompress(r["bytes"], int((high - low + length).sum()), "zstd", asbytes=True)
         if r["whole"]:
             ids.append(doc)
             starts.append(place + low)
             ends.append(place + high + length)
         else:
-            for f, v in zip(fields, (np.frombuffer(r["keys"], np.uint64), low, high, place, doc, np.frombuffer(r["ranks"], np.int64)[of], np.frombuffer(r["bytes"], np.uint8))):
+            for f, v in zip(fields, (np.frombuffer(r["keys"], np.uint64), low, high, place, doc, np.frombuffer(r["ranks"], np.int64)[of], np.frombuffer(raw, np.uint8))):
                 f.append(v)
     if fields[0]:
         key, low, high, place, doc, rank, raw = (np.concatenate(f) for f in fields)
@@ -416,7 +492,14 @@ def _span_rows(table: pa.Table, length: int, parts: int) -> pa.Table:
             many = hi - lo + length
             around = np.zeros((len(at), left + length), np.uint8)
             around[inside] = raw[np.repeat(ends_at[at] - many - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            gone = repeated_windows(around, np.repeat(np.arange(b - a), n), lo, hi, rank[at], length)
+            # equal surroundings: the smallest document's stand for all
+            lead = _first_of_equal(around, lo, hi, key[at], rank[at])
+            whole = rank[at] > rank[at[lead]]
+            ids.append(doc[at[whole]])
+            starts.append(place[at[whole]] + lo[whole])
+            ends.append(place[at[whole]] + hi[whole] + length)
+            at, lo, hi, around, group = at[~whole], lo[~whole], hi[~whole], around[~whole], np.repeat(np.arange(b - a), n)[~whole]
+            gone = repeated_windows(around, group, lo, hi, rank[at], length)
             edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             of, first = np.nonzero(edge == 1)
             _, last = np.nonzero(edge == -1)
@@ -468,12 +551,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     per_anchor = (length - GRAM + 2) / 2
     buckets = max(1, round(size / per_anchor / ANCHORS))
     parts = max(1, round(size / TEXT_BYTES))
-    found = rows.select("id", "text").mapInArrow(lambda batches: _anchor_rows(batches, length, buckets), ANCHOR_ROWS)
-    shared = stored(found.groupBy("bucket").applyInArrow(lambda t: _shared_rows(t, parts, hot), SHARED_ROWS), "shared")
+    found = rows.select("id", "text").mapInArrow(lambda batches: giving_back(_anchor_rows(batches, length, buckets)), ANCHOR_ROWS)
+    shared = stored(found.groupBy("bucket").applyInArrow(lambda t: _last(_shared_rows(t, parts, hot)), SHARED_ROWS), "shared")
     records = max(1, round((shared.agg(F.sum("n")).first()[0] or 0) / RECORDS))
     dealt = rows.withColumn("part", _unsigned_mod("id", parts))
-    made = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _record_rows(a, b, length, records), RECORD_ROWS)
-    spans = made.groupBy("bucket").applyInArrow(lambda t: _span_rows(t, length, parts), SPAN_ROWS)
+    made = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _last(_record_rows(a, b, length, records)), RECORD_ROWS)
+    spans = made.groupBy("bucket").applyInArrow(lambda t: _last(_span_rows(t, length, parts)), SPAN_ROWS)
     return stored(spans.groupBy("part").applyInArrow(_joined_spans, "id bigint, starts array<bigint>, ends array<bigint>"), "spans")
 
 
