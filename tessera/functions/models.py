@@ -11,7 +11,8 @@ import json
 import re
 
 _TABLE_RE = re.compile(r"^Table: (\S+)", re.M)
-_COLUMN_RE = re.compile(r"^- Column: (\S+)", re.M)
+_COLUMN_RE = re.compile(r"^\[field\] \w+\.(\w+) :", re.M)
+_DESCRIBED_RE = re.compile(r"^\[table\] (\w+) \(", re.M)
 _QUESTION_RE = re.compile(r"^Question: (.*)$", re.M)
 
 
@@ -23,7 +24,7 @@ def describe(prompts: list[str]) -> list[str | None]:
         if col:
             out.append(f"Values of {col.group(1).replace('_', ' ')}.")
             continue
-        tab = _TABLE_RE.search(p)
+        tab = _DESCRIBED_RE.search(p)
         if tab and "No foreign keys" not in p:
             out.append(f"Rows of {tab.group(1)} linked to other tables.")
         else:
