@@ -34,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, mix64, prepare, stored, temp, text_buffer
+from tessera.llm.common import WORD, giving_back, mix64, prepare, stored, temp, text_buffer
 from tessera.llm.shingles import shingle_sets
-from tessera.llm.suffixdedup import _runs, _split, _unsigned_mod
+from tessera.llm.suffixdedup import _last, _runs, _split, _unsigned_mod
 
 #: shingles, signatures, bytes of set elements and of text that one group of work holds
-SHINGLES, SIGNATURES, SET_BYTES, TEXT_BYTES = 4_000_000, 3_000_000, 8_000_000, 8_000_000
+SHINGLES, SIGNATURES, SET_BYTES, TEXT_BYTES = 1_500_000, 1_500_000, 8_000_000, 8_000_000
+#: documents whose elements are dealt out together
+BATCH_ROWS = 2500
+#: sets whose counts are summed in one group
+SETS = 50_000
 #: members of one leader that meet in one task
 CHUNK = 4096
 #: sets of one batch that share a shingle, above which it is counted in place
@@ -86,7 +90,7 @@ def sets_of(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "te
                                                  names=["doc_id", "id", "n", "key"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, id bigint, n bigint, key bigint")
+    return rows.mapInArrow(lambda b: giving_back(run(b)), f"doc_id {kind}, id bigint, n bigint, key bigint")
 
 
 _COUNTED = pa.schema([("bucket", pa.int64()), ("shared", pa.bool_()), ("elements", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -95,7 +99,7 @@ COUNTED_ROWS = "bucket bigint, shared boolean, elements binary, keys binary, cou
 
 def _element_rows(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per batch and bucket the elements of the sets; what many sets of the batch share is sent once and marked."""
-    for batch in batches:
+    for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
         elements, keys, seen = [], [], np.zeros(0, np.uint64)
         for _, _, starts, e, key in _text_sets(batch.column(0), k):
             new = np.zeros(len(key), bool)  # copies of one set are one set
@@ -133,8 +137,12 @@ def _element_rows(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> It
         yield pa.RecordBatch.from_pydict(out, schema=_COUNTED)
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """key and number of its elements, of one bucket, that another set holds too."""
+SHARED_ROWS = "part bigint, keys binary, counts binary"
+_SHARED = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _shared_counts(table: pa.Table, parts: int) -> pa.Table:
+    """Keys and the number of their elements, of one bucket, that another set holds too, by part of the sets."""
     elements, keys, done_keys, done_n, marked = [], [], [], [], []
     for shared, e, key, n in zip(*(table.column(c).to_pylist() for c in ("shared", "elements", "keys", "counts"))):
         key, n = np.frombuffer(key, np.uint64), np.frombuffer(n, np.uint32)
@@ -167,7 +175,20 @@ def _shared_counts(table: pa.Table) -> pa.Table:
         done_n.append(n)
     key = np.concatenate(done_keys) if done_keys else np.zeros(0, np.uint64)
     n = np.concatenate(done_n) if done_n else np.zeros(0, np.int64)
-    return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+    out: dict[str, list] = {c: [] for c in _SHARED.names}
+    for part, own in _split(key % np.uint64(parts)):
+        out["part"].append(part)
+        out["keys"].append(key[own].tobytes())
+        out["counts"].append(n[own].astype(np.uint32).tobytes())
+    return pa.table(out, schema=_SHARED)
+
+
+def _counts_of_sets(table: pa.Table) -> pa.Table:
+    """key and n, its shared elements over all buckets, of one part of the sets."""
+    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    keys, at = np.unique(key, return_inverse=True)
+    return pa.table({"key": pa.array(keys.view(np.int64)), "shared": pa.array(np.bincount(at, n, len(keys)).astype(np.int64))})
 
 
 def _open_sets(texts: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
@@ -398,19 +419,21 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     total = sets.agg(F.sum("n")).first()[0] or 0
     text = docs.select(_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     buckets = max(1, round(total / SHINGLES))
-    counted = text.select("text").mapInArrow(lambda b: _element_rows(b, k, buckets), COUNTED_ROWS)
-    counts = counted.groupBy("bucket").applyInArrow(_shared_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("shared"))
+    counted = text.select("text").mapInArrow(lambda b: giving_back(_element_rows(b, k, buckets)), COUNTED_ROWS)
+    set_parts = max(1, round(sets.count() / SETS))
+    shared = counted.groupBy("bucket").applyInArrow(lambda t: _last(_shared_counts(t, set_parts)), SHARED_ROWS)
+    counts = shared.groupBy("part").applyInArrow(_counts_of_sets, "key bigint, shared bigint")
     distinct = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     wanted = stored(distinct.join(counts, "key").filter(F.col("shared") * den >= F.col("n") * num).select("id", "n"), "open")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, round(size / TEXT_BYTES))
     by_part = text.withColumn("part", _unsigned_mod("id", parts)).groupBy("part")
     asked = wanted.withColumn("part", _unsigned_mod("id", parts)).groupBy("part")
-    held = stored(by_part.cogroup(asked).applyInArrow(lambda a, b: _open_sets(a, b, k), "key bigint, n bigint, elements binary"), "held")
+    held = stored(by_part.cogroup(asked).applyInArrow(lambda a, b: _last(_open_sets(a, b, k)), "key bigint, n bigint, elements binary"), "held")
     elements = held.agg(F.sum("n")).first()[0] or 0
     rate = 2 * 2 * (den - num) / (den + num)  # signatures of an element, about
     sig_buckets = max(1, round(elements * rate / SIGNATURES))
-    signed = held.select("key", "elements").mapInArrow(lambda b: _signature_rows(b, num, den, sig_buckets), SIGNATURE_ROWS)
+    signed = held.select("key", "elements").mapInArrow(lambda b: giving_back(_signature_rows(b, num, den, sig_buckets)), SIGNATURE_ROWS)
     pairs = stored(signed.groupBy("bucket").applyInArrow(_leaders, "leader bigint, member bigint").distinct(), "pairs")
     chunks = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("bigint").alias("chunks"))
     placed = pairs.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")))
@@ -419,7 +442,7 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     met = members.union(leads).join(held, "key")
     groups = max(1, round(8 * (pairs.count() * (elements / max(held.count(), 1))) / SET_BYTES))
     met = met.withColumn("group", F.pmod(F.xxhash64("leader", "chunk"), F.lit(groups)))
-    met = stored(met.groupBy("group").applyInArrow(lambda t: _meet(t, num, den), MET_ROWS), "met")
+    met = stored(met.groupBy("group").applyInArrow(lambda t: _last(_meet(t, num, den)), MET_ROWS), "met")
     links = met.filter("link IS NOT NULL").select(F.col("leader").alias("a"), F.col("link").alias("b"))
     apart = met.filter("member IS NOT NULL")
     if apart.limit(1).count():

@@ -112,7 +112,7 @@ def test_shared_by_many_sets_of_a_batch_is_still_counted(spark, monkeypatch):
     rows = list(enumerate(_near_copies(rng, 150)))
     table = pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})
     counted = pa.Table.from_batches(list(setjoin._element_rows(iter([table]), 3, 1)))
-    got = setjoin._shared_counts(counted).group_by("key").aggregate([("n", "sum")]).to_pylist()
+    got = setjoin._counts_of_sets(setjoin._shared_counts(counted, 4)).to_pylist()
     sets = {}
     for a, b, starts, e, key in setjoin._text_sets(table.column(0), 3):
         sets |= {int(k): set(e[s:t].tolist()) for k, s, t in zip(key.view(np.int64), starts, starts[1:]) if t > s}
@@ -121,7 +121,7 @@ def test_shared_by_many_sets_of_a_batch_is_still_counted(spark, monkeypatch):
         for x in s:
             holders.setdefault(x, set()).add(k)
     want = {k: n for k, s in sets.items() if (n := sum(len(holders[x]) > 1 for x in s))}
-    got = {r["key"]: r["n_sum"] for r in got}
+    got = {r["key"]: r["shared"] for r in got}
     assert set(got) == set(want) and all(got[k] >= n for k, n in want.items())
 
 
@@ -131,7 +131,7 @@ def test_odd_rows(spark, odd_docs):
     assert sorted([tuple(r) for r in got], key=repr) == _brute(rows, 5, 80, 100)
     kept = setjoin.one_of_each(odd_docs, 5, 80, 100)
     assert kept.columns == odd_docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, 4, None, 5, 6, 7, 8], key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, 4, None, 5, 6, 8], key=repr)  # 7 is 1 with a few words before it
 
 
 def test_empty(no_docs):
