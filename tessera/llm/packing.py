@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, stored
+from tessera.llm.common import giving_back, prepare, stored
 
 CAPACITY = 2048
 END_ID = 0
 #: pieces that share one rank counter; a length with more pieces gets several counters
 RANK_GROUP = 1024
-#: words whose ids a worker remembers
-CACHE_WORDS = 400_000
+#: words whose ids a task remembers
+CACHE_WORDS = 600_000
 
 _CACHE: dict[str, dict[str, bytes]] = {}
 _TOKENIZERS: dict[str, object] = {}
@@ -48,33 +48,44 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _CACHE[path] = {"": b""}
+        _CACHE[path] = {}
     return _TOKENIZERS[path], _CACHE[path]
 
 
+def _learn(words: list[str], path: str) -> None:
+    """Encode words together, as one text, and tell their ids apart by their places in it."""
+    tokenizer, cache = _tokenizer(path)
+    for at in range(0, len(words), 20_000):
+        part = words[at:at + 20_000]
+        starts = np.cumsum([0] + [len(w) + 1 for w in part])
+        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(got.ids, dtype="<u4").tobytes()
+        places = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids) // 4)
+        cuts = (4 * np.searchsorted(places, starts)).tolist()
+        cuts[-1] = len(ids)
+        cache.update((w, ids[cuts[i]:cuts[i + 1]]) for i, w in enumerate(part))
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins characters over a blank or a line break, so the
-    ids of a text are those of its words in turn; the words not yet known are encoded
-    together, as one text, and told apart by their places in it.
+    The tokenizer never joins characters over a blank or a line break, nor a letter and a following full stop
+    or comma, so the ids of a text are those of its words in turn. Words stay known until
+    ``CACHE_WORDS`` are; later ones are known for this call only.
     """
-    tokenizer, cache = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-        cache[""] = b""
+    _, cache = _tokenizer(path)
+    cache[""] = b""
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in cache})
-    for at in range(0, len(new), 20_000):
-        words = new[at:at + 20_000]
-        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        got = tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
-        places = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(places, np.append(starts, np.iinfo(np.int64).max))
-        for i, w in enumerate(words):
-            cache[w] = ids[cuts[i]:cuts[i + 1]].tobytes()
-    return [b"".join([cache[w] for w in words]) for words in split]
+    new = {w for words in split for w in words}.difference(cache)
+    ended = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
+    added = list(new.difference(ended).union(w[:-1] for w in ended).union(".,").difference(cache))
+    room = CACHE_WORDS - len(cache)
+    _learn(added, path)
+    cache.update((w, cache[w[:-1]] + cache[w[-1]]) for w in ended)
+    out = [b"".join([cache[w] for w in words]) for words in split]
+    for w in (added + ended)[max(0, room):]:
+        cache.pop(w, None)
+    return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY,
@@ -86,6 +97,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
         T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokenizer(path)[1].clear()
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -102,8 +114,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                     names=["doc_id", "start", "length", "ids_crc32"])
+        _tokenizer(path)[1].clear()  # the worker lives on
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: giving_back(run(b)), schema)
     return rows.select("doc_id", (F.col("start") / capacity).cast("int").alias("piece"), "start", "length", "ids_crc32")
 
 
