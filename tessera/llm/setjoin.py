@@ -453,7 +453,8 @@ def near_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
     labels = components(links).withColumnRenamed("node", "key")
     named = sets.join(labels, "key", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("label", "key")).otherwise(F.col("id")))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
-    smallest = named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component"), F.min_by("id", order).alias("keeper"))
+    # a written table, so that a class with a third of all rows can be split when it is joined
+    smallest = stored(named.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("component"), F.min_by("id", order).alias("keeper")), "smallest")
     joined = named.join(smallest, "class", "left")
     return joined.select("doc_id", "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"),
                          F.when(F.col("n") > 0, F.col("keeper")).otherwise(F.col("id")).alias("keeper"))
