@@ -284,32 +284,38 @@ class _Members:
         self.holders = holder[spots]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(self.tokens)))])
 
-    def lists(self, elements: np.ndarray) -> list[np.ndarray]:
-        """Members that hold each of the elements."""
+    def places(self, elements: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of those elements that some member holds."""
         at = np.searchsorted(self.tokens, elements)
         inside = at < len(self.tokens)
         at, elements = at[inside], elements[inside]
-        hit = at[self.tokens[at] == elements]
-        return [self.holders[self.begin[i]:self.begin[i + 1]] for i in hit]
+        return at[self.tokens[at] == elements]
 
     def answers(self, element_diff: np.ndarray, size: int) -> np.ndarray:
         """Members that link to a set, given its difference from the leader and its size."""
         a = len(element_diff)
         reach = int(most_apart(size + size * self.den // self.num, self.num, self.den))
-        lists = self.lists(element_diff)
-        near = np.zeros(0, np.int64)
+        lists = self.places(element_diff)
+        found = []
         if a <= reach:  # differences this small need not overlap at all
-            near = self.order[:np.searchsorted(self.count[self.order], reach - a, "right")]
+            found.append(self.order[:np.searchsorted(self.count[self.order], reach - a, "right")])
         need = max(1, a - reach)
-        rare = sorted(lists, key=len)[:max(0, len(lists) - need + 1)]
-        found = []
-        for members in rare:
+        length = self.begin[lists + 1] - self.begin[lists]
+        rare = lists[np.argsort(length, kind="stable")[:max(0, len(lists) - need + 1)]]
+        single = self.begin[rare + 1] - self.begin[rare] == 1
+        found.append(self.holders[self.begin[rare[single]]])
+        for i in rare[~single]:
+            members = self.holders[self.begin[i]:self.begin[i + 1]]
             sizes = self.count[members]
             found.append(members[np.searchsorted(sizes, max(0, a - reach)):np.searchsorted(sizes, a + reach, "right")])
-        hit = np.unique(np.concatenate(found + [near])) if found or len(near) else near
+        hit = np.unique(np.concatenate(found))
         if not len(hit):
             return hit
-        both = np.bincount(np.concatenate(lists), minlength=len(self.keys))[hit] if lists else np.zeros(len(hit), np.int64)
+        if len(hit) <= 4:
+            both = np.array([len(np.intersect1d(self.apart[h], element_diff, assume_unique=True)) for h in hit])
+        else:
+            held = [self.holders[self.begin[i]:self.begin[i + 1]] for i in lists] or [hit[:0]]
+            both = np.bincount(np.concatenate(held), minlength=len(self.keys))[hit]
         return hit[a + self.count[hit] - 2 * both <= most_apart(size + self.sizes[hit], self.num, self.den)]
 
 
