@@ -3,12 +3,16 @@
 Each token is predicted from the two tokens before and the two after it (the token itself is never an input); a document's
 score is the sum of the conditional log-probabilities of all its tokens.
 
-Tokens are lower-cased words. The vocabulary holds the corpus's most frequent words, counted over all documents, and hash
-classes for all other words. The output is a two-step softmax: the token's class, then its place in the class.
+Tokens are lower-cased words, counted over all documents. The vocabulary follows the corpus: it holds every word with at
+least tokens ** (2/3) / ``SPARSE`` occurrences (and at least the 768 most frequent), so it grows with the corpus. All other words
+fall into hash classes; the score of such a word is the class's log-probability plus log(count of the word / count of its
+class), from the written table of all counts (a word that training has not seen counts once). The output is a two-step
+softmax: the token's class, then its place in the class; both numbers grow with the vocabulary's square root.
 
 Training is data-parallel in numpy: in each round every partition improves the current weights on its own documents
 (every ``STRIDE``-th position; a document takes part in one round), and the partitions' weights are averaged, weighted by
-positions, as chunks of the weight vector that Spark groups and sums. What is gathered grows with the corpus.
+positions, as chunks of the weight vector that Spark groups and sums. What is gathered grows with the corpus: the word counts, the
+vocabulary and with it the weights. A round runs in ``TASKS`` tasks per core, each with one copy of the weights.
 
 Defined results: null and empty texts have no tokens and a log-probability of 0 (mean 0); ids play no part; repeated rows are
 scored alike; an untrained model (empty corpus) spreads probability evenly; an empty table gives an empty
@@ -17,6 +21,7 @@ result; columns are kept whatever their names.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,48 +34,79 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare, stored, temp
 
+#: the smallest output; ``shapes`` gives that of a vocabulary
 CLASSES, PLACES = 32, 32
 VOCABULARY = CLASSES * PLACES
 HASHED = 256
+#: the id beyond a document's ends; ids above it are words, too
 PAD = VOCABULARY
+#: a word of the vocabulary has at least tokens ** (2/3) / SPARSE occurrences
+SPARSE = 1600
 SIDE = 2
 WIDTH, HIDDEN = 12, 24
 STRIDE, ROUNDS, BATCH = 8, 2, 2048
+#: tokens that are scored together, and rows of a softmax that are computed together
+SCORED, BLOCK = 16_384, 512
 RATE = 0.05
 #: words a task counts before it passes them on
 COUNTED = 400_000
-CHUNKS = 16
+#: weights of one chunk, at most
+CHUNK = 1 << 18
+TASKS = 2
 
-SHAPES = {"E": (VOCABULARY + 1, WIDTH), "W": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "C": (HIDDEN, CLASSES), "c": (CLASSES,),
-          "M": (CLASSES, HIDDEN, PLACES), "m": (CLASSES, PLACES)}
 
+def shapes(words: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights for a vocabulary of so many words: as many classes as places, with room for all units."""
+    side = max(CLASSES, math.isqrt(words + HASHED - 1) + 1)
+    return {"E": (side * side + 1, WIDTH), "W": (2 * SIDE * WIDTH, HIDDEN), "b": (HIDDEN,), "C": (HIDDEN, side), "c": (side,),
+            "M": (side, HIDDEN, side), "m": (side, side)}
 
-def _unpack(vector: np.ndarray) -> dict[str, np.ndarray]:
+
+def size_of(shape: dict[str, tuple[int, ...]]) -> int:
+    return sum(math.prod(s) for s in shape.values())
+
+
+SHAPES = shapes(0)
+SIZE = size_of(SHAPES)
+
+
+def _unpack(vector: np.ndarray, shape: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[k] = vector[at:at + n].reshape(shape)
+    for k, s in shape.items():
+        n = math.prod(s)
+        out[k] = vector[at:at + n].reshape(s)
         at += n
     return out
 
 
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+def _id(rank: int) -> int:
+    """Id of the word of a rank: the ids of the hash classes and of ``PAD`` are left out."""
+    return rank if rank < VOCABULARY - HASHED else rank + HASHED + 1
+
+
+def _units(target: np.ndarray) -> np.ndarray:
+    """Output units of ids: ``PAD`` has none."""
+    return target - (target > PAD)
 
 
 @dataclass
 class WindowModel:
     ids: dict[str, int]
     vector: np.ndarray
+    #: word, n of all words outside the vocabulary; not sent to tasks
+    rare: DataFrame | None = None
+    #: occurrences of each hash class
+    class_counts: list[int] = field(default_factory=lambda: [0] * HASHED)
     _w: dict = field(default_factory=dict)
 
     @property
     def w(self) -> dict[str, np.ndarray]:
         if not self._w:
-            self._w.update(_unpack(self.vector))
+            self._w.update(_unpack(self.vector, shapes(len(self.ids))))
         return self._w
 
     def __getstate__(self):
-        return {"ids": self.ids, "vector": self.vector, "_w": {}}
+        return {"ids": self.ids, "vector": self.vector, "rare": None, "class_counts": self.class_counts, "_w": {}}
 
     def tokens(self, text: str | None) -> np.ndarray:
         get, first = self.ids.get, VOCABULARY - HASHED
@@ -94,57 +130,96 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _log_softmax_at(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One column of each row of ``_log_softmax(h @ weight + bias)``, in blocks of rows that stay in the cache."""
+    out = np.empty(len(h), h.dtype)
+    for a in range(0, len(h), BLOCK):
+        z = h[a:a + BLOCK] @ weight
+        z += bias
+        z -= z.max(1, keepdims=True)
+        out[a:a + BLOCK] = z[np.arange(len(z)), at[a:a + BLOCK]]
+        out[a:a + BLOCK] -= np.log(np.exp(z, out=z).sum(1))
+    return out
+
+
+def _softmax_gradients(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the summed negative ``_log_softmax_at`` over ``n``: by ``h``, ``weight`` and ``bias``."""
+    dh, dw, db = np.empty_like(h), np.zeros_like(weight), np.zeros_like(bias)
+    for a in range(0, len(h), BLOCK):
+        part = h[a:a + BLOCK]
+        z = part @ weight
+        z += bias
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= n * z.sum(1, keepdims=True)
+        z[np.arange(len(z)), at[a:a + BLOCK]] -= 1 / n
+        dh[a:a + BLOCK] = z @ weight.T
+        dw += part.T @ z
+        db += z.sum(0)
+    return dh, dw, db
+
+
 def log_probabilities(w: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log P(target | context): class, then place in the class."""
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), 8192):
-        t, x = target[a:a + 8192], w["E"][around[a:a + 8192]].reshape(-1, 2 * SIDE * WIDTH)
+    classes, places = w["m"].shape
+    for a in range(0, len(target), SCORED):
+        t, x = _units(target[a:a + SCORED]), w["E"][around[a:a + SCORED]].reshape(-1, 2 * SIDE * WIDTH)
         h = np.tanh(x @ w["W"] + w["b"])
-        kind, place = t // PLACES, t % PLACES
-        lp = _log_softmax(h @ w["C"] + w["c"])[np.arange(len(t)), kind]
+        kind, place = t // places, t % places
+        lp = _log_softmax_at(h, w["C"], w["c"], kind)
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        cuts = np.searchsorted(kind[order], np.arange(classes + 1)).tolist()
+        for k in range(classes):
             rows = order[cuts[k]:cuts[k + 1]]
             if len(rows):
-                lp[rows] += _log_softmax(h[rows] @ w["M"][k] + w["m"][k])[np.arange(len(rows)), place[rows]]
-        out[a:a + 8192] = lp
+                lp[rows] += _log_softmax_at(h[rows], w["M"][k], w["m"][k], place[rows])
+        out[a:a + SCORED] = lp
     return out
 
 
-def gradients(w: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-probability of a batch."""
+def _each_gradient(w: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
+    """Weight, place and gradient of every part that a batch touches; what was passed on may be changed at once."""
     n = len(target)
+    classes, places = w["m"].shape
     x = w["E"][around].reshape(n, -1)
     h = np.tanh(x @ w["W"] + w["b"])
-    kind, place, rows = target // PLACES, target % PLACES, np.arange(n)
-    dk = np.exp(_log_softmax(h @ w["C"] + w["c"]))
-    dk[rows, kind] -= 1
-    dk /= n
-    g = {"C": h.T @ dk, "c": dk.sum(0), "M": np.zeros(SHAPES["M"], np.float32), "m": np.zeros(SHAPES["m"], np.float32)}
-    dh = dk @ w["C"].T
+    unit = _units(target)
+    kind, place = unit // places, unit % places
+    dh, weight, bias = _softmax_gradients(h, w["C"], w["c"], kind, n)
+    yield "C", ..., weight
+    yield "c", ..., bias
     order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
+    cuts = np.searchsorted(kind[order], np.arange(classes + 1)).tolist()
+    for k in range(classes):
         r = order[cuts[k]:cuts[k + 1]]
         if len(r):
-            dp = np.exp(_log_softmax(h[r] @ w["M"][k] + w["m"][k]))
-            dp[np.arange(len(r)), place[r]] -= 1
-            dp /= n
-            g["M"][k], g["m"][k] = h[r].T @ dp, dp.sum(0)
-            dh[r] += dp @ w["M"][k].T
+            back, weight, bias = _softmax_gradients(h[r], w["M"][k], w["m"][k], place[r], n)
+            dh[r] += back
+            yield "M", k, weight
+            yield "m", k, bias
     dz = dh * (1 - h * h)
-    g["W"], g["b"] = x.T @ dz, dz.sum(0)
     dx = (dz @ w["W"].T).reshape(-1, WIDTH)
-    flat = around.ravel()
-    g["E"] = np.stack([np.bincount(flat, dx[:, i], VOCABULARY + 1) for i in range(WIDTH)], 1).astype(np.float32)
-    return g
+    yield "W", ..., x.T @ dz
+    yield "b", ..., dz.sum(0)
+    ids, flat = np.unique(around, return_inverse=True)
+    flat = flat.ravel()
+    yield "E", ids, np.stack([np.bincount(flat, dx[:, i], len(ids)) for i in range(WIDTH)], 1).astype(np.float32)
+
+
+def gradients(w: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean negative log-probability of a batch."""
+    out = {k: np.zeros_like(v) for k, v in w.items()}
+    for k, at, g in _each_gradient(w, target, around):
+        out[k][at] = g
+    return out
 
 
 def improve(model: WindowModel, texts: Iterator[str], shift: int) -> tuple[np.ndarray, int]:
     """Adagrad over every ``STRIDE``-th position of the texts; the improved weights and the positions used."""
-    vector = model.vector.copy()
-    w, seen, held, count = _unpack(vector), {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}, [], 0
+    vector, held, count = model.vector.copy(), [], 0
+    shape = shapes(len(model.ids))
+    w, seen = _unpack(vector, shape), {k: np.full(s, 1e-3, np.float32) for k, s in shape.items()}
     waiting = 0
 
     def step(docs: list[np.ndarray]) -> int:
@@ -153,9 +228,11 @@ def improve(model: WindowModel, texts: Iterator[str], shift: int) -> tuple[np.nd
         pick = np.arange(shift % STRIDE, len(target), STRIDE)
         for a in range(0, len(pick), BATCH):
             at = pick[a:a + BATCH]
-            for k, g in gradients(w, target[at], around[at]).items():
-                seen[k] += g * g * len(at)
-                w[k] -= RATE * g * np.sqrt(len(at)) / np.sqrt(seen[k])
+            rate = np.float32(RATE * np.sqrt(len(at)))
+            for k, part, g in _each_gradient(w, target[at], around[at]):
+                now = seen[k][part] + g * g * np.float32(len(at))
+                seen[k][part] = now
+                w[k][part] -= rate * g / np.sqrt(now)
             used += len(at)
         return used
 
@@ -186,30 +263,47 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, seed: i
     """Learn the vocabulary and the network from all documents."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    top = word_counts(texts).orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED).collect()
+    counts = stored(word_counts(texts), "words")
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    ranked = counts.orderBy(F.col("n").desc(), "word")
+    top = ranked.filter(F.col("n") >= tokens ** (2 / 3) / SPARSE).collect()
+    if len(top) < VOCABULARY - HASHED:
+        top = ranked.limit(VOCABULARY - HASHED).collect()
+    ids = {r["word"]: _id(i) for i, r in enumerate(top)}
+    beyond = counts.filter((F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"]))) if top else counts
+    classes = [0] * HASHED
+    for r in beyond.groupBy(_class(F.col("word")).alias("class")).agg(F.sum("n").alias("n")).collect():
+        classes[r["class"]] = r["n"]
     rng = np.random.default_rng(seed)
-    start = {k: rng.normal(0, 0.1, s) if k in "EWCM" else np.zeros(s) for k, s in SHAPES.items()}
-    model = WindowModel({r["word"]: i for i, r in enumerate(top)}, np.concatenate([start[k].ravel() for k in SHAPES]).astype(np.float32))
+    shape = shapes(len(ids))
+    vector = np.concatenate([(rng.normal(0, 0.1, math.prod(s)) if k in "EWCM" else np.zeros(math.prod(s))).astype(np.float32) for k, s in shape.items()])
+    model = WindowModel(ids, vector, beyond.select("word", "n"), classes)
+    chunks = -(-len(vector) // CHUNK)
     for turn in range(rounds):
         now = model
 
         def run(batches: Iterator[pd.DataFrame], now=now, turn=turn) -> Iterator[pd.DataFrame]:
             vector, n = improve(now, (t for b in batches for t in b["text"]), turn)
             if n:
-                parts = np.array_split(vector, CHUNKS)
-                yield pd.DataFrame({"chunk": range(CHUNKS), "n": [n] * CHUNKS, "part": [p.tobytes() for p in parts]})
+                for i, p in enumerate(np.array_split(vector, chunks)):
+                    yield pd.DataFrame({"chunk": [i], "n": [n], "part": [p.tobytes()]})
 
-        own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
         schema = "chunk bigint, n bigint, part binary"
         # partial averages first: no group gathers more than a share of the partitions
         learned = own.mapInPandas(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
         partial = learned.groupBy("chunk", "salt").applyInPandas(_averaged, schema)
         got = stored(partial.groupBy("chunk").applyInPandas(_averaged, schema), "weights").orderBy("chunk").collect()
         if got:
-            model = WindowModel(model.ids, np.concatenate([np.frombuffer(r["part"], np.float32) for r in got]))
+            model = WindowModel(ids, np.concatenate([np.frombuffer(r["part"], np.float32) for r in got]), model.rare, classes)
     return model
 
 
+def _class(word: Column) -> Column:
+    """Hash class of a word outside the vocabulary."""
+    return (F.crc32(word.cast("binary")) % HASHED).cast("int")
+
+
 def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
     """Average of one chunk of weights, weighted by positions."""
     rows = rows.sort_values(["n", "part"])
@@ -219,8 +313,8 @@ def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def pseudo_likelihood(model: WindowModel, text: Column) -> Column:
-    """struct(n_tokens, log_prob) of a text column."""
-    @F.pandas_udf("n_tokens bigint, log_prob double")
+    """struct(n_tokens, log_prob, rare) of a text column; ``rare``: its words outside the vocabulary, of which ``log_prob`` has the classes only."""
+    @F.pandas_udf("n_tokens bigint, log_prob double, rare array<string>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             n, lp, values = np.zeros(len(part), np.int64), np.zeros(len(part)), part.tolist()
@@ -229,14 +323,24 @@ def pseudo_likelihood(model: WindowModel, text: Column) -> Column:
                 n[at:at + 128] = [len(d) for d in docs]
                 each = log_probabilities(model.w, *contexts(docs)).astype(float)
                 lp[at:at + 128] = np.bincount(np.repeat(np.arange(len(docs)), n[at:at + 128]), each, len(docs))
-            yield pd.DataFrame({"n_tokens": n, "log_prob": lp})
+            rare = [[w for w in (t or "").lower().split() if w not in model.ids] for t in values]
+            yield pd.DataFrame({"n_tokens": n, "log_prob": lp, "rare": pd.Series(rare, dtype=object)})
     return run(text)
 
 
 def score(docs: DataFrame, model: WindowModel, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """The input's rows and columns plus n_tokens, log_prob and mean (per token), under the names returned."""
-    both = temp("lm")
+    both, row, word, share = temp("lm"), temp("row"), temp("word"), temp("share")
     out = {k: temp(k) for k in ("n_tokens", "log_prob", "mean")}
-    rows = docs.withColumn(both, pseudo_likelihood(model, F.col(text_col)))
+    rows = stored(docs.withColumn(both, pseudo_likelihood(model, F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "scored")
     n, lp = F.col(both)["n_tokens"], F.col(both)["log_prob"]
+    if model.rare is not None:
+        # words of a class share its probability by their counts; a word occurs less often than any of the vocabulary, so no key is hot
+        found = rows.select(F.col(row), F.explode(F.col(both)["rare"]).alias(word)).groupBy(row, word).agg(F.count(F.lit(1)).alias("times"))
+        found = found.join(model.rare.select(F.col("word").alias(word), "n"), word, "left")
+        known = F.get(F.array(*[F.lit(c).cast("bigint") for c in model.class_counts]), _class(F.col(word)))
+        part = F.log(F.coalesce("n", F.lit(1)) / (known + F.col("n").isNull().cast("int")))
+        shares = found.groupBy(row).agg(F.sum(F.col("times") * part).alias(share))
+        rows = rows.join(shares, row, "left")
+        lp = lp + F.coalesce(F.col(share), F.lit(0.0))
     return rows.select(*docs.columns, n.alias(out["n_tokens"]), lp.alias(out["log_prob"]), F.when(n > 0, lp / n).otherwise(0.0).alias(out["mean"])), out

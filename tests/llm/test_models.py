@@ -154,3 +154,61 @@ def test_corpus_counts_cover_every_document(spark):
     docs = spark.createDataFrame([(i, f"Common word{i % 3} x") for i in range(50)], "doc_id bigint, text string").repartition(6)
     got = {r["word"]: r["n"] for r in pseudolm.word_counts(docs.select("text")).collect()}
     assert got == {"common": 50, "x": 50, "word0": 17, "word1": 17, "word2": 16}
+
+
+def test_vocabulary_follows_the_corpus(spark):
+    """Words beyond the first 768 are told apart, and words of one hash class share its probability by their counts."""
+    small = [(i, f"a{i % 40} b{i % 40} a{i % 40}") for i in range(400)]
+    large = [(i, f"w{i % 3000} v{i % 3000} w{i % 3000}") for i in range(6000)]
+    sizes = []
+    for rows in (small, large):
+        model = pseudolm.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        sizes.append((len(model.ids), len(model.vector)))
+    assert sizes[0][0] == 80 and sizes[1][0] == 6000 and sizes[1][1] > 5 * sizes[0][1]
+    assert len({int(model.tokens(w)[0]) for w in model.ids}) == 6000 and pseudolm.PAD not in model.ids.values()
+
+
+def test_rare_words_share_their_class(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "SPARSE", 1)
+    rows = [(i, f"c{i % 800} c{i % 800} c{i % 800}") for i in range(1600)] + [(2000 + i, f"r{i} " * (1 + i % 3)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pseudolm.train(docs)
+    known = {}
+    for _, t in rows:
+        for w in t.split():
+            if w not in model.ids:
+                known[w] = known.get(w, 0) + 1
+    classes = [0] * pseudolm.HASHED
+    for w, n in known.items():
+        classes[int(model.tokens(w)[0]) - (pseudolm.VOCABULARY - pseudolm.HASHED)] += n
+    assert known and classes == model.class_counts
+    odd = spark.createDataFrame(rows[-30:] + [(1, "r4 never-seen r4 c1"), (1, "r4 never-seen r4 c1"), (2, None)], "doc_id bigint, text string")
+    got, c = pseudolm.score(odd, model)
+    for r in got.collect():
+        ids = model.tokens(r["text"])
+        want = float(pseudolm.log_probabilities(model.w, *pseudolm.contexts([ids])).astype(float).sum())
+        for w, i in zip((r["text"] or "").split(), ids.tolist()):
+            if w not in model.ids:
+                total = classes[i - (pseudolm.VOCABULARY - pseudolm.HASHED)]
+                want += np.log(known[w] / total) if w in known else np.log(1 / (total + 1))
+        assert r[c["log_prob"]] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_gradients_of_a_larger_vocabulary():
+    rng = np.random.default_rng(5)
+    shape = pseudolm.shapes(2000)
+    w = {k: rng.normal(0, 0.3, s) for k, s in shape.items()}
+    units = shape["m"][0] * shape["m"][1]
+    every = np.array([i for i in range(units + 1) if i != pseudolm.PAD])
+    around = rng.integers(0, units + 1, (1, 4)).astype(np.int32)
+    assert np.exp(pseudolm.log_probabilities(w, every, np.repeat(around, units, 0)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    target, around = rng.choice(every, 30).astype(np.int32), rng.integers(0, units + 1, (30, 4)).astype(np.int32)
+    g = pseudolm.gradients(w, target, around)
+    for k in shape:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        loss = []
+        for d in (1e-3, -2e-3):
+            w[k][at] += d
+            loss.append(-pseudolm.log_probabilities(w, target, around).astype(float).mean())
+        w[k][at] += 1e-3
+        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[k][at], rel=5e-2, abs=1e-4)
