@@ -12,6 +12,8 @@ every column may swap slots); an empty table gives an empty result; further colu
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -66,18 +68,25 @@ def _learn(words: list[str], path: str) -> None:
         cache.update((w, ids[cuts[i]:cuts[i + 1]]) for i, w in enumerate(part))
 
 
+@functools.cache
+def _stays_letter(c: str) -> bool:
+    """Whether a character is a letter, and its composed lower-case form ends in one."""
+    return c.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())[-1].isalpha()
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins characters over a blank or a line break, nor a letter and a following full stop
-    or comma, so the ids of a text are those of its words in turn. Words stay known until
+    or comma, so the ids of a text are those of its words in turn. (Letters that its normalizer turns into a letter
+    and a combining mark do join: such words are encoded whole.) Words stay known until
     ``CACHE_WORDS`` are; later ones are known for this call only.
     """
     _, cache = _tokenizer(path)
     cache[""] = b""
     split = [t.replace("\n", " ").split(" ") for t in texts]
     new = {w for words in split for w in words}.difference(cache)
-    ended = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
+    ended = [w for w in new if w[-1] in ".," and len(w) > 1 and _stays_letter(w[-2])]
     added = list(new.difference(ended).union(w[:-1] for w in ended).union(".,").difference(cache))
     room = CACHE_WORDS - len(cache)
     _learn(added, path)

@@ -51,6 +51,13 @@ def test_word_cache_is_exact(monkeypatch):
             assert np.frombuffer(raw, "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
 
 
+def test_letters_that_become_marks_are_not_cut_off():
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["TARİHİ.", "abcİ.", "abcİ,", "घोड\u095c,", "বা\u09df,", "ש\ufb2a.", "ab\u0958. ab\u0958, x"]
+    for x, raw in zip(texts, packing.encode_texts(texts, packing.default_tokenizer())):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
+
+
 def _best_fit(lengths, capacity):
     """Sequences that best fit decreasing opens, document by document."""
     room = []
