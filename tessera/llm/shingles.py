@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 from tessera.llm.common import mix64, row_blocks
-from tessera.llm.suffixdedup import _SPAN, _VALUE, _tables
+from tessera.llm.suffixdedup import _BASE, _SPAN, _VALUE, _tables
 
 BITS = 52
 _ROWS = 1 << (64 - BITS)
@@ -18,13 +18,14 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """row and hash of every word (a run of bytes that are not ASCII white space, A-Z read as a-z)."""
+    """row and hash of every word (a run of bytes that are not ASCII white space, A-Z read as a-z).
+
+    The bytes are read in parts of ``_SPAN``; a word that goes on in the next part is carried over, so words of any length stay whole.
+    """
     up, down = _tables()
-    rows, hashes, at, end = [], [], 0, len(data)
+    rows, hashes, at, end, open_word = [], [], 0, len(data), None
     while at < end:
         stop = min(end, at + _SPAN)
-        while stop < end and not _SPACE[data[stop - 1]] and stop - at < _SPAN + 4000:  # end a part at white space
-            stop += 1
         part = _LOWER[data[at:stop]]
         word = ~_SPACE[part]
         edge = np.zeros(len(part) + 1, bool)
@@ -35,8 +36,17 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_VALUE[part] * up[:len(part)], out=sums[1:])
-        rows.append(np.searchsorted(offsets, s + at, "right") - 1)
-        hashes.append(mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        row, code, size = np.searchsorted(offsets, s + at, "right") - 1, (sums[e] - sums[s]) * down[s], (e - s).astype(np.uint64)
+        if open_word:  # the first word began in an earlier part: its hash moves up by the bytes before
+            before, length = open_word
+            code[:1] = before + code[:1] * np.uint64(pow(_BASE, length, 1 << 64))
+            size[:1] += np.uint64(length)
+            open_word = None
+        if stop < end and word[-1] and not _SPACE[data[stop]] and offsets[np.searchsorted(offsets, stop)] != stop:
+            open_word = code[-1:], int(size[-1])
+            row, code, size = row[:-1], code[:-1], size[:-1]
+        rows.append(row)
+        hashes.append(mix64(code + size))
         at = stop
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)

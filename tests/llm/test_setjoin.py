@@ -158,3 +158,18 @@ def test_shingles_of_long_words_and_parts(monkeypatch):
         for _, _, starts, _ in shingle_sets(*text_buffer(column), k):
             sizes += np.diff(starts).tolist()
         assert sizes == [len(_set(t, k)) for t in texts]
+
+
+def test_words_longer_than_a_part_stay_whole(monkeypatch):
+    from tessera.llm import shingles
+
+    rng = random.Random(10)
+    long = "".join(rng.choice("aBcdé漢") for _ in range(6000))  # more than _SPAN + 4000 bytes
+    texts = [long, f"x {long} {long.swapcase()} {long}y z", "q" * 64, "q" * 128 + " r", long[:90], "", f"{long}\n"]
+    want = [len(_set(t, 3)) for t in texts]
+    monkeypatch.setattr(shingles, "_SPAN", 64)
+    cut = list(shingle_sets(*text_buffer(pa.array(texts)), 3))
+    assert [n for _, _, starts, _ in cut for n in np.diff(starts).tolist()] == want and want[0] == 1
+    monkeypatch.setattr(shingles, "_SPAN", 1 << 21)
+    whole = list(shingle_sets(*text_buffer(pa.array(texts)), 3))
+    assert np.concatenate([keys for *_, keys in cut]).tolist() == np.concatenate([keys for *_, keys in whole]).tolist()
