@@ -10,7 +10,7 @@ class), from the written table of all counts (a word that training has not seen
 softmax: the token's class, then its place in the class; both numbers grow with the vocabulary's square root.
 
 Training is data-parallel in numpy: in each round every partition improves the current weights on its own documents
-(every ``STRIDE``-th position; a document takes part in one round), and the partitions' weights are averaged, weighted by
+(every position; a document takes part in one round), and the partitions' weights are averaged, weighted by
 positions, as chunks of the weight vector that Spark groups and sums. What is gathered grows with the corpus: the word counts, the
 vocabulary and with it the weights. A round runs in ``TASKS`` tasks per core, each with one copy of the weights.
 
@@ -44,7 +44,7 @@ PAD = VOCABULARY
 SPARSE = 1600
 SIDE = 2
 WIDTH, HIDDEN = 12, 24
-STRIDE, ROUNDS, BATCH = 8, 2, 2048
+ROUNDS, BATCH = 2, 16_384
 #: tokens that are scored together, and rows of a softmax that are computed together
 SCORED, BLOCK = 16_384, 512
 RATE = 0.05
@@ -215,8 +215,8 @@ def gradients(w: dict[str, np.ndarray], target: np.ndarray, around: np.ndarray)
     return out
 
 
-def improve(model: WindowModel, texts: Iterator[str], shift: int) -> tuple[np.ndarray, int]:
-    """Adagrad over every ``STRIDE``-th position of the texts; the improved weights and the positions used."""
+def improve(model: WindowModel, texts: Iterator[str], turn: int) -> tuple[np.ndarray, int]:
+    """Adagrad over every position of the texts, in an order drawn from ``turn``; the improved weights and the positions used."""
     vector, held, count = model.vector.copy(), [], 0
     shape = shapes(len(model.ids))
     w, seen = _unpack(vector, shape), {k: np.full(s, 1e-3, np.float32) for k, s in shape.items()}
@@ -225,7 +225,7 @@ def improve(model: WindowModel, texts: Iterator[str], shift: int) -> tuple[np.nd
     def step(docs: list[np.ndarray]) -> int:
         target, around = contexts(docs)
         used = 0
-        pick = np.arange(shift % STRIDE, len(target), STRIDE)
+        pick = np.random.default_rng(turn).permutation(len(target))
         for a in range(0, len(pick), BATCH):
             at = pick[a:a + BATCH]
             rate = np.float32(RATE * np.sqrt(len(at)))
@@ -239,7 +239,7 @@ def improve(model: WindowModel, texts: Iterator[str], shift: int) -> tuple[np.nd
     for t in texts:
         held.append(model.tokens(t))
         waiting += len(held[-1])
-        if waiting > STRIDE * BATCH * 4:
+        if waiting > BATCH * 4:
             count += step(held)
             held, waiting = [], 0
     return vector, count + step(held)

@@ -212,3 +212,10 @@ def test_gradients_of_a_larger_vocabulary():
             loss.append(-pseudolm.log_probabilities(w, target, around).astype(float).mean())
         w[k][at] += 1e-3
         assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[k][at], rel=5e-2, abs=1e-4)
+
+
+def test_every_position_is_a_target():
+    texts = ["a b c d e f g", "", "h", " ".join("abcdefgh"[i % 8] for i in range(1000))]
+    model = pseudolm.WindowModel({w: i for i, w in enumerate("abcdefgh")}, np.random.default_rng(2).normal(0, 0.1, pseudolm.SIZE).astype(np.float32))
+    for turn in (0, 1):
+        assert pseudolm.improve(model, iter(texts), turn)[1] == 7 + 1 + 1000
