@@ -147,3 +147,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"""list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda t: length(t) > 0)"""
+
+
+@query("op11_decontaminate", rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS t FROM documents),
+i AS (SELECT item_id, {_WORDS.format(text="text")} AS t FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(t), 10) AS k, array_to_string(t[s:s + least(len(t), 10) - 1], ' ') AS win
+      FROM (SELECT item_id, t, unnest(range(1, len(t) - least(len(t), 10) + 2)) AS s FROM i WHERE len(t) > 0)),
+g AS (SELECT doc_id, s, k, array_to_string(t[s:s + k - 1], ' ') AS win
+      FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w) WHERE len(t) >= k)),
+o AS (SELECT g.doc_id, g.s, g.k, w.item_id FROM g JOIN w ON g.k = w.k AND g.win = w.win),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS x FROM o) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM o WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""")
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.wumanber import n_hit, occurrences
+
+    rows, c = occurrences(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hit, items = n_hit(F.col(c["spans"])), F.col(c["items"])
+    return rows.select("doc_id", F.col(c["n_words"]).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+                       F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
