@@ -174,3 +174,55 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit, items = n_hit(F.col(c["spans"])), F.col(c["items"])
     return rows.select("doc_id", F.col(c["n_words"]).alias("n_words"), hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
                        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_TERMS = r"""list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: length(t) > 0)"""
+
+
+@query("op13_lexical_search", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_TERMS}, []) AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+x AS (SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), x),
+m AS (SELECT r, doc_id, 100 - 50 + (CAST(50 * len(t) AS BIGINT) * nd) // l AS m FROM d, x WHERE len(t) > 0),
+c AS (SELECT f.r, f.term, w.w * ((1000000000 * tf) // (1000 * tf + 20 * m.m)) AS v FROM f JOIN w ON w.term = f.term JOIN m ON m.r = f.r),
+s AS (SELECT q.item_id, c.r, CAST(sum(v) AS BIGINT) AS score FROM q JOIN c ON c.term = q.term GROUP BY q.item_id, c.r),
+k AS (SELECT s.item_id, m.doc_id, score, row_number() OVER (PARTITION BY s.item_id ORDER BY score DESC, m.doc_id NULLS LAST) AS rank
+      FROM s JOIN m ON m.r = s.r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lexsearch import search
+
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+r AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  GROUP BY doc_id, run HAVING length(run) >= 6),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END)) AS y FROM r),
+h AS (SELECT run, n, xor(list_reduce(y, lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INTEGER)) || substr(word, CAST(i + 1 AS INTEGER)) AS less FROM i),
+p AS (SELECT DISTINCT word, near, near_n FROM (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION ALL SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word
+  UNION ALL SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word)),
+f AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS best FROM p GROUP BY word),
+l AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * w.n THEN best.near END AS form,
+        CASE WHEN -best.less >= 5 * w.n THEN -best.less END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+c AS (SELECT word, word AS root, 0 AS d FROM l UNION ALL SELECT c.word, l.form, d + 1 FROM c JOIN l ON l.word = c.root WHERE l.form IS NOT NULL)
+SELECT l.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM l JOIN (SELECT word, arg_max(root, d) AS root FROM c GROUP BY word) e ON e.word = l.word""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import variants
+
+    return variants(read_table(spark, sf_dir, "documents"))
