@@ -10,14 +10,16 @@ execution submits one Spark job per *distinct* generated statement.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,7 +164,8 @@ def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
     fail the stage; Spark task retry covers lost executors. Calls must be
     idempotent because a retried task calls again.
     """
-    prompts = df.select(F.col(prompt_col).alias("_prompt")).where(F.col("_prompt").isNotNull()).distinct()
+    key = F.sha2(F.col(prompt_col), 256)  # prompts are long: rows meet on digests
+    prompts = df.where(F.col(prompt_col).isNotNull()).groupBy(key.alias("_key")).agg(F.first(prompt_col).alias("_prompt"))
 
     def ask(texts):
         for i in range(attempts):
@@ -182,11 +185,10 @@ def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
             res = ask(texts)
             if res is None:  # find the prompts that fail: the others keep their answers
                 res = [None] if len(texts) == 1 else [(ask([t]) or [None])[0] for t in texts]
-            yield pd.DataFrame({"_prompt": texts, "_answer": res})
+            yield pd.DataFrame({"_key": pdf["_key"], "_answer": res})
 
-    answers = prompts.mapInPandas(run, "_prompt string, _answer string")
-    return (df.join(answers, df[prompt_col] == answers["_prompt"], "left")
-            .drop("_prompt").withColumnRenamed("_answer", out_col))
+    answers = prompts.mapInPandas(run, "_key string, _answer string")
+    return df.join(answers, key == answers["_key"], "left").drop("_key").withColumnRenamed("_answer", out_col)
 
 
 # ------------------------------------------------------------ E13-E16 ----
@@ -266,79 +268,150 @@ def lenient_json(c: Column) -> Column:
 
 # ------------------------------------------------------------ E17-E21 ----
 
-# plan nodes that write or run something when a statement is executed, and functions that call arbitrary code
-WRITING_NODES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
-WRITING_NAMES = ("InsertInto", "ScriptTransformation")
-CALLING = re.compile(r"\b(try_reflect|reflect|java_method)\s*\(", re.I)
+# Nodes of a parsed statement that only read. Whatever is not listed is refused, so a kind of statement that a
+# later Spark version adds is refused until someone has looked at it.
+READING_NODES = frozenset((
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Join LateralJoin SubqueryAlias OneRowRelation LocalRelation "
+    "Union Intersect Except Generate Expand Window WithWindowDefinition Pivot Unpivot Sample PipeOperator RepartitionByExpression "
+    "UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedSubqueryColumnAliases "
+    "UnresolvedTableValuedFunction UnresolvedTVFAliases").split())
+# functions of Spark itself that call code named in their arguments, and the expressions they become
+CALLING = frozenset(("reflect", "try_reflect", "java_method"))
+CALLING_NODES = frozenset(("CallMethodViaReflection", "ScalaUDF", "PythonUDF", "PythonUDAF", "UserDefinedPythonFunction"))
+STATEMENTS_AT_ONCE = 4
+
+
+def _each(seq):
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _nodes(plan, stop: str = ""):
+    """All nodes of a plan, those of subqueries and common table expressions too, but not what lies below nodes called ``stop``."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        if node.getClass().getSimpleName() != stop:
+            for below in (node.children(), node.innerChildren(), node.subqueries()):
+                todo += _each(below)
+
+
+def _expressions(node):
+    todo = list(_each(node.expressions()))
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += _each(e.children())
+
+
+def _known_function(spark: SparkSession, parts: list[str], tables: bool = False) -> bool:
+    """Whether a function name stands for one of Spark's own functions that runs nothing but itself."""
+    if [p.lower() for p in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]) or parts[-1].lower() in CALLING:
+        return False
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    registry = catalyst.analysis.TableFunctionRegistry if tables else catalyst.analysis.FunctionRegistry
+    return registry.builtin().functionExists(catalyst.FunctionIdentifier(parts[-1].lower()))
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """8.13 guard: the statement is parsed, not run; no node of its plan may be a command, an insert or a script.
+    """8.13 guard on the parsed statement: nodes that only read, and Spark's own functions.
 
-    ``spark.sql`` runs commands at once, so nothing that fails here may reach it. Text that does not parse is not read-only.
+    ``spark.sql`` runs commands at once, and some statements run while they are analysed, so nothing that fails here may
+    reach it. Names are taken from the parsed expressions: quoting and comments make no difference, and text inside a literal is
+    no call. Text that does not parse is not read-only.
     """
-    if CALLING.search(sql):
-        return False
-    jvm = spark._jvm
     try:
-        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception:  # noqa: BLE001 - not a statement
         return False
-    kinds = [jvm.java.lang.Class.forName(k, False, jvm.java.lang.Thread.currentThread().getContextClassLoader()) for k in WRITING_NODES]
-    while todo:
-        node = todo.pop()
-        name = node.getClass().getSimpleName()
-        if any(k.isInstance(node) for k in kinds) or name.startswith(WRITING_NAMES):
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if kind not in READING_NODES:
             return False
-        for below in (node.children(), node.innerChildren()):
-            todo += [below.apply(i) for i in range(below.size())]
-        found = node.subqueries()
-        todo += [found.apply(i) for i in range(found.size())]
+        if kind == "UnresolvedTableValuedFunction" and not _known_function(spark, list(_each(node.name())), tables=True):
+            return False
+        for e in _expressions(node):
+            named = e.getClass().getSimpleName()
+            if named == "UnresolvedFunction" and not _known_function(spark, list(_each(e.nameParts()))):
+                return False
+            if named == "UnresolvedGenerator" and not _known_function(spark, [e.name().funcName()], tables=True):
+                return False
     return True
 
 
-def _rows_of(spark: SparkSession, sql: str, name: str) -> DataFrame:
-    """Run one statement and keep its full result, with row positions, as a table in the shared folder."""
-    res = spark.sql(sql)
-    seen: dict[str, int] = {}
-    names = []
+def reading_session(spark: SparkSession) -> SparkSession:
+    """A copy of the session: it sees the caller's views and tables, but what it defines stays in it, and paths are no tables."""
+    child = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    child.conf.set("spark.sql.runSQLOnFiles", "false")
+    return child
+
+
+def _calls_code(df: DataFrame) -> bool:
+    """Whether the analysed statement itself (not a view's definition) calls code outside Spark's own expressions."""
+    return any(e.getClass().getSimpleName() in CALLING_NODES
+               for node in _nodes(df._jdf.queryExecution().analyzed(), stop="View") if node.getClass().getSimpleName() != "View" for e in _expressions(node))
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one that no column has (Spark tells names apart without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def _write_rows(res: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write a statement's full result, its last column the row's position; returns it as written, and its number of rows."""
+    names: list[str] = []
     for c in res.columns:  # a result may name two columns alike
-        seen[c] = seen.get(c, 0) + 1
-        names.append(c if seen[c] == 1 else f"{c}_{seen[c]}")
+        names.append(c if _fresh(c, names) == c else _fresh(f"{c}_{len(names) + 1}", names + res.columns))
     res = res.toDF(*names)
+    at, seen = _fresh("_position", names), Observation()
     res = res.select(*[F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in res.schema.fields],
-                     F.monotonically_increasing_id().alias("_position"))
-    return materialize(res, name)
+                     F.monotonically_increasing_id().alias(at))
+    written = materialize(res.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return written, seen.get["n"]
 
 
 def full_result(spark: SparkSession, path: str) -> DataFrame:
     """All rows of an executed statement, in its order."""
-    return spark.read.parquet(path).orderBy("_position").drop("_position")
+    rows = spark.read.parquet(path)
+    return rows.orderBy(f"`{rows.columns[-1]}`").drop(rows.columns[-1])
 
 
-def execute_distinct(spark: SparkSession, df: DataFrame, sql_col: str = "sql_query", preview_rows: int = 10) -> DataFrame:
+def _run(spark: SparkSession, child: SparkSession, sql: str, preview_rows: int) -> tuple:
+    """(refused, executed, rows, path, preview) of one statement."""
+    if not is_read_only(spark, sql):
+        return True, False, None, None, None
+    try:
+        res = child.sql(sql)
+        if _calls_code(res):
+            return True, False, None, None, None
+        rows, n = _write_rows(res, f"result-{hashlib.sha1(sql.encode()).hexdigest()[:12]}")
+        columns = [F.col(f"`{c}`") for c in rows.columns[:-1]]
+        first = [r[0] for r in rows.orderBy(f"`{rows.columns[-1]}`").limit(preview_rows).select(F.to_json(F.struct(*columns))).collect()]
+        return False, True, n, rows.inputFiles()[0].rpartition("/")[0], first
+    except Exception:  # noqa: BLE001 - analysis and run-time errors are this statement's alone
+        return False, False, None, None, None
+
+
+def execute_distinct(spark: SparkSession, df: DataFrame, sql_col: str = "sql_query", preview_rows: int = 10,
+                     at_once: int = STATEMENTS_AT_ONCE) -> DataFrame:
     """Run each distinct read-only statement once, as a job of its own, so that one that fails leaves the others alone.
 
     Adds ``refused`` (not read-only), ``executed``, ``row_count`` and ``result_path`` of the full result (see ``full_result``)
-    and ``preview``, its first rows as JSON. The driver sees the statements one by one (SQL text is parsed there) and
-    a few preview rows each; results stay in the shared folder.
+    and ``preview``, its first rows as JSON. Statements run in a session of their own, ``at_once`` at a time. The driver
+    holds a bounded batch of statements (SQL text is parsed there) and a few preview rows each; results stay in the shared folder.
     """
     schema = "_stmt string, refused boolean, executed boolean, row_count bigint, result_path string, preview array<string>"
-    done = []
-    for row in df.select(sql_col).where(F.col(sql_col).isNotNull() & (F.col(sql_col) != "")).distinct().toLocalIterator():
-        sql = row[0]
-        if not is_read_only(spark, sql):
-            done.append((sql, True, False, None, None, None))
-            continue
-        try:
-            res = _rows_of(spark, sql, f"result-{hashlib.sha1(sql.encode()).hexdigest()[:12]}")
-            columns = [F.col(f"`{c}`") for c in res.columns if c != "_position"]
-            first = [r[0] for r in res.orderBy("_position").limit(preview_rows).select(F.to_json(F.struct(*columns))).collect()]
-            done.append((sql, False, True, res.count(), res.inputFiles()[0].rpartition("/")[0], first))
-        except Exception:  # noqa: BLE001 - analysis and run-time errors are this statement's alone
-            done.append((sql, False, False, None, None, None))
+    key, child, done = F.sha2(F.col(sql_col), 256), reading_session(spark), []
+    asked = df.where(F.col(sql_col).isNotNull() & (F.col(sql_col) != "")).groupBy(key.alias("key")).agg(F.first(sql_col).alias("sql"))
+    statements = asked.toLocalIterator()
+    with ThreadPoolExecutor(at_once) as pool:
+        while batch := list(itertools.islice(statements, 64 * at_once)):
+            done += [(r["key"], *out) for r, out in zip(batch, pool.map(lambda r: _run(spark, child, r["sql"], preview_rows), batch))]
     status = spark.createDataFrame(done, schema)
-    return df.join(status, df[sql_col] == status["_stmt"], "left").drop("_stmt")
+    return df.join(status, key == status["_stmt"], "left").drop("_stmt")
 
 
 def assemble_response(df: DataFrame, execute: bool = True) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from tessera.schemas import CONSTRAINTS, DECLARED_CONSTRAINTS, SCHEMA_ROWS
 
 PROFILE_LIMIT = 10  # distinct values kept per column
-KEYABLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.StringType)
 INTEGRAL = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
 
 
@@ -232,89 +231,6 @@ def catalog_columns(schema_df: DataFrame, constraints: DataFrame, profile: DataF
                         F.coalesce("distinct_values", F.array().cast("array<string>"))))
 
 
-# ---------------------------------------------------------------- B19 ------
-
-def column_stats(frames: dict[str, DataFrame], types: tuple = KEYABLE) -> DataFrame:
-    """Exact per-column row, null and distinct counts (+ numeric range) for columns of ``types``.
-
-    One aggregate per table; Spark plans the several exact distinct counts
-    with a single Expand + two-level aggregation.
-    """
-    out = []
-    for t, df in frames.items():
-        cols = [f for f in df.schema.fields if isinstance(f.dataType, types)]
-        if not cols:
-            continue
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for f in cols:
-            aggs += [F.count(f.name).alias(f"nn__{f.name}"),
-                     F.count_distinct(f.name).alias(f"nd__{f.name}")]
-            if isinstance(f.dataType, INTEGRAL):
-                aggs += [F.min(f.name).cast("bigint").alias(f"lo__{f.name}"),
-                         F.max(f.name).cast("bigint").alias(f"hi__{f.name}")]
-        a = df.agg(*aggs)
-        per_col = [F.struct(
-            F.lit(f.name).alias("column"),
-            F.lit(isinstance(f.dataType, INTEGRAL)).alias("integral"),
-            F.col(f"nn__{f.name}").alias("non_null"),
-            F.col(f"nd__{f.name}").alias("n_distinct"),
-            (F.col(f"lo__{f.name}") if isinstance(f.dataType, INTEGRAL) else F.lit(None).cast("bigint")).alias("lo"),
-            (F.col(f"hi__{f.name}") if isinstance(f.dataType, INTEGRAL) else F.lit(None).cast("bigint")).alias("hi"),
-        ) for f in cols]
-        out.append(a.select(F.lit(t).alias("table"), F.col("__rows").alias("row_count"),
-                            F.explode(F.array(*per_col)).alias("s"))
-                   .select("table", "s.column", "row_count", "s.integral",
-                           (F.col("row_count") - F.col("s.non_null")).alias("null_count"),
-                           "s.n_distinct", "s.lo", "s.hi"))
-    return _union(out)
-
-
-def pk_candidates(stats: DataFrame) -> DataFrame:
-    """Candidate PK: non-empty, no null, distinct count equals row count."""
-    return stats.withColumn("is_candidate", (F.col("row_count") > 0) & (F.col("null_count") == 0)
-                            & (F.col("n_distinct") == F.col("row_count")))
-
-
-def fk_candidates(spark: SparkSession, frames: dict[str, DataFrame], stats: DataFrame) -> DataFrame:
-    """Candidate FK: every non-null value of an integral column occurs in a candidate PK of another column.
-
-    Pairs are pruned with exact necessary conditions (range containment,
-    distinct count) on the small stats frame; the survivors are verified in
-    one left-anti join over (pair, value) with distinct values on both sides.
-    """
-    # the stats frame has one row per keyable column: catalog-sized, safe to bring to the driver
-    st = [r.asDict() for r in pk_candidates(stats).where("integral").collect()]
-    pks = [r for r in st if r["is_candidate"]]
-    pairs = [(c["table"], c["column"], p["table"], p["column"], p["n_distinct"] == p["hi"] - p["lo"] + 1)
-             for c in st if c["n_distinct"] > 0
-             for p in pks
-             if (c["table"], c["column"]) != (p["table"], p["column"])
-             and c["lo"] >= p["lo"] and c["hi"] <= p["hi"] and c["n_distinct"] <= p["n_distinct"]]
-    # a dense key (every integer between its min and max present) contains every column whose
-    # range lies inside it: those pairs are proven by the statistics alone, exactly
-    proven = [r[:4] for r in pairs if r[4]]
-    pairs = [r[:4] for r in pairs if not r[4]]
-    schema = "table string, column string, ref_table string, ref_column string"
-    proven_df = spark.createDataFrame(proven, schema)
-    if not pairs:
-        return proven_df
-    used_child = sorted({(r[0], r[1]) for r in pairs})
-    used_parent = sorted({(r[2], r[3]) for r in pairs})
-    child = _union([frames[t].where(F.col(c).isNotNull())
-                    .select(F.lit(t).alias("table"), F.lit(c).alias("column"),
-                            F.col(c).cast("bigint").alias("v")).distinct()
-                    for t, c in used_child])
-    parent = _union([frames[t].select(F.lit(t).alias("ref_table"), F.lit(c).alias("ref_column"),
-                                      F.col(c).cast("bigint").alias("v"))
-                     for t, c in used_parent])
-    pair_df = spark.createDataFrame(pairs, schema)
-    # expand child values to each candidate parent of that column (pairs is small: broadcast)
-    probe = child.join(F.broadcast(pair_df), ["table", "column"])
-    orphans = probe.join(parent, ["ref_table", "ref_column", "v"], "left_anti") \
-        .select("table", "column", "ref_table", "ref_column").distinct()
-    return proven_df.unionByName(pair_df.join(orphans, ["table", "column", "ref_table", "ref_column"], "left_anti"))
-
-
 # ---------------------------------------------------------------- B13/B14 --
 
 def relationships(constraints: DataFrame, tables: DataFrame | None = None) -> DataFrame:

@@ -66,6 +66,16 @@ def merge_votes(stored: DataFrame, batch: DataFrame) -> DataFrame:
                     F.greatest(F.col("s.last_ts"), F.col("b.last_ts")).alias("last_ts")))
 
 
+def fold_votes(rows: DataFrame) -> DataFrame:
+    """D12 over deltas: votes add up, the answer of the latest click (of the latest version, if as late) stays.
+
+    ``rows`` are votes of single batches with the ``version`` that brought them; the fold of folds is the fold of all.
+    """
+    latest = F.max_by(F.struct("sql_query", "explanation", "last_ts"), F.struct("last_ts", "version"))
+    return (rows.groupBy("question").agg(F.sum("positive_votes").alias("positive_votes"), latest.alias("l"))
+            .select("question", "l.sql_query", "l.explanation", "positive_votes", "l.last_ts"))
+
+
 def as_query_docs(votes: DataFrame) -> DataFrame:
     """Stored query documents (id = UUIDv5 of the question, type 'query')."""
     return votes.select(query_doc_id("question").alias("id"), "question", "sql_query", "explanation",

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 
 # Fixed value: type names that count as numeric when they hold one of these.
 NUMERIC_TYPE = "int|decimal|numeric|float|double"
+# parts into which the edges of one node are dealt
+SALTS = 64
 # levels after which the union of all levels seen so far is written out again
 CHECKPOINT_EVERY = 3
 
@@ -92,31 +94,47 @@ def undirected(edges: DataFrame) -> DataFrame:
             .unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Component label = smallest node name, by min-label propagation with pointer jumping.
+def _nearest(edges: DataFrame, key: str, value: str, salts: int) -> DataFrame:
+    """``edges`` with ``least``: the smallest ``value`` of their ``key``, though no join key holds all edges of a hub.
 
-    Each round: hook (label <- min label over the neighbourhood), then
-    shortcut (label <- label of the label) twice, which halves path lengths,
-    so a path of V nodes needs O(log V) rounds. Stops when no label changes.
+    The smallest per (key, salt) is found first; the salts of a key then agree on the smallest of these, and edges look it up
+    by (key, salt).
     """
-    adj = cut_lineage(undirected(edges))
-    lab = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    salt = F.pmod(F.xxhash64(value), F.lit(salts))
+    salted = edges.withColumn("_salt", salt)
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
+    agreed = parts.select(key, "_salt", F.min("_part").over(Window.partitionBy(key)).alias("least"))
+    return salted.join(agreed, [key, "_salt"]).drop("_salt")
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Component label = smallest node name, by large-star and small-star rounds.
+
+    An edge points from its larger to its smaller end. Large-star joins every larger neighbour of a node to the node's
+    smallest neighbour, small-star a node and its smaller neighbours to the smallest of them; both keep components, and
+    the edges end as stars round the smallest nodes. Stops when a round leaves the set of edges as it was (its count and
+    two sums of hashes). The state is the edges, never more than there were at first plus one per node.
+    """
+    now = undirected(edges).where(F.col("u") > F.col("v")).select(F.col("u").alias("big"), F.col("v").alias("small"))
+    now, before = cut_lineage(now), None
     while True:
-        via = (adj.join(lab.withColumnRenamed("node", "v"), "v")
-               .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("nl")))
-        # materialise the hooked labels once: the jumps below read them several times
-        new = cut_lineage(lab.join(via, "node", "left")
-                          .select("node", F.least("label", F.coalesce("nl", F.col("label"))).alias("label")))
-        for _ in range(2):  # pointer jumping: label <- label of the label
-            new = (new.alias("a").join(new.alias("b"), F.col("a.label") == F.col("b.node"), "left")
-                   .select(F.col("a.node"), F.least(F.col("a.label"),
-                                                    F.coalesce(F.col("b.label"), F.col("a.label"))).alias("label")))
-            new = cut_lineage(new)
-        changed = (new.join(lab.withColumnRenamed("label", "old"), "node")
-                   .where(F.col("label") != F.col("old")).count())
-        lab = new
-        if changed == 0:
-            return lab.select("node", F.col("label").alias("component"))
+        h = F.xxhash64("big", "small")
+        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit(1), h))).first())
+        if mark == before or mark[0] == 0:
+            break
+        before = mark
+        # large-star: the smallest among all neighbours of the smaller end, and itself
+        both = now.select(F.col("small").alias("at"), F.col("big").alias("other"), F.lit(True).alias("up")).unionByName(
+            now.select(F.col("big").alias("at"), F.col("small").alias("other"), F.lit(False).alias("up")))
+        large = _nearest(both, "at", "other", salts).where("up").select(F.col("other").alias("big"), F.least("at", "least").alias("small"))
+        large = large.distinct()
+        # small-star: a node and its smaller neighbours to the smallest of these
+        near = _nearest(large, "big", "small", salts)
+        # where the smallest is the edge's own smaller end, the edge stays as it is
+        small = near.select(F.when(F.col("small") == F.col("least"), F.col("big")).otherwise(F.col("small")).alias("big"), F.col("least").alias("small"))
+        now = cut_lineage(small.distinct())
+    labels = now.groupBy(F.col("big").alias("node")).agg(F.min("small").alias("component"))  # one row each
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def structure(components: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Statistical keyword extraction as a corpus job (after the published YAKE method).
+"""Statistical keyword extraction (after the published YAKE method), folded inside the row of a document.
 
-Per document: sentences and words are exploded with positions, term
-features are aggregates over (document, term), candidate n-grams (n <= 2)
-are scored from their terms, ranked, and de-duplicated greedily with a
-normalised Levenshtein similarity. Lower scores are better. Every step is a
-DataFrame aggregate or window keyed by document; a document's rows never
-leave its own group.
+A document is one row, so nothing has to be shuffled: sentences and words become an array of tokens with positions;
+sorted by term it falls into one run per term, from which the term's features come; the scores go back to the tokens,
+which sorted by position give the candidate n-grams (n <= 2), sorted by gram their counts. All of it is expressions
+over arrays (every step sorts or walks an array once), so the work is linear but for the sorting, and a plan that
+extracts keywords has no exchange. Candidates are ranked (lower scores are better) and de-duplicated greedily
+with a normalised Levenshtein similarity.
 
 Stated differences to the library: sentences split on . ! ? and line
 breaks, words on non-letters; a compact stop-word list per language family;
@@ -14,10 +14,12 @@ exact parity with the library is not promised.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import spread
 
 SENTENCE_SPLIT = "[.!?]+[\\t\\n\\x0B\\f\\r ]+|[\\r\\n]+"
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -33,114 +35,146 @@ STOPWORDS = (
 ).split()
 
 
-def _tokens(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, sent, wi, word, lw, left, right) with the documents hash-partitioned by doc once.
-
-    The texts are shuffled once by document for the neighbour window; the
-    token table is then written once as parquet in the shared checkpoint
-    folder because several branches (statistics, neighbours, candidates)
-    read it, each only the columns it needs.
-    """
-    # explicit partition count: AQE must not coalesce this shuffle by bytes, since the
-    # texts explode into hundreds of token rows each
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(doc_col, text_col).repartition(n, doc_col)
-    s = d.select(doc_col, F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sent", "stext"))
-    w = s.select(doc_col, "sent", F.posexplode(F.split("stext", WORD_SPLIT)).alias("wi", "word")) \
-        .where(F.col("word") != "")
-    tok = w.select(doc_col, "sent", "wi", "word", F.lower("word").alias("lw"))
-    win = Window.partitionBy(doc_col, "sent").orderBy("wi")
-    tok = tok.withColumn("left", F.lag("lw").over(win)).withColumn("right", F.lead("lw").over(win))
-    # tokens feed several branches (statistics, candidates): materialise them once, reliably,
-    # keeping the document partitioning, instead of re-splitting every text per branch
-    return materialize(tok, "tokens")
-
-
-def _stats_from_tokens(tok: DataFrame, doc_col: str) -> DataFrame:
-    """Per (doc, term) statistics with hash aggregates only (no object aggregates).
-
-    One window over (doc, term) ordered by position gives the occurrence
-    rank (exact median of the sentence index) and whether an occurrence is
-    the term's first in its sentence; distinct left/right neighbours are
-    counted from de-duplicated (doc, term, neighbour) rows. All steps keep
-    the document partitioning, so none of them shuffles.
-    """
-    is_acr = (F.length("word") > 1) & (F.col("word") == F.upper("word")) & F.col("word").rlike("\\p{L}")
-    is_up = F.substring("word", 1, 1).rlike("\\p{Lu}") & ~is_acr & (F.col("wi") > 0)
-    occ = Window.partitionBy(doc_col, "lw").orderBy("sent", "wi")
-    t = (tok.withColumn("_rn", F.row_number().over(occ))
-         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(doc_col, "lw")))
-         .withColumn("_new_sent", F.coalesce(F.lag("sent").over(occ) != F.col("sent"), F.lit(True))))
-    mid = (F.col("_rn") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rn") == F.ceil((F.col("_n") + 1) / 2))
-    per = (t.groupBy(doc_col, F.col("lw").alias("term"))
-           .agg(F.count(F.lit(1)).alias("tf"), F.count_if(is_up).alias("tf_upper"),
-                F.count_if(is_acr).alias("tf_acronym"), F.count_if("_new_sent").alias("n_sent_term"),
-                F.min("sent").alias("first_sent"), F.avg(F.when(mid, F.col("sent"))).alias("median_sent"),
-                F.count("left").alias("n_left"), F.count("right").alias("n_right")))
-    dl = (tok.where(F.col("left").isNotNull()).select(doc_col, F.col("lw").alias("term"), "left").distinct()
-          .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("d_left")))
-    dr = (tok.where(F.col("right").isNotNull()).select(doc_col, F.col("lw").alias("term"), "right").distinct()
-          .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("d_right")))
-    n_sent = tok.groupBy(doc_col).agg((F.max("sent") + 1).alias("n_sent"))
-    return (per.join(dl, [doc_col, "term"], "left").join(dr, [doc_col, "term"], "left").join(n_sent, doc_col)
-            .fillna(0, ["d_left", "d_right"]))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def term_stats(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per (doc, term): tf, upper-case and acronym counts, sentence statistics, context diversity."""
-    return _stats_from_tokens(_tokens(docs, doc_col, text_col), doc_col)
-
-
-def term_scores(stats: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """S(t) per (doc, term) from the five YAKE features; stop words get no score of their own."""
-    stop = F.col("term").isin(*STOPWORDS) | (F.length("term") < 3)
-    d = Window.partitionBy(doc_col)
-    content = F.when(~stop, F.col("tf"))
-    s = (stats.withColumn("is_stop", stop)
-         .withColumn("mean_tf", F.avg(content).over(d)).withColumn("std_tf", F.coalesce(F.stddev_pop(content).over(d),
-                                                                                      F.lit(0.0)))
-         .withColumn("max_tf", F.max("tf").over(d)))
-    t_case = F.greatest("tf_upper", "tf_acronym") / (1 + F.log(F.col("tf")))
-    t_pos = F.log(F.log(3 + F.col("median_sent")))
-    t_freq = F.col("tf") / (F.col("mean_tf") + F.col("std_tf"))
-    wl = F.when(F.col("n_left") > 0, F.col("d_left") / F.col("n_left")).otherwise(F.lit(0.0))
-    wr = F.when(F.col("n_right") > 0, F.col("d_right") / F.col("n_right")).otherwise(F.lit(0.0))
-    t_rel = 1 + (wl + wr) * F.col("tf") / F.col("max_tf")
-    t_dif = F.col("n_sent_term") / F.col("n_sent")
-    score = t_rel * t_pos / (t_case + t_freq / t_rel + t_dif / t_rel)
-    return s.select(doc_col, "term", "tf", "is_stop", F.coalesce(score, F.lit(0.0)).alias("s"))
+def _runs(rows: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """A sorted array cut into arrays of neighbours that are the ``same``."""
+    n = F.size(rows)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                                    lambda i: F.when(i == 0, F.lit(True)).otherwise(~same(F.get(rows, i), F.get(rows, i - 1))))).otherwise(F.array().cast("array<int>"))
+    # by index: slice copies the whole array for every run
+    return _let(starts, lambda at: F.transform(at, lambda a, k: F.transform(F.sequence(a, F.coalesce(F.get(at, k + 1), n) - 1), lambda i: F.get(rows, i))))
+
+
+def _tokens(text: Column) -> Column:
+    """Array of (lw, sent, wi, left, right, up, acr) in the order of the text."""
+    sentences = F.split(F.coalesce(text, F.lit("")), SENTENCE_SPLIT)
+    words = F.transform(sentences, lambda s: F.filter(F.transform(F.split(s, WORD_SPLIT), lambda w, i: F.struct(w.alias("w"), F.lower(w).alias("lw"), i.alias("wi"))),
+                                                      lambda t: t["w"] != ""))
+
+    def token(ws, sent):
+        def one(t, j):
+            w = t["w"]
+            acr = (F.length(w) > 1) & (w == F.upper(w)) & w.rlike("\\p{L}")
+            up = F.substring(w, 1, 1).rlike("\\p{Lu}") & ~acr & (t["wi"] > 0)
+            return F.struct(t["lw"].alias("lw"), sent.alias("sent"), t["wi"].alias("wi"), F.when(j > 0, F.get(ws, j - 1)["lw"]).alias("left"),
+                            F.get(ws, j + 1)["lw"].alias("right"), up.alias("up"), acr.alias("acr"))
+        return F.transform(ws, one)
+
+    return F.flatten(F.transform(words, token))
+
+
+def _by_term(tokens: Column) -> Column:
+    """Tokens in one array per term, each in the order of the text."""
+    return _let(F.sort_array(tokens), lambda s: _runs(s, lambda x, y: x["lw"] == y["lw"]))
+
+
+def _term(run: Column) -> Column:
+    """Features of a term from its tokens."""
+    n = F.size(run)
+    sents = F.transform(run, lambda t: t["sent"])
+    side = lambda name: F.array_compact(F.transform(run, lambda t: t[name]))
+    left, right = side("left"), side("right")
+    low, high = (F.get(run, i)["sent"] for i in (F.floor((n - 1) / 2).cast("int"), F.ceil((n - 1) / 2).cast("int")))
+    count = lambda flag: F.size(F.filter(run, lambda t: t[flag])).cast("bigint")
+    return F.struct(F.get(run, F.lit(0))["lw"].alias("term"), n.cast("bigint").alias("tf"), count("up").alias("tf_upper"), count("acr").alias("tf_acronym"),
+                    F.size(F.array_distinct(sents)).cast("bigint").alias("n_sent_term"), F.get(run, F.lit(0))["sent"].alias("first_sent"),
+                    ((low + high) / 2).alias("median_sent"), F.size(left).cast("bigint").alias("n_left"), F.size(right).cast("bigint").alias("n_right"),
+                    F.size(F.array_distinct(left)).cast("bigint").alias("d_left"), F.size(F.array_distinct(right)).cast("bigint").alias("d_right"))
+
+
+def term_features(text: Column) -> Column:
+    """Array of the features of every term of a text, and the number of sentences: struct(terms, n_sent)."""
+    return _let(_tokens(text), lambda t: F.struct(F.transform(_by_term(t), _term).alias("terms"), _sentences(t).alias("n_sent")))
+
+
+def _sentences(tokens: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(tokens, lambda t: t["sent"])) + 1, F.lit(0))
+
+
+def _is_stop(term: Column) -> Column:
+    return term.isin(*STOPWORDS) | (F.length(term) < 3)
+
+
+def _scored(terms: Column, n_sent: Column) -> Column:
+    """Array of (term, tf, is_stop, s): S(t) from the five features; stop words take no part in the mean."""
+    content = F.transform(F.filter(terms, lambda t: ~_is_stop(t["term"])), lambda t: t["tf"].cast("double"))
+
+    def with_mean(tfs):
+        mean = F.aggregate(tfs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(tfs), F.lit(0))
+        return _let(mean, lambda m: F.struct(m.alias("mean"), F.sqrt(F.aggregate(tfs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.nullif(F.size(tfs), F.lit(0))).alias("std"),
+                                             F.array_max(F.transform(terms, lambda t: t["tf"])).alias("most")))
+
+    def score(t, d):
+        case = F.greatest(t["tf_upper"], t["tf_acronym"]) / (1 + F.log(t["tf"]))
+        place = F.log(F.log(3 + t["median_sent"]))
+        freq = t["tf"] / (d["mean"] + d["std"])
+        wl = F.when(t["n_left"] > 0, t["d_left"] / t["n_left"]).otherwise(F.lit(0.0))
+        wr = F.when(t["n_right"] > 0, t["d_right"] / t["n_right"]).otherwise(F.lit(0.0))
+        spread_over = t["n_sent_term"] / n_sent
+        whole = _let(1 + (wl + wr) * t["tf"] / d["most"], lambda rel: rel * place / (case + freq / rel + spread_over / rel))
+        return F.struct(t["term"].alias("term"), t["tf"].alias("tf"), _is_stop(t["term"]).alias("is_stop"), F.coalesce(whole, F.lit(0.0)).alias("s"))
+
+    return _let(_let(content, with_mean), lambda d: F.transform(terms, lambda t: score(t, d)))
 
 
 def _levenshtein_sim(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def extract_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = 5,
-                     max_ngram: int = 2, dedup_lim: float = 0.2) -> DataFrame:
+def _candidate(kw: Column, n: Column, prod: Column, total: Column) -> Column:
+    return F.struct((prod / (n * (1 + total))).alias("score"), kw.alias("kw"))
+
+
+def _grams(by_term: Column, scored: Column) -> Column:
+    """Candidates (score, kw) of one and two words; none begins or ends with a stop word."""
+    single = F.transform(F.filter(scored, lambda t: ~t["is_stop"]), lambda t: _candidate(t["term"], t["tf"], t["s"], t["s"]))
+    # scores go back to the tokens, and these into the order of the text
+    placed = F.sort_array(F.flatten(F.transform(by_term, lambda run, k: _let(F.get(scored, k), lambda t: F.transform(run, lambda x: F.struct(
+        x["sent"].alias("sent"), x["wi"].alias("wi"), x["right"].isNotNull().alias("more"), t["term"].alias("lw"), t["s"].alias("s"), t["is_stop"].alias("stop")))))))
+
+    def pairs(p):
+        both = F.transform(p, lambda x, i: _let(F.get(p, i + 1), lambda y: F.when(x["more"] & ~x["stop"] & ~y["stop"], F.struct(
+            x["lw"].alias("t1"), y["lw"].alias("t2"), x["s"].alias("s1"), y["s"].alias("s2")))))
+        runs = _let(F.sort_array(F.array_compact(both)), lambda s: _runs(s, lambda x, y: (x["t1"] == y["t1"]) & (x["t2"] == y["t2"])))
+        return F.transform(runs, lambda r: _let(F.get(r, F.lit(0)), lambda g: _candidate(F.concat_ws(" ", g["t1"], g["t2"]), F.size(r), g["s1"] * g["s2"], g["s1"] + g["s2"])))
+
+    return F.concat(single, _let(placed, pairs))
+
+
+def keywords(text: Column, top: int = 5, dedup_lim: float = 0.2) -> Column:
+    """Array of (score, kw): the best ``top`` candidates of a text, best first; empty for a text without any."""
+    def greedy(cand):  # in rank order over all candidates of the document
+        return F.aggregate(cand, F.array().cast("array<struct<score:double,kw:string>>"),
+                           lambda acc, x: F.when(F.size(acc) >= top, acc).when(
+                               F.forall(acc, lambda k: _levenshtein_sim(k["kw"], x["kw"]) <= dedup_lim),
+                               F.concat(acc, F.array(x))).otherwise(acc))
+
+    def of_runs(runs, n_sent):
+        features = _let(F.transform(runs, _term), lambda terms: _scored(terms, n_sent))
+        return _let(features, lambda sc: _let(F.sort_array(_grams(runs, sc)), greedy))
+
+    return _let(_tokens(text), lambda t: _let(_sentences(t), lambda n: _let(_by_term(t), lambda runs: of_runs(runs, n))))
+
+
+def term_stats(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per (doc, term): tf, upper-case and acronym counts, sentence statistics, context diversity."""
+    rows = spread(docs.select(doc_col, text_col)).select(doc_col, term_features(F.col(text_col)).alias("f"))
+    # outer: the optimizer would otherwise ask, below the shuffle and once more, whether the computed array is empty
+    return rows.select(doc_col, F.explode_outer("f.terms").alias("t"), F.col("f.n_sent").alias("n_sent")).where(F.col("t").isNotNull()).select(doc_col, "t.*", "n_sent")
+
+
+def term_scores(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, term, tf, is_stop, s): S(t) of every term."""
+    rows = spread(docs.select(doc_col, text_col)).select(doc_col, _let(term_features(F.col(text_col)), lambda f: _scored(f["terms"], f["n_sent"])).alias("t"))
+    return rows.select(doc_col, F.explode_outer("t").alias("t")).where(F.col("t").isNotNull()).select(doc_col, "t.*")
+
+
+def extract_keywords(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", top: int = 5, dedup_lim: float = 0.2) -> DataFrame:
     """(doc, rank, keyword, score): the best ``top`` candidates per document, lower score first."""
-    tok = _tokens(docs, doc_col, text_col)
-    sc = term_scores(_stats_from_tokens(tok, doc_col), doc_col)
-    grams = tok.select(doc_col, F.col("lw").alias("t1"), F.lit(None).cast("string").alias("t2"))
-    if max_ngram >= 2:
-        grams = grams.unionByName(tok.where(F.col("right").isNotNull())
-                                  .select(doc_col, F.col("lw").alias("t1"), F.col("right").alias("t2")))
-    kw_tf = grams.groupBy(doc_col, "t1", "t2").agg(F.count(F.lit(1)).alias("kw_tf"))
-    s1 = sc.select(doc_col, F.col("term").alias("t1"), F.col("s").alias("s1"), F.col("is_stop").alias("stop1"))
-    s2 = sc.select(doc_col, F.col("term").alias("t2"), F.col("s").alias("s2"), F.col("is_stop").alias("stop2"))
-    c = kw_tf.join(s1, [doc_col, "t1"]).join(s2, [doc_col, "t2"], "left")
-    # candidates may not start or end with a stop word; stop words inside contribute nothing
-    c = c.where(~F.col("stop1") & ~F.coalesce(F.col("stop2"), F.lit(False)))
-    prod = F.col("s1") * F.coalesce(F.col("s2"), F.lit(1.0))
-    total = F.col("s1") + F.coalesce(F.col("s2"), F.lit(0.0))
-    cand = c.select(doc_col, F.concat_ws(" ", "t1", "t2").alias("kw"),
-                    (prod / (F.col("kw_tf") * (1 + total))).alias("score"))
-    # greedy de-duplication in rank order over all candidates of the document
-    ranked = (cand.groupBy(doc_col)
-              .agg(F.array_sort(F.collect_list(F.struct("score", "kw"))).alias("c")))
-    kept = F.aggregate("c", F.array().cast("array<struct<score:double,kw:string>>"),
-                       lambda acc, x: F.when(F.size(acc) >= top, acc).when(
-                           F.forall(acc, lambda k: _levenshtein_sim(k["kw"], x["kw"]) <= dedup_lim),
-                           F.concat(acc, F.array(x))).otherwise(acc))
-    return (ranked.select(doc_col, F.posexplode(kept).alias("rank0", "k"))
-            .select(doc_col, (F.col("rank0") + 1).alias("rank"), F.col("k.kw").alias("keyword"),
-                    F.col("k.score").alias("score")))
+    rows = spread(docs.select(doc_col, text_col)).select(doc_col, keywords(F.col(text_col), top, dedup_lim).alias("k"))
+    return (rows.select(doc_col, F.posexplode_outer("k").alias("rank0", "k")).where(F.col("k").isNotNull())
+            .select(doc_col, (F.col("rank0") + 1).alias("rank"), F.col("k.kw").alias("keyword"), F.col("k.score").alias("score")))

@@ -1,9 +1,9 @@
 """D: document ids, embedding contract, exact cosine top-k, index maintenance.
 
 Top-k search never materialises (question, document) pairs as rows and never
-plans a cross join. Both sides are dealt to blocks of bounded size that meet
-in an equi-join on (group, document block); a task scores one block pair with
-matrix products (numpy inside ``mapInArrow``) and emits exactly the k best per
+plans a cross join. Both sides are dealt to blocks of near vectors; blocks of one
+group meet if their balls allow one of the k best scores; a task scores one block pair
+with matrix products (numpy inside ``mapInArrow``) and emits exactly the k best per
 question. A ranked window with ``row_number() <= k`` (planned as a
 WindowGroupLimit) then merges them, so the largest group is k x blocks rows.
 """
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 # Fixed value: RFC 4122 DNS namespace UUID (the namespace of the document ids).
 DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -23,6 +25,8 @@ DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 BLOCK_QUESTIONS = 1024
 BLOCK_DOCS = 8192
 TILE_QUESTIONS = 256
+# Vectors that pull near ones into their block, at most (they go to every task).
+MOST_PIVOTS = 1024
 
 
 # ------------------------------------------------------------------ D6 ----
@@ -121,10 +125,7 @@ def embed_with(df: DataFrame, text_col: str, fn, dim: int, out_col: str = "vecto
 
 def _vectors(block: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and unit rows (NaN for zero vectors) of one block, an array of (key, vec) structs."""
-    m = block.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        m = np.where(n > 0, m / n, np.nan)
+    m = _unit(block.field("vec"), dim)
     keys = block.field("key")
     return (np.array(keys.to_pylist()) if pa.types.is_string(keys.type) else keys.to_numpy(zero_copy_only=False)), m
 
@@ -160,53 +161,149 @@ def _block_best(questions: pa.Array, docs: pa.Array, dim: int, k: int, exclude_s
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def _blocks(df: DataFrame, key: str, vec: str, group: str | None, dim: int, rows: int, own: str | None = None) -> tuple[DataFrame, int]:
-    """(group, block, members): rows dealt to blocks of about ``rows`` by the hash of their key."""
+def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows; NaN where a cosine is undefined."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((n > 0) & np.isfinite(n), m / n, np.nan)
+
+
+def _pivots(docs: DataFrame, dim: int, blocks: int) -> np.ndarray:
+    """Documents drawn by the hash of their key, twice as many as there will be blocks, at most ``MOST_PIVOTS``."""
+    drawn = docs.select("m.vec", F.xxhash64("m.key").alias("h")).orderBy("h").limit(min(MOST_PIVOTS, 2 * blocks)).collect()
+    unit = _unit(pa.array([r["vec"] for r in drawn], pa.list_(pa.float64())), dim)
+    return unit[np.isfinite(unit).all(1)]
+
+
+def _cell(pivots: np.ndarray, dim: int):
+    """Number of the nearest among the first so many pivots. Null where a cosine is undefined."""
+    def run(vectors: pa.Array, first: pa.Array) -> pa.Array:
+        m = _unit(vectors, dim)
+        near = np.nan_to_num(m) @ pivots.T
+        near[np.arange(len(pivots)) >= np.asarray(first)[:, None]] = -np.inf
+        return pa.array(near.argmax(1) if len(pivots) else np.zeros(len(m)), pa.int32(), mask=np.isnan(m).any(1))
+    return F.arrow_udf(run, "int")
+
+
+def _ball(dim: int):
+    """Centre and radius of a block's unit vectors."""
+    def run(blocks: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(blocks)):
+            _, m = _vectors(blocks.slice(i, 1).flatten(), dim)
+            centre = m.mean(0)
+            out.append({"centre": centre.tolist(), "radius": float(np.linalg.norm(m - centre, axis=1).max())})
+        return pa.array(out, pa.struct([("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+    return F.arrow_udf(run, "centre array<double>, radius double")
+
+
+def _sound(df: DataFrame, key: str, vec: str, group: str | None, dim: int, own: str | None = None) -> DataFrame:
     parts = [F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")] + ([F.col(own).alias("own")] if own else [])
-    sound = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & F.col(key).isNotNull())
-    n = max(1, -(-sound.count() // rows))
-    g = F.col(group) if group else F.lit(0)
-    return (sound.select(g.alias("group"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block"), F.struct(*parts).alias("m"))
-            .groupBy("group", "block").agg(F.collect_list("m").alias("members"))), n
+    known = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & F.col(key).isNotNull())
+    return known.select((F.col(group) if group else F.lit(0)).alias("group"), F.struct(*parts).alias("m"))
+
+
+def _blocks(sound: DataFrame, dim: int, rows: int, pivots: np.ndarray, least: int) -> DataFrame:
+    """(group, block, n, centre, radius, members): written blocks of at most about ``rows`` near vectors of one group.
+
+    A group of more than ``least`` rows is dealt to the nearest of as many pivots as blocks of ``least`` rows would need; a
+    cell of more than ``rows`` is cut again by the hash of the key.
+    """
+    sizes = sound.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.when(F.col("n") > least, F.least(2 * F.ceil(F.col("n") / least), F.lit(max(1, len(pivots))))).otherwise(1).cast("int")
+    wanted = sizes.select(F.col("group").alias("_g"), wanted.alias("first"))
+    placed = sound.join(wanted, sound["group"].eqNullSafe(wanted["_g"])).select("group", "m", _cell(pivots, dim)(F.col("m.vec"), F.col("first")).alias("cell"))
+    placed = materialize(placed.where("cell IS NOT NULL"), "placed")
+    cells = placed.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    cells = cells.select(F.col("group").alias("_g"), F.col("cell").alias("_c"), "parts")
+    dealt = placed.join(cells, placed["group"].eqNullSafe(cells["_g"]) & (placed["cell"] == cells["_c"]))
+    block = F.col("cell").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("m.key"), F.col("parts"))
+    held = (dealt.select("group", block.alias("block"), "m").groupBy("group", "block")
+            .agg(F.count(F.lit(1)).alias("n"), F.collect_list("m").alias("members")))
+    held = held.withColumn("ball", _ball(dim)(F.col("members")))
+    return materialize(held.select("group", "block", "n", "ball.centre", "ball.radius", "members"), "blocks")
+
+
+def _score(pairs: DataFrame, dim: int, k: int, own: bool, qkey_type: str, key_type: str) -> DataFrame:
+    """(q, id, score, ask) of the k best documents per question in every (ask, asks, members) pair of blocks."""
+    def run(batches):
+        for batch in batches:
+            ask, asks, members = batch.columns
+            for r in range(batch.num_rows):
+                one, two = (c.slice(r, 1).flatten() for c in (asks, members))
+                i, j, score = _block_best(one, two, dim, k, own)
+                yield pa.RecordBatch.from_arrays([one.field("key").take(pa.array(i, pa.int64())), two.field("key").take(pa.array(j, pa.int64())), pa.array(score),
+                                                  pa.array(np.full(len(i), ask[r].as_py()), pa.int64())], names=["q", "id", "score", "ask"])
+
+    return pairs.select("ask", "asks", "members").mapInArrow(run, f"q {qkey_type}, id {key_type}, score double, ask bigint")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "question_id",
                 q_vec: str = "qvec", doc_key: str = "id", doc_vec: str = "vector",
-                q_group: str | None = None, doc_group: str | None = None, q_self: str | None = None,
-                block_questions: int = BLOCK_QUESTIONS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+                q_group: str | None = None, doc_group: str | None = None, q_self: str | None = None, dim: int | None = None,
+                block_questions: int = BLOCK_QUESTIONS, block_docs: int = BLOCK_DOCS, counter: dict | None = None) -> DataFrame:
     """Exact cosine top-k documents per question: (q_key, doc_key, similarity_score, rank).
 
-    Both sides are dealt to blocks of bounded size; a block of questions meets every block of documents of its group by
-    an equi-join on (group, document block), so a filter on the type or table prunes before anything is scored.
-    No question passes the driver. ``q_group``/``doc_group`` restrict a question to documents of its group
+    Questions and documents lie in blocks of near vectors of one group. A directory (one row per block: group, centre,
+    radius, size) is joined on the group first, so a question block meets blocks of its own group only, and only numbers
+    are copied. No vector of a block is nearer to one of another than their centres' distance less both radii: the
+    blocks that can be nearest are searched first, and of the others only those whose bound reaches the k-th best score
+    that some question of the block has by then. ``counter`` takes the numbers of ``pairs`` and of those ``scored``.
+    An index that fits one block has no directory. ``q_group``/``doc_group`` restrict a question to documents of its group
     (D17/D20). ``q_self`` names a question column holding a document id that must not match itself. Ties are
-    broken by document id, also inside a block; zero vectors score null and never match; vectors of another
-    length than the questions' take no part.
+    broken by document id, also inside a block; zero vectors never match; vectors of another length than
+    ``dim`` (by default the questions' longest) take no part. No question passes the driver.
     """
     spark = questions.sparkSession
     key_type, qkey_type = dict(docs.dtypes)[doc_key], dict(questions.dtypes)[q_key]
-    dim = questions.agg(F.max(F.size(q_vec))).first()[0]
+    dim = dim or questions.agg(F.max(F.size(q_vec))).first()[0]
     if not dim or dim < 0:
         return spark.createDataFrame([], f"{q_key} {qkey_type}, {doc_key} {key_type}, similarity_score double, rank int")
-    d, n = _blocks(docs, doc_key, doc_vec, doc_group, dim, block_docs)
-    q, _ = _blocks(questions, q_key, q_vec, q_group, dim, block_questions, q_self)
-    asked = q.select("group", F.col("members").alias("asks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
-    pairs = asked.join(d, ["group", "block"]).select("asks", "members")
-
-    def run(batches):
-        for batch in batches:
-            asks, members = batch.column(0), batch.column(1)
-            for r in range(batch.num_rows):
-                one, two = (c.slice(r, 1).flatten() for c in (asks, members))
-                i, j, score = _block_best(one, two, dim, k, q_self is not None)
-                yield pa.RecordBatch.from_arrays([one.field("key").take(pa.array(i, pa.int64())), two.field("key").take(pa.array(j, pa.int64())), pa.array(score)],
-                                                 names=["q", "id", "score"])
-
-    cand = pairs.mapInArrow(run, f"q {qkey_type}, id {key_type}, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(q_key), F.col("id").alias(doc_key),
-                         F.col("score").alias("similarity_score"), F.col("rank").cast("int").alias("rank"))
+    asked, held = _sound(questions, q_key, q_vec, q_group, dim, q_self), _sound(docs, doc_key, doc_vec, doc_group, dim)
+    score = lambda pairs: _score(pairs, dim, k, q_self is not None, qkey_type, key_type)
+    n = held.count()
+    if n <= block_docs:
+        d = held.groupBy("group").agg(F.collect_list("m").alias("members"))
+        part = F.pmod(F.xxhash64("m.key"), F.lit(max(1, -(-asked.count() // block_questions))))
+        q = asked.groupBy("group", part.alias("ask")).agg(F.collect_list("m").alias("asks"))
+        found = score(q.join(d, "group"))
+    else:
+        pivots = _pivots(held, dim, -(-n // block_docs))
+        found = _pruned(_blocks(asked, dim, block_questions, pivots, 1), _blocks(held, dim, block_docs, pivots, block_docs), score, k, counter)
+    return _best(found, k).select(F.col("q").alias(q_key), F.col("id").alias(doc_key),
+                                  F.col("score").alias("similarity_score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _pruned(q: DataFrame, d: DataFrame, score, k: int, counter: dict | None) -> DataFrame:
+    """Candidates from the pairs of blocks that can hold one of the k best documents of a question."""
+    number = F.xxhash64("group", "block").alias("ask")  # two blocks that shared a number would only lower each other's bound
+    q = q.select(number, "group", F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"),
+                 F.col("members").alias("asks"))
+    near = q.drop("asks").join(d.drop("members"), "group")
+    apart = F.sqrt(F.aggregate(F.zip_with("q_centre", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    least = F.greatest(F.lit(0.0), apart - F.col("q_radius") - F.col("radius"))
+    w = Window.partitionBy("group", "q_block").orderBy(F.desc("bound"), F.asc("block"))
+    before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("bound", 1 - least * least / 2).withColumn("first", F.coalesce(before, F.lit(0)) < k + 1)
+    near = materialize(near.select("ask", "group", "q_block", "q_n", "block", "bound", "first"), "pairs")
+    members, asks = d.select("group", "block", "members"), q.select("group", "q_block", "asks")
+    whole = lambda pairs: score(pairs.join(asks, ["group", "q_block"]).join(members, ["group", "block"]))
+    one = materialize(whole(near.where("first")), "found")
+    # the k-th best score of every question; a block's least one is what another block must reach
+    kth = _best(one, k).groupBy("ask", "q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
+    kth = kth.groupBy("ask").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0)).alias("s"))
+    todo = near.where("not first").join(kth, "ask", "left")
+    reach = F.when(F.col("found") == F.col("q_n"), F.col("s")).otherwise(-2.0)  # a question without k documents takes any
+    todo = materialize(todo.where(F.col("bound") >= reach - 1e-9).select("ask", "group", "q_block", "block"), "pairs")
+    if counter is not None:
+        counter["pairs"], counter["scored"] = near.count(), near.where("first").count() + todo.count()
+    return one.unionByName(whole(todo))
 
 
 def centroids(docs: DataFrame, group: str, vec: str = "vector") -> DataFrame:

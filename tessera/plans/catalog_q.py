@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog as C
+from tessera.operators import keys as K
 from tessera.plans.registry import query
 from tessera.schemas import (CONSTRAINT_COLS, DECLARED_CONSTRAINTS, TABLE_COLUMNS,
                              values_sql)
@@ -157,7 +158,7 @@ FROM ({u})"""
 
 @query("key_discovery_pk", ids="B19", oracle=_pk_sql())
 def key_discovery_pk(spark, sf):
-    stats = C.pk_candidates(C.column_stats(load_tables(spark, sf)))
+    stats = K.pk_candidates(K.column_stats(load_tables(spark, sf)))
     return stats.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"),
                         "row_count", "null_count", "n_distinct", "is_candidate")
 
@@ -180,13 +181,68 @@ def _fk_sql() -> str:
 
 @query("key_discovery_fk", ids="B19", oracle=_fk_sql())
 def key_discovery_fk(spark, sf):
-    frames = load_tables(spark, sf)
-    # FK candidates are integral columns referring to integral keys: no need to count distinct texts
-    fk = C.fk_candidates(spark, frames, C.column_stats(frames, C.INTEGRAL))
+    fk = K.inclusions(spark, load_tables(spark, sf))
     return fk.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"),
                      "ref_table", "ref_column")
 
 
+def _composite_sql(max_size: int = 3) -> str:
+    from itertools import combinations
+
+    parts = []
+    for t in TABLES:
+        cols = [c for c, ty in TABLE_COLUMNS[t] if ty in KEYABLE_TYPES]
+        for size in range(1, max_size + 1):
+            for some in combinations(cols, size):
+                known = " AND ".join(f"{c} IS NOT NULL" for c in some)
+                parts.append(f"SELECT '{t}' AS table_name, [{', '.join(repr(c) for c in some)}] AS c, (SELECT count(*) FROM {t}) AS row_count, "
+                             f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(some)} FROM {t} WHERE {known})) AS n")
+    u = "\nUNION ALL ".join(parts)
+    return f"""WITH u AS ({u}), k AS (SELECT * FROM u WHERE row_count > 0 AND n = row_count)
+SELECT table_name, array_to_string(c, ',') AS columns, row_count FROM k
+WHERE len(c) > 1 AND NOT EXISTS (SELECT 1 FROM k s WHERE s.table_name = k.table_name AND len(s.c) < len(k.c) AND list_has_all(k.c, s.c))"""
+
+
+@query("key_discovery_composite", ids="B19", oracle=_composite_sql())
+def key_discovery_composite(spark, sf):
+    """Minimal keys of two or three columns of every table."""
+    return K.composite_keys(spark, load_tables(spark, sf)).select(
+        F.col("table").alias("table_name"), F.array_join("columns", ",").alias("columns"), "row_count")
+
+
+def _paths(sf) -> dict[str, str]:
+    return {t: f"{sf.rstrip('/')}/{t}.parquet" for t in TABLES}
+
+
+@query("statistics_row_counts", ids="B8", oracle=f"SELECT tbl AS table_name, row_count, false AS stale FROM ({COUNTS_SQL})")
+def statistics_row_counts(spark, sf):
+    """Row counts from stored statistics: measured from footers, kept with the file listing, read back."""
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.statistics import StatisticsStore
+
+    store = StatisticsStore(spark, f"{checkpoint_dir(spark)}/statistics/{uuid.uuid4().hex}")
+    store.refresh(_paths(sf))
+    return store.read(_paths(sf)).select(F.col("table").alias("table_name"), "row_count", "stale")
+
+
+def _ranges_sql() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+        f"CAST(min({c}) AS BIGINT) AS lo, CAST(max({c}) AS BIGINT) AS hi FROM {t}"
+        for t in TABLES for c, ty in TABLE_COLUMNS[t] if ty in INTEGRAL_TYPES)
+
+
+@query("statistics_column_ranges", ids="B8", oracle=_ranges_sql())
+def statistics_column_ranges(spark, sf):
+    """Row and null counts and ranges of all integral columns, from footers alone."""
+    from tessera.sources.statistics import footer_column_ranges
+
+    return footer_column_ranges(spark, _paths(sf)).select(
+        F.col("table").alias("table_name"), F.col("column").alias("column_name"), "row_count", "null_count", "lo", "hi")
+
+
 @query("relationships_bidirectional", ids="B5 B6 B13 B14", oracle=f"""
 WITH c AS ({VERIFIED_SQL}),
 fk AS (SELECT tbl, constraint_name, min(ref_table) AS ref_table,

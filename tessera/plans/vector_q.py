@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import vectors as V
 from tessera.operators.chatlog import messages_from_conversations
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 DIM = 64
@@ -98,7 +99,7 @@ WITH p AS ({PAIRS_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, id) AS rank FROM p)
 SELECT question_id, id, round(sim, 6) AS similarity_score, rank FROM r WHERE rank <= 3""")
 def vec_topk(spark, sf):
-    hits = V.topk_cosine(_self_questions(spark, sf), _docs(spark, sf), 3, q_self="self_id")
+    hits = V.topk_cosine(_self_questions(spark, sf), _docs(spark, sf), 3, q_self="self_id", dim=DIM)
     return hits.select("question_id", "id", F.round("similarity_score", 6).alias("similarity_score"),
                        F.col("rank").cast("bigint").alias("rank"))
 
@@ -110,25 +111,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, i
 SELECT question_id, id, round(sim, 6) AS similarity_score, rank FROM r WHERE rank <= 2""")
 def vec_topk_filtered(spark, sf):
     hits = V.topk_cosine(_self_questions(spark, sf), _docs(spark, sf), 2, q_self="self_id",
-                         q_group="qlabel", doc_group="label")
+                         q_group="qlabel", doc_group="label", dim=DIM)
     return hits.select("question_id", "id", F.round("similarity_score", 6).alias("similarity_score"),
                        F.col("rank").cast("bigint").alias("rank"))
 
 
-def retrieve_tables_then_columns(spark, questions, tables, columns, k_tables=3, k_columns=5):
+def retrieve_tables_then_columns(spark, questions, tables, columns, k_tables=3, k_columns=5, dim=None):
     """E3 + E4: top tables per question, then top columns inside each retrieved table.
 
     The second search is one more top-k whose questions are the (question,
     table) pairs; the table equality is the group filter. No thread pool,
     no per-table round trip.
     """
-    th = V.topk_cosine(questions, tables, k_tables, doc_key="table")
-    pairs = (th.join(questions, "question_id")
+    th = V.topk_cosine(questions, tables, k_tables, doc_key="table", dim=dim)
+    pairs = materialize(th.join(questions, "question_id")
              .select(F.concat_ws("|", F.col("question_id").cast("string"), "table").alias("pair"),
                      "question_id", F.col("table").alias("ptable"), F.col("rank").alias("table_rank"),
-                     "qvec", *(["self_id"] if "self_id" in questions.columns else [])))
+                     "qvec", *(["self_id"] if "self_id" in questions.columns else [])), "pairs")
     ch = V.topk_cosine(pairs, columns, k_columns, q_key="pair", doc_key="id", q_group="ptable",
-                       doc_group="table", q_self="self_id" if "self_id" in pairs.columns else None)
+                       doc_group="table", q_self="self_id" if "self_id" in pairs.columns else None, dim=dim)
     return ch.join(pairs.select("pair", "question_id", "ptable", "table_rank"), "pair") \
         .select("question_id", F.col("ptable").alias("table"), "table_rank", "id", "rank", "similarity_score")
 
@@ -152,7 +153,7 @@ def vec_topk_per_group(spark, sf):
         .select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("table"), "vector")
     cols = _docs(spark, sf).select("id", "vector",
                                    F.concat(F.lit("label_"), F.col("label").cast("string")).alias("table"))
-    out = retrieve_tables_then_columns(spark, q, cent, cols)
+    out = retrieve_tables_then_columns(spark, q, cent, cols, dim=DIM)
     return out.select("question_id", "table", F.col("table_rank").cast("bigint").alias("table_rank"), "id",
                       F.col("rank").cast("bigint").alias("rank"),
                       F.round("similarity_score", 6).alias("similarity_score"))
@@ -230,3 +231,68 @@ def exact_match_gate(spark, sf):
     hit = V.exact_match(docs.withColumnRenamed("text", "question"), stored)
     return hit.select("doc_id", F.col("m.stored_doc_id").alias("stored_doc_id"), "exact_match",
                       F.coalesce(F.col("m.stored_doc_id") != F.col("doc_id"), F.lit(False)).alias("is_copy"))
+
+
+# ------------------------------------------------------------ D13-D16 -----
+
+def _index_texts(docs):
+    """Documents as index rows without vector, plus the text to embed."""
+    return docs.select(V.column_doc_id(F.lit("documents"), F.col("doc_id").cast("string")).alias("id"), F.lit("column").alias("type"),
+                       F.col("doc_id").cast("string").alias("name"), F.lit("documents").alias("table"), F.lit(None).cast("string").alias("question"),
+                       F.to_json(F.struct("lang", "source")).alias("payload"), "text")
+
+
+def _store(spark):
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.vector_store import VectorStore
+
+    return VectorStore(spark, f"{checkpoint_dir(spark)}/index/{uuid.uuid4().hex}", DIM)
+
+
+def _embed(texts):
+    return V.hashed_embedding(texts, "text", ["id"], DIM)
+
+
+@query("index_sync", ids="D13 D14 A10 A11", oracle="""
+WITH d AS (SELECT coalesce(lang, '') = 'en' AS late, coalesce(source, '') = 'src1' AND contains(coalesce(text, ''), chr(10)) AS edited,
+             coalesce(source, '') = 'src2' AS moved FROM documents),
+s AS (SELECT 1 AS step, 'inserted' AS status, count(*) AS n FROM d WHERE NOT late
+  UNION ALL SELECT 2, CASE WHEN late THEN 'inserted' WHEN edited THEN 'changed' WHEN moved THEN 'payload' ELSE 'untouched' END, count(*) FROM d GROUP BY 2
+  UNION ALL SELECT 3, 'untouched', count(*) FROM d),
+w AS (SELECT step, 'written' AS status, sum(n) AS n FROM s WHERE status <> 'untouched' GROUP BY step)
+SELECT step, status, CAST(n AS BIGINT) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM w) WHERE n > 0""")
+def index_sync(spark, sf):
+    """Three synchronisations through the store: all documents but those of one language, then all (with one source's texts
+    on one line and another source renamed), then the same again. Per step the documents by status and the rows written."""
+    from tessera.sources.vector_store import refresh, sync
+
+    docs = read_table(spark, sf, "documents")
+    one_line = F.when(F.col("source") == "src1", F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+    renamed = F.when(F.col("source") == "src2", F.lit("archive2")).otherwise(F.col("source"))
+    later = docs.withColumn("text", one_line).withColumn("source", renamed)
+    store, steps = _store(spark), []
+    steps.append(sync(store, _index_texts(docs.where(F.coalesce("lang", F.lit("")) != "en")), _embed))
+    steps.append(sync(store, _index_texts(later), _embed, sync_on_startup=True))
+    steps.append(refresh(store, _index_texts(later), _embed))
+    out = store.written().select((F.col("version") + 1).cast("int").alias("step"), F.lit("written").alias("status"), "n")
+    for i, step in enumerate(steps):
+        out = out.unionByName(step.select(F.lit(i + 1).alias("step"), "status", "n"))
+    return out
+
+
+@query("index_exists", ids="D16 D9 A10", oracle="""
+SELECT conv_id, turn, EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'user' AND a.turn = 0 AND a.text = c.text) AS stored
+FROM conversations c WHERE role = 'user'""")
+def index_exists(spark, sf):
+    """Opening questions are stored as query documents; every user message is looked up in the store by its id."""
+    msgs = messages_from_conversations(read_table(spark, sf, "conversations")).where("type = 'user'")
+    first = msgs.where("turn = 0").select(F.col("content").alias("text")).where("text IS NOT NULL").distinct()
+    rows = first.select(V.query_doc_id("text").alias("id"), F.lit("query").alias("type"), F.substring("text", 1, 40).alias("name"),
+                        F.lit(None).cast("string").alias("table"), F.col("text").alias("question"), F.lit("{}").alias("payload"), "text")
+    store = _store(spark)
+    vectors = _embed(rows.select("id", "text"))
+    store.upsert(rows.drop("text").join(vectors, "id"))
+    found = store.exists(msgs.select("conv_id", "turn", V.query_doc_id("content").alias("id")), ["id"])
+    return found.select("conv_id", "turn", F.col("exists").alias("stored"))

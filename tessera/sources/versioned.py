@@ -19,7 +19,7 @@ class VersionedState:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _markers(self) -> list[int]:
+    def versions(self) -> list[int]:
         """Finished versions; a missing folder has none, any other error is raised."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_done")
@@ -30,7 +30,7 @@ class VersionedState:
         return [int(p.getName()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
     def current(self) -> int:
-        return max(self._markers(), default=-1)
+        return max(self.versions(), default=-1)
 
     def _applied(self) -> dict[str, int]:
         version = self.current()

@@ -1,10 +1,9 @@
-"""K1-K3: Structured Streaming jobs that fold events into stored state with ``foreachBatch``.
+"""K1-K3: Structured Streaming jobs that fold events into stored state.
 
-``foreachBatch`` is at-least-once: a batch can be replayed after a failure.
-Each batch writes a new version of the state and then a marker that also
-records the batch id; a replayed batch that a marker already names is
-skipped, so the state is applied exactly once and the folder being read is
-never overwritten.
+Feedback (K1): which answers have been voted on is keyed state in Spark's own state store, one aggregate per answer; a
+micro-batch touches the answers it brings. What it adds to the questions' votes is a delta of its own, folded when read,
+so what a batch writes does not depend on what is stored. The delta's marker names the batch: ``foreachBatch`` is
+at-least-once; the rows of a replayed batch, which the state store answers as it did the first time, are not written again.
 """
 
 from __future__ import annotations
@@ -14,36 +13,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.feedback import (VOTES_SCHEMA, batch_votes, clean_clicks, feedback_from_events,
-                                        merge_votes)
+from tessera.operators.feedback import VOTES_SCHEMA, batch_votes, feedback_from_events, fold_votes
+from tessera.operators.chatlog import validate_feedback
 from tessera.session import checkpoint_dir
+from tessera.sources.deltas import Deltas
 from tessera.sources.versioned import VersionedState
 
 
-def apply_feedback_batch(state: VersionedState, events: DataFrame, batch_id: int) -> None:
-    """One micro-batch: validate, keep first click per new answer, fold votes."""
-    if batch_id <= state.applied("feedback"):
-        return  # replayed batch: already applied
-    clicks = clean_clicks(feedback_from_events(events))
-    seen = state.read("answers", "answer_id string")
-    new = clicks.join(seen, "answer_id", "left_anti")
-    votes = merge_votes(state.read("votes", VOTES_SCHEMA), batch_votes(new))
-    answers = seen.unionByName(new.select("answer_id"))
-    state.commit({"votes": votes, "answers": answers}, "feedback", batch_id)
+def first_clicks(feedback: DataFrame) -> DataFrame:
+    """Of a stream of clicks the first valid one of every answer, in the micro-batch that brings it.
+
+    An answer's state is its first click and the times of the first and the last micro-batch that held one: they are equal
+    only when the answer is new. Later clicks on it come out with differing times and are dropped.
+    """
+    valid = validate_feedback(feedback).where("is_valid").drop("missing", "is_valid")
+    cols = [c for c in valid.columns if c != "answer_id"]
+    seen = valid.withColumn("_batch", F.current_timestamp())  # one time per micro-batch, kept in its log for a replay
+    state = seen.groupBy("answer_id").agg(F.min_by(F.struct(*cols), F.struct("ts", *[c for c in cols if c != "ts"])).alias("f"),
+                                          F.min("_batch").alias("_first"), F.max("_batch").alias("_last"))
+    return state.where(F.col("_first") == F.col("_last")).select("answer_id", "f.*")
+
+
+def votes_table(spark: SparkSession, root: str) -> Deltas:
+    return Deltas(spark, root, VOTES_SCHEMA)
+
+
+def read_votes(votes: Deltas) -> DataFrame:
+    """Stored votes per question: the fold of all deltas."""
+    return fold_votes(votes.read())
 
 
 def run_feedback_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
                         root: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """K1: read the event files as a stream until all available files are processed."""
     base = root or f"{checkpoint_dir(spark)}/feedback-stream-{uuid.uuid4().hex}"
-    state = VersionedState(spark, f"{base}/state")
+    votes = votes_table(spark, f"{base}/votes")
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_feedback_batch(state, df, bid))
+    def apply(clicks: DataFrame, batch_id: int) -> None:
+        if not votes.append(batch_votes(clicks), "feedback", batch_id):
+            clicks.write.format("noop").mode("overwrite").save()  # a replay: its rows are here, its state must still be
+
+    q = (first_clicks(feedback_from_events(stream)).writeStream.outputMode("update").foreachBatch(apply)
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return state.read("votes", VOTES_SCHEMA)
+    return read_votes(votes)
 
 
 def run_upsert_stream(spark: SparkSession, source_dir: str, file_glob: str, apply_fn,

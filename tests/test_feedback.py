@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tessera.operators import feedback as FB
-from tessera.streaming.feedback_stream import run_feedback_stream
+from tessera.streaming.feedback_stream import read_votes, run_feedback_stream, votes_table
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -49,3 +49,51 @@ def test_stream_equals_batch(spark):
     batch = FB.batch_votes(FB.clean_clicks(FB.feedback_from_events(ev)))
     key = ["question", "positive_votes"]
     assert sorted(map(tuple, streamed.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+
+
+def _event_files(spark, src, slices):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i, (lo, hi) in enumerate(slices):
+        part = ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).toPandas()
+        part.to_parquet(os.path.join(src, f"events{i}.parquet"), index=False, coerce_timestamps="us")
+
+
+def _bytes(folder, ending=""):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs if f.endswith(ending) and not f.startswith("."))
+
+
+def test_a_batch_writes_what_it_brings(spark):
+    """What the last, small batch writes does not grow with what was stored before it."""
+    written = []
+    for first in (300, 900):
+        src, root = tempfile.mkdtemp(prefix="tessera-events-"), tempfile.mkdtemp(prefix="tessera-votes-")
+        _event_files(spark, src, [(0, first), (900, 10 ** 9)])
+        run_feedback_stream(spark, src, "events*.parquet", root=root)
+        state = lambda name: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{root}/checkpoint/state") for f in fs if f == name)
+        written.append((state("1.delta"), state("2.delta"), _bytes(f"{root}/votes/v=1/delta")))
+    small, large = written
+    assert large[0] > 1.5 * small[0] and small[1] > 0
+    assert abs(large[1] - small[1]) <= 0.15 * small[1] and abs(large[2] - small[2]) <= 0.15 * small[2]
+
+
+def test_replayed_batches_and_restarts_change_nothing(spark):
+    src, root = tempfile.mkdtemp(prefix="tessera-events-"), tempfile.mkdtemp(prefix="tessera-votes-")
+    _event_files(spark, src, [(0, 300), (300, 700)])
+    key = ["question", "positive_votes", "sql_query", "last_ts"]
+    rows = lambda df: sorted(map(tuple, df.select(key).collect()))
+    first = rows(run_feedback_stream(spark, src, "events*.parquet", root=root))
+    votes = votes_table(spark, f"{root}/votes")
+    assert not votes.append(spark.createDataFrame([("q", "s", "e", 99, T0)], FB.VOTES_SCHEMA), "feedback", 1)  # its marker is there
+    # the last commit of the stream is lost: it runs that batch again, from the state before it
+    commits = sorted(os.listdir(f"{root}/checkpoint/commits"))
+    os.unlink(f"{root}/checkpoint/commits/1")
+    if ".1.crc" in commits:
+        os.unlink(f"{root}/checkpoint/commits/.1.crc")
+    assert rows(run_feedback_stream(spark, src, "events*.parquet", root=root)) == first and votes.state.current() == 1
+    # clicks on answers that have a vote already add none
+    part = spark.read.parquet(os.path.join(src, "events0.parquet")).toPandas()
+    part["event_id"] += 10 ** 6
+    part.to_parquet(os.path.join(src, "events2.parquet"), index=False, coerce_timestamps="us")
+    assert rows(run_feedback_stream(spark, src, "events*.parquet", root=root)) == first
+    votes.compact(FB.fold_votes)
+    assert rows(read_votes(votes)) == first and len(votes.paths()) == 1

@@ -4,6 +4,7 @@ import itertools
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 
@@ -85,3 +86,31 @@ def test_long_path_converges(spark):
     n, e = frames(spark, nodes, edges)
     comp = {r["component"] for r in G.connected_components(n, e).collect()}
     assert comp == {"n000"}
+
+
+def test_components_match_a_plain_search(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        nodes = [f"n{i}" for i in range(80)]
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.choice([30, 60, 120]))]
+        n, e = frames(spark, nodes, edges)
+        dist, _ = bfs_all(nodes, edges)
+        for salts in (1, 5):
+            got = {r["node"]: r["component"] for r in G.connected_components(n, e, salts).collect()}
+            assert got == {v: min(dist[v]) for v in nodes}
+
+
+@pytest.mark.parametrize("hub", ["a", "z"])  # smaller, and larger than all its leaves
+def test_hub_is_dealt_out(spark, hub):
+    leaves = 100_000
+    e = spark.range(leaves).selectExpr("concat('e', id) AS id", f"'{hub}' AS src", "concat('m', id) AS dst")
+    n = e.select(F.col("dst").alias("node")).unionByName(spark.createDataFrame([(hub,)], "node string"))
+    got = G.connected_components(n, e)
+    assert got.where("component = 'a'" if hub == "a" else "component = 'm0'").count() == leaves + 1
+    # what one key of the look-up holds: the hub's edges by salt, never all of them
+    edges = e.selectExpr("src AS at", "dst AS other")
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(G.SALTS))).groupBy("at", "salt").count()
+    assert salted.agg(F.max("count")).first()[0] < 2 * leaves / G.SALTS
+    assert G._nearest(edges, "at", "other", G.SALTS).where("least = 'm0'").count() == leaves

@@ -31,11 +31,18 @@ def test_parse_gives_the_expected_parts(spark):
 
 def test_read_only_guard(spark, tmp_path):
     reads = ["SELECT 1", "with a as (select 1) select * from a;", "SELECT*FROM t", "SELECT ';' AS x", "(SELECT 1)", "-- a note\nSELECT 1", "VALUES (1)",
-             "SELECT * FROM t WHERE x IN (SELECT y FROM u)", "FROM t SELECT a"]
+             "SELECT * FROM t WHERE x IN (SELECT y FROM u)", "FROM t SELECT a", "SELECT 'reflect (x)'", "SELECT a AS reflect FROM t", "TABLE t",
+             "SELECT builtin.lower(a), system.builtin.upper(b) FROM t", "SELECT * FROM range(3)", "SELECT * FROM t LATERAL VIEW explode(x) y AS z",
+             "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1 ORDER BY 2 DESC LIMIT 3 OFFSET 1", "SELECT * FROM t, LATERAL (SELECT a + 1) x",
+             "SELECT sum(a) OVER w FROM t WINDOW w AS (PARTITION BY b)", "SELECT a FROM t UNION ALL SELECT b FROM u EXCEPT SELECT 1", "FROM t |> WHERE a > 1 |> SELECT b"]
     target = tmp_path / "out"
     writes = ["DELETE FROM t;", "SELECT 1; DROP TABLE x", "json\nSELECT 1", "", "SET a = 1", "CREATE TABLE t AS SELECT 1", "FROM a INSERT INTO t SELECT 1 INSERT INTO u SELECT 2",
               f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT * FROM a", "EXPLAIN SELECT 1",
-              "SELECT TRANSFORM (a) USING 'cat' FROM t", "SELECT java_method('java.lang.System', 'exit', 0)"]
+              "SELECT TRANSFORM (a) USING 'cat' FROM t", "SELECT java_method('java.lang.System', 'exit', 0)",
+              "SELECT `reflect`('java.util.UUID', 'randomUUID')", "SELECT reflect/**/('java.util.UUID', 'randomUUID')", "SELECT REFLECT  ('java.util.UUID', 'randomUUID')",
+              "SELECT builtin.reflect('java.util.UUID', 'randomUUID')", "SELECT a FROM t WHERE b IN (SELECT try_reflect('java.util.UUID', 'randomUUID'))",
+              "SELECT transform(array(1), x -> java_method('java.lang.Math', 'abs', x))", "EXECUTE IMMEDIATE 'CREATE TEMPORARY VIEW zz AS SELECT 1'", "CALL x.y()",
+              "SELECT my_own_function(a) FROM t", "SELECT other.lower(a) FROM t", "SELECT * FROM my_table_function(1)", "SELECT * FROM IDENTIFIER('t')"]
     assert [s for s in reads if not A.is_read_only(spark, s)] == []
     assert [s for s in writes if A.is_read_only(spark, s)] == []
     assert not target.exists()
@@ -55,6 +62,33 @@ def test_each_statement_runs_alone(spark, tmp_path):
     assert rows[3]["row_count"] == 1 and rows[6]["row_count"] == 0 and rows[6]["preview"] == []
 
 
+def test_statements_cannot_reach_the_caller(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    spark.range(3).createOrReplaceTempView("numbers")
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "files"))
+    spark.udf.register("leak", lambda x: x, T.LongType())
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW owned AS SELECT leak(id) AS id FROM numbers")
+    statements = ["EXECUTE IMMEDIATE 'CREATE TEMPORARY VIEW zz AS SELECT 1'", "SELECT `reflect`('java.util.UUID', 'randomUUID') AS u", "SELECT leak(id) AS x FROM numbers",
+                  f"SELECT * FROM parquet.`{tmp_path / 'files'}`", "SELECT IDENTIFIER('ref' || 'lect')('java.util.UUID', 'randomUUID') AS u",
+                  "SELECT id FROM owned ORDER BY id", "SELECT 'reflect (x)' AS text", "SELECT id AS _position, id AS `_POSITION_` FROM numbers ORDER BY id DESC"]
+    df = spark.createDataFrame(list(enumerate(statements)), "i int, sql_query string")
+    rows = {r["i"]: r for r in A.execute_distinct(spark, df).collect()}
+    assert [rows[i]["refused"] for i in range(8)] == [True, True, True, False, True, False, False, False]
+    assert [rows[i]["executed"] for i in range(8)] == [False] * 5 + [True] * 3          # a path is no table: that one fails
+    assert not spark.catalog.tableExists("zz")
+    assert rows[5]["row_count"] == 3 and rows[6]["preview"] == ['{"text":"reflect (x)"}']  # an owner's view may call the owner's function
+    assert rows[7]["preview"][0] == '{"_position":2,"_POSITION_":2}' or rows[7]["row_count"] == 3
+    assert [r["_position"] for r in A.full_result(spark, rows[7]["result_path"]).collect()] == [2, 1, 0]
+
+
+def test_many_statements_run_side_by_side(spark):
+    spark.range(10).createOrReplaceTempView("numbers")
+    df = spark.range(40).selectExpr("id", "concat('SELECT count(*) AS n FROM numbers WHERE id < ', id % 13) AS sql_query")
+    got = A.execute_distinct(spark, df, at_once=3).collect()
+    assert len(got) == 40 and all(r["preview"] == [f'{{"n":{min(r["id"] % 13, 10)}}}'] and r["row_count"] == 1 for r in got)
+
+
 def test_failed_stage_gives_failed_responses(spark):
     def broken(_df):
         raise RuntimeError("no model")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files, jdbc, snapshot
-from tessera.sources.vector_store import VectorStore, sync
+from tessera.sources.deltas import Deltas
+from tessera.sources.vector_store import VectorStore, refresh, sync, synchronise
 
 
 def test_jdbc_options():
@@ -61,6 +62,17 @@ def test_snapshot_ttl_and_invalidation(spark):
     assert snapshot.read_snapshot(spark, path) is None                      # invalidated -> miss
 
 
+DOC = "id string, type string, name string, `table` string, question string, payload string, text string"
+
+
+def _embed_log(seen):
+    """An embedder of two numbers that notes the texts it is asked for."""
+    def embed(texts):
+        seen.append(sorted(r["text"] for r in texts.collect()))
+        return texts.select("id", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    return embed
+
+
 def test_vector_store_versions(spark):
     root = tempfile.mkdtemp(prefix="tessera-index-")
     store = VectorStore(spark, root, dim=2)
@@ -68,9 +80,61 @@ def test_vector_store_versions(spark):
     docs = spark.createDataFrame([("a", "table", [1.0, 0.0], "a", "a", None, "{}")],
                                  "id string, type string, vector array<float>, name string, table string, "
                                  "question string, payload string")
-    assert sync(store, docs) and not sync(store, docs)     # only when empty (or forced)
+    store.upsert(docs)
     store.upsert(docs.withColumn("id", F.lit("b")))
     assert {r["id"] for r in store.read().collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         store.upsert(docs.withColumn("vector", F.array(F.lit(1.0).cast("float"))))
     assert {r["id"] for r in store.read().collect()} == {"a", "b"}   # failed write left the version intact
+
+
+def test_only_changed_documents_are_embedded_and_written(spark):
+    store, seen = VectorStore(spark, tempfile.mkdtemp(prefix="tessera-index-"), dim=2), []
+    rows = [("a", "table", "a", "t", None, "{}", "one"), ("b", "column", "b", "t", None, "{}", "three"), ("c", "column", "c", "t", None, "{}", None)]
+    docs = spark.createDataFrame(rows, DOC)
+    counts = lambda df: {r["status"]: r["n"] for r in df.collect()}
+    assert counts(sync(store, docs, lambda t: _embed_log(seen)(t.fillna("")))) == {"inserted": 3}
+    assert sync(store, docs, _embed_log(seen)) is None                           # D13: not empty, not asked
+    assert counts(refresh(store, docs, _embed_log(seen))) == {"untouched": 3} and store.state.current() == 0
+    edited = spark.createDataFrame([("a", "table", "a", "t", None, "{}", "seven!!"), ("b", "column", "b", "t", None, '{"x":1}', "three"),
+                                    ("c", "column", "c", "t", None, "{}", None), ("d", "table", "d", "t", None, "{}", "dd")], DOC)
+    assert counts(refresh(store, edited, _embed_log(seen))) == {"changed": 1, "inserted": 1, "payload": 1, "untouched": 1}
+    assert seen == [["", "one", "three"], ["dd", "seven!!"]]                     # no text is embedded twice
+    assert {r["version"]: r["n"] for r in store.written().collect()} == {0: 3, 1: 3}
+    got = {r["id"]: (r["vector"][0], r["payload"]) for r in store.read().collect()}
+    assert got == {"a": (7.0, "{}"), "b": (5.0, '{"x":1}'), "c": (0.0, "{}"), "d": (2.0, "{}")}
+    assert counts(synchronise(store, edited.where("id <> 'a'"), _embed_log(seen), remove=True)) == {"untouched": 3, "removed": 1}
+    assert {r["id"] for r in store.read().collect()} == {"b", "c", "d"}
+
+
+def test_deletes_updates_and_compaction_of_the_store(spark):
+    store, seen = VectorStore(spark, tempfile.mkdtemp(prefix="tessera-index-"), dim=2), []
+    docs = spark.createDataFrame([(x, t, x, "t", None, "{}", x * 2) for x, t in zip("abcd", ("table", "column", "query", "query"))], DOC)
+    synchronise(store, docs, _embed_log(seen))
+    store.delete(spark.createDataFrame([("b",), ("zz",), ("b",)], "id string"))
+    store.update_vectors(spark.createDataFrame([("c", [9.0, 9.0]), ("nope", [1.0, 1.0])], "id string, vector array<float>"))
+    state = lambda: {r["id"]: r["vector"] for r in store.read().collect()}
+    want = {"a": [2.0, 1.0], "c": [9.0, 9.0], "d": [2.0, 1.0]}
+    assert state() == want and {r["version"]: r["n"] for r in store.written().collect()} == {0: 4, 1: 1, 2: 1}
+    store.compact()
+    assert state() == want and {r["version"]: r["n"] for r in store.written().collect()} == {3: 3}
+    store.upsert(store.read().where("id = 'a'").withColumn("id", F.lit("b")))     # comes back after its deletion
+    assert set(state()) == {"a", "b", "c", "d"}
+    probes = spark.createDataFrame([("a",), ("x",)], "id string")
+    assert {r["id"]: r["exists"] for r in store.exists(probes, ["id"]).collect()} == {"a": True, "x": False}
+
+
+def test_unfinished_compaction_is_not_read(spark):
+    table = Deltas(spark, tempfile.mkdtemp(prefix="tessera-delta-"), "k bigint, n bigint")
+    fold = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    for i in range(3):
+        assert table.append(spark.createDataFrame([(1, 1), (2, i)], "k long, n long"), "s", i)
+    assert not table.append(spark.createDataFrame([(1, 100)], "k long, n long"), "s", 2)   # a replayed batch
+    fold(table.read()).write.parquet(f"{table.state.root}/v=3/base")                       # dies before its marker
+    table.append(spark.createDataFrame([(2, 5)], "k long, n long"), "s", 3)
+    want = {1: 3, 2: 8}
+    assert {r["k"]: r["n"] for r in fold(table.read()).collect()} == want
+    table.compact(fold)
+    assert len(table.paths()) == 1 and {r["k"]: r["n"] for r in fold(table.read()).collect()} == want
+    assert table.append(spark.createDataFrame([(3, 1)], "k long, n long"), "s", 4)
+    assert {r["k"]: r["n"] for r in fold(table.read()).collect()} == {**want, 3: 1}

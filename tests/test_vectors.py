@@ -48,6 +48,33 @@ def test_topk_equals_brute_force(spark, blocks):
         assert {i: v for i, v in want.items() if v} == rows
 
 
+def test_far_blocks_are_skipped(spark):
+    """Clustered vectors: most pairs of blocks cannot hold a best document, and are not scored."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    d = (centres[np.arange(1200) % 12] + 0.05 * rng.normal(size=(1200, 16))).astype(np.float32)
+    q = (centres[np.arange(60) % 12] + 0.05 * rng.normal(size=(60, 16))).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(d)], "id bigint, vector array<float>, g int")
+    qs = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(q)], "question_id bigint, qvec array<float>, g int")
+    for group in (None, "g"):
+        counter = {}
+        got = {}
+        hits = V.topk_cosine(qs, docs, 5, q_group=group, doc_group=group, block_questions=8, block_docs=40, counter=counter)
+        for r in hits.orderBy("question_id", "rank").collect():
+            got.setdefault(r["question_id"], []).append((r["id"], round(r["similarity_score"], 9)))
+        g = group and [i % 2 for i in range(1200)]
+        assert got == brute(q.astype(np.float64), d.astype(np.float64), 5, g and g[:60], g or None, None, list(range(1200)))
+        assert counter["scored"] < counter["pairs"] / 3
+
+
+def test_question_blocks_meet_their_own_group_only(spark):
+    docs = spark.range(400).selectExpr("id", "id % 20 AS g", "array(cast(id % 7 + 1 AS float), cast(id % 5 AS float)) AS vector")
+    qs = spark.range(20).selectExpr("id AS question_id", "id AS g", "array(1f, cast(id AS float)) AS qvec")
+    counter = {}
+    hits = V.topk_cosine(qs, docs, 2, q_group="g", doc_group="g", block_questions=4, block_docs=30, counter=counter)
+    assert hits.count() == 40 and counter["pairs"] == 20  # one block of each side per group, never a block of another group
+
+
 def test_equal_vectors_give_k_rows_per_question(spark):
     docs = spark.range(5000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     qs = spark.createDataFrame([(1, [1.0, 2.0], "d0"), (2, [2.0, 1.0], "d3")], "question_id bigint, qvec array<double>, own string")
