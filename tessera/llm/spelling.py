@@ -43,7 +43,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A run of letters whose hash with the document's id is divisible by ``slip`` loses one letter, chosen by that hash.
     """
     found = F.regexp_extract_all(F.col(text_col), F.lit(f"({LETTER}{{{min_length},}})"), F.lit(0))
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(found).alias("run"))
+    # outer: the optimizer would otherwise search every text twice, first for whether it holds any run
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode_outer(found).alias("run")).where(F.col("run").isNotNull())
     runs = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
     runs = runs.select("run", F.crc32(F.concat_ws(":", "id", "run").cast("binary")).alias("h"))
     at = F.pmod(F.col("h"), F.length("run")).cast("int")
