@@ -156,9 +156,11 @@ CompletionFn = Callable[[list[str]], list[str | None]]
 
 
 def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
-             attempts: int = 2, wait_s: tuple[float, float] = (4.0, 10.0)) -> DataFrame:
+             attempts: int = 2, wait_s: tuple[float, float] = (4.0, 10.0), failed_col: str | None = None) -> DataFrame:
     """Batch completion: de-duplicate prompts, call ``fn`` per Arrow batch, null for a prompt that fails on its own.
 
+    ``failed_col`` tells such a prompt from one that is answered with null.
+
     The client lives inside ``fn`` (opened once per Python worker); retries
     with exponential wait happen inside the task so one flaky call does not
     fail the stage; Spark task retry covers lost executors. Calls must be
@@ -183,12 +185,15 @@ def complete(df: DataFrame, prompt_col: str, out_col: str, fn: CompletionFn,
         for pdf in it:
             texts = pdf["_prompt"].tolist()
             res = ask(texts)
+            failed = [False] * len(texts)
             if res is None:  # find the prompts that fail: the others keep their answers
-                res = [None] if len(texts) == 1 else [(ask([t]) or [None])[0] for t in texts]
-            yield pd.DataFrame({"_key": pdf["_key"], "_answer": res})
+                each = [None] if len(texts) == 1 else [ask([t]) for t in texts]
+                res, failed = [(r or [None])[0] for r in each], [r is None for r in each]
+            yield pd.DataFrame({"_key": pdf["_key"], "_answer": res, "_failed": failed})
 
-    answers = prompts.mapInPandas(run, "_key string, _answer string")
-    return df.join(answers, key == answers["_key"], "left").drop("_key").withColumnRenamed("_answer", out_col)
+    answers = prompts.mapInPandas(run, "_key string, _answer string, _failed boolean")
+    out = df.join(answers, key == answers["_key"], "left").drop("_key").withColumnRenamed("_answer", out_col)
+    return out.drop("_failed") if failed_col is None else out.withColumn("_failed", F.coalesce("_failed", F.lit(False))).withColumnRenamed("_failed", failed_col)
 
 
 # ------------------------------------------------------------ E13-E16 ----

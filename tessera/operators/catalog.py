@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.keys import repeated
 from tessera.schemas import CONSTRAINTS, DECLARED_CONSTRAINTS, SCHEMA_ROWS
 
 PROFILE_LIMIT = 10  # distinct values kept per column
@@ -97,12 +98,26 @@ def fk_violations(spark: SparkSession, frames: dict[str, DataFrame], constraints
             .select("constraint_name", F.coalesce("orphans", F.lit(0)).alias("orphans")))
 
 
+def pk_violations(spark: SparkSession, frames: dict[str, DataFrame], constraints: DataFrame) -> DataFrame:
+    """(constraint_name) of the declared keys that two rows share, or that are null somewhere; one job for all tables."""
+    pks = [r for r in (constraints.where(F.col("kind") == "pk").groupBy("table", "constraint_name")
+                       .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column"))).alias("c")).collect()) if r["table"] in frames]
+    if not pks:
+        return spark.createDataFrame([], "constraint_name string")
+    combos = [(r["table"], tuple(x["column"] for x in r["c"])) for r in pks]
+    bad = repeated(frames, combos, 1)
+    null = [frames[t].agg(F.max(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])).alias("bad")).select(F.lit(i).alias("i"), "bad")
+            for i, (t, cols) in enumerate(combos)]
+    bad |= {r["i"] for r in _union(null).where("bad").collect()}
+    return spark.createDataFrame([(pks[i]["constraint_name"],) for i in sorted(bad)], "constraint_name string")
+
+
 def verified_constraints(spark: SparkSession, frames: dict[str, DataFrame],
                          constraints: DataFrame) -> DataFrame:
-    """Declared constraints whose FKs hold on the data (PK rows pass through)."""
-    bad = fk_violations(spark, frames, constraints).where(F.col("orphans") > 0)
-    return constraints.join(bad.select("constraint_name"), "constraint_name", "left_anti") \
-        .select(*CONSTRAINTS.fieldNames())
+    """Declared constraints that hold on the data: references without orphans, keys without nulls and repeats."""
+    bad = fk_violations(spark, frames, constraints).where(F.col("orphans") > 0).select("constraint_name")
+    bad = bad.unionByName(pk_violations(spark, frames, constraints))
+    return constraints.join(bad, "constraint_name", "left_anti").select(*CONSTRAINTS.fieldNames())
 
 
 def primary_keys(constraints: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import is_blank, strip_ws
+from tessera.operators import keywords as K
 from tessera.operators.answer import CompletionFn, complete
 
 # Enrichment fallbacks.
 NO_DESCRIPTION = "No description available"
 ENRICH_ERROR = "Error enhancing metadata"
+ENRICH_COLUMN_ERROR = "Error enhancing column metadata"
 AI_NAME_PLACEHOLDER = "placeholder"
 
 
@@ -50,10 +53,9 @@ def column_prompt(sample_n: int = 10) -> Column:
         F.lit("\n\nTask: one short sentence on what this field holds. Use the facts above and nothing else."))
 
 
-def simple_keywords(text: Column, n: int = 5) -> Column:
-    """Cheap keyword stand-in: first n distinct lower-case words of 3+ letters."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 3)
-    return F.slice(F.array_distinct(words), 1, n)
+def text_keywords(text: Column, n: int = 5) -> Column:
+    """C5 on a text inside the row: its best keywords, best first; null (a failure) for a blank text."""
+    return F.when(~is_blank(text), F.transform(K.keywords(text, n), lambda k: k["kw"]))
 
 
 def keywords_or_empty(success: Column, keywords: Column) -> Column:
@@ -61,31 +63,36 @@ def keywords_or_empty(success: Column, keywords: Column) -> Column:
     return F.when(success, keywords).otherwise(F.array().cast("array<string>"))
 
 
-def enrich_tables(tables: DataFrame, fn: CompletionFn, keywords_fn=simple_keywords) -> DataFrame:
-    """Description by completion; fallbacks for missing description or keywords."""
-    t = tables.withColumn("_prompt", table_prompt())
-    t = complete(t, "_prompt", "_desc", fn)
-    has_desc = F.coalesce(F.trim(F.col("_desc")) != "", F.lit(False))
-    kw = keywords_fn(F.col("_desc"))
-    kw_ok = has_desc & (F.size(kw) > 0)
+def _described(rows: DataFrame, prompt: Column, fn: CompletionFn, keywords_fn) -> DataFrame:
+    """``rows`` with _desc, _failed (the completion of this row's prompt raised) and _kw (null: no keywords could be found)."""
+    d = complete(rows.withColumn("_prompt", prompt), "_prompt", "_desc", fn, failed_col="_failed")
+    d = d.withColumn("_desc", F.when(~is_blank("_desc"), strip_ws("_desc")))
+    return d.withColumn("_kw", keywords_fn(F.col("_desc")))
+
+
+def enrich_tables(tables: DataFrame, fn: CompletionFn, keywords_fn=text_keywords) -> DataFrame:
+    """Description by completion, keywords of the description (C5), importance.
+
+    Fallbacks: without a description the fixed text, no keywords and score 0; without keywords the description stays, score 0;
+    a completion that raises gives the error text, no keywords and score 0. An empty list of keywords is a success.
+    """
+    t = _described(tables, table_prompt(), fn, keywords_fn)
+    done = F.col("_kw").isNotNull()
     return t.select(
         *tables.columns,
-        F.when(has_desc, F.col("_desc")).otherwise(F.lit(NO_DESCRIPTION)).alias("description"),
-        keywords_or_empty(kw_ok, kw).alias("keywords"),
-        F.when(kw_ok, importance_score(F.col("foreign_keys"), F.col("columns"), F.col("primary_keys")))
+        F.when(F.col("_failed"), ENRICH_ERROR).otherwise(F.coalesce("_desc", F.lit(NO_DESCRIPTION))).alias("description"),
+        keywords_or_empty(done, F.col("_kw")).alias("keywords"),
+        F.when(done, importance_score(F.col("foreign_keys"), F.col("columns"), F.col("primary_keys")))
         .otherwise(F.lit(0.0)).alias("importance_score"),
         F.lit("table").alias("type"))
 
 
-def enrich_columns(columns: DataFrame, fn: CompletionFn, keywords_fn=simple_keywords) -> DataFrame:
+def enrich_columns(columns: DataFrame, fn: CompletionFn, keywords_fn=text_keywords) -> DataFrame:
     """Same shape for columns; ai_name is always the placeholder."""
-    c = columns.withColumn("_prompt", column_prompt())
-    c = complete(c, "_prompt", "_desc", fn)
-    has_desc = F.coalesce(F.trim(F.col("_desc")) != "", F.lit(False))
-    kw = keywords_fn(F.col("_desc"))
+    c = _described(columns, column_prompt(), fn, keywords_fn)
     return c.select(*columns.columns, F.lit(AI_NAME_PLACEHOLDER).alias("ai_name"),
-                    F.when(has_desc, F.col("_desc")).otherwise(F.lit(NO_DESCRIPTION)).alias("description"),
-                    keywords_or_empty(has_desc & (F.size(kw) > 0), kw).alias("keywords"),
+                    F.when(F.col("_failed"), ENRICH_COLUMN_ERROR).otherwise(F.coalesce("_desc", F.lit(NO_DESCRIPTION))).alias("description"),
+                    keywords_or_empty(F.col("_kw").isNotNull(), F.col("_kw")).alias("keywords"),
                     F.lit("column").alias("type"))
 
 

@@ -122,7 +122,7 @@ def inclusions(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     return pairs.join(key, "ref").join(names, "id").select("table", "column", "ref_table", "ref_column")
 
 
-def _repeated(frames: dict[str, DataFrame], combos: list[tuple[str, tuple[str, ...]]], share: int) -> set[int]:
+def repeated(frames: dict[str, DataFrame], combos: list[tuple[str, tuple[str, ...]]], share: int) -> set[int]:
     """Numbers of the combinations some value of which occurs in two rows; of ``share`` values one is looked at."""
     out = []
     for t, df in frames.items():
@@ -159,7 +159,7 @@ def composite_keys(spark: SparkSession, frames: dict[str, DataFrame], max_size:
         asked = [(t, c) for t, some in grown.items() for c in sorted(some) if prod(distinct[t, x] for x in c) >= rows[t]]
         for share in (REFUTE, 1):
             if asked:
-                gone = _repeated(frames, asked, share)
+                gone = repeated(frames, asked, share)
                 asked = [x for i, x in enumerate(asked) if i not in gone]
         found += [(t, list(c), rows[t]) for t, c in asked]
         keys = set(asked)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import models
 from tessera.functions.text import table_scoped_question
 from tessera.operators import answer as A
-from tessera.operators import catalog as C
 from tessera.operators import enrich as N
 from tessera.operators import vectors as V
 from tessera.plans.catalog_q import (COUNTS_SQL, SCHEMA_SQL, VERIFIED_SQL, _profile_sql,
-                                     catalog_parts)
+                                     the_catalog)
+from tessera.plans.keywords_q import keywords_sql
 from tessera.plans.registry import query
 from tessera.session import cut_lineage
 from tessera.sources.tables import TABLES, read_table, register_views
@@ -34,8 +34,8 @@ facts AS (SELECT cols.tbl AS name, n_cols, columns, coalesce(pks, '') AS pks, co
 
 
 def base_tables(spark, sf):
-    frames, schema_df, cons = catalog_parts(spark, sf)
-    return frames, schema_df, cons, C.tables_base(schema_df, cons, C.row_counts(frames))
+    cat = the_catalog(spark, sf)
+    return cat.frames, cat.schema, cat.constraints(), cat.tables()
 
 
 @query("importance_score", ids="C1", oracle=TABLE_FACTS_SQL + """
@@ -58,8 +58,7 @@ def table_prompt(spark, sf):
 
 
 def catalog_columns_full(spark, sf):
-    frames, schema_df, cons = catalog_parts(spark, sf)
-    return C.catalog_columns(schema_df, cons, C.distinct_profile(frames))
+    return the_catalog(spark, sf).columns()
 
 
 @query("column_prompt", ids="C3 B3 B10", oracle=f"""
@@ -80,13 +79,13 @@ def column_prompt(spark, sf):
                        F.md5(N.column_prompt()).alias("prompt_md5"))
 
 
-@query("enrich_fallbacks", ids="C4 C7 C9", oracle=TABLE_FACTS_SQL + """
-SELECT name,
-  CASE WHEN n_fk > 0 THEN 'Rows of ' || name || ' linked to other tables.' ELSE 'No description available' END
-    AS description,
-  CASE WHEN n_fk > 0 THEN 'rows,' || name || ',linked,other,tables' ELSE '' END AS keywords,
+@query("enrich_fallbacks", ids="C4 C5 C7 C9", oracle=TABLE_FACTS_SQL.replace("WITH s AS", "WITH RECURSIVE s AS") + """,
+described AS (SELECT name, 'Rows of ' || name || ' linked to other tables.' AS description FROM facts WHERE n_fk > 0),
+""" + keywords_sql("SELECT name AS doc_id, description AS text FROM described") + """
+SELECT facts.name, coalesce(description, 'No description available') AS description,
+  coalesce(array_to_string(list_transform(kept, lambda x: x.kw), ','), '') AS keywords,
   CASE WHEN n_fk > 0 THEN score ELSE 0.0 END AS importance_score
-FROM facts""")
+FROM facts LEFT JOIN described ON described.name = facts.name LEFT JOIN kw ON kw.doc_id = facts.name""")
 def enrich_fallbacks(spark, sf):
     _, _, _, t = base_tables(spark, sf)
     e = N.enrich_tables(t, models.describe)
@@ -97,22 +96,20 @@ def enrich_fallbacks(spark, sf):
 # --------------------------------------------------------- the assistant --
 
 def build_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Catalog -> enriched docs -> vector index (type, table, vector, payload) with hashed embeddings."""
-    frames, schema_df, cons = catalog_parts(spark, sf)
-    tables = C.tables_base(schema_df, cons, C.row_counts(frames))
-    # enriched docs are reused by every later stage: materialise once in the shared checkpoint folder
-    tdocs = cut_lineage(N.enrich_tables(tables, models.describe))
-    cdocs = cut_lineage(N.enrich_columns(C.catalog_columns(schema_df, cons, C.distinct_profile(frames)),
-                                         models.describe))
-    t_text = tdocs.select(V.table_doc_id("name").alias("id"), F.lit("table").alias("type"),
-                          F.col("name").alias("table"), F.col("name").alias("name"),
-                          V.table_embedding_text().alias("text"))
-    c_text = cdocs.select(V.column_doc_id("table", "name").alias("id"), F.lit("column").alias("type"),
-                          "table", "name", V.column_embedding_text().alias("text"))
-    docs = t_text.unionByName(c_text)
-    vec = V.hashed_embedding(docs, "text", ["id"], DIM)
-    index = cut_lineage(docs.join(vec, "id"))
-    return index, tdocs, cdocs
+    """Stored catalog -> enriched docs -> vector index (type, table, vector, payload) with hashed embeddings, stored beside them."""
+    cat = the_catalog(spark, sf)
+    tdocs, cdocs = cat.enriched_tables(models.describe, "describe"), cat.enriched_columns(models.describe, "describe")
+
+    def embedded():
+        t_text = tdocs.select(V.table_doc_id("name").alias("id"), F.lit("table").alias("type"),
+                              F.col("name").alias("table"), F.col("name").alias("name"),
+                              V.table_embedding_text().alias("text"))
+        c_text = cdocs.select(V.column_doc_id("table", "name").alias("id"), F.lit("column").alias("type"),
+                              "table", "name", V.column_embedding_text().alias("text"))
+        docs = t_text.unionByName(c_text)
+        return docs.join(V.hashed_embedding(docs, "text", ["id"], DIM), "id")
+
+    return cat.part(f"index-describe-{DIM}", embedded), tdocs, cdocs
 
 
 FLAGSHIP_QUESTIONS = (

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import models
 from tessera.operators import catalog as C
+from tessera.operators import enrich as N
 from tessera.operators import keys as K
+from tessera.operators.catalog_store import Catalog
 from tessera.plans.registry import query
 from tessera.schemas import (CONSTRAINT_COLS, DECLARED_CONSTRAINTS, TABLE_COLUMNS,
                              values_sql)
@@ -16,14 +19,18 @@ INTEGRAL_TYPES = ("int", "bigint")
 KEYABLE_TYPES = ("int", "bigint", "string")
 
 
-def catalog_parts(spark, sf):
-    from tessera.session import cut_lineage
+def _paths(sf) -> dict[str, str]:
+    return {t: f"{sf.rstrip('/')}/{t}.parquet" for t in TABLES}
+
 
-    frames = load_tables(spark, sf)
-    schema_df = C.schema_frame(spark, frames)
-    # verification scans every FK pair once; the small verified frame feeds several branches
-    cons = cut_lineage(C.verified_constraints(spark, frames, C.declared_constraints(spark)))
-    return frames, schema_df, cons
+def the_catalog(spark, sf) -> Catalog:
+    return Catalog(spark, _paths(sf))
+
+
+def catalog_parts(spark, sf):
+    """Frames, schema and verified constraints; the constraints come from the stored catalog of these files."""
+    cat = the_catalog(spark, sf)
+    return cat.frames, cat.schema, cat.constraints()
 
 
 def _join_arr(c, sep=","):
@@ -53,8 +60,19 @@ def _fk_orphan_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _pk_broken_sql() -> str:
+    keys: dict[tuple, list[str]] = {}
+    for (t, cname, kind, _o, col, _rt, _rc) in DECLARED_CONSTRAINTS:
+        if kind == "pk":
+            keys.setdefault((t, cname), []).append(col)
+    return "\nUNION ALL ".join(
+        f"SELECT '{cname}' WHERE (SELECT count(*) FROM {t}) <> (SELECT count(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM {t} "
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)}))" for (t, cname), cols in keys.items())
+
+
 VERIFIED_SQL = f"""SELECT * FROM {values_sql(DECLARED_CONSTRAINTS, CONSTRAINT_COLS)}
-WHERE constraint_name NOT IN ({_fk_orphan_sql()})"""
+WHERE constraint_name NOT IN ({_fk_orphan_sql()}
+UNION ALL {_pk_broken_sql()})"""
 
 COUNTS_SQL = "\nUNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS row_count FROM {t}" for t in TABLES)
 
@@ -92,8 +110,7 @@ SELECT cols.tbl AS name, columns, coalesce(primary_keys, '') AS primary_keys,
        coalesce(foreign_keys, '') AS foreign_keys, coalesce(row_count, 0) AS row_count
 FROM cols LEFT JOIN pk USING (tbl) LEFT JOIN fk USING (tbl) LEFT JOIN n USING (tbl)""")
 def catalog_tables_base(spark, sf):
-    frames, schema_df, cons = catalog_parts(spark, sf)
-    base = C.tables_base(schema_df, cons, C.row_counts(frames))
+    base = the_catalog(spark, sf).tables()
     fk_text = F.array_join(F.transform("foreign_keys", lambda f: F.concat(
         F.array_join(f["constrained_columns"], ","), F.lit("->"), f["referred_table"], F.lit("("),
         F.array_join(f["referred_columns"], ","), F.lit(")"))), ";")
@@ -210,10 +227,6 @@ def key_discovery_composite(spark, sf):
         F.col("table").alias("table_name"), F.array_join("columns", ",").alias("columns"), "row_count")
 
 
-def _paths(sf) -> dict[str, str]:
-    return {t: f"{sf.rstrip('/')}/{t}.parquet" for t in TABLES}
-
-
 @query("statistics_row_counts", ids="B8", oracle=f"SELECT tbl AS table_name, row_count, false AS stale FROM ({COUNTS_SQL})")
 def statistics_row_counts(spark, sf):
     """Row counts from stored statistics: measured from footers, kept with the file listing, read back."""
@@ -280,11 +293,14 @@ def column_key_flags(spark, sf):
 
 @query("snapshot_roundtrip", ids="A7 A8 A9 B17 B18 G19", oracle=f"""
 WITH s AS ({SCHEMA_SQL}), c AS ({VERIFIED_SQL}), n AS ({COUNTS_SQL})
-SELECT s.tbl AS name, n.row_count, count(*) AS n_columns,
-  (SELECT count(DISTINCT constraint_name) FROM c WHERE c.tbl = s.tbl AND c.kind = 'fk') AS n_fk
+SELECT s.tbl AS name, n.row_count, count(*) AS n_columns, count(*) AS n_described,
+  (SELECT count(DISTINCT constraint_name) FROM c WHERE c.tbl = s.tbl AND c.kind = 'fk') AS n_fk,
+  CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.tbl = s.tbl AND c.kind = 'fk') THEN CAST(round(least(1.0,
+    0.2 * (SELECT count(DISTINCT constraint_name) FROM c WHERE c.tbl = s.tbl AND c.kind = 'fk') + 0.1 * count(*)
+    + CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.tbl = s.tbl AND c.kind = 'pk') THEN 0.3 ELSE 0 END), 2) AS DOUBLE) ELSE 0.0 END AS importance_score
 FROM s JOIN n ON n.tbl = s.tbl GROUP BY s.tbl, n.row_count""")
 def snapshot_roundtrip(spark, sf):
-    """Extract the catalog, save it as a snapshot, invalidate, re-extract, and read it back with a TTL."""
+    """Extract and enrich the catalog, save it as a snapshot, invalidate, re-extract, and read it back with a TTL."""
     import uuid
 
     from tessera.session import checkpoint_dir
@@ -293,10 +309,10 @@ def snapshot_roundtrip(spark, sf):
     path = f"{checkpoint_dir(spark)}/snapshots/{uuid.uuid4().hex}"
 
     def extract():
-        frames, schema_df, cons = catalog_parts(spark, sf)
-        tabs = C.list_tables(schema_df)
-        return {"tables": C.tables_base(schema_df, cons, C.row_counts(frames)),
-                "columns": C.key_flags(schema_df, cons),
+        cat = the_catalog(spark, sf)
+        cons, tabs = cat.constraints(), C.list_tables(cat.schema)
+        return {"tables": cat.enriched_tables(models.describe, "describe"),
+                "columns": cat.enriched_columns(models.describe, "describe"),
                 "queries": spark.createDataFrame([], "question string, sql_query string, explanation string, "
                                                      "positive_votes int"),
                 "relationships": C.relationships(cons, tabs)}
@@ -305,6 +321,7 @@ def snapshot_roundtrip(spark, sf):
     S.invalidate(spark, path)                        # next read misses
     assert S.read_snapshot(spark, path) is None
     snap = S.load_or_extract(spark, path, extract)   # re-extract after invalidation
-    t = snap["tables"]
+    described = snap["columns"].groupBy(F.col("table").alias("name")).agg(F.count_if(F.col("description") != N.NO_DESCRIPTION).alias("n_described"))
+    t = snap["tables"].join(described, "name")
     return t.select("name", "row_count", F.size("columns").cast("bigint").alias("n_columns"),
-                    F.size("foreign_keys").cast("bigint").alias("n_fk"))
+                    F.size("foreign_keys").cast("bigint").alias("n_fk"), "importance_score", "n_described")
