@@ -68,3 +68,9 @@ def write_sql(prompts: list[str]) -> list[str | None]:
         else:
             out.append(None)
     return out
+
+
+def reuse_similar(prompts: list[str]) -> list[str | None]:
+    """SQL model that answers as the most similar stored question was answered; nothing where the prompt holds none."""
+    found = [re.search(r"^SQL: (.*)$", p, re.M) for p in prompts]
+    return [_fence(m.group(1), "As for a similar question") if m else None for m in found]

@@ -457,8 +457,18 @@ def sanitize(df: DataFrame) -> DataFrame:
     return df.select(*[conv(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-PUBLIC_FIELDS = ("success", "query", "explanation", "preview", "error", "from_vector_store",
-                 "original_question", "metadata")
+# Fixed value: rows of a legacy preview.
+LEGACY_ROWS = 5
+
+
+def legacy_response(executed: DataFrame) -> DataFrame:
+    """E25 over executed statements (``preview_rows`` = LEGACY_ROWS): success, number and place of all results, preview, error.
+
+    An empty result has an empty preview; a statement that failed or was refused has an error and nothing else.
+    """
+    ok = F.coalesce(F.col("executed"), F.lit(False))
+    error = F.when(~ok, F.when(F.col("refused"), F.lit(ERR_READ_ONLY)).otherwise(F.lit(ERR_EXEC)))
+    return executed.withColumns({"success": ok, "n_results": F.when(ok, F.col("row_count")), "preview": F.when(ok, F.col("preview")), "error": error})
 
 
 def project_response(df: DataFrame) -> DataFrame:

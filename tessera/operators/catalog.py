@@ -170,12 +170,12 @@ def head_sample(df: DataFrame, n: int = 3, order_by: list[str] | None = None) ->
 
 
 def fixed_size_sample(df: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows chosen by a seeded hash of the key (repeatable).
+    """Exactly n rows (all, if fewer) chosen by the md5 of seed and key, which any engine can repeat.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each partition
     keeps its n best rows, so no task ever holds more than n rows per input split.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols])
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
     return df.withColumn("_h", h).orderBy("_h", *key_cols).limit(n).drop("_h")
 
 

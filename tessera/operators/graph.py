@@ -19,6 +19,8 @@ from tessera.session import cut_lineage
 NUMERIC_TYPE = "int|decimal|numeric|float|double"
 # parts into which the edges of one node are dealt
 SALTS = 64
+# folding of leaves goes on while a round takes this share of what is left
+FOLD_SHARE = 0.01
 # levels after which the union of all levels seen so far is written out again
 CHECKPOINT_EVERY = 3
 
@@ -148,23 +150,51 @@ def structure(components: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ G6 ----
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Exact betweenness (undirected, unweighted, each pair once) by Brandes over BFS levels.
+def fold_leaves(nodes: DataFrame, adj: DataFrame, share: float = FOLD_SHARE) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Fold pendant trees into the nodes they hang from, round by round.
 
-    State rows are (source, node, dist, sigma): one BFS level per round for
-    all sources at once, then dependencies flow back level by level:
-    delta(s, v) = sum over successors w of sigma(s,v) / sigma(s,w) * (1 + delta(s,w)).
+    Returns the nodes that stay (node, w, inner), the edges among them and the folded ones per round (node, parent, w, inner).
+    ``w`` counts a node and all that was folded into it, ``inner`` the pairs of these whose path runs through the node, between two of
+    its branches. Stops when a round folds less than ``share`` of what is left: what stays is counted as it is.
     """
-    adj = cut_lineage(undirected(edges))
-    frontier = nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("d"),
-                            F.lit(1.0).alias("sigma"))
+    left, folded = cut_lineage(nodes.select("node", F.lit(1.0).alias("w"), F.lit(0.0).alias("inner"))), []
+    while True:
+        ends = adj.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("parent")).where("n = 1")
+        other = ends.select(F.col("u").alias("parent"), F.lit(True).alias("leaf_too"))
+        # of an edge between two leaves the larger one is folded
+        ends = ends.join(other, "parent", "left").where(F.col("leaf_too").isNull() | (F.col("u") > F.col("parent")))
+        gone = cut_lineage(ends.select(F.col("u").alias("node"), "parent").join(left, "node"))
+        n = gone.count()
+        if n == 0:
+            return left, adj, folded
+        folded.append(gone)
+        took = gone.groupBy(F.col("parent").alias("node")).agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("s2"))
+        stay = left.join(gone.select("node"), "node", "left_anti").join(took, "node", "left").fillna(0.0, ["s", "s2"])
+        left = cut_lineage(stay.select("node", (F.col("w") + F.col("s")).alias("w"),
+                                       (F.col("inner") + (F.col("s") * F.col("s") - F.col("s2")) / 2 + (F.col("w") - 1) * F.col("s")).alias("inner")))
+        out = gone.select(F.col("node").alias("u"))
+        adj = cut_lineage(adj.join(out, "u", "left_anti").join(out.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
+        if n < share * left.count():
+            return left, adj, folded
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, counter: dict | None = None) -> DataFrame:
+    """Exact betweenness (undirected, unweighted, each pair once): pendant trees folded, Brandes over BFS levels on the rest.
+
+    A node of a pendant tree lies on paths whose number follows from the sizes of what it separates, so trees need no
+    search: they are folded into the node they hang from, which then stands for ``w`` nodes. State rows of the search are
+    (source, node, sigma) among the nodes that stay: one BFS level per round for all sources at once, then
+    dependencies flow back level by level: delta(s, v) = sum over successors x of sigma(s,v) / sigma(s,x) * (w(x) + delta(s,x)).
+    ``counter`` takes the number of ``state`` rows and of ``folded`` nodes.
+    """
+    left, adj, folded = fold_leaves(nodes, cut_lineage(undirected(edges)), FOLD_SHARE)
+    frontier = left.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma"))
     levels = [cut_lineage(frontier)]
     seen = levels[0].select("s", "v")
     for depth in itertools.count(1):  # until no source reaches a new node
         nxt = (levels[-1].join(adj.withColumnRenamed("v", "w").withColumnRenamed("u", "v"), "v")
                .groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
-               .join(seen, ["s", "v"], "left_anti")
-               .select("s", "v", F.lit(depth).alias("d"), "sigma"))
+               .join(seen, ["s", "v"], "left_anti"))
         nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
@@ -172,24 +202,32 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(nxt.select("s", "v"))
         seen = cut_lineage(seen) if depth % CHECKPOINT_EVERY == 0 else seen
     # back-propagate dependencies from the deepest level
+    weight = left.select(F.col("node").alias("v"), "w")
     delta = levels[-1].select("s", "v", F.lit(0.0).alias("delta"))
-    acc = [delta]
+    total = delta
     for lv in range(len(levels) - 1, 0, -1):
-        w = levels[lv].join(delta, ["s", "v"], "left").select(
-            "s", F.col("v").alias("w"), F.col("sigma").alias("sw"), F.coalesce("delta", F.lit(0.0)).alias("dw"))
+        x = levels[lv].join(delta, ["s", "v"], "left").join(weight, "v").select(
+            "s", F.col("v").alias("x"), F.col("sigma").alias("sx"), (F.col("w") + F.coalesce("delta", F.lit(0.0))).alias("dx"))
         prev = levels[lv - 1].select("s", "v", F.col("sigma").alias("sv"))
-        contrib = (w.join(adj.withColumnRenamed("u", "w"), "w")
-                   .join(prev, ["s", "v"])
-                   .groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("dw"))).alias("delta")))
-        delta = cut_lineage(contrib)
-        acc.append(delta)
-    total = acc[0]
-    for a in acc[1:]:
-        total = total.unionByName(a)
-    bc = (total.where(F.col("s") != F.col("v")).groupBy(F.col("v").alias("node"))
-          .agg((F.sum("delta") / 2).alias("betweenness")))
-    return nodes.select("node").join(bc, "node", "left").select(
-        "node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+        delta = cut_lineage(x.join(adj.withColumnRenamed("u", "x"), "x").join(prev, ["s", "v"])
+                            .groupBy("s", "v").agg(F.sum(F.col("sv") / F.col("sx") * F.col("dx")).alias("delta")))
+        total = total.unionByName(delta)
+    source = left.select(F.col("node").alias("s"), F.col("w").alias("sw"))
+    among = (total.where(F.col("s") != F.col("v")).join(source, "s").groupBy(F.col("v").alias("node"))
+             .agg((F.sum(F.col("sw") * F.col("delta")) / 2).alias("among")))
+    # every node that is reached from a source counts with all it stands for: together the source's component
+    size = seen.join(weight, "v").groupBy(F.col("s").alias("node")).agg(F.sum("w").alias("size"))
+    state = cut_lineage(left.join(size, "node").select("node", "w", "inner", "size"))
+    outside = F.col("inner") + (F.col("w") - 1) * (F.col("size") - F.col("w"))
+    result = state.join(among, "node", "left").select("node", (outside + F.coalesce("among", F.lit(0.0))).alias("betweenness"))
+    sizes = state.select("node", "size")
+    for part in reversed(folded):  # a folded node is in its parent's component
+        part = cut_lineage(part.join(sizes.withColumnRenamed("node", "parent"), "parent"))
+        result = result.unionByName(part.select("node", outside.alias("betweenness")))
+        sizes = sizes.unionByName(part.select("node", "size"))
+    if counter is not None:
+        counter["state"], counter["folded"] = seen.count(), sum(p.count() for p in folded)
+    return nodes.select("node").join(result, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 # ----------------------------------------------------------- G10-G12 ------

@@ -293,6 +293,18 @@ def execute_preview(spark, sf):
     return ex.select("event_type", "executed", "row_count", F.array_join("preview", "\n").alias("preview"))
 
 
+@query("execute_legacy", ids="E25", oracle="WITH" + PREVIEW_SQL.replace("i <= 10", "i <= 5") + """
+SELECT event_type, true AS success, row_count AS n_results, preview, CAST(NULL AS VARCHAR) AS error FROM pv JOIN rc USING (event_type)
+UNION ALL SELECT 'no rows', true, 0, '', NULL UNION ALL SELECT 'no table', false, NULL, NULL, 'Failed to execute the SQL query'""")
+def execute_legacy(spark, sf):
+    """The legacy form of a response: all results and the first five; an empty result and a failing statement beside them."""
+    register_views(spark, sf, ["events"])
+    more = spark.createDataFrame([("no rows", "SELECT user_id FROM events WHERE false"), ("no table", "SELECT 1 FROM nowhere")], "event_type string, sql_query string")
+    ex = A.execute_distinct(spark, _type_statements(spark, sf).unionByName(more), preview_rows=A.LEGACY_ROWS)
+    out = A.legacy_response(ex)
+    return out.select("event_type", "success", "n_results", F.array_join("preview", "\n").alias("preview"), "error")
+
+
 @query("sanitize_rows", ids="E20 I12", oracle="""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ||

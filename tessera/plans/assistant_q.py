@@ -9,6 +9,7 @@ from tessera.functions import models
 from tessera.functions.text import table_scoped_question
 from tessera.operators import answer as A
 from tessera.operators import enrich as N
+from tessera.operators import feedback as FB
 from tessera.operators import vectors as V
 from tessera.plans.catalog_q import (COUNTS_SQL, SCHEMA_SQL, VERIFIED_SQL, _profile_sql,
                                      the_catalog)
@@ -217,6 +218,42 @@ def exact_match_answers(spark, sf):
                       F.when(F.col("from_vector_store"), F.col("explanation")).otherwise("not stored").alias("explanation"), F.array_join("preview", "\n").alias("preview"))
 
 
+def _stored_questions(spark, sf) -> DataFrame:
+    """One answered question per event type, kept as query documents in the vector store and read back from it."""
+    from tessera.plans.vector_q import new_store
+
+    types = read_table(spark, sf, "events").select("event_type").distinct()
+    kept = types.select(F.concat(F.lit("How many "), F.col("event_type"), F.lit(" events are there?")).alias("question"),
+                        F.concat(F.lit("SELECT count(*) AS stored FROM events WHERE event_type = '"), F.col("event_type"), F.lit("'")).alias("sql_query"),
+                        F.lit("kept from an earlier answer").alias("explanation"), F.lit(1).cast("bigint").alias("positive_votes"),
+                        F.lit(None).cast("timestamp_ntz").alias("last_ts"))
+    docs = FB.as_query_docs(kept)
+    rows = docs.select("id", "type", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("table"), "question",
+                       F.to_json(F.struct("sql_query", "explanation", "positive_votes")).alias("payload"))
+    store = new_store(spark)
+    store.upsert(rows.join(V.hashed_embedding(docs, "question", ["id"], DIM), "id"))
+    p = F.from_json("payload", "sql_query string, explanation string")
+    return store.read().where("type = 'query'").select("question", p["sql_query"].alias("sql_query"), p["explanation"].alias("explanation"))
+
+
+@query("similar_question_answers", ids="D5 D9 D21 E2 E5 E9", oracle="""
+WITH t AS (SELECT event_type, count(*) AS n, 'SELECT count(*) AS stored FROM events WHERE event_type = ''' || event_type || '''' AS query FROM events GROUP BY event_type)
+SELECT 'How many ' || event_type || ' events are there?' AS original_question, true AS from_vector_store, true AS success, 'kept from an earlier answer' AS explanation,
+  query, '{"stored":' || n || '}' AS preview, 1 AS queries_found FROM t
+UNION ALL
+SELECT 'Are there how many ' || event_type || ' events?', false, true, 'As for a similar question', query, '{"stored":' || n || '}', 1 FROM t""")
+def similar_question_answers(spark, sf):
+    """Questions that are stored, and others in different words: those find the most similar stored question, whose SQL the
+    model reads in its prompt."""
+    types = read_table(spark, sf, "events").select("event_type").distinct()
+    asked = types.select(F.explode(F.array(F.concat(F.lit("How many "), F.col("event_type"), F.lit(" events are there?")),
+                                           F.concat(F.lit("Are there how many "), F.col("event_type"), F.lit(" events?")))).alias("original_query"))
+    questions = asked.select(F.xxhash64("original_query").alias("question_id"), "original_query", F.lit("default").alias("recipe"))
+    out = answer_questions(spark, sf, questions, models.reuse_similar, stored_queries=_stored_questions(spark, sf), k_queries=1)
+    return out.select("original_question", "from_vector_store", "success", "explanation", "query", F.array_join("preview", "\n").alias("preview"),
+                      F.col("metadata")["queries_found"].cast("int").alias("queries_found"))
+
+
 def _recipe_questions(spark, sf) -> DataFrame:
     ev = read_table(spark, sf, "events").select("event_type").distinct().select(
         F.concat(F.lit("How many "), F.col("event_type"), F.lit(" events are there?")).alias("original_query"))

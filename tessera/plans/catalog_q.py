@@ -119,14 +119,18 @@ def catalog_tables_base(spark, sf):
                        fk_text.alias("foreign_keys"), "row_count")
 
 
-def _profile_sql(tables, sep: str = "|") -> str:
+SAMPLED = {"part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
+
+
+def _profile_sql(tables, sep: str = "|", sample: int | None = None) -> str:
     parts = []
     for t in tables:
+        rows = f"(SELECT * FROM {t} ORDER BY md5('42:' || {SAMPLED[t]}), {SAMPLED[t]} LIMIT {sample})" if sample else t
         for c, ty in TABLE_COLUMNS[t]:
             if ty.startswith("array"):
                 continue
             parts.append(f"SELECT DISTINCT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS v "
-                         f"FROM {t} WHERE {c} IS NOT NULL")
+                         f"FROM {rows} WHERE {c} IS NOT NULL")
     u = "\n  UNION ALL ".join(parts)
     return f"""WITH u AS ({u}),
 r AS (SELECT *, row_number() OVER (PARTITION BY tbl, col ORDER BY v) AS rn FROM u)
@@ -142,12 +146,11 @@ def profile_distinct_values(spark, sf):
         F.array_join("distinct_values", "|").alias("distinct_values"))
 
 
-@query("profile_sampled_distinct", ids="B11 B12 J18")
+@query("profile_sampled_distinct", ids="B11 B12 J18", oracle=_profile_sql(PROFILED, sample=1000))
 def profile_sampled_distinct(spark, sf):
-    """Distinct values over a repeatable 1,000-row sample of each table (rows-only check)."""
+    """Distinct values over a repeatable 1,000-row sample of each table."""
     frames = load_tables(spark, sf, PROFILED)
-    keys = {"part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"]}
-    sampled = {t: C.fixed_size_sample(df, 1000, keys[t]) for t, df in frames.items()}
+    sampled = {t: C.fixed_size_sample(df, 1000, [SAMPLED[t]]) for t, df in frames.items()}
     return C.distinct_profile(sampled).select(
         F.col("table").alias("table_name"), F.col("column").alias("column_name"),
         F.array_join("distinct_values", "|").alias("distinct_values"))

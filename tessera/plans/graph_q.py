@@ -42,6 +42,16 @@ def graph_nodes_edges(spark, sf):
                         F.array_join("to_columns", ",").alias("to_columns"))
 
 
+@query("graph_relations", ids="G3", oracle=f"""WITH {EDGES_SQL}
+SELECT src AS node, 'outgoing' AS direction, dst AS other, id, 'N-1' AS cardinality, from_columns, to_columns FROM edges
+UNION ALL SELECT dst, 'incoming', src, id, 'N-1', from_columns, to_columns FROM edges""")
+def graph_relations(spark, sf):
+    """Relations of every table: outgoing and incoming, each with the columns in the reference's own direction."""
+    _, edges = schema_graph(spark, sf)
+    cols = edges.select("id", F.array_join("from_columns", ",").alias("from_columns"), F.array_join("to_columns", ",").alias("to_columns"))
+    return G.relations_of(edges).drop("dir_order").join(cols, "id")
+
+
 DEGREE_SQL = """
 ends AS (SELECT id, src AS node FROM edges UNION ALL SELECT id, dst FROM edges),
 deg AS (SELECT n.node, count(e.id) AS degree, count(DISTINCT e.id) AS connections

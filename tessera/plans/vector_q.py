@@ -242,7 +242,7 @@ def _index_texts(docs):
                        F.to_json(F.struct("lang", "source")).alias("payload"), "text")
 
 
-def _store(spark):
+def new_store(spark):
     import uuid
 
     from tessera.session import checkpoint_dir
@@ -272,7 +272,7 @@ def index_sync(spark, sf):
     one_line = F.when(F.col("source") == "src1", F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
     renamed = F.when(F.col("source") == "src2", F.lit("archive2")).otherwise(F.col("source"))
     later = docs.withColumn("text", one_line).withColumn("source", renamed)
-    store, steps = _store(spark), []
+    store, steps = new_store(spark), []
     steps.append(sync(store, _index_texts(docs.where(F.coalesce("lang", F.lit("")) != "en")), _embed))
     steps.append(sync(store, _index_texts(later), _embed, sync_on_startup=True))
     steps.append(refresh(store, _index_texts(later), _embed))
@@ -291,7 +291,7 @@ def index_exists(spark, sf):
     first = msgs.where("turn = 0").select(F.col("content").alias("text")).where("text IS NOT NULL").distinct()
     rows = first.select(V.query_doc_id("text").alias("id"), F.lit("query").alias("type"), F.substring("text", 1, 40).alias("name"),
                         F.lit(None).cast("string").alias("table"), F.col("text").alias("question"), F.lit("{}").alias("payload"), "text")
-    store = _store(spark)
+    store = new_store(spark)
     vectors = _embed(rows.select("id", "text"))
     store.upsert(rows.drop("text").join(vectors, "id"))
     found = store.exists(msgs.select("conv_id", "turn", V.query_doc_id("content").alias("id")), ["id"])

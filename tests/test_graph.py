@@ -114,3 +114,25 @@ def test_hub_is_dealt_out(spark, hub):
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(G.SALTS))).groupBy("at", "salt").count()
     assert salted.agg(F.max("count")).first()[0] < 2 * leaves / G.SALTS
     assert G._nearest(edges, "at", "other", G.SALTS).where("least = 'm0'").count() == leaves
+
+
+def test_betweenness_of_trees_and_cycles_with_trees(spark):
+    import random
+
+    for seed, share in ((1, 0.0), (2, 0.01), (3, 0.9)):  # fold to the end, as usual, and hardly at all
+        rng = random.Random(seed)
+        nodes = [f"n{i:02d}" for i in range(34)]
+        edges = [(nodes[i], nodes[rng.randrange(i)]) for i in range(1, 22)]        # a tree
+        edges += [(nodes[i], nodes[rng.randrange(22, i)]) for i in range(23, 32)]  # another; two nodes stay alone
+        edges += [(nodes[3], nodes[9]), (nodes[9], nodes[14]), (nodes[5], nodes[5]), (nodes[23], nodes[22])]
+        n, e = frames(spark, nodes, edges)
+        G.FOLD_SHARE, before = share, G.FOLD_SHARE
+        try:
+            counter = {}
+            got = {r["node"]: r["betweenness"] for r in G.betweenness(n, e, counter).collect()}
+        finally:
+            G.FOLD_SHARE = before
+        want = brute_betweenness(nodes, edges)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), (seed, got, want)
+        if seed < 3:
+            assert counter["folded"] > 15 and counter["state"] < 34 * 34 / 6
