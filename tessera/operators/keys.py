@@ -62,35 +62,26 @@ def _values(frames: dict[str, DataFrame], columns: list[tuple[str, T.StructField
     return _union(out)
 
 
-def _sizes(frames: dict[str, DataFrame], columns: list[tuple[str, T.StructField]]) -> DataFrame:
-    """(id, table, column, integral, row_count, null_count, lo, hi) of every column: one aggregate per table."""
-    out = []
-    for t, df in frames.items():
-        mine = [(i, f) for i, (u, f) in enumerate(columns) if u == t]
-        if not mine:
-            continue
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, f in mine:
-            c = F.col(f"`{f.name}`")
-            aggs.append(F.count(c).alias(f"k{i}"))
-            if isinstance(f.dataType, INTEGRAL):
-                aggs += [F.min(c).cast("bigint").alias(f"lo{i}"), F.max(c).cast("bigint").alias(f"hi{i}")]
-        none = F.lit(None).cast("bigint")
-        per = [F.struct(F.lit(i).alias("id"), F.lit(f.name).alias("column"), F.lit(isinstance(f.dataType, INTEGRAL)).alias("integral"),
-                        (F.col("n") - F.col(f"k{i}")).alias("null_count"),
-                        (F.col(f"lo{i}") if isinstance(f.dataType, INTEGRAL) else none).alias("lo"),
-                        (F.col(f"hi{i}") if isinstance(f.dataType, INTEGRAL) else none).alias("hi")) for i, f in mine]
-        out.append(df.agg(*aggs).select(F.lit(t).alias("table"), F.col("n").alias("row_count"), F.explode(F.array(*per)).alias("s"))
-                   .select("s.id", "table", "s.column", "s.integral", "row_count", "s.null_count", "s.lo", "s.hi"))
-    return _union(out)
+def _row_counts(frames: dict[str, DataFrame]) -> DataFrame:
+    return _union([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table"), "row_count") for t, df in frames.items()])
+
+
+def _names(spark: SparkSession, columns: list[tuple[str, T.StructField]]) -> DataFrame:
+    rows = [(i, t, f.name, isinstance(f.dataType, INTEGRAL)) for i, (t, f) in enumerate(columns)]
+    return spark.createDataFrame(rows, "id int, table string, column string, integral boolean")
 
 
 def column_stats(frames: dict[str, DataFrame], types: tuple = KEYABLE) -> DataFrame:
-    """Row, null and distinct counts (+ range of numbers) of every column of ``types``."""
+    """Row, null and distinct counts (+ range of numbers) of every column of ``types``: one pass over all values."""
     columns = _columns(frames, types)
-    distinct = _values(frames, columns).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return (_sizes(frames, columns).join(distinct, "id", "left")
-            .select("table", "column", "row_count", "integral", "null_count", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"), "lo", "hi"))
+    spark = next(iter(frames.values())).sparkSession
+    zero = F.lit(0).cast("bigint")
+    values = _values(frames, columns).groupBy("id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    per = values.groupBy("id").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+    known = _names(spark, columns).join(_row_counts(frames), "table").join(per, "id", "left")
+    number = lambda c: F.when(F.col("integral"), F.col(c)).alias(c)
+    return known.select("table", "column", "row_count", "integral", (F.col("row_count") - F.coalesce("n", zero)).alias("null_count"),
+                        F.coalesce("n_distinct", zero).alias("n_distinct"), number("lo"), number("hi"))
 
 
 def pk_candidates(stats: DataFrame) -> DataFrame:
@@ -115,10 +106,10 @@ def inclusions(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     each = held.select(F.explode(whose).alias("id"), *[f"w{w}" for w in words])
     inside = each.groupBy("id").agg(F.count(F.lit(1)).alias("n_distinct"), *[F.bit_and(f"w{w}").alias(f"w{w}") for w in words])
     pairs = inside.select("id", F.explode(whose).alias("ref")).where("id <> ref")
-    sizes = _sizes(frames, columns)
-    key = (sizes.join(inside.select("id", "n_distinct"), "id").where("null_count = 0 and n_distinct = row_count")
+    names = _names(spark, columns)
+    # as many distinct values as rows: none is null
+    key = (names.join(_row_counts(frames), "table").join(inside.select("id", "n_distinct"), "id").where("n_distinct = row_count")
            .select(F.col("id").alias("ref"), F.col("table").alias("ref_table"), F.col("column").alias("ref_column")))
-    names = spark.createDataFrame([(i, t, f.name) for i, (t, f) in enumerate(columns)], "id int, table string, column string")
     return pairs.join(key, "ref").join(names, "id").select("table", "column", "ref_table", "ref_column")
 
 

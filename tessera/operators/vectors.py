@@ -269,10 +269,11 @@ def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "
     score = lambda pairs: _score(pairs, dim, k, q_self is not None, qkey_type, key_type)
     n = held.count()
     if n <= block_docs:
-        d = held.groupBy("group").agg(F.collect_list("m").alias("members"))
-        part = F.pmod(F.xxhash64("m.key"), F.lit(max(1, -(-asked.count() // block_questions))))
-        q = asked.groupBy("group", part.alias("ask")).agg(F.collect_list("m").alias("asks"))
-        found = score(q.join(d, "group"))
+        dealt = lambda parts: F.pmod(F.xxhash64("m.key"), F.lit(parts))
+        d = held.groupBy("group", dealt(1).alias("block")).agg(F.collect_list("m").alias("members"))
+        ask = dealt(max(1, -(-asked.count() // block_questions))).alias("ask")
+        q = asked.groupBy("group", dealt(1).alias("block"), ask).agg(F.collect_list("m").alias("asks"))
+        found = score(q.join(d, ["group", "block"]))  # an equi-join on the block's number, also where there is one group
     else:
         pivots = _pivots(held, dim, -(-n // block_docs))
         found = _pruned(_blocks(asked, dim, block_questions, pivots, 1), _blocks(held, dim, block_docs, pivots, block_docs), score, k, counter)

@@ -135,15 +135,15 @@ def answer_questions(spark: SparkSession, sf: str, questions: DataFrame, complet
     gate = V.exact_match(q.select("question_id", F.col("original_query").alias("question")), stored.select("question", "sql_query", "explanation"))
     gate = cut_lineage(gate.select("question_id", "exact_match", F.col("m").alias("hit")))
     missed = q.join(gate.where("exact_match"), "question_id", "left_anti")
-    qv = V.hashed_embedding(missed, "processed_query", ["question_id"], DIM, "qvec")
+    qv = cut_lineage(V.hashed_embedding(missed, "processed_query", ["question_id"], DIM, "qvec"))
     tables_idx = index.where("type = 'table'")
     cols_idx = index.where("type = 'column'")
-    th = V.topk_cosine(qv, tables_idx, k_tables, doc_key="table")
+    th = cut_lineage(V.topk_cosine(qv, tables_idx, k_tables, doc_key="table", dim=DIM))  # read by columns and by context
     pairs = (th.join(qv, "question_id")
              .select(F.concat_ws("|", F.col("question_id").cast("string"), "table").alias("pair"),
                      "question_id", F.col("table").alias("ptable"), F.col("rank").alias("table_rank"), "qvec"))
     ch = V.topk_cosine(pairs, cols_idx, k_columns, q_key="pair", doc_key="id", q_group="ptable",
-                       doc_group="table")
+                       doc_group="table", dim=DIM)
     ch = ch.join(pairs.select("pair", "question_id", "table_rank"), "pair")
     tinfo = tdocs.select(F.col("name").alias("table"), F.struct("name", "primary_keys", "description",
                                                                 "columns").alias("t"))
@@ -160,7 +160,7 @@ def answer_questions(spark: SparkSession, sf: str, questions: DataFrame, complet
     if stored_queries is not None and k_queries > 0:
         sq = stored
         sv = V.hashed_embedding(sq, "question", ["id"], DIM)
-        qh = V.topk_cosine(qv, sv, k_queries, doc_key="id")
+        qh = V.topk_cosine(qv, sv, k_queries, doc_key="id", dim=DIM)
         q_arr = (qh.join(sq, "id").groupBy("question_id")
                  .agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("question", "sql_query",
                                                                              "explanation").alias("q")))).alias("l"))
