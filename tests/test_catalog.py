@@ -70,3 +70,14 @@ def test_fixed_size_sample_and_profile(spark):
     for col in ("o_orderstatus", "o_orderpriority", "o_custkey"):
         want = sorted({str(r[col]) for r in rows if r[col] is not None})[:10]
         assert prof[col] == want
+
+
+def test_profile_holds_a_few_values_per_partition(spark):
+    """The smallest distinct values come from every partition's own smallest: no row of a frequent value is sorted or ranked."""
+    rows = [(i, "yes" if i % 2 else "no", f"é{i % 30}" if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, flag string, name string").repartition(3)
+    got = {r["column"]: r["distinct_values"] for r in C.distinct_profile({"t": df}, 4).collect()}
+    assert got == {"id": ["0", "1", "10", "100"], "flag": ["no", "yes"], "name": ["é1", "é10", "é11", "é13"]}
+    few = df.select("flag").mapInArrow(C._smallest(4), "column string, value string")
+    assert few.count() <= 3 * 2
+    assert C.distinct_profile({"t": df.where("id < 0")}, 4).count() == 0
