@@ -19,6 +19,8 @@ from tessera.session import cut_lineage
 NUMERIC_TYPE = "int|decimal|numeric|float|double"
 # parts into which the edges of one node are dealt
 SALTS = 64
+# a node of more edges is a hub, whose edges are dealt
+HUB = 50_000
 # folding of leaves goes on while a round takes this share of what is left
 FOLD_SHARE = 0.01
 # levels after which the union of all levels seen so far is written out again
@@ -96,28 +98,48 @@ def undirected(edges: DataFrame) -> DataFrame:
             .unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct())
 
 
-def _nearest(edges: DataFrame, key: str, value: str, salts: int) -> DataFrame:
+def _nearest(edges: DataFrame, key: str, value: str, salts: int, hub: int = HUB) -> DataFrame:
     """``edges`` with ``least``: the smallest ``value`` of their ``key``, though no join key holds all edges of a hub.
 
-    The smallest per (key, salt) is found first; the salts of a key then agree on the smallest of these, and edges look it up
-    by (key, salt).
+    The smallest per key is combined before it is moved. A key of more than ``hub`` edges has it copied to ``salts`` places, over which
+    its edges are dealt to look it up; such keys are at most one in ``hub`` edges.
     """
-    salt = F.pmod(F.xxhash64(value), F.lit(salts))
-    salted = edges.withColumn("_salt", salt)
-    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
-    agreed = parts.select(key, "_salt", F.min("_part").over(Window.partitionBy(key)).alias("least"))
-    return salted.join(agreed, [key, "_salt"]).drop("_salt")
+    found = edges.groupBy(key).agg(F.min(value).alias("least"), (F.count(F.lit(1)) > hub).alias("_hub"))
+    hubs = F.broadcast(found.where("_hub").select(F.col(key).alias("_key"), "_hub"))
+    salted = edges.join(hubs, F.col(key) == F.col("_key"), "left").drop("_key")
+    salted = salted.withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.xxhash64(value), F.lit(salts)).cast("int")).otherwise(0)).drop("_hub")
+    places = F.when(F.col("_hub"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(found.select(key, "least", F.explode(places).alias("_salt")), [key, "_salt"]).drop("_salt")
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(number, node) of every node at an edge, written, and the edges as pairs of numbers (big, small): loops dropped.
+
+    A number is a hash of the node under the first seed that gives no two nodes the same.
+    """
+    e = edges.where(F.col("src") != F.col("dst"))
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    kind = ends.schema["node"].dataType
+    for seed in itertools.count():
+        number = lambda c: F.xxhash64(F.lit(seed), F.col(c).cast(kind))  # noqa: B023, E731
+        named = cut_lineage(ends.select(number("node").alias("number"), "node"))
+        if named.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+    pairs = e.select(number("src").alias("a"), number("dst").alias("b"))
+    return named, pairs.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, salts: int = SALTS) -> DataFrame:
     """Component label = smallest node name, by large-star and small-star rounds.
 
-    An edge points from its larger to its smaller end. Large-star joins every larger neighbour of a node to the node's
+    The rounds run over numbers in the nodes' place, whose order is that of hashes: numbers are compared and moved at a fraction
+    of the cost of names, and in a random order the first rounds already merge most edges. An edge points from its larger to its
+    smaller end. Large-star joins every larger neighbour of a node to the node's
     smallest neighbour, small-star a node and its smaller neighbours to the smallest of them; both keep components, and
-    the edges end as stars round the smallest nodes. Stops when a round leaves the set of edges as it was (its count and
+    the edges end as stars round the smallest numbers. Stops when a round leaves the set of edges as it was (its count and
     two sums of hashes). The state is the edges, never more than there were at first plus one per node.
     """
-    now = undirected(edges).where(F.col("u") > F.col("v")).select(F.col("u").alias("big"), F.col("v").alias("small"))
+    named, now = _numbered(edges)
     now, before = cut_lineage(now), None
     while True:
         h = F.xxhash64("big", "small")
@@ -135,7 +157,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, salts: int = SALTS)
         # where the smallest is the edge's own smaller end, the edge stays as it is
         small = near.select(F.when(F.col("small") == F.col("least"), F.col("big")).otherwise(F.col("small")).alias("big"), F.col("least").alias("small"))
         now = cut_lineage(small.distinct())
-    labels = now.groupBy(F.col("big").alias("node")).agg(F.min("small").alias("component"))  # one row each
+    roots = now.groupBy(F.col("big").alias("number")).agg(F.min("small").alias("root"))  # one row each
+    placed = named.join(roots, "number", "left").select("node", F.coalesce("root", "number").alias("root"))
+    labels = placed.join(placed.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -102,11 +102,13 @@ def graph_structure(spark, sf):
 
 def supply_graph(spark, sf):
     """Supplier-part graph: one edge per distinct (supplier, part) pair shipped in lineitem."""
-    li = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    edges = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
-                      F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    li = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    supplier, part = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("s", "l_suppkey"), ("p", "l_partkey")))
+    edges = li.distinct().select(supplier.alias("src"), part.alias("dst"))
     edges = edges.withColumn("id", F.concat_ws("-", "src", "dst"))
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    # keys are made distinct as numbers; the distinct over the names merges their nulls
+    nodes = (li.select("l_suppkey").distinct().select(supplier.alias("node"))
+             .unionByName(li.select("l_partkey").distinct().select(part.alias("node"))).distinct())
     return nodes, edges
 
 

@@ -136,3 +136,12 @@ def test_betweenness_of_trees_and_cycles_with_trees(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), (seed, got, want)
         if seed < 3:
             assert counter["folded"] > 15 and counter["state"] < 34 * 34 / 6
+
+
+def test_components_run_over_numbers(spark):
+    e = spark.createDataFrame([("e1", "b", "a"), ("e2", "c", "b"), ("e3", "d", "d"), ("e4", None, "a")], "id string, src string, dst string")
+    named, pairs = G._numbered(e)
+    assert {r["node"] for r in named.collect()} == {"a", "b", "c"} and dict(pairs.dtypes) == {"big": "bigint", "small": "bigint"}
+    n = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,), ("c",)], "node string")
+    got = [(r["node"], r["component"]) for r in G.connected_components(n, e).collect()]
+    assert sorted(got, key=str) == [("a", "a"), ("b", "a"), ("c", "a"), ("c", "a"), ("d", "d"), (None, None)]
