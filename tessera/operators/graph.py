@@ -71,10 +71,24 @@ def relations_of(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ G4, G5, G8 --
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degree (a loop counts 2) and connected-edge count (a loop counts 1)."""
-    ends = edges.select("id", F.explode(F.array("src", "dst")).alias("node"))
-    d = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"),
-                                 F.count_distinct("id").alias("connections"))
+    """Degree (a loop counts 2) and connected-edge count (a loop counts 1).
+
+    Ids that several edges share are found first, by a digest; only their edges are made distinct per node and id.
+    """
+    mark = F.xxhash64("id").alias("_id")
+    shared = edges.select(mark).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    loop = F.col("src") == F.col("dst")
+    end = lambda node, n: F.struct(F.col(node).alias("node"), F.lit(n).alias("degree"))
+    each = F.explode(F.when(loop, F.array(end("src", 2))).otherwise(F.array(end("src", 1), end("dst", 1)))).alias("e")
+    if not shared.isEmpty():
+        shared = cut_lineage(shared)
+        edges = edges.select("*", mark).join(shared.withColumn("_shared", F.lit(True)), "_id", "left")
+        ends = edges.select("id", "_shared", each).select("id", "_shared", "e.*")
+        again = ends.where("_shared").select("node", "id").distinct().groupBy("node").agg(F.count("id").alias("again"))
+        d = ends.groupBy("node").agg(F.sum("degree").alias("degree"), F.count(F.when(F.col("_shared").isNull(), F.col("id"))).alias("own"))
+        d = d.join(again, "node", "left").select("node", "degree", (F.col("own") + F.coalesce("again", F.lit(0))).alias("connections"))
+    else:
+        d = edges.select("id", each).select("id", "e.*").groupBy("node").agg(F.sum("degree").alias("degree"), F.count("id").alias("connections"))
     return (nodes.select("node").join(d, "node", "left")
             .select("node", F.coalesce("degree", F.lit(0)).alias("degree"),
                     F.coalesce("connections", F.lit(0)).alias("connections")))

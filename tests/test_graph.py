@@ -138,6 +138,24 @@ def test_betweenness_of_trees_and_cycles_with_trees(spark):
             assert counter["folded"] > 15 and counter["state"] < 34 * 34 / 6
 
 
+def test_degree_of_shared_and_missing_ids(spark):
+    rows = [("x", "a", "b"), ("x", "a", "c"), ("x", "a", "a"), ("y", "a", "b"), (None, "a", "b"), (None, "c", "c")]
+    e = spark.createDataFrame(rows, "id string, src string, dst string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",), ("z",), ("a",)], "node string")
+    got = sorted((r["node"], r["degree"], r["connections"]) for r in G.degree(n, e).collect())
+    assert got == [("a", 6, 2), ("a", 6, 2), ("b", 3, 2), ("c", 3, 1), ("z", 0, 0)]
+    assert G.degree(n, e).schema["degree"].dataType.simpleString() == "bigint"
+
+
+def test_degree_has_no_row_per_node_and_edge(spark):
+    """Where no two edges share an id, rows are grouped by node at once: no aggregate carries the ids."""
+    e = spark.range(100).selectExpr("concat('e', id) AS id", "concat('s', id % 7) AS src", "concat('p', id % 11) AS dst")
+    n = e.selectExpr("src AS node").distinct()
+    plan = G.degree(n, e)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[node#" in plan and ", id#" not in plan.split("HashAggregate", 1)[1].split("functions", 1)[0]
+    assert {r["connections"] for r in G.degree(n, e).collect()} == {14, 15}
+
+
 def test_components_run_over_numbers(spark):
     e = spark.createDataFrame([("e1", "b", "a"), ("e2", "c", "b"), ("e3", "d", "d"), ("e4", None, "a")], "id string, src string, dst string")
     named, pairs = G._numbered(e)
