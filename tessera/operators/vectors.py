@@ -199,7 +199,9 @@ def _ball(dim: int):
 
 
 def _sound(df: DataFrame, key: str, vec: str, group: str | None, dim: int, own: str | None = None) -> DataFrame:
-    parts = [F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec")] + ([F.col(own).alias("own")] if own else [])
+    # floats stay floats wherever rows are moved or written; scores are computed in doubles either way
+    kept = F.col(vec) if df.select(vec).dtypes[0][1] == "array<float>" else F.col(vec).cast("array<double>")
+    parts = [F.col(key).alias("key"), kept.alias("vec")] + ([F.col(own).alias("own")] if own else [])
     known = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & F.col(key).isNotNull())
     return known.select((F.col(group) if group else F.lit(0)).alias("group"), F.struct(*parts).alias("m"))
 

@@ -114,3 +114,17 @@ def test_exact_match_keeps_oldest(spark):
     got = {r["qid"]: (r["exact_match"], r["m"]["sid"] if r["m"] else None)
            for r in V.exact_match(qs, stored).collect()}
     assert got == {10: (True, 1), 11: (False, None)}
+
+
+def test_float_vectors_are_moved_as_floats(spark):
+    """Blocks hold the vectors in the type they came in; the scores are those of doubles."""
+    rows = [(i, [float(np.float32(np.sin(i * 7 + j))) for j in range(8)]) for i in range(60)]
+    wide = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    slim = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    assert V._sound(slim, "id", "vector", None, 8).schema["m"].dataType["vec"].dataType.simpleString() == "array<float>"
+    hits = [V.topk_cosine(d.selectExpr("id AS question_id", "vector AS qvec", "id AS self_id"), d, 3, q_self="self_id", block_docs=b)
+            .orderBy("question_id", "rank").collect() for d in (slim, wide) for b in (1000, 16)]
+    assert len(hits[0]) == 180
+    key = lambda rows: [(r["question_id"], r["rank"], r["id"]) for r in rows]
+    assert all(key(h) == key(hits[0]) for h in hits)
+    assert hits[0] == hits[2] and hits[1] == hits[3]
