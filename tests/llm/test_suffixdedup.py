@@ -133,3 +133,29 @@ def test_extensions_and_suffix_sort_agree():
         few = np.bincount(group)[group] <= suffixdedup.FEW
         got = suffixdedup._by_extension(around[few], group[few], low[few], high[few], rank[few], length)
         assert (got == want[few]).all() and want.any()
+
+
+def test_working_space_is_bounded():
+    """Anchors of a buffer are found, and surroundings gathered, in parts: an executor's tasks hold tens of MB, not hundreds."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 4_000_000).astype(np.uint8)
+    offsets = np.append(np.arange(0, 4_000_000, 50_000), 4_000_000)
+    suffixdedup._tables()
+    tracemalloc.start()
+    row, place, first, last, gram = suffixdedup.anchors(data, offsets, 100)
+    found = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    many = slice(0, 60_000)
+    at = (place + offsets[row])[many]
+    before = tracemalloc.get_traced_memory()[0]
+    around = suffixdedup._around(data, at, (first - place)[many], (last - place)[many], 100)
+    gathered = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert found < 100e6 and gathered < 60e6, (found, gathered)
+    for i in (0, 777, 59_999):
+        a, b = int(first[i] - place[i]), int(last[i] - place[i]) + 100
+        want = np.zeros(184, np.uint8)
+        want[a + 84:b + 84] = data[at[i] + a:at[i] + b]
+        assert (around[i] == want).all()
