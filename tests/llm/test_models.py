@@ -219,3 +219,36 @@ def test_every_position_is_a_target():
     model = pseudolm.WindowModel({w: i for i, w in enumerate("abcdefgh")}, np.random.default_rng(2).normal(0, 0.1, pseudolm.SIZE).astype(np.float32))
     for turn in (0, 1):
         assert pseudolm.improve(model, iter(texts), turn)[1] == 7 + 1 + 1000
+
+
+def test_large_vocabularies_choose_in_small_steps():
+    """Three softmaxes of the vocabulary's cube root instead of two of its square root; the chain rule over dense softmaxes is the reference."""
+    shape = pseudolm.shapes(90_000)
+    assert sum(shape[k][-1] for k in "CKM") < 150 and shape["m"][0] * shape["m"][1] >= 90_000 + pseudolm.HASHED
+    rng = np.random.default_rng(8)
+    w = {k: rng.normal(0, 0.3, s) for k, s in pseudolm.shapes(1500).items()}
+    side, n = w["c"].shape[0], 3000
+    units = side ** 3
+    target = np.where(rng.random(n) < 0.5, rng.integers(0, 20, n), rng.integers(0, units, n)).astype(np.int32)  # large groups and small ones
+    target[target == pseudolm.PAD] += 1
+    around = rng.integers(0, units + 1, (n, 4)).astype(np.int32)
+    h = np.tanh(w["E"][around].reshape(n, -1) @ w["W"] + w["b"])
+    kind, place = np.divmod(target - (target > pseudolm.PAD), side)
+    top, middle = np.divmod(kind, side)
+    each = np.arange(n)
+    for scale in (1, 400):  # the second needs the shift before exp
+        w["m"] *= scale
+        want = (pseudolm._log_softmax(h @ w["C"] + w["c"])[each, top]
+                + pseudolm._log_softmax(np.einsum("nh,nhp->np", h, w["K"][top]) + w["k"][top])[each, middle]
+                + pseudolm._log_softmax(np.einsum("nh,nhp->np", h, w["M"][kind]) + w["m"][kind])[each, place])
+        np.testing.assert_allclose(pseudolm.log_probabilities(w, target, around), want, rtol=1e-4, atol=1e-4)
+    w["m"] /= 400
+    g = pseudolm.gradients(w, target, around)
+    for k in w:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        loss = []
+        for d in (1e-2, -2e-2):
+            w[k][at] += d
+            loss.append(-pseudolm.log_probabilities(w, target, around).astype(float).mean())
+        w[k][at] += 1e-2
+        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[k][at], rel=5e-2, abs=1e-5), k
