@@ -93,3 +93,24 @@ def test_keywords_equal_brute_force(spark):
     for d, text in TEXTS.items():
         want = [(round(s, 9), k) for s, k in brute(text)]
         assert got.get(d, []) == want, (d, got.get(d), want)
+
+
+def test_single_terms_and_plain_words(spark):
+    """Flags and counts of words that occur once or often, with and without case; held values are folded, not copied."""
+    text = "abc ÉCOLE École école {x} NASA nasa 漢字 漢字 aB Zed. zed ZED 12 I one. One two"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    rows = K.term_stats(df)
+    got = {r["term"]: tuple(r)[2:-1] for r in rows.collect()}
+    want = {}
+    for si, s in enumerate(regex.split(K.SENTENCE_SPLIT.replace("\\x0B", "\\x0b"), text)):
+        ws = [(wi, w) for wi, w in enumerate(regex.split(K.WORD_SPLIT, s)) if w]
+        for j, (wi, w) in enumerate(ws):
+            acr = len(w) > 1 and w == w.upper() and regex.search(r"\p{L}", w) is not None
+            up = regex.match(r"\p{Lu}", w) is not None and not acr and wi > 0
+            want.setdefault(w.lower(), []).append((si, up, acr, ws[j - 1][1].lower() if j else None, ws[j + 1][1].lower() if j + 1 < len(ws) else None))
+    for term, t in want.items():
+        left, right = [x[3] for x in t if x[3]], [x[4] for x in t if x[4]]
+        assert got.pop(term) == (len(t), sum(x[1] for x in t), sum(x[2] for x in t), len({x[0] for x in t}), t[0][0], statistics.median(x[0] for x in t),
+                                 len(left), len(right), len(set(left)), len(set(right))), term
+    assert not got
+    assert "transform(array(" not in rows._jdf.queryExecution().optimizedPlan().toString()
