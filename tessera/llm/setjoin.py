@@ -8,7 +8,8 @@ Sets are a document's distinct word shingles; two link when |x & y| / |x | y| re
    over all shingles leaves the sets whose answers are open.
 3. Index lists. An open set is cut by hash into m parts, m - 1 being the most elements in which two linked sets
    of its size can differ: linked sets agree in one whole part. Lists are keyed by (size level, part position,
-   contents of the part); sizes too far apart never share a level, so such blocks are skipped by position.
+   contents of the part); sizes too far apart never share a level, so such blocks are skipped by position. Empty parts,
+   in which unrelated sets agree, have a list only for sets with so few other parts that a linked set can differ in all of them.
 4. Answers by relation. The least set of a list is its leader. Every member's difference from its leader is computed
    once. Members that link to the leader are in its class: pairs among them are skipped. Any other member's overlap
    with a further one follows from the two differences, |dx| + |dy| - 2 |dx & dy|, which are small for highly
@@ -210,7 +211,11 @@ def _open_sets(texts: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
 
 
 def signatures(elements: np.ndarray, starts: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """set number and signature (level, part position, contents) of all parts, for the set's own level and the one below."""
+    """set number and signature (level, part position, contents) of the parts, for the set's own level and the one below.
+
+    A linked set differs in ``apart`` elements at most, so of more parts that hold elements one agrees: empty parts are left out then.
+    Sets with fewer keep them: two such sets may agree in empty parts only.
+    """
     n = np.diff(starts)
     level = np.searchsorted(bounds, n, "right") - 1
     of = np.repeat(np.arange(len(n)), n)
@@ -227,8 +232,13 @@ def signatures(elements: np.ndarray, starts: np.ndarray, bounds: np.ndarray, num
         np.add.at(total, slot, value[use])
         row = np.repeat(np.arange(len(n)), parts)
         where = (lev[row] << 40) + np.arange(len(row)) - base[row]
-        rows.append(row)
-        sigs.append(mix64(total + mix64(where.astype(np.uint64))))
+        # in the own level's lists the set meets those of that level and the next, in the lists below those of the level below
+        apart = most_apart(n + np.minimum(n * den // num, bounds[lev + 2 - down] - 1), num, den)
+        holds = np.zeros(len(total), bool)
+        holds[slot] = True
+        kept = holds | (np.bincount(row[holds], minlength=len(n)) <= apart)[row]
+        rows.append(row[kept])
+        sigs.append(mix64(total + mix64(where.astype(np.uint64)))[kept])
     return np.concatenate(rows), np.concatenate(sigs)
 
 

@@ -613,5 +613,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     out = {c: temp(c) for c in ("starts", "ends", "kept")}
     own = temp("id")
     found = spans.select(F.col("id").alias(own), F.col("starts").alias(out["starts"]), F.col("ends").alias(out["ends"]))
-    rows = docs.withColumn(own, _id(id_col, text_col)).join(found, own, "left").drop(own)
+    # the spans grow with the input: at no size do they pass whole through the driver
+    rows = docs.withColumn(own, _id(id_col, text_col)).join(found.hint("merge"), own, "left").drop(own)
     return rows.withColumn(out["kept"], cut(F.col(text_col), F.col(out["starts"]), F.col(out["ends"]), whole_characters)), out

@@ -173,3 +173,34 @@ def test_words_longer_than_a_part_stay_whole(monkeypatch):
     monkeypatch.setattr(shingles, "_SPAN", 1 << 21)
     whole = list(shingle_sets(*text_buffer(pa.array(texts)), 3))
     assert np.concatenate([keys for *_, keys in cut]).tolist() == np.concatenate([keys for *_, keys in whole]).tolist()
+
+
+def _signed(sets, num, den):
+    elements, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    row, sig = setjoin.signatures(elements, starts, setjoin.sizes_of_levels(num, den), num, den)
+    return [set(sig[row == i].tolist()) for i in range(len(sets))]
+
+
+def test_unrelated_sets_share_no_list():
+    rng = np.random.default_rng(3)
+    for num, n in ((80, 500), (80, 60), (90, 500)):
+        sets = [np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64)) for _ in range(150)]
+        signed = _signed(sets, num, 100)
+        assert sum(map(len, signed)) == len(set().union(*signed))
+
+
+def test_linked_sets_share_a_list_down_to_the_threshold():
+    rng = np.random.default_rng(5)
+    for num in (50, 80, 90):
+        for n in (*range(1, 40), 77, 200, 501):
+            for _ in range(6):
+                x = np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64))
+                gone = rng.integers(0, len(x) * (100 - num) // 100 + 1)
+                left = rng.permutation(x)[gone:]
+                more = len(left) * 100 // num - len(x)  # the most that keeps them linked
+                if not len(left) or more < 0:
+                    continue
+                y = np.unique(np.concatenate([left, rng.integers(0, 1 << 52, more).astype(np.uint64)]))
+                assert 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))
+                one, two = _signed([x, y], num, 100)
+                assert one & two

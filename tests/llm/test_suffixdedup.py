@@ -159,3 +159,11 @@ def test_working_space_is_bounded():
         want = np.zeros(184, np.uint8)
         want[a + 84:b + 84] = data[at[i] + a:at[i] + b]
         assert (around[i] == want).all()
+
+
+def test_spans_are_joined_by_shuffle_at_every_size(spark):
+    docs = spark.createDataFrame([(i, "a passage of more than fifty bytes that two documents share, " + str(i)) for i in range(4)], "doc_id bigint, text string")
+    rows, c = suffixdedup.without_repeats(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows.filter(rows[c["starts"]].isNotNull()).count() == 3
