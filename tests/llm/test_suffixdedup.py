@@ -167,3 +167,10 @@ def test_spans_are_joined_by_shuffle_at_every_size(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert rows.filter(rows[c["starts"]].isNotNull()).count() == 3
+
+
+def test_only_texts_that_lose_something_go_to_python(spark):
+    docs = spark.createDataFrame([(1, "abc\u00e9d", [1], [5]), (2, "whole", None, None), (3, None, None, None)], "id int, text string, starts array<bigint>, ends array<bigint>")
+    out = docs.select("id", suffixdedup.cut(docs.text, docs.starts, docs.ends).alias("kept"))
+    assert [bytes(r["kept"]) for r in out.orderBy("id").collect()] == [b"ad", b"whole", b""]
+    assert "CASE WHEN" in next(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x or "Project" in x and "starts" in x)
