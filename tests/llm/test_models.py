@@ -253,3 +253,29 @@ def test_small_softmaxes_in_stacks(monkeypatch):
             loss.append(-pseudolm.log_probabilities(w, target, around).astype(float).mean())
         w[k][at] += 1e-2
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[k][at], rel=5e-2, abs=1e-5), k
+
+
+def test_rare_words_are_passed_on_once(spark, monkeypatch):
+    """A text's rare words come once each with their number, so that they need no grouping before they meet their counts."""
+    monkeypatch.setattr(pseudolm, "SPARSE", 1)
+    docs = spark.createDataFrame([(i, f"c{i % 800} c{i % 800} c{i % 800}") for i in range(1600)] + [(2000, "r1 r2 R1 c5 r1"), (2001, None), (2001, "c5")], "doc_id bigint, text string")
+    model = pseudolm.train(docs)
+    assert {"r1", "r2"}.isdisjoint(model.ids) and "c5" in model.ids
+    rows = docs.filter("doc_id >= 2000").select("doc_id", pseudolm.pseudo_likelihood(model, F.col("text")).alias("lm")).collect()
+    assert sorted((r["doc_id"], r["lm"]["n_tokens"], dict(zip(r["lm"]["rare"], r["lm"]["times"]))) for r in rows if r["lm"]["rare"]) == [(2000, 5, {"r1": 3, "r2": 1})]
+    plan = pseudolm.score(docs, model)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the shares of a row
+
+
+def test_logits_are_shifted_where_sums_need_it():
+    """Sums of exp decide about the shift; parts of a call are of one size, so no result hangs on the parts."""
+    rng = np.random.default_rng(4)
+    w = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in pseudolm.shapes(1500).items()}
+    h, at = np.tanh(rng.normal(size=(5000, pseudolm.HIDDEN))).astype(np.float32), rng.integers(0, len(w["c"]), 5000)
+    for add in (0, 95, -95, 400, -400):
+        bias = w["c"] + np.float32(add)
+        z, total, own = pseudolm._exp_logits(h, w["C"], bias, at)
+        assert np.isfinite(total).all() and (total > 0).all()
+        want = pseudolm._log_softmax((h @ w["C"] + bias).astype(float))[np.arange(5000), at]
+        np.testing.assert_allclose(own - np.log(total), want, atol=2e-4)
+        np.testing.assert_allclose(z.sum(1), total, rtol=1e-4)
