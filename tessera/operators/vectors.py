@@ -3,7 +3,8 @@
 Top-k search never materialises (question, document) pairs as rows and never
 plans a cross join. Both sides are dealt to blocks of near vectors; blocks of one
 group meet if their balls allow one of the k best scores; a task scores one block pair
-with matrix products (numpy inside ``mapInArrow``) and emits exactly the k best per
+with matrix products in single precision (numpy inside ``mapInArrow``), scores what can
+be among the k best once more in double precision and emits exactly the k best per
 question. A ranked window with ``row_number() <= k`` (planned as a
 WindowGroupLimit) then merges them, so the largest group is k x blocks rows.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,14 @@ from tessera.session import materialize
 # Fixed value: RFC 4122 DNS namespace UUID (the namespace of the document ids).
 DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 
-# Rows of a block, and questions scored at once inside a task.
-BLOCK_QUESTIONS = 1024
-BLOCK_DOCS = 8192
-TILE_QUESTIONS = 256
+# Rows of a block; scores held at once inside a task, neighbours that share one maximum, pairs scored once more at once.
+BLOCK_QUESTIONS = 4096
+BLOCK_DOCS = 16384
+TILE_SCORES = 1 << 21
+RUN = 128
+RESCORED = 1 << 14
+# Parts of the work that a core should find, if blocks of documents are few.
+PARTS_PER_CORE = 8
 # Vectors that pull near ones into their block, at most (they go to every task).
 MOST_PIVOTS = 1024
 
@@ -130,35 +136,111 @@ def _vectors(block: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.array(keys.to_pylist()) if pa.types.is_string(keys.type) else keys.to_numpy(zero_copy_only=False)), m
 
 
-def _block_best(questions: pa.Array, docs: pa.Array, dim: int, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question number, document number, score): the k best of one block of documents, ties to the smaller key."""
-    ids, d = _vectors(docs, dim)
-    _, q = _vectors(questions, dim)
-    order = np.argsort(ids, kind="stable")  # positions then rank equal scores by key
-    ids, d = ids[order], d[order]
-    own = questions.field("own").to_pylist() if exclude_self else None
-    rows: list[np.ndarray] = []
-    cols: list[np.ndarray] = []
-    scores: list[np.ndarray] = []
-    for at in range(0, len(q), TILE_QUESTIONS):
-        tile = q[at:at + TILE_QUESTIONS] @ d.T
-        tile = np.where(np.isnan(tile), -np.inf, tile)  # zero vectors never match
-        for i, line in enumerate(tile):
-            if exclude_self:
-                line = np.where(ids == own[at + i], -np.inf, line)
-            if len(line) > k:
-                least = np.partition(line, len(line) - k)[len(line) - k]
-                sure = np.flatnonzero(line > least)
-                hit = np.sort(np.concatenate([sure, np.flatnonzero(line == least)[:k - len(sure)]]))
-            else:
-                hit = np.arange(len(line))
-            hit = hit[np.isfinite(line[hit])]
-            rows.append(np.full(len(hit), at + i))
-            cols.append(order[hit])
-            scores.append(line[hit])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+class _Documents:
+    """One block of documents in the order of their keys, without those that cannot be among the ``k`` best of any question."""
+
+    def __init__(self, docs: pa.Array, dim: int, k: int):
+        ids, d = _vectors(docs, dim)
+        sound = np.flatnonzero(np.isfinite(d).all(1))
+        order = sound[np.argsort(ids[sound], kind="stable")]  # positions then rank equal scores by key
+        self.order = order[_of_equal(d[order], ids[order], k)]
+        self.ids, self.rows, self.dim = ids[self.order], d[self.order], dim
+        self.near = self.rows.astype(np.float32)
+        #: no product of two unit vectors in single precision is further from the exact one
+        self.error = (dim + 8) * 2.0 ** -24
+
+
+def _of_equal(rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the rows that stay if of equal ones only the first k + 1 keys do (one may be a question's own), k times each."""
+    n = len(rows)
+    if n <= k:
+        return np.arange(n)
+    code = (np.ascontiguousarray(rows).view(np.uint64) * (np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(1)
+    order = np.argsort(code, kind="stable")
+    turn = np.append(True, code[order[1:]] != code[order[:-1]])
+    starts = np.flatnonzero(turn)
+    size = np.diff(np.append(starts, n))
+    equal = np.logical_and.reduceat((rows[order] == rows[np.repeat(order[starts], size)]).all(1), starts)
+    new = turn | np.append(True, ids[order[1:]] != ids[order[:-1]])
+    number = np.cumsum(new)
+    at = np.flatnonzero(new)
+    spare = (number - np.repeat(number[starts], size) > k) | (np.arange(n) - np.repeat(at, np.diff(np.append(at, n))) >= k)
+    return np.sort(order[~(spare & np.repeat(equal, size))])
+
+
+def _block_best(questions: pa.Array, docs: _Documents, k: int, exclude_self: bool, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question number, document number, score): the k best of one block of documents, ties to the smaller key.
+
+    ``least`` is a score per question below which nothing counts. Of a row of single-precision scores the k-th largest among
+    the maxima of its runs bounds the k-th best from below; only scores within the error of that bound are computed exactly.
+    """
+    q, n = _unit(questions.field("vec"), docs.dim), len(docs.rows)
+    asked = np.flatnonzero(np.isfinite(q).all(1))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    run = max(1, min(RUN, n // (4 * k)))
+    runs = -(-n // run)
+    near = np.zeros((runs * run, docs.dim), np.float32)
+    near[:n] = docs.near
+    first, last = _own(questions, docs.ids) if exclude_self else (None, None)
+    step = max(1, TILE_SCORES // max(1, len(near)))
+    for at in range(0, len(asked) if n else 0, step):
+        who = asked[at:at + step]
+        tile = q[who].astype(np.float32) @ near.T
+        tile[:, n:] = -np.inf
+        if exclude_self:
+            for i in np.flatnonzero(first[who] < last[who]):
+                tile[i, first[who[i]]:last[who[i]]] = -np.inf
+        tops = tile.reshape(len(who), runs, run).max(2)
+        need = np.partition(tops, runs - k, axis=1)[:, runs - k].astype(np.float64) - 2 * docs.error if runs > k else np.full(len(who), -2.0)
+        need = np.maximum(need, -2.0 if least is None else least[who] - docs.error).astype(np.float32)
+        need = np.nextafter(need, np.float32(-3))
+        i, part = np.divmod(np.flatnonzero((tops >= need[:, None]).ravel()), runs)
+        for a in range(0, len(i), RESCORED):
+            x, y = i[a:a + RESCORED], part[a:a + RESCORED]
+            hit, col = np.divmod(np.flatnonzero((tile.reshape(len(who), runs, run)[x, y] >= need[x, None]).ravel()), run)
+            found.append(_exact(q, docs, who[x[hit]], y[hit] * run + col, k, least))
+    row, col, score = (np.concatenate(c) for c in zip(*found))
+    keep = _k_best(row, col, score, k)
+    return row[keep], docs.order[col[keep]], score[keep]
+
+
+def _own(questions: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and behind the last of the sorted ``ids`` that equals each question's own (none for null)."""
+    own = questions.field("own")
+    known = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
+    value = own.take(pa.array(known))
+    value = np.array(value.to_pylist()) if pa.types.is_string(value.type) else value.to_numpy(zero_copy_only=False)
+    first, last = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    if len(ids) and len(value):
+        first[known], last[known] = np.searchsorted(ids, value, "left"), np.searchsorted(ids, value, "right")
+    return first, last
+
+
+def _exact(q: np.ndarray, docs: _Documents, row: np.ndarray, col: np.ndarray, k: int, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a question among pairs in the order of rows and columns.
+
+    Scores are always added up in the same order, so that equal vectors score equal.
+    """
+    score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[row[a:a + RESCORED]], docs.rows[col[a:a + RESCORED]]) for a in range(0, len(row), RESCORED))])
+    some = score >= least[row] if least is not None else np.ones(len(row), bool)
+    if len(row) > RESCORED:  # many nearly equal scores: no sort of all of them
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        for s, e in zip(starts, np.append(starts[1:], len(row))):
+            if e - s > k:
+                line = score[s:e]
+                kth = np.partition(line, e - s - k)[e - s - k]
+                some[s:e] &= line >= kth
+                some[s + np.flatnonzero(line == kth)[k - np.count_nonzero(line > kth):]] = False
+    row, col, score = row[some], col[some], score[some]
+    keep = _k_best(row, col, score, k)
+    return row[keep], col[keep], score[keep]
+
+
+def _k_best(row: np.ndarray, col: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the pairs that are among the k best of their row, ties to the smaller column."""
+    order = np.lexsort((col, -score, row))
+    start = np.searchsorted(row[order], row[order], "left")
+    return order[np.arange(len(order)) - start < k]
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -228,17 +310,30 @@ def _blocks(sound: DataFrame, dim: int, rows: int, pivots: np.ndarray, least: in
 
 
 def _score(pairs: DataFrame, dim: int, k: int, own: bool, qkey_type: str, key_type: str) -> DataFrame:
-    """(q, id, score, ask) of the k best documents per question in every (ask, asks, members) pair of blocks."""
+    """(q, id, score, ask) of the k best documents per question in every (group, block, ask, asks, members) pair of blocks.
+
+    A column ``known`` holds (q, s) of questions of which scores below s are of no use. Pairs with one block of documents lie together.
+    """
+    bounded = "known" in pairs.columns
+
     def run(batches):
+        held, docs = None, None
         for batch in batches:
-            ask, asks, members = batch.columns
+            group, block, ask, asks, members = batch.columns[:5]
             for r in range(batch.num_rows):
                 one, two = (c.slice(r, 1).flatten() for c in (asks, members))
-                i, j, score = _block_best(one, two, dim, k, own)
-                yield pa.RecordBatch.from_arrays([one.field("key").take(pa.array(i, pa.int64())), two.field("key").take(pa.array(j, pa.int64())), pa.array(score),
+                if docs is None or held != (group[r].as_py(), block[r].as_py()):
+                    held, docs = (group[r].as_py(), block[r].as_py()), _Documents(two, dim, k)
+                least = None
+                if bounded:
+                    known = batch.column(5).slice(r, 1).flatten()
+                    at = pc.index_in(one.field("key"), known.field("q"))
+                    least = known.field("s").take(at).fill_null(-2.0).to_numpy(zero_copy_only=False)
+                i, j, score = _block_best(one, docs, k, own, least)
+                yield pa.RecordBatch.from_arrays([one.field("key").take(pa.array(i, pa.int64())), two.field("key").take(pa.array(j, pa.int64())), pa.array(score, pa.float64()),
                                                   pa.array(np.full(len(i), ask[r].as_py()), pa.int64())], names=["q", "id", "score", "ask"])
 
-    return pairs.select("ask", "asks", "members").mapInArrow(run, f"q {qkey_type}, id {key_type}, score double, ask bigint")
+    return pairs.select("group", "block", "ask", "asks", "members", *(["known"] if bounded else [])).mapInArrow(run, f"q {qkey_type}, id {key_type}, score double, ask bigint")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -275,7 +370,7 @@ def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "
         d = held.groupBy("group", dealt(1).alias("block")).agg(F.collect_list("m").alias("members"))
         ask = dealt(max(1, -(-asked.count() // block_questions))).alias("ask")
         q = asked.groupBy("group", dealt(1).alias("block"), ask).agg(F.collect_list("m").alias("asks"))
-        found = score(q.join(d, ["group", "block"]))  # an equi-join on the block's number, also where there is one group
+        found = score(_meet(q, d, 1))  # an equi-join on the block's number, also where there is one group
     else:
         pivots = _pivots(held, dim, -(-n // block_docs))
         found = _pruned(_blocks(asked, dim, block_questions, pivots, 1), _blocks(held, dim, block_docs, pivots, block_docs), score, k, counter)
@@ -283,6 +378,13 @@ def topk_cosine(questions: DataFrame, docs: DataFrame, k: int, *, q_key: str = "
                                   F.col("score").alias("similarity_score"), F.col("rank").cast("int").alias("rank"))
 
 
+def _meet(q: DataFrame, d: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``q`` with their block of documents. With few blocks each goes to several tasks, between which the rows are dealt by ``ask``."""
+    turns = max(1, -(-PARTS_PER_CORE * q.sparkSession.sparkContext.defaultParallelism // blocks))
+    return (q.withColumn("turn", F.pmod(F.xxhash64("ask"), F.lit(turns)).cast("int"))
+            .join(d.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))), ["group", "block", "turn"]))
+
+
 def _pruned(q: DataFrame, d: DataFrame, score, k: int, counter: dict | None) -> DataFrame:
     """Candidates from the pairs of blocks that can hold one of the k best documents of a question."""
     number = F.xxhash64("group", "block").alias("ask")  # two blocks that shared a number would only lower each other's bound
@@ -295,18 +397,21 @@ def _pruned(q: DataFrame, d: DataFrame, score, k: int, counter: dict | None) ->
     before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
     near = near.withColumn("bound", 1 - least * least / 2).withColumn("first", F.coalesce(before, F.lit(0)) < k + 1)
     near = materialize(near.select("ask", "group", "q_block", "q_n", "block", "bound", "first"), "pairs")
-    members, asks = d.select("group", "block", "members"), q.select("group", "q_block", "asks")
-    whole = lambda pairs: score(pairs.join(asks, ["group", "q_block"]).join(members, ["group", "block"]))
-    one = materialize(whole(near.where("first")), "found")
-    # the k-th best score of every question; a block's least one is what another block must reach
+    members, asks, blocks = d.select("group", "block", "members"), q.select("group", "q_block", "asks"), max(1, d.count())
+    whole = lambda pairs, asks: score(_meet(pairs.join(asks, ["group", "q_block"]), members, blocks))
+    one = materialize(whole(near.where("first"), asks), "found")
+    # the k-th best score of every question, which its other candidates must reach; a block's least one is what another block must reach
     kth = _best(one, k).groupBy("ask", "q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
-    kth = kth.groupBy("ask").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0)).alias("s"))
-    todo = near.where("not first").join(kth, "ask", "left")
+    kth = kth.groupBy("ask").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0)).alias("s"),
+                                 F.collect_list(F.when(F.col("n") >= k, F.struct("q", "s"))).alias("known"))
+    kth = materialize(kth, "kth")
+    todo = near.where("not first").join(kth.drop("known"), "ask", "left")
     reach = F.when(F.col("found") == F.col("q_n"), F.col("s")).otherwise(-2.0)  # a question without k documents takes any
     todo = materialize(todo.where(F.col("bound") >= reach - 1e-9).select("ask", "group", "q_block", "block"), "pairs")
+    asks = q.select("group", "q_block", "asks", "ask").join(kth.select("ask", "known"), "ask", "left").drop("ask")
     if counter is not None:
         counter["pairs"], counter["scored"] = near.count(), near.where("first").count() + todo.count()
-    return one.unionByName(whole(todo))
+    return one.unionByName(whole(todo, asks))
 
 
 def centroids(docs: DataFrame, group: str, vec: str = "vector") -> DataFrame:

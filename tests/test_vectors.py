@@ -1,6 +1,7 @@
 """Exact top-k against numpy brute force; index maintenance semantics."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,63 @@ def test_float_vectors_are_moved_as_floats(spark):
     key = lambda rows: [(r["question_id"], r["rank"], r["id"]) for r in rows]
     assert all(key(h) == key(hits[0]) for h in hits)
     assert hits[0] == hits[2] and hits[1] == hits[3]
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "one vector", "nearly one vector", "zeros"])
+@pytest.mark.parametrize("k", [1, 3, 900])
+def test_best_of_a_block_equals_brute_force(kind, k):
+    """Runs of scores, equal vectors, keys that repeat, own keys that are null, and scores that single precision cannot tell apart."""
+    rng = np.random.default_rng(11)
+    d = rng.integers(-9, 10, size=(700, 8)).astype(np.float32)
+    if kind == "copies":
+        d = d[rng.integers(0, 20, 700)]
+    if kind == "one vector":
+        d[:] = d[0]
+    if kind == "nearly one vector":
+        d = d[0] * 1000 + rng.integers(-1, 2, size=(700, 8)).astype(np.float32) / 8
+    if kind == "zeros":
+        d[::3] = 0
+    ids, own = rng.permutation(700) // 2, rng.integers(0, 350, 40).tolist()
+    own[3] = None
+    q = d[rng.integers(0, 700, 40)]
+    docs = pa.StructArray.from_arrays([pa.array(ids), pa.array(list(d), pa.list_(pa.float32()))], names=["key", "vec"])
+    asks = pa.StructArray.from_arrays([pa.array(range(40)), pa.array(list(q), pa.list_(pa.float32())), pa.array(own, pa.int64())], names=["key", "vec", "own"])
+    score = V._unit(asks.field("vec"), 8) @ V._unit(docs.field("vec"), 8).T
+    least = np.full(40, -2.0)
+    for bounded in (False, True):
+        i, j, s = V._block_best(asks, V._Documents(docs, 8, k), k, True, least if bounded else None)
+        for n in range(40):
+            want = sorted(((round(-x, 9), ids[m]) for m, x in enumerate(score[n]) if np.isfinite(x) and ids[m] != own[n]))[:k]
+            got = sorted((round(-x, 9), ids[m]) for m, x in zip(j[i == n], s[i == n]))
+            if bounded:
+                want = [w for w in want if -w[0] >= least[n]]
+            if kind == "nearly one vector":  # equal but for the last bits: which of them come first is rounding
+                assert [g[0] for g in got] == [w[0] for w in want]
+            else:
+                assert got == want
+            if len(want) > 1:
+                least[n] = -want[len(want) // 2][0] - 1e-8
+
+
+def test_bounds_spare_candidates_of_later_blocks(spark):
+    """What a question's other blocks hold is written only where it reaches the k-th best score found first."""
+    rng = np.random.default_rng(5)
+    d = rng.normal(size=(600, 6)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "id bigint, vector array<float>")
+    made = []
+
+    def score(pairs):
+        made.append("known" in pairs.columns)
+        return V._score(pairs, 6, 3, False, "bigint", "bigint")
+
+    asked = docs.limit(30).selectExpr("id AS question_id", "vector AS qvec")
+    q, held = V._sound(asked, "question_id", "qvec", None, 6), V._sound(docs, "id", "vector", None, 6)
+    pivots = V._pivots(held, 6, 12)
+    found = V._pruned(V._blocks(q, 6, 8, pivots, 1), V._blocks(held, 6, 50, pivots, 50), score, 3, None).collect()
+    u = d / np.linalg.norm(d, axis=1, keepdims=True)
+    want = np.sort(u[[r["question_id"] for r in asked.collect()]] @ u.T, axis=1)[:, -3:]
+    best = {}
+    for r in found:
+        best.setdefault(r["q"], []).append(r["score"])
+    assert made == [False, True] and np.allclose(sorted(sum((sorted(v)[-3:] for v in best.values()), [])), sorted(want.ravel()), atol=1e-6)
+    assert len(found) < 30 * 3 * 8  # of 24 blocks each would have given three
