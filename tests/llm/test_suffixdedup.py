@@ -166,3 +166,29 @@ def test_only_texts_that_lose_something_go_to_python(spark):
     out = docs.select("id", suffixdedup.cut(docs.text, docs.starts, docs.ends).alias("kept"))
     assert [bytes(r["kept"]) for r in out.orderBy("id").collect()] == [b"ad", b"whole", b""]
     assert "CASE WHEN" in next(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x or "Project" in x and "starts" in x)
+
+
+def test_parts_of_a_row_give_the_anchors_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = [3000, 0, 49, 50, 51, 700, 1, 260]
+    data, offsets = rng.integers(97, 101, sum(sizes)).astype(np.uint8), np.cumsum([0] + sizes)
+    whole = suffixdedup.anchors(data, offsets, 50)
+    monkeypatch.setattr(suffixdedup, "_SPAN", 256)
+    assert all((a == b).all() for a, b in zip(whole, suffixdedup.anchors(data, offsets, 50)))  # an anchor on a border is found once
+    covered = np.concatenate([np.arange(a, b + 1) + offsets[r] for r, _, a, b, _ in zip(*whole)])
+    assert (np.sort(covered) == np.concatenate([offsets[r] + np.arange(max(0, n - 49)) for r, n in enumerate(sizes)])).all()  # every window has one
+
+
+def test_suffixes_that_differ_in_their_first_bytes_are_not_merged(monkeypatch):
+    rng = np.random.default_rng(9)
+    around = rng.integers(0, 256, (400, 84)).astype(np.uint8)
+    around[::2, 34:] = around[0, 34:]  # half of the records share all that follows the anchor's place
+    around[::5] = around[0]
+    n, compared = len(around), []
+    before = suffixdedup._Suffixes.before
+    monkeypatch.setattr(suffixdedup._Suffixes, "before", lambda self, x, *more: compared.append(len(x)) or before(self, x, *more))
+    low, high = np.full(n, -34), np.zeros(n, np.int64)
+    gone = suffixdedup._by_suffix_sort(around, np.zeros(n, np.int64), low, high, np.arange(n), 50)
+    first = {}
+    want = np.array([[first.setdefault((c, around[r, c:c + 50].tobytes()), r) < r for c in range(35)] for r in range(n)])
+    assert (gone == want).all() and sum(compared) < 100_000  # merging 35 columns of 400 suffixes takes several times as many
