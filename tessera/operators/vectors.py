@@ -29,6 +29,11 @@ BLOCK_DOCS = 16384
 TILE_SCORES = 1 << 21
 RUN = 128
 RESCORED = 1 << 14
+# What two sums of one pair may differ by.
+SLACK = 1e-12
+# Questions scored at once in double precision; a block of so few documents is scored so at once.
+TILE_QUESTIONS = 256
+FEW_DOCS = 1024
 # Parts of the work that a core should find, if blocks of documents are few.
 PARTS_PER_CORE = 8
 # Vectors that pull near ones into their block, at most (they go to every task).
@@ -179,26 +184,33 @@ def _block_best(questions: pa.Array, docs: _Documents, k: int, exclude_self: boo
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     run = max(1, min(RUN, n // (4 * k)))
     runs = -(-n // run)
+    few = n <= FEW_DOCS
+    error = 0.0 if few else docs.error
     near = np.zeros((runs * run, docs.dim), np.float32)
     near[:n] = docs.near
     first, last = _own(questions, docs.ids) if exclude_self else (None, None)
-    step = max(1, TILE_SCORES // max(1, len(near)))
+    step = TILE_QUESTIONS if few else max(1, TILE_SCORES // max(1, len(near)))
     for at in range(0, len(asked) if n else 0, step):
         who = asked[at:at + step]
-        tile = q[who].astype(np.float32) @ near.T
-        tile[:, n:] = -np.inf
+        if few:
+            tile = np.full((len(who), len(near)), -np.inf)
+            tile[:, :n] = q[who] @ docs.rows.T
+        else:
+            tile = q[who].astype(np.float32) @ near.T
+            tile[:, n:] = -np.inf
         if exclude_self:
             for i in np.flatnonzero(first[who] < last[who]):
                 tile[i, first[who[i]]:last[who[i]]] = -np.inf
         tops = tile.reshape(len(who), runs, run).max(2)
-        need = np.partition(tops, runs - k, axis=1)[:, runs - k].astype(np.float64) - 2 * docs.error if runs > k else np.full(len(who), -2.0)
-        need = np.maximum(need, -2.0 if least is None else least[who] - docs.error).astype(np.float32)
-        need = np.nextafter(need, np.float32(-3))
+        need = np.partition(tops, runs - k, axis=1)[:, runs - k].astype(np.float64) - 2 * error if runs > k else np.full(len(who), -2.0)
+        need = np.maximum(need, -2.0 if least is None else least[who] - error - SLACK).astype(tile.dtype)
+        need = need if few else np.nextafter(need, np.float32(-3))
         i, part = np.divmod(np.flatnonzero((tops >= need[:, None]).ravel()), runs)
         for a in range(0, len(i), RESCORED):
             x, y = i[a:a + RESCORED], part[a:a + RESCORED]
             hit, col = np.divmod(np.flatnonzero((tile.reshape(len(who), runs, run)[x, y] >= need[x, None]).ravel()), run)
-            found.append(_exact(q, docs, who[x[hit]], y[hit] * run + col, k, least))
+            x, col = x[hit], y[hit] * run + col
+            found.append(_exact(who[x], col, tile[x, col] if few else _rescored(q[who], docs.rows, x, col), k, least))
     row, col, score = (np.concatenate(c) for c in zip(*found))
     keep = _k_best(row, col, score, k)
     return row[keep], docs.order[col[keep]], score[keep]
@@ -216,13 +228,21 @@ def _own(questions: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
-def _exact(q: np.ndarray, docs: _Documents, row: np.ndarray, col: np.ndarray, k: int, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a question among pairs in the order of rows and columns.
+def _rescored(q: np.ndarray, rows: np.ndarray, x: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Double-precision scores of pairs in the order of their questions, by matrix products of all questions and documents in them."""
+    out = [np.zeros(0)]
+    for a in range(0, len(x), RESCORED):
+        i, j = x[a:a + RESCORED], col[a:a + RESCORED]
+        low = min(int(i[0]), max(0, len(q) - 2))
+        cols, at = np.unique(j, return_inverse=True)
+        # at least two of each: products with a single vector are added up in another order
+        out.append((q[low:max(low + 2, int(i[-1]) + 1)] @ rows[np.append(cols, cols[:1])].T)[i - low, at])
+    return np.concatenate(out)
 
-    Scores are always added up in the same order, so that equal vectors score equal.
-    """
-    score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[row[a:a + RESCORED]], docs.rows[col[a:a + RESCORED]]) for a in range(0, len(row), RESCORED))])
-    some = score >= least[row] if least is not None else np.ones(len(row), bool)
+
+def _exact(row: np.ndarray, col: np.ndarray, score: np.ndarray, k: int, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a question among scored pairs in the order of rows and columns."""
+    some = score >= least[row] - SLACK if least is not None else np.ones(len(row), bool)
     if len(row) > RESCORED:  # many nearly equal scores: no sort of all of them
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         for s, e in zip(starts, np.append(starts[1:], len(row))):
