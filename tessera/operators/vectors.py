@@ -180,7 +180,8 @@ def _block_best(questions: pa.Array, docs: _Documents, k: int, exclude_self: boo
     the maxima of its runs bounds the k-th best from below; only scores within the error of that bound are computed exactly.
     """
     q, n = _unit(questions.field("vec"), docs.dim), len(docs.rows)
-    asked = np.flatnonzero(np.isfinite(q).all(1))
+    asked = pc.sort_indices(questions.field("key")).to_numpy()  # sums may depend on places in the product, which the keys decide
+    asked = asked[np.isfinite(q[asked]).all(1)].astype(np.int64)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     run = max(1, min(RUN, n // (4 * k)))
     runs = -(-n // run)
